@@ -126,8 +126,8 @@ def judge_event(ev: DataFrame) -> DataFrame:
     """Deterministic cause, confidence, evidence and action for each event."""
     e = calendar_context(ev)
     near = F.size("context") > 0
-    z = F.concat(F.when(F.round("magnitude_z", 1) >= 0, "+").otherwise(""),
-                 F.format_string("%.1f", F.round("magnitude_z", 1)))
+    z = F.concat(F.when(F.col("magnitude_z") >= 0, "+").otherwise("-"),
+                 F.format_string("%.1f", F.abs(F.round("magnitude_z", 1))))
     first = F.concat(F.lit("Robust z = "), z, F.lit(" on "), F.date_format("date", "yyyy-MM-dd"),
                      F.lit(" ("), F.col("direction"), F.lit(")"))
     second = F.when(near, F.concat(F.lit("Calendar markers within ±2 weeks: "),

@@ -2,6 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import exact_quantiles
+from ..functions.stats import norm_ppf
 from .series import METRICS, pattern_features, weak_labels
 
 QUANTILE_GRID = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -27,35 +28,36 @@ def calendar_lifts(sales: DataFrame) -> DataFrame:
             .select("kind", "key", F.round(F.col("s") / F.col("n") / grand, 4).alias("lift"), "n"))
 
 
-def lift_ci(sales: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Bootstrap interval of the weekday lifts.
+def _poisson(c: Column, u: Column) -> Column:
+    """Poisson(c) draw by inversion, rounded normal above 30."""
+    start = F.struct(F.exp(-c).alias("p"), F.exp(-c).alias("cum"), F.lit(0.0).alias("k"))
+
+    def step(acc, i):
+        p = acc["p"] * c / i
+        more = acc["cum"] < u
+        return F.struct(F.when(more, p).otherwise(acc["p"]).alias("p"),
+                        F.when(more, acc["cum"] + p).otherwise(acc["cum"]).alias("cum"),
+                        F.when(more, i.cast("double")).otherwise(acc["k"]).alias("k"))
 
-    Poisson bootstrap: each row gets, per replicate, a hash-seeded weight.  Weights are
-    summed inside the partial aggregate as arrays, so `replicates` never multiplies rows."""
-    u = lambda b: (F.pmod(F.xxhash64("row_key", F.lit(seed), b), F.lit(1_000_003)) + 0.5) / 1_000_003
-    # fixed values: cumulative Poisson(1) probabilities
-    cdf = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+    exact = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step)["k"]
+    return F.when(c <= 30, exact).otherwise(
+        F.greatest(F.lit(0.0), F.round(c + F.sqrt(c) * norm_ppf(u))))
 
-    def weight(b):
-        x = u(b)
-        return sum(F.when(x > c, 1.0).otherwise(0.0) for c in cdf)
 
-    reps = [F.struct(F.sum(weight(F.lit(b)) * F.col("sales")).alias("s"), F.sum(weight(F.lit(b))).alias("w"))
-            for b in range(replicates)]
-    # a few replicates per pass keep the generated aggregate small
-    grand = sales.agg(F.avg("sales")).scalar()
+def lift_ci(sales: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Bootstrap interval of the weekday lifts.
+
+    Poisson bootstrap on counted values: c equal values get one Poisson(c) weight per
+    replicate, so only distinct (weekday, value) pairs are repeated, never the rows."""
     key = (F.weekday("date") + 1).cast("string")
-    step = 25
-    out = None
-    for start in range(0, replicates, step):
-        part = (sales.groupBy(key.alias("key")).agg(*[
-            F.sum(weight(F.lit(b)) * F.col("sales")).alias(f"s{b}") for b in range(start, min(start + step, replicates))], *[
-            F.sum(weight(F.lit(b))).alias(f"w{b}") for b in range(start, min(start + step, replicates))])
-            .select("key", F.explode(F.array(*[F.col(f"s{b}") / F.col(f"w{b}")
-                                               for b in range(start, min(start + step, replicates))])).alias("m")))
-        out = part if out is None else out.unionByName(part)
-    # at most `replicates` values per weekday
-    return out.groupBy("key").agg(
+    counted = sales.groupBy(key.alias("key"), "sales").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    grand = counted.agg(F.sum(F.col("sales") * F.col("c")) / F.sum("c")).scalar()
+    u = (F.pmod(F.xxhash64("key", "sales", "b", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    draws = (counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+             .withColumn("w", _poisson(F.col("c"), u)))
+    means = draws.groupBy("key", "b").agg((F.sum(F.col("w") * F.col("sales")) / F.sum("w")).alias("m"))
+    # `replicates` values per weekday
+    return means.groupBy("key").agg(
         F.round(F.percentile("m", alpha / 2) / grand, 4).alias("ci_lo"),
         F.round(F.percentile("m", 1 - alpha / 2) / grand, 4).alias("ci_hi"),
         F.count("m").alias("replicates"))

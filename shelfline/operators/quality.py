@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ordering import exact_quantiles
 from ..functions.stats import norm_cdf
+from ..session import materialise
 from .checks import business_checks
 from .series import METRICS, series_metrics
 
@@ -108,7 +109,8 @@ def low_history(df: DataFrame, threshold: int = 13) -> DataFrame:
 # ---- distribution profile ----------------------------------------------------
 
 def tall_metrics(m: DataFrame) -> DataFrame:
-    return m.where(F.col("n_obs") >= 8).unpivot(["sku_id"], list(METRICS), "metric", "value")
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRICS])
+    return m.where(F.col("n_obs") >= 8).select("sku_id", F.inline(pairs))
 
 
 def metric_medians(m: DataFrame) -> DataFrame:
@@ -128,24 +130,28 @@ def match_profile(medians: DataFrame) -> DataFrame:
 
 
 def _banded(m: DataFrame, profile: str) -> DataFrame:
-    band = F.create_map(*[x for k, b in PROFILES[profile].items()
-                          for x in (F.lit(k), F.struct(*[F.lit(v).alias(n) for n, v in
-                                                         zip(("p2", "p10", "p90", "p98"), b)]))])
-    return tall_metrics(m).withColumn("b", band[F.col("metric")])
+    def edge(i):
+        e = F.lit(None).cast("double")
+        for metric, band in PROFILES[profile].items():
+            e = F.when(F.col("metric") == metric, band[i]).otherwise(e)
+        return e
+
+    names = ("p2", "p10", "p90", "p98")
+    return tall_metrics(m).withColumns({n: edge(i) for i, n in enumerate(names)})
 
 
 def metric_scores(m: DataFrame, profile: str = "retail_m5") -> DataFrame:
     b = _banded(m, profile)
     return b.select("sku_id", "metric", "value", score_metric(
-        F.col("value"), *[F.col(f"b.{p}") for p in ("p2", "p10", "p90", "p98")]).alias("score"))
+        F.col("value"), *[F.col(p) for p in ("p2", "p10", "p90", "p98")]).alias("score"))
 
 
 def dq_distribution(m: DataFrame, profile: str = "retail_m5") -> DataFrame:
     """Median over SKUs of the mean metric score, plus flag counts per metric; one row."""
     b = _banded(m, profile)
     v = F.col("value")
-    out = (v < F.col("b.p10")) | (v > F.col("b.p90"))
-    sc = score_metric(v, *[F.col(f"b.{p}") for p in ("p2", "p10", "p90", "p98")])
+    out = (v < F.col("p10")) | (v > F.col("p90"))
+    sc = score_metric(v, *[F.col(p) for p in ("p2", "p10", "p90", "p98")])
     per_sku = b.groupBy("sku_id").agg(F.avg(sc).alias("score"), *[
         F.count_if((F.col("metric") == k) & out).alias(f"flag_{k}") for k in METRICS])
     per_sku = per_sku.withColumn("score", F.round("score", 9))
@@ -157,10 +163,10 @@ def dq_distribution(m: DataFrame, profile: str = "retail_m5") -> DataFrame:
 
 def distribution_anomalies(m: DataFrame, profile: str = "retail_m5") -> DataFrame:
     v = F.col("value")
-    return (_banded(m, profile).where((v < F.col("b.p10")) | (v > F.col("b.p90")))
-            .select("sku_id", "metric", "value", F.col("b.p10").alias("profile_p10"),
-                    F.col("b.p90").alias("profile_p90"),
-                    F.when(v < F.col("b.p10"), "below_p10").otherwise("above_p90").alias("side")))
+    return (_banded(m, profile).where((v < F.col("p10")) | (v > F.col("p90")))
+            .select("sku_id", "metric", "value", F.col("p10").alias("profile_p10"),
+                    F.col("p90").alias("profile_p90"),
+                    F.when(v < F.col("p10"), "below_p10").otherwise("above_p90").alias("side")))
 
 
 # ---- stationarity -------------------------------------------------------------
@@ -294,13 +300,13 @@ def dq_report(df: DataFrame, freq: str, profile: str = "auto", metrics: DataFram
 
     `profile` may be a profile id or "auto" (nearest by metric medians).  Passing a
     stored `series_metrics` table rescores without recomputing it."""
-    metrics = series_metrics(df) if metrics is None else metrics
+    metrics = materialise(series_metrics(df)) if metrics is None else metrics
     confidence = None
     if profile == "auto":
         best = match_profile(metric_medians(metrics)).head()
         profile, confidence = best.profile_id, float(best.confidence)
-    findings = business_checks(df)
-    comps = dq_components(df, freq, profile, findings, metrics)
+    findings = materialise(business_checks(df))
+    comps = materialise(dq_components(df, freq, profile, findings, metrics))
     notes = dq_notes(df, freq, metrics, profile)
     summary = dq_composite(comps).withColumns({
         "profile_id": F.lit(profile), "match_confidence": F.lit(confidence).cast("double")})

@@ -1,7 +1,7 @@
 """Loads every group of registered queries."""
 from importlib import import_module
 
-GROUPS = ("tables", "ingest", "series", "quality")
+GROUPS = ("tables", "ingest", "series", "quality", "inventory")
 
 
 def register_all():

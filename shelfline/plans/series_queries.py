@@ -69,9 +69,7 @@ FCOLS = ", ".join(f"round({c}, 6) as {c}" for c in s_.FEATURES if c != "n_obs")
 register("pattern_features", lambda s, sf: rounded(s_.pattern_features(bt(s, sf))), f"select sku_id, n_obs, {FCOLS} from feats")
 register("weak_labels", lambda s, sf: s_.weak_labels(s_.pattern_features(bt(s, sf))).select("sku_id", "pattern"),
          "select sku_id, pattern from labels_weak")
-register("regime_break", lambda s, sf: rounded(s_.regime_break(pm(s, sf)).drop("note")),
-         f"select sku_id, round(ratio, 6) as ratio from (select sku_id, {ratio_sql(30, 60, 'null')} as ratio from ix_panel_pm group by 1) where ratio < 0.5 or ratio > 2.0")
-register("regime_break_recent", lambda s, sf: rounded(s_.regime_break(pm(s, sf), 6, 24).drop("note")),
+register("regime_break", lambda s, sf: rounded(s_.regime_break(pm(s, sf), 6, 24).drop("note")),
          f"select sku_id, round(ratio, 6) as ratio from (select sku_id, {ratio_sql(6, 24, 'null')} as ratio from ix_panel_pm group by 1) where ratio < 0.5 or ratio > 2.0")
 register("add_lags", lambda s, sf: s_.add_lags(bt(s, sf).select("sku_id", "date", "demand"), "W"),
          "select sku_id, date, demand, lag_1, lag_4, lag_13, lag_26 from ix_panel")
@@ -122,7 +120,7 @@ register("seasonal", lambda s, sf: rounded(s_.seasonal(pm(s, sf), "M"), 5),
 
 # ---- anomalies ---------------------------------------------------------------
 cte("rz1", """select sku_id, date, demand, row_number() over (partition by sku_id order by date) - 1 as i,
-  count(*) over (partition by sku_id) as n from (select *, row_number() over (partition by sku_id order by date desc) as back from panel_pm)
+  count(*) over (partition by sku_id) as n from (select *, row_number() over (partition by sku_id order by date desc) as back from panel)
   where back <= 200""")
 cte("rz2", """select a.sku_id, a.date, a.demand, a.i, median(b.demand) as med from rz1 a join rz1 b on b.sku_id = a.sku_id
   and abs(b.i - a.i) <= greatest(5, least(13, a.n // 4)) // 2 where a.n >= 8 group by 1, 2, 3, 4""")
@@ -146,16 +144,16 @@ def live(df, metrics):
     return df.join(ok, "sku_id", "left_semi")
 
 
-register("robust_z", lambda s, sf: rounded(a.robust_z(pm(s, sf)).drop("_i").withColumn("z", F.round("z", 3)), 3),
+register("robust_z", lambda s, sf: rounded(a.robust_z(bt(s, sf)).drop("_i").withColumn("z", F.round("z", 3)), 3),
          "select sku_id, date, demand, round(med, 3) as median, round(mad, 3) as mad, round(z, 3) as z from rz")
 
 
 def _panel_live(s, sf):
-    p = pm(s, sf).select("sku_id", "date", "demand", "category", "unit_price")
+    p = bt(s, sf).select("sku_id", "date", "demand", "category", "unit_price")
     return live(p, a.robust_z(p))
 
 
-register("cusum", lambda s, sf: rounded(live(a.cusum(pm(s, sf)), a.robust_z(pm(s, sf))).select("sku_id", "date", "cusum_pos", "cusum_neg"), 4),
+register("cusum", lambda s, sf: rounded(live(a.cusum(bt(s, sf)), a.robust_z(bt(s, sf))).select("sku_id", "date", "cusum_pos", "cusum_neg"), 4),
          f"select sku_id, date, round(pos, 4) as cusum_pos, round(neg, 4) as cusum_neg from cus where {LIVE}")
 register("anomaly_events", lambda s, sf: rounded(a.events(_panel_live(s, sf)), 4), f"""
   select sku_id, date, value, direction, round(magnitude_z, 4) as magnitude_z, round(cusum_score, 4) as cusum_score,
