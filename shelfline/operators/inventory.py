@@ -6,6 +6,7 @@ ranking costs one exchange by SKU plus joins with tables of one row per SKU.
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ordering import exact_quantiles, running_total
+from ..functions.rows import side_by_side
 from ..functions.stats import norm_cdf, norm_ppf
 from ..schema import PERIOD_DAYS, PERIODS_PER_YEAR
 
@@ -269,11 +270,9 @@ def stress_test(df: DataFrame, sup: DataFrame, freq: str, lt_mult=1.0, d_mult=1.
                              F.count_if(F.col("stockout_prob") > 0.1).alias(f"{p}_n_at_risk"))
     b = tot(exposure(df, sup, freq, 1.0, 1.0, service_level), "baseline")
     shock = exposure(df, sup, freq, lt_mult, d_mult, service_level)
-    v = var_cvar(shock)
-    out = tot(shock, "shock").withColumns({c: b.select(c).scalar() for c in b.columns})
-    return out.withColumns({
-        "delta_total_revenue_at_risk": F.col("shock_total_revenue_at_risk") - F.col("baseline_total_revenue_at_risk"),
-        "var_95": v.select("var_95").scalar(), "cvar_95": v.select("cvar_95").scalar()})
+    return side_by_side(b, tot(shock, "shock"), var_cvar(shock)).withColumn(
+        "delta_total_revenue_at_risk",
+        F.col("shock_total_revenue_at_risk") - F.col("baseline_total_revenue_at_risk"))
 
 
 def top_impacted(df: DataFrame, sup: DataFrame, freq: str, lt_mult=1.0, d_mult=1.0, service_level=None,
