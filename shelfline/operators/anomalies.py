@@ -9,7 +9,9 @@ HOLIDAYS = (
     (10, 31, "Halloween"), (11, 11, "Veterans Day"), (12, 24, "Christmas Eve"),
     (12, 25, "Christmas Day"), (12, 31, "New Year's Eve"))
 
-BY_DATE = W.partitionBy("sku_id").orderBy("date")
+
+def by_date():
+    return W.partitionBy("sku_id").orderBy("date")
 
 
 def _median(sorted_arr):
@@ -27,10 +29,10 @@ def robust_z(df: DataFrame) -> DataFrame:
             .withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= 200)
             .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("sku_id")))
             .where(F.col("_n") >= 8)
-            .withColumn("_i", F.row_number().over(BY_DATE) - 1))
+            .withColumn("_i", F.row_number().over(by_date()) - 1))
     window = F.greatest(F.lit(5), F.least(F.lit(13), F.floor(F.col("_n") / 4)))
     half = F.floor(window / 2).cast("int")
-    widest = F.collect_list("demand").over(BY_DATE.rowsBetween(-6, 6))
+    widest = F.collect_list("demand").over(by_date().rowsBetween(-6, 6))
     rows = rows.withColumn("_half", half).withColumn("_wide", widest)
     here = F.least(F.col("_i"), F.lit(6))            # own position inside the wide frame
     lo = F.greatest(F.lit(0), here - F.col("_half"))
@@ -45,7 +47,7 @@ def robust_z(df: DataFrame) -> DataFrame:
 def cusum(df: DataFrame) -> DataFrame:
     """One-sided CUSUMs of the z-score from the second row on, as running sums minus
     their running extreme."""
-    run = BY_DATE.rowsBetween(W.unboundedPreceding, 0)
+    run = by_date().rowsBetween(W.unboundedPreceding, 0)
     z = robust_z(df)
     up = F.when(F.col("_i") == 0, 0.0).otherwise(F.col("z") - CUSUM_K)
     down = F.when(F.col("_i") == 0, 0.0).otherwise(F.col("z") + CUSUM_K)

@@ -2,9 +2,8 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays as A
-from ..schema import QUANTILE_COLS, QUANTILE_LEVELS, SEASON_LENGTH
-from .forecast import (array_pattern, ar_fc, classical_fc, croston_rate, difference_sigma, fit_seasonal_ar, flat_fc,
-                       snaive_fc, to_series, tsb_rate)
+from ..schema import QUANTILE_COLS, QUANTILE_LEVELS
+from .forecast import array_pattern, classical_fc, fit_seasonal_ar, single_fc, to_series
 
 
 def cutoff_array(n: Column, h: Column, folds: int) -> Column:
@@ -31,13 +30,6 @@ def fold_rows(series: DataFrame, h, folds: int) -> DataFrame:
             .withColumn("actual", F.slice("y", F.col("cutoff") + 1, F.col("_h"))))
 
 
-METHODS = {
-    "seasonal_naive": lambda y, h, m: snaive_fc(y, h, m),
-    "croston": lambda y, h, m: flat_fc(croston_rate(y), difference_sigma(y), h),
-    "tsb": lambda y, h, m: flat_fc(tsb_rate(y), difference_sigma(y), h),
-}
-
-
 def backtest(series: DataFrame, freq: str, method: str = "route", h: int = 4, folds: int = 4,
              h_col: Column | None = None, panel: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
     """Rows (sku_id, method, fold, cutoff, step, actual, point, quantiles, scale).
@@ -47,7 +39,6 @@ def backtest(series: DataFrame, freq: str, method: str = "route", h: int = 4, fo
     column `pattern`); the seasonal route is fitted on rows before the earliest cutoff
     of each SKU so that no fold sees its own test rows."""
     f = fold_rows(series, h if h_col is None else h_col, folds)
-    m = SEASON_LENGTH[freq]
     if method == "route":
         if pattern is None:
             f = f.withColumn("_pattern", array_pattern(F.col("train"), freq))
@@ -59,12 +50,12 @@ def backtest(series: DataFrame, freq: str, method: str = "route", h: int = 4, fo
             ar = fit_seasonal_ar(panel, freq, F.col("n") - lead)
         f = classical_fc(f, h, freq, ar, y="train", pattern="_pattern")
     else:
-        f = f.withColumn("method", F.lit(method)).withColumn("fc", METHODS[method](F.col("train"), h, m))
+        f = single_fc(f, method, h, freq, y="train")
     # MASE scale: mean absolute first difference of the training prefix
     d = A.differences(F.col("train"), 1)
     f = f.withColumn("scale", A.total(F.transform(d, lambda v: F.abs(v))) / F.size(d))
     z = F.arrays_zip("actual", "fc")
-    return (f.select("sku_id", "method", "fold", "cutoff", "scale", F.explode(F.slice(z, F.lit(1), F.size("actual"))).alias("r"))
+    return (f.select("sku_id", "method", "fold", "cutoff", "scale", F.explode_outer(F.slice(z, F.lit(1), F.size("actual"))).alias("r"))
             .select("sku_id", "method", "fold", "cutoff", "scale", F.col("r.fc.step").alias("step"),
                     F.col("r.actual").alias("actual"), F.col("r.fc.point").alias("point"),
                     *[F.col(f"r.fc.{c}").alias(c) for c in QUANTILE_COLS]))
@@ -72,9 +63,6 @@ def backtest(series: DataFrame, freq: str, method: str = "route", h: int = 4, fo
 
 # ---- metrics: aggregate expressions over backtest rows ----------------------------------
 
-Y, P = F.col, F.col
-
-
 def mape() -> Column:
     y = F.col("actual")
     return F.avg(F.when(F.abs(y) > 1e-9, F.abs((y - F.col("point")) / y))) * 100

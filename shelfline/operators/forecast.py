@@ -78,7 +78,11 @@ def normal_quantiles(df: DataFrame, point: str, sigma: str) -> DataFrame:
 
 
 def difference_sigma(y: Column) -> Column:
-    d = A.std_pop(A.differences(y, 1))
+    """Population std of first differences; their sum is last minus first."""
+    k = F.size(y) - 1
+    mean = (F.element_at(y, -1) - F.element_at(y, 1)) / k
+    sq = A.total(F.transform(A.differences(y, 1), lambda v: v * v)) / k
+    d = F.when(k > 0, F.sqrt(F.greatest(F.lit(0.0), sq - mean * mean)))
     return F.when(d > 1e-9, d).otherwise(1.0)
 
 
@@ -91,18 +95,27 @@ def residual_sigma(df: DataFrame) -> DataFrame:
 
 
 def rows(forecasts: DataFrame, *keep: str) -> DataFrame:
-    """Long form: one row per step."""
-    return forecasts.select(*keep, F.inline("fc"))
+    """Long form: one row per step.  The outer form keeps the optimizer from adding a
+    non-empty filter that would run every fold a second time."""
+    return forecasts.select(*keep, F.inline_outer("fc"))
 
 
 # ---- forecasters: y -> fc ---------------------------------------------------------------
 
-def snaive_fc(y: Column, h: int, m: int) -> Column:
-    """Last season repeated; a series shorter than a season repeats its last value."""
-    n = F.size(y)
-    p = F.when(n >= m, F.lit(m)).otherwise(1)
-    d = A.differences(y, p)
-    sigma = F.when(F.size(d) > 0, F.sqrt(A.total(F.transform(d, lambda v: v * v)) / F.size(d))).otherwise(1.0)
+def season_used(y: Column, m: int) -> Column:
+    return F.when(F.size(y) >= m, m).otherwise(1).cast("int")
+
+
+def season_sigma(y: Column, m: int) -> Column:
+    d = A.differences(y, season_used(y, m))
+    sq = A.total(F.transform(d, lambda v: v * v)) / (F.size(y) - season_used(y, m))
+    return F.when(F.size(y) > season_used(y, m), F.sqrt(sq)).otherwise(1.0)
+
+
+def snaive_fc(y: Column, sigma: Column, h: int, m: int) -> Column:
+    """Last season repeated; a series shorter than a season repeats its last value.
+    `sigma` is a column of its own (`season_sigma`), so it is computed once per row."""
+    n, p = F.size(y), season_used(y, m)
     return F.transform(_steps(h), lambda i: _band(
         i, F.element_at(y, (n - p + 1 + (i - 1) % p).cast("int")), sigma * F.sqrt(F.floor((i - 1) / p) + 1)))
 
@@ -226,9 +239,10 @@ def fit_seasonal_ar(df: DataFrame, freq: str, fold_cut: Column | None = None):
             float(m.summary.rootMeanSquaredError))
 
 
-def ar_fc(y: Column, h: int, freq: str, model) -> Column:
-    """Recursive forecast of the regression, folded over the array."""
-    b0, coef, sigma = model
+def ar_points(y: Column, h: int, freq: str, model) -> Column:
+    """Recursive forecast of the regression, folded over the array; null when the
+    series is shorter than the longest lag."""
+    b0, coef, _ = model
     longest = max(*MODEL_LAGS[freq], *ROLLING[freq], SEASON_LENGTH[freq])
 
     def nxt(a):
@@ -243,52 +257,76 @@ def ar_fc(y: Column, h: int, freq: str, model) -> Column:
         return F.greatest(F.lit(0.0), v)
 
     full = F.aggregate(_steps(h), y, lambda acc, i: F.array_append(acc, nxt(acc)))
-    point = F.slice(full, F.size(y) + 1, h)
-    sig = F.transform(_steps(h), lambda i: sigma * F.sqrt(i.cast("double")))
-    return F.when(F.size(y) > longest, band_arrays(point, sig)).otherwise(snaive_fc(y, h, SEASON_LENGTH[freq]))
+    return F.when(F.size(y) > longest, F.slice(full, F.size(y) + 1, h))
+
+
+def ar_band(points: Column, sigma: float) -> Column:
+    return F.transform(points, lambda v, i: _band(i + 1, v, sigma * F.sqrt((i + 1).cast("double"))))
 
 
 def classical_fc(df: DataFrame, h: int, freq: str, ar=None, y: str = "y", pattern: str = "pattern") -> DataFrame:
-    """Adds `method` and `fc` by pattern.  Only rows of a route reach its model: the
-    smoothing function gets null arrays for all others."""
+    """Adds `method` and `fc` by pattern.
+
+    Rates and sigmas become columns before the steps are built from them, so every fold
+    runs once per series, and only rows of a route reach its model: the smoothing
+    function gets null arrays for all others."""
     m = SEASON_LENGTH[freq]
     v, p = F.col(y), F.col(pattern)
-    sigma = difference_sigma(v)
-    ar_col = ar_fc(v, h, freq, ar) if ar else snaive_fc(v, h, m)
-    df = df.withColumn("_ets", ets_udf(h, m)(F.when(p == "smooth", v)))
+    flat = p.isin("intermittent", "lumpy")
+    ar_on = p == "seasonal"
+    df = df.withColumns({
+        "_ets": ets_udf(h, m)(F.when(p == "smooth", v)),
+        "_rate": F.when(p == "intermittent", croston_rate(v)).when(p == "lumpy", tsb_rate(v)),
+        "_sigma": F.when(flat, difference_sigma(v)).when(p != "smooth", season_sigma(v, m)),
+        "_ar": F.when(ar_on, ar_points(v, h, freq, ar)) if ar else F.lit(None).cast("array<double>")})
     fc = (F.when(p == "smooth", band_arrays(F.col("_ets.point"), F.col("_ets.sigma")))
-          .when(p == "seasonal", ar_col)
-          .when(p == "intermittent", flat_fc(croston_rate(v), sigma, h))
-          .when(p == "lumpy", flat_fc(tsb_rate(v), sigma, h))
-          .otherwise(snaive_fc(v, h, m)))
-    return df.withColumn("method", route_of(p)).withColumn("fc", fc).drop("_ets")
+          .when(F.col("_ar").isNotNull(), ar_band(F.col("_ar"), ar[2] if ar else 0.0))
+          .when(flat, flat_fc(F.col("_rate"), F.col("_sigma"), h))
+          .otherwise(snaive_fc(v, F.col("_sigma"), h, m)))
+    return df.withColumn("method", route_of(p)).withColumn("fc", fc).drop("_ets", "_rate", "_sigma", "_ar")
+
+
+def single_fc(df: DataFrame, method: str, h: int, freq: str, y: str = "y") -> DataFrame:
+    """Adds `method` and `fc` of one forecaster for every row."""
+    v, m = F.col(y), SEASON_LENGTH[freq]
+    if method == "seasonal_naive":
+        out = df.withColumn("_sigma", season_sigma(v, m))
+        fc = snaive_fc(v, F.col("_sigma"), h, m)
+    elif method in ("croston", "tsb"):
+        rate = croston_rate(v) if method == "croston" else tsb_rate(v)
+        out = df.withColumns({"_rate": rate, "_sigma": difference_sigma(v)})
+        fc = flat_fc(F.col("_rate"), F.col("_sigma"), h)
+    elif method == "ets":
+        out = df.withColumn("_e", ets_udf(h, m)(v))
+        fc = band_arrays(F.col("_e.point"), F.col("_e.sigma"))
+    else:
+        raise ValueError(f"unknown method: {method}")
+    return out.withColumn("method", F.lit(method)).withColumn("fc", fc).drop("_rate", "_sigma", "_e")
+
+
+def _forecast(df, method, h, freq):
+    return rows(single_fc(to_series(df), method, h, freq), "sku_id")
 
 
 def forecast_snaive(df, h, freq):
-    s = to_series(df)
-    return rows(s.withColumn("fc", snaive_fc(F.col("y"), h, SEASON_LENGTH[freq])), "sku_id")
+    return _forecast(df, "seasonal_naive", h, freq)
 
 
 def forecast_croston(df, h):
-    s = to_series(df)
-    return rows(s.withColumn("fc", flat_fc(croston_rate(F.col("y")), difference_sigma(F.col("y")), h)), "sku_id")
+    return _forecast(df, "croston", h, "W")
 
 
 def forecast_tsb(df, h):
-    s = to_series(df)
-    return rows(s.withColumn("fc", flat_fc(tsb_rate(F.col("y")), difference_sigma(F.col("y")), h)), "sku_id")
+    return _forecast(df, "tsb", h, "W")
 
 
 def forecast_ets(df, h, freq):
-    s = to_series(df).withColumn("_e", ets_udf(h, SEASON_LENGTH[freq])(F.col("y")))
-    return rows(s.withColumn("fc", band_arrays(F.col("_e.point"), F.col("_e.sigma"))), "sku_id")
+    return _forecast(df, "ets", h, freq)
 
 
 def forecast_seasonal_ar(df, h, freq):
-    model = fit_seasonal_ar(df, freq)
-    y = F.col("y")
-    fc = ar_fc(y, h, freq, model) if model else snaive_fc(y, h, SEASON_LENGTH[freq])
-    return rows(to_series(df).withColumn("fc", fc), "sku_id")
+    s = to_series(df).withColumn("pattern", F.lit("seasonal"))
+    return rows(classical_fc(s, h, freq, fit_seasonal_ar(df, freq)), "sku_id")
 
 
 # ---- cold start -----------------------------------------------------------------------------

@@ -86,7 +86,7 @@ def gbt_holdout(df: DataFrame, series: DataFrame, h: int, freq: str) -> DataFram
     f = f.withColumn("last_date", F.element_at("dates", F.col("cutoff")))
     z = gbt_fc(f, model, sigma, h, freq, y="train").withColumn(
         "_z", F.slice(F.arrays_zip("actual", "fc"), F.lit(1), F.size("actual")))
-    r = z.select("sku_id", F.explode("_z").alias("r")).select(
+    r = z.select("sku_id", F.explode_outer("_z").alias("r")).select(
         "sku_id", F.col("r.actual").alias("actual"), *[F.col(f"r.fc.{c}").alias(c) for c in ("point",) + QUANTILE_COLS])
     return r.groupBy("sku_id").agg(ev.crps_quantiles().alias("crps"))
 
@@ -258,8 +258,7 @@ def reconcile_panel(df: DataFrame, h: int, freq: str, method: str = "wls") -> Da
     tree = build_hierarchy(df.where(F.col("category").isNotNull()))
     nodes = tree.select(F.col("unique_id").alias("sku_id"), F.col("ds").alias("date"), F.col("y").alias("demand"))
     s = fo.route_model(fo.to_series(nodes), freq).where(F.col("n") >= fo.MIN_OBS)
-    sigma = fo.difference_sigma(F.col("y"))
-    fc = fo.classical_fc(s.withColumn("_var", sigma * sigma), h, freq)
+    fc = fo.classical_fc(s.withColumn("_var", F.pow(fo.difference_sigma(F.col("y")), F.lit(2.0))), h, freq)
     r = materialise(fo.rows(fc, "sku_id", "_var").select(F.col("sku_id").alias("uid"), "step", "point", F.col("_var").alias("var")))
     slash = F.instr("uid", "/")
     bottom = r.where(slash > 0).select(F.expr("substring(uid, instr(uid, '/') + 1)").alias("sku_id"),

@@ -279,7 +279,7 @@ def schedule(t: DataFrame, mode: str, freq: str) -> DataFrame:
     else:
         raise ValueError(f"unsupported policy mode: {mode}")
     rows = t.withColumn("_lead", lead)
-    rows = rows.select("sku_id", "start_date", F.inline(_schedule(F.col("point"), F.col("on_hand"), F.col("_lead"), want, reason)))
+    rows = rows.select("sku_id", "start_date", F.inline_outer(_schedule(F.col("point"), F.col("on_hand"), F.col("_lead"), want, reason)))
     at = lambda i: F.date_add("start_date", (i * int(days)).cast("int"))
     return rows.withColumns({"date": at(F.col("period_idx")), "expected_arrival": at(F.col("arrival_idx"))}).drop("start_date")
 

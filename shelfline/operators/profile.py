@@ -133,7 +133,7 @@ def suggest_mapping(scores: DataFrame) -> DataFrame:
                 F.round(F.coalesce(pick["score"], F.lit(0.0)), 3).alias("confidence"))).alias("out"))
 
     picked = lists.select("file_id", F.aggregate("fields", empty, step).alias("r"))
-    return picked.select("file_id", F.inline("r.out"))
+    return picked.select("file_id", F.inline_outer("r.out"))
 
 
 def apply_mapping(df: DataFrame, mapping: dict) -> DataFrame:

@@ -17,18 +17,22 @@ METRICS = ("cv_demand", "intermittency_rate", "seasonality_strength", "trend_slo
 FEATURES = ("n_obs", "zero_pct", "cv_demand", "cv_nonzero_demand", "acf_lag_7", "acf_lag_28",
             "acf_lag_365", "trend_slope_pct", "last_90d_vs_baseline_ratio")
 
-BY_DATE = W.partitionBy("sku_id").orderBy("date")
-FROM_END = W.partitionBy("sku_id").orderBy(F.desc("date"))
-WHOLE = W.partitionBy("sku_id")
+
+def by_date():
+    return W.partitionBy("sku_id").orderBy("date")
+
+
+def whole():
+    return W.partitionBy("sku_id")
 
 
 def indexed(df: DataFrame, lags=()) -> DataFrame:
     """Adds rn (0-based), n, back (1 = latest row) and the asked lags."""
-    rn = F.row_number().over(BY_DATE)
-    n = F.count(F.lit(1)).over(WHOLE)
+    rn = F.row_number().over(by_date())
+    n = F.count(F.lit(1)).over(whole())
     return (df.withColumn("rn", rn - 1).withColumn("n", n)
             .withColumn("back", F.col("n") - F.col("rn"))
-            .withColumns({f"lag_{k}": F.lag("demand", k).over(BY_DATE) for k in lags}))
+            .withColumns({f"lag_{k}": F.lag("demand", k).over(by_date()) for k in lags}))
 
 
 def acf_agg(k: int) -> Column:
@@ -134,14 +138,14 @@ def regime_break(df: DataFrame, last: int = 30, prior: int = 60) -> DataFrame:
 # ---- model features ---------------------------------------------------------
 
 def add_lags(df: DataFrame, freq: str) -> DataFrame:
-    return df.withColumns({f"lag_{k}": F.lag("demand", k).over(BY_DATE) for k in MODEL_LAGS[freq]})
+    return df.withColumns({f"lag_{k}": F.lag("demand", k).over(by_date()) for k in MODEL_LAGS[freq]})
 
 
 def add_rolling(df: DataFrame, freq: str) -> DataFrame:
     """Mean of the previous w rows, at least two of them."""
     cols = {}
     for w in ROLLING[freq]:
-        past = BY_DATE.rowsBetween(-w, -1)
+        past = by_date().rowsBetween(-w, -1)
         cols[f"rmean_{w}"] = F.when(F.count("demand").over(past) >= 2, F.avg("demand").over(past))
     return df.withColumns(cols)
 
@@ -182,7 +186,7 @@ def decompose(df: DataFrame, freq: str) -> DataFrame:
         return F.when(F.col("n") < w, F.greatest(F.lit(2), F.floor(F.col("n") / 2))).otherwise(w).cast("int")
 
     base = base.withColumns({"_w": width(F.greatest("period", F.lit(4))), "_v": width(F.col("period"))})
-    run = BY_DATE.rowsBetween(W.unboundedPreceding, 0)
+    run = by_date().rowsBetween(W.unboundedPreceding, 0)
     series = W.partitionBy("sku_id").orderBy("date").rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing)
     base = (base.withColumn("_cum", F.sum("demand").over(run))
@@ -205,7 +209,7 @@ def decompose(df: DataFrame, freq: str) -> DataFrame:
     base = base.withColumn("_mean", F.avg(det).over(by_phase))
     # mean of the phase means: every phase counted once, on its first cycle
     first = F.when(F.col("rn") < F.col("period"), F.col("_mean"))
-    base = base.withColumn("_centre", F.sum(first).over(WHOLE) / F.col("period"))
+    base = base.withColumn("_centre", F.sum(first).over(whole()) / F.col("period"))
     seasonal = F.when(F.col("n") < 2 * F.col("period"), 0.0).otherwise(F.col("_mean") - F.col("_centre"))
     return base.select("sku_id", "date", F.col("demand").alias("observed"), "trend",
                        seasonal.alias("seasonal"),

@@ -238,7 +238,7 @@ def _fold_clusters(small: DataFrame, tol: float) -> DataFrame:
 
     ids = F.aggregate("a", start, step)["out"]
     pairs = F.arrays_zip(F.col("a").alias("a"), ids.alias("cluster"))
-    back = lists.select("supplier", F.explode(pairs).alias("p")).select(
+    back = lists.select("supplier", F.explode_outer(pairs).alias("p")).select(
         "supplier", F.col("p.a.sku_id").alias("sku_id"), F.col("p.cluster").cast("long").alias("cluster"))
     return small.drop("_n").join(back, ["supplier", "sku_id"])
 

@@ -1,7 +1,7 @@
 """Loads every group of registered queries."""
 from importlib import import_module
 
-GROUPS = ("tables", "ingest", "series", "quality", "inventory", "suppliers", "skus", "forecast")
+GROUPS = ("tables", "ingest", "series", "quality", "inventory", "suppliers", "skus", "forecast", "policy", "orders")
 
 
 def register_all():

@@ -179,8 +179,8 @@ for name, fn in PY_METRIC.items():
         f"select sku_id, fold, round({METRIC_SQL[name]}, 5) as {name} from bt_cr group by 1, 2")
 cte("fmet", "select sku_id, method, fold, " + ", ".join(f"{v} as {k}" for k, v in METRIC_SQL.items()) + " from bt_all group by 1, 2, 3")
 cte("bsum", "select sku_id, method, count(*) as n_folds, " + ", ".join(f"avg({m}) as {m}" for m in ev.METRIC_NAMES) + " from fmet group by 1, 2")
-register("backtest_summary", lambda s, sf: rounded(ev.backtest_summary(three(s, sf)), 4),
-         f"select sku_id, method, n_folds, {rq(ev.METRIC_NAMES)} from bsum")
+register("backtest_summary", lambda s, sf: rounded(ev.backtest_summary(three(s, sf)), 3),
+         f"select sku_id, method, n_folds, {rq(ev.METRIC_NAMES, 3)} from bsum")
 
 
 def samples(s, sf):
@@ -273,8 +273,8 @@ def tree_forecasts(s, sf):
     """Croston forecasts of every level of the monthly panel with their variances."""
     tree = ol.build_hierarchy(pm(s, sf)).select(F.col("unique_id").alias("sku_id"), F.col("ds").alias("date"), F.col("y").alias("demand"))
     x = fo.to_series(tree)
-    sg = fo.difference_sigma(F.col("y"))
-    x = x.select("sku_id", fo.croston_rate(F.col("y")).alias("point"), (sg * sg).alias("var"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("step"))
+    x = x.select("sku_id", fo.croston_rate(F.col("y")).alias("point"),
+                 F.pow(fo.difference_sigma(F.col("y")), F.lit(2.0)).alias("var"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("step"))
     sl = F.instr("sku_id", "/")
     return (x.where(sl > 0).select(F.expr("substring(sku_id, instr(sku_id, '/') + 1)").alias("sku_id"),
                                    F.expr("substring(sku_id, 1, instr(sku_id, '/') - 1)").alias("category"), "step", "point", "var"),

@@ -92,9 +92,9 @@ CYC = """select sku_id, supplier, annual_demand, holding_per_unit, sqrt(2.0 * an
   from {p} group by 1) where annual_demand > 0 and supplier is not null"""
 cte("cyc", CYC.format(f="52.0", p="panel"))
 cte("cyc_pm", CYC.format(f="12.0", p="panel_pm"))
-register("replen_cycles", lambda s, sf: rounded(u.replen_cycles(bt(s, sf), 52.0), 3), """
-  select sku_id, supplier, round(annual_demand, 3) as annual_demand, round(holding_per_unit, 3) as holding_per_unit, round(eoq, 3) as eoq,
-    round(cycle_days, 3) as cycle_days from cyc""")
+register("replen_cycles", lambda s, sf: rounded(u.replen_cycles(bt(s, sf), 52.0).drop('holding_per_unit'), 2), """
+  select sku_id, supplier, round(annual_demand, 2) as annual_demand, round(eoq, 2) as eoq,
+    round(cycle_days, 2) as cycle_days from cyc""")
 cte("clus", """with recursive o as (select *, row_number() over (partition by supplier order by cycle_days, sku_id) as i from cyc_pm),
   g as (select supplier, sku_id, i, cycle_days, 0::bigint as cluster, cycle_days as s, 1.0::double as k from o where i = 1
     union all select o.supplier, o.sku_id, o.i, o.cycle_days, case when abs(o.cycle_days - g.s / g.k) / (g.s / g.k) <= 0.2 then g.cluster else g.cluster + 1 end,
