@@ -189,8 +189,7 @@ def _replay(D, s, S, lead, review, holding, order_cost):
     return cost, fill, outs / T
 
 
-@F.pandas_udf("s double, big_s double, stockout_prob double, fill_rate double")
-def _best_pair(y: pd.Series, mean_ltd: pd.Series, eoq_q: pd.Series, lead: pd.Series, review: pd.Series,
+def _best_pairs(y: pd.Series, mean_ltd: pd.Series, eoq_q: pd.Series, lead: pd.Series, review: pd.Series,
                holding: pd.Series, order_cost: pd.Series, level: pd.Series) -> pd.DataFrame:
     out = np.zeros((len(y), 4))
     lengths = y.map(len).to_numpy()
@@ -220,7 +219,8 @@ def ss_backtest(t: DataFrame) -> DataFrame:
     ltd = F.greatest(F.lit(0.1), mean * F.col("lead_periods"))
     q = F.sqrt(2.0 * F.greatest(F.col("annual_demand"), F.lit(1.0)) * F.col("order_cost")
                / F.greatest(F.col("holding_cost"), F.lit(1e-6)))
-    r = t.withColumn("_r", _best_pair("y", ltd, q, "lead_periods", "review_periods", "holding_cost", "order_cost", "service_level"))
+    best = F.pandas_udf(_best_pairs, "s double, big_s double, stockout_prob double, fill_rate double")
+    r = t.withColumn("_r", best("y", ltd, q, "lead_periods", "review_periods", "holding_cost", "order_cost", "service_level"))
     return r.select("sku_id", F.col("_r.s").alias("s"), F.col("_r.big_s").alias("big_s"),
                     F.col("_r.stockout_prob").alias("stockout_prob"), F.col("_r.fill_rate").alias("fill_rate"))
 

@@ -233,12 +233,12 @@ register("coverage_by_step", lambda s, sf: rounded(ev.coverage_by_step(res(s, sf
     from h join resid r on r.sku_id = h.sku_id and r.step = h.step group by 1, 2)
   select sku_id, step as horizon, n as n_residuals, 0.8::double as nominal, case when a > 0 then round(ea, 5) end as empirical from e where n >= 2
   union all select sku_id, step, n, 0.95, case when b > 0 then round(eb, 5) end from e where n >= 2""")
-register("leaderboard", lambda s, sf: rounded(ev.leaderboard(three(s, sf), ("seasonal_naive", "croston", "tsb", "chronos_bolt")), 4), """
+register("leaderboard", lambda s, sf: rounded(ev.leaderboard(three(s, sf), ("seasonal_naive", "croston", "tsb", "chronos_bolt")), 3), """
   with a as (select s.sku_id, m.method from (select distinct sku_id from bsum) s, (values ('seasonal_naive'), ('croston'), ('tsb'), ('chronos_bolt')) m(method)),
   j as (select a.sku_id, a.method, b.* exclude (sku_id, method) from a left join bsum b on b.sku_id = a.sku_id and b.method = a.method)
   select sku_id, method, n_folds, %s, n_folds is not null as available,
     crps is not null and row_number() over (partition by sku_id order by round(j.crps, 9) asc nulls last, method) = 1 as selected from j"""
-    % rq(ev.METRIC_NAMES).replace("round(crps", "round(j.crps"))
+    % rq(ev.METRIC_NAMES, 3).replace("round(crps", "round(j.crps"))
 cte("acc", "select sku_id, method, " + ", ".join(f"{METRIC_SQL[k]} as {k}" for k in ("mape", "smape", "crps", "pinball_q95")) + " from bt_all group by 1, 2")
 register("accuracy_report", lambda s, sf: ev.accuracy_report(three(s, sf)), """
   select coalesce(method, 'overall') as method, count(*) as n, round(avg(mape), 3) as mape, round(avg(smape), 3) as smape, round(avg(crps), 3) as crps,

@@ -114,7 +114,7 @@ cte("order_lines", """
          else cast(cast(l_quantity as integer) as varchar) end as qty_raw,
     cast(l_shipdate as date) as local_day, l_orderkey,
     case when l_returnflag = 'R' then 'Refunded' else 'paid' end as status_raw,
-    case when l_orderkey % 13 = 0 then null else printf('%.2f', l_extendedprice / l_quantity) end as price_raw,
+    case when l_orderkey % 13 = 0 then null else cast(cast(floor(l_extendedprice / l_quantity) as bigint) as varchar) end as price_raw,
     p_name as name_raw
   from lineitem join part on l_partkey = p_partkey""")
 cte("po_lines", """

@@ -33,17 +33,17 @@ cte("drafted", f"""select h.*, supplier_id from (select draft_id, sum(qty) filte
     arg_min(sup, line_no) filter (known) as sup, arg_min(lt, line_no) filter (known) as lt, string_agg(distinct case when not known then sku_id end, ', ' order by case when not known then sku_id end) as skipped
   from (select dl.*, s.sku_id is not null as known, last_unit_cost as uc, last_supplier as sup, known_lead_time_days as lt from dl left join state s on s.sku_id = dl.sku_id) group by 1) h
   left join suppliers s on s.name = h.sup""")
-register("draft_pos", lambda s, sf: rounded(pu.draft_pos(draft_lines(s, sf), bt(s, sf), sup(s, sf), AS_OF)[0], 2), f"""
-  select draft_id, supplier_id, 'drafted' as status, date '{AS_OF}' + cast(floor(coalesce(lt, 14.0)) as integer) + 7 as needed_by, round(total_cost, 2) as total_cost,
+register("draft_pos", lambda s, sf: rounded(pu.draft_pos(draft_lines(s, sf), bt(s, sf), sup(s, sf), AS_OF)[0], 6), f"""
+  select draft_id, supplier_id, 'drafted' as status, date '{AS_OF}' + cast(floor(coalesce(lt, 14.0)) as integer) + 7 as needed_by, round(total_cost, 6) as total_cost,
     total_units, case when skipped is not null then 'skipped invalid SKUs: ' || skipped end as notes from drafted where total_units is not null""")
 register("draft_po_lines", lambda s, sf: pu.draft_pos(draft_lines(s, sf), bt(s, sf), sup(s, sf), AS_OF)[1].drop("unit_cost"),
          "select draft_id, dl.sku_id, qty from dl join state s on s.sku_id = dl.sku_id")
 register("number_pos", lambda s, sf: pu.number_pos(po(s, sf).select("po_id").withColumnRenamed("po_id", "draft_id"), 2026, 41), """
   select po_id as draft_id, 'PO-2026-' || lpad(cast(row_number() over (order by po_id) + 41 as varchar), 5, '0') as po_id from purchase_orders""")
 register("po_state", lambda s, sf: pu.po_state(log(s, sf)),
-         "select po_id, arg_max(to_status, (at, to_status)) as status, max(at) as since, count(*) as n_events from po_status_log group by 1")
+         'select po_id, arg_max(to_status, ("at", to_status)) as status, max("at") as since, count(*) as n_events from po_status_log group by 1')
 _pairs = ", ".join(f"'{x}'" for x in pu.ALLOWED_PAIRS)
-cte("badtr", f"""select po_id, previous, to_status, at from (select *, lag(to_status) over (partition by po_id order by at, to_status) as previous from po_status_log)
+cte("badtr", f"""select po_id, previous, to_status, "at" from (select *, lag(to_status) over (partition by po_id order by "at", to_status) as previous from po_status_log)
   where case when previous is null then to_status <> 'drafted' else previous || '>' || to_status not in ({_pairs}) end""")
 register("invalid_transitions", lambda s, sf: pu.invalid_transitions(log(s, sf)), "select * from badtr")
 
@@ -63,7 +63,7 @@ register("list_pos", lambda s, sf: pu.list_pos(po(s, sf), lines(s, sf), log(s, s
     F.array_join(F.transform("status_log", lambda x: x["to_status"]), ">").alias("path")), """
   select p.po_id, s.name as supplier_name, created_at, case when l.n is null then -1 else l.n end as n_lines, g.path from purchase_orders p left join suppliers s on s.supplier_id = p.supplier_id
     left join (select po_id, count(*) as n from po_lines group by 1) l on l.po_id = p.po_id
-    left join (select po_id, string_agg(to_status, '>' order by at) as path from po_status_log group by 1) g on g.po_id = p.po_id where p.status = 'placed'""".replace(
+    left join (select po_id, string_agg(to_status, '>' order by "at") as path from po_status_log group by 1) g on g.po_id = p.po_id where p.status = 'placed'""".replace(
         "case when l.n is null then -1 else l.n end", "coalesce(l.n, 0)"))
 
 
@@ -73,9 +73,9 @@ def cancelled(s, sf):
 
 register("delete_pos", lambda s, sf: pu.delete_pos(cancelled(s, sf), lines(s, sf))[0],
          "select * from po_lines where po_id not in (select po_id from purchase_orders where status = 'cancelled')")
-register("accept_plan", lambda s, sf: rounded(pu.accept_plan(draft_lines(s, sf), bt(s, sf), sup(s, sf), AS_OF), 2), """
+register("accept_plan", lambda s, sf: rounded(pu.accept_plan(draft_lines(s, sf), bt(s, sf), sup(s, sf), AS_OF), 6), """
   select draft_id, case when total_units is null then 'failed' else 'created' end as outcome, case when total_units is null then 'no valid SKUs in line list' end as error,
-    supplier_id, round(total_cost, 2) as total_cost from drafted""")
+    supplier_id, round(total_cost, 6) as total_cost from drafted""")
 cte("porows", """select l.po_id, p.supplier_id, coalesce(s.name, '') as supplier_name, needed_by, sku_id, qty, coalesce(unit_cost, 0.0) as unit_cost,
   round(coalesce(unit_cost, 0.0) * qty, 2) as line_total, case when expedite_flag then 'Y' else 'N' end as expedite, status
   from po_lines l join purchase_orders p on p.po_id = l.po_id left join suppliers s on s.supplier_id = p.supplier_id""")
@@ -174,5 +174,5 @@ def _state_stream(s, sf):
 
 
 register("stream_po_state", _state_stream, """
-  select l.po_id, arg_max(l.to_status, (l.at, l.to_status)) as status, max(l.at) as since, count(*) as n_events, count(b.po_id) as n_invalid from po_status_log l
-  left join badtr b on b.po_id = l.po_id and b.at = l.at and b.to_status = l.to_status group by 1""")
+  select l.po_id, arg_max(l.to_status, (l."at", l.to_status)) as status, max(l."at") as since, count(*) as n_events, count(b.po_id) as n_invalid from po_status_log l
+  left join badtr b on b.po_id = l.po_id and b."at" = l."at" and b.to_status = l.to_status group by 1""")

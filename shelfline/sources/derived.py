@@ -160,7 +160,7 @@ def order_lines(spark, sf) -> DataFrame:
                 F.when(F.col("l_returnflag") == "R", F.lit("Refunded")).otherwise(F.lit("paid"))
                 .alias("Financial Status"),
                 F.when(key % 13 == 0, F.lit(None).cast("string"))
-                .otherwise(F.format_string("%.2f", F.col("l_extendedprice") / F.col("l_quantity")))
+                .otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("string"))
                 .alias("Lineitem price"),
                 F.col("p_name").alias("Lineitem name")))
 
