@@ -25,7 +25,7 @@ def calendar_lifts(sales: DataFrame) -> DataFrame:
     g = (days.select("s", "n", keys.alias("k")).where(F.col("k.key").isNotNull())
          .groupBy("k.kind", "k.key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     return (g.where((F.col("kind") != "event") | (F.col("n") >= 30))
-            .select("kind", "key", F.round(F.col("s") / F.col("n") / grand, 4).alias("lift"), "n"))
+            .select("kind", "key", F.when(grand > 0, F.round(F.col("s") / F.col("n") / grand, 4)).otherwise(1.0).alias("lift"), "n"))
 
 
 def _poisson(c: Column, u: Column) -> Column:

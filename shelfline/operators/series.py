@@ -36,13 +36,17 @@ def indexed(df: DataFrame, lags=()) -> DataFrame:
 
 
 def acf_agg(k: int) -> Column:
-    """Lag-k correlation of the two overlapping parts, each about its own mean."""
+    """Lag-k correlation of the two overlapping parts, each about its own mean.
+
+    Built from covariance and variances: the built-in corr divides before a guard can
+    act and fails on a constant series."""
     x, y = F.col(f"lag_{k}"), F.col("demand")
     pairs = F.count(x)
-    both = lambda c: F.var_pop(F.when(x.isNotNull(), c)) * pairs
-    flat = F.sqrt(both(x) * both(y)) < 1e-9
-    return (F.when((F.count(F.lit(1)) <= k + 1) | F.coalesce(flat, F.lit(True)), 0.0)
-            .otherwise(F.corr(x, y)))
+    var = lambda c: F.var_pop(F.when(x.isNotNull(), c))
+    spread = F.sqrt(var(x) * var(y))
+    flat = F.coalesce(spread * pairs < 1e-9, F.lit(True))
+    return (F.when((F.count(F.lit(1)) <= k + 1) | flat, 0.0)
+            .otherwise(F.try_divide(F.covar_pop(x, y), spread)))
 
 
 def acf(df: DataFrame, lag: int) -> DataFrame:
@@ -82,7 +86,7 @@ def characterize(df: DataFrame, freq: str) -> DataFrame:
 def _slope_pct() -> Column:
     mean = F.avg("demand")
     return (F.when((F.count(F.lit(1)) < 30) | (mean <= 0), 0.0)
-            .otherwise(F.regr_slope(F.col("demand"), F.col("rn").cast("double")) / mean * 100))
+            .otherwise(F.try_divide(F.covar_pop(F.col("rn").cast("double"), F.col("demand")), F.var_pop("rn")) / mean * 100))
 
 
 def _ratio(last: int, base: int, default: Column) -> Column:
