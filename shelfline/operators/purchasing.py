@@ -101,8 +101,12 @@ def export_rows(po: DataFrame, lines: DataFrame, sup: DataFrame) -> DataFrame:
                     F.when(F.col("expedite_flag"), "Y").otherwise("N").alias("expedite"), "status"))
 
 
-def export_edi850(po: DataFrame, lines: DataFrame, sup: DataFrame, as_of: str, sender: str = "INVOPT",
-                  receiver: str = "VENDOR") -> DataFrame:
+# fixed values: interchange ids of the document format
+SENDER, RECEIVER = "INVOPT", "VENDOR"
+
+
+def export_edi850(po: DataFrame, lines: DataFrame, sup: DataFrame, as_of: str, sender: str = SENDER,
+                  receiver: str = RECEIVER) -> DataFrame:
     """X12 850 text of every order: (po_id, body)."""
     ts = F.lit(as_of).cast("timestamp")
     day6, day8, hm = (F.date_format(ts, p) for p in ("yyMMdd", "yyyyMMdd", "HHmm"))
