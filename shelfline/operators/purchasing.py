@@ -101,8 +101,8 @@ def export_rows(po: DataFrame, lines: DataFrame, sup: DataFrame) -> DataFrame:
                     F.when(F.col("expedite_flag"), "Y").otherwise("N").alias("expedite"), "status"))
 
 
-# fixed values: interchange ids of the document format
-SENDER, RECEIVER = "INVOPT", "VENDOR"
+# default interchange ids
+SENDER, RECEIVER = "BUYER", "VENDOR"
 
 
 def export_edi850(po: DataFrame, lines: DataFrame, sup: DataFrame, as_of: str, sender: str = SENDER,

@@ -98,10 +98,10 @@ register("expedite_flags", lambda s, sf: v.reorder_candidates(bt(s, sf), sup(s,
     "sku_id", "expedite_flag", r("expedite_breakeven").alias("expedite_breakeven")),
     "select sku_id, expedite_flag, round(unit_cost * 0.5, 6) as expedite_breakeven from cand")
 QCOLS = ("on_hand", "reorder_point", "recommended_qty", "unit_cost", "total_cost", "days_of_cover", "stockout_prob", "revenue_at_risk", "score")
-register("reorder_queue", lambda s, sf: rounded(queue(s, sf).drop("recommended_qty_raw", "expedite_breakeven", "joint_replen_group"), 3), """
+register("reorder_queue", lambda s, sf: rounded(rounded(queue(s, sf).drop("recommended_qty_raw", "expedite_breakeven", "joint_replen_group"), 3, skip=("days_of_cover",)), 6), """
   select sku_id, last_category as category, last_supplier as supplier_name, supplier_id, round(known_on_hand, 3) as on_hand, round(reorder_point, 3) as reorder_point,
     round(recommended_qty, 3) as recommended_qty, round(unit_cost, 3) as unit_cost, round(total_cost, 3) as total_cost, projected_stockout_date,
-    round(days_of_cover, 3) as days_of_cover, round(stockout_prob, 3) as stockout_prob, round(revenue_at_risk, 3) as revenue_at_risk,
+    round(days_of_cover, 6) as days_of_cover, round(stockout_prob, 3) as stockout_prob, round(revenue_at_risk, 3) as revenue_at_risk,
     round(score, 3) as score, expedite_flag, moq, case_pack, abc_class, xyz_class from queue""")
 cte("plan_b", """select *, row_number() over (order by round(score / greatest(1.0, total_cost), 9) desc, round(score, 4) desc, sku_id) as pos from (
   select * from queue order by round(score, 4) desc, sku_id limit 100)""")

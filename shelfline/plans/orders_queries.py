@@ -81,7 +81,7 @@ cte("porows", """select l.po_id, p.supplier_id, coalesce(s.name, '') as supplier
   from po_lines l join purchase_orders p on p.po_id = l.po_id left join suppliers s on s.supplier_id = p.supplier_id""")
 register("export_po_lines", lambda s, sf: rounded(pu.export_rows(po(s, sf), lines(s, sf), sup(s, sf)), 2), "select * from porows")
 cte("edi", """select p.po_id, array_to_string(list_concat(list_filter([
-    'ISA*00*          *00*          *ZZ*INVOPT         *ZZ*VENDOR         *011231*0000*U*00401*' || c || '*0*P*>', 'GS*PO*INVOPT*VENDOR*20011231*0000*1*X*004010', 'ST*850*0001',
+    'ISA*00*          *00*          *ZZ*BUYER          *ZZ*VENDOR         *011231*0000*U*00401*' || c || '*0*P*>', 'GS*PO*BUYER*VENDOR*20011231*0000*1*X*004010', 'ST*850*0001',
     'BEG*00*SA*' || p.po_id || '**20011231', 'REF*EM*' || contact_email, 'DTM*002*' || strftime(needed_by, '%Y%m%d'), 'N1*VN*' || s.name, 'N4***' || country], lambda x: x is not null),
     coalesce(items, []), ['CTT*' || coalesce(len(items), 0), 'SE*' || (8 + coalesce(len(items), 0) + 2) || '*0001', 'GE*1*1', 'IEA*1*' || c]), '~' || chr(10)) || '~' || chr(10) as body
   from (select *, right(replace(po_id, '-', ''), 9) as c from purchase_orders) p left join suppliers s on s.supplier_id = p.supplier_id
