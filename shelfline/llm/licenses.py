@@ -140,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = weights.columns[1:]
     lines = paragraphs(docs, id_col, text_col).select("id", "copy", "paragraph", grams(F.col("words")).alias("grams"))
     lines = lines.select("id", "copy", "paragraph", F.size("grams").alias("size"), "grams")
-    hit = lines.select("id", "copy", "paragraph", "size", F.explode("grams").alias("gram"))
+    hit = lines.select("id", "copy", "paragraph", "size", F.explode_outer("grams").alias("gram"))  # the outer form: the other filters on the n-grams first, and computes them twice
     # the weights are one row per template n-gram, whatever the corpus; repeated rows count their n-grams once
     hit = hit.join(F.broadcast(weights.select("gram")), "gram", "left_semi").distinct()
     got = stored(hit.join(F.broadcast(weights), "gram").groupBy("id", "copy", "paragraph", "size").agg(*(F.sum(c).alias(c) for c in names)), "sums")
