@@ -73,13 +73,13 @@ class Model:
         return self.cut.findall(" " + text) if text else []
 
     def symbols(self, unit: str) -> list[int]:
-        """Ids of single characters; a character without one is a negative code point."""
-        return [self.single.get(c, -ord(c)) for c in unit]
+        """Ids of single characters; a character without one is -1 minus its code point."""
+        return [self.single.get(c, -1 - ord(c)) for c in unit]
 
     def spell(self, ids: list[int]) -> list[int]:
         if min(ids) >= 0:
             return ids
-        return [x for k in ids for x in ([k] if k >= 0 else [self.byte[b] for b in chr(-k).encode()])]
+        return [x for k in ids for x in ([k] if k >= 0 else [self.byte[b] for b in chr(-1 - k).encode()])]
 
 
 def unit_key(unit: str, seed: int, variant: int) -> int:
