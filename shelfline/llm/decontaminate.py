@@ -8,7 +8,7 @@ that TARGET of those at the allowed distance are met.  Candidates are verified b
 
 Windows have the size of the items: an item of n words belongs to the largest size of a geometric list not above n, and
 is indexed by all its windows of that size; documents are read at every word.  Before the walk, windows are dropped that
-hold too few of the benchmark's words, or of its uncommon words, to be within the allowed distance of any item.
+hold too few of the benchmark's word pairs to be within the allowed distance of any item: an edit breaks two at most.
 
 A document is contaminated by an item when some stretch of it is within ERRORS * (words of the item) word edits.
 
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 ERRORS, TARGET, LEAST = 0.2, 0.995, 5
 SAMPLES, MOST_REPEATS = 4, 64
-COMMON = 0.02        # a word in more than this share of the items is common
-PART, CHUNK = 4_000_000, 400_000
+PAIR_BITS = 22
+PART, CHUNK = 4_000_000, 4_000_000
 SEED = 20240613
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,13 @@ def infix_distance(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+class Index(dict):
+    """0 for a word that is not there."""
+
+    def __missing__(self, key):
+        return 0
+
+
 class Finder:
     """Index of a part of the benchmark: 0 stands for any other word, 1 for nothing."""
 
@@ -100,14 +107,14 @@ class Finder:
         split = [(i, words(t)) for i, t in items]
         split = [(i, w) for i, w in split if len(w) >= LEAST]
         self.ids = [i for i, _ in split]
-        self.word = {w: k + 2 for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
+        self.word = Index((w, k + 2) for k, w in enumerate(sorted({w for _, ws in split for w in ws})))
         self.items = [[self.word[w] for w in ws] for _, ws in split]
         total = len(self.word) + 2
-        spread = np.zeros(total, np.int64)
+        # word pairs of the items, by hash: a superset, as it only rules windows out
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
         for item in self.items:
-            spread[np.unique(item)] += 1
-        self.rare = spread > 0
-        self.rare &= spread <= max(1, COMMON * len(self.items))
+            x = np.array(item)
+            self.pairs[self._pair(x)] = True
         self.classes = {}
         for size in sorted({size_class(len(x)) for x in self.items}):
             self.classes[size] = self._class(size, [k for k, x in enumerate(self.items) if size_class(len(x)) == size], total)
@@ -126,11 +133,13 @@ class Finder:
             key = walk.keys(flat, start)
             order = np.argsort(key, kind="stable")
             tables.append((walk, key[order], item[order], offset[order]))
-        # a window within reach of an item holds at least so many of the benchmark's (uncommon) words
-        errors = max(allowed(len(self.items[k])) for k in own)
-        known = size - errors
-        rare = min(min(int(self.rare[np.array(self.items[k])[o : o + size]].sum()) for o in range(len(self.items[k]) - size + 1)) - allowed(len(self.items[k])) for k in own)
-        return tables, known, max(0, rare)
+        # a window within reach of an item holds at least so many of the benchmark's word pairs
+        return tables, size - 1 - 2 * max(allowed(len(self.items[k])) for k in own)
+
+    @staticmethod
+    def _pair(x: np.ndarray) -> np.ndarray:
+        h = (x[:-1].astype(np.uint64) << np.uint64(32) | x[1:].astype(np.uint64)) * _MULTIPLY
+        return h >> np.uint64(64 - PAIR_BITS)
 
     def _repeats(self, size: int, own: list[int], total: int) -> int:
         """Repetitions that meet TARGET of copies with the allowed number of random edits; from 200 items at most."""
@@ -155,24 +164,24 @@ class Finder:
                 return r + 1
         return MOST_REPEATS
 
-    def search(self, texts: list[list[str]]):
+    def ids_of(self, text: str | None) -> np.ndarray:
+        ws = words(text)
+        return np.fromiter(map(self.word.__getitem__, ws), np.int32, len(ws))
+
+    def search(self, texts: list[np.ndarray]):
         """(text, item, first word, last word + 1, distance) of every contaminated stretch, best per text and item."""
-        get = self.word.get
-        flat, first, size_of = [], [], []
-        for ws in texts:
-            first.append(len(flat)), size_of.append(len(ws))
-            flat += [get(w, 0) for w in ws]
-            flat += [1] * self.pad
-        tok = np.array(flat, np.int64)
-        first, size_of = np.array(first), np.array(size_of)
+        gap = np.ones(self.pad, np.int32)
+        tok = np.concatenate([part for ids in texts for part in (ids, gap)])
+        size_of = np.array([len(ids) for ids in texts])
+        first = np.cumsum(size_of + self.pad) - size_of - self.pad
         of = np.repeat(np.arange(len(texts)), size_of + self.pad)
-        known = np.concatenate([[0], np.cumsum(tok > 1)])
-        rare = np.concatenate([[0], np.cumsum(self.rare[tok])])
+        known = self.pairs[self._pair(tok)] & (tok[:-1] > 1) & (tok[1:] > 1)
+        pairs = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
         found = {}
-        for size, (tables, least, least_rare) in self.classes.items():
-            begin = np.arange(len(tok))
-            end = np.minimum(begin + size, len(tok))
-            begin = begin[(known[end] - known[begin] >= least) & (rare[end] - rare[begin] >= least_rare)]
+        for size, (tables, least) in self.classes.items():
+            # pairs[k] counts those that start before k; a window of that size starts size - 1 of them
+            span = min(size - 1, len(pairs) - 1)
+            begin = np.flatnonzero(np.concatenate([pairs[span:], np.full(span, pairs[-1])])[: len(tok)] - pairs[: len(tok)] >= least)
             begin = begin[tok[begin] != 1]
             if not len(begin):
                 continue
@@ -233,7 +242,7 @@ def find(docs: DataFrame, items: list, keep: list, text_col: str = "text") -> Da
             got: list[list] = [[] for _ in range(batch.num_rows)]
             texts, rows, size = [], [], 0
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
-                texts.append(words(text.as_py())), rows.append(k)
+                texts.append(finder.ids_of(text.as_py())), rows.append(k)
                 size += len(texts[-1])
                 if size >= CHUNK or k + 1 == batch.num_rows:
                     for t, i, a, b, d in finder.search(texts):

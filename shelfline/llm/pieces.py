@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEED, RATE, VARIANTS = 17, 0.1, 8
-LONG, CACHE = 64, 400_000
+SEED, RATE, VARIANTS = 17, 0.1, 2
+LONG, CACHE = 64, 800_000
 SPACE = "▁"
 _NONE = np.int64(1) << 62
 
@@ -69,6 +69,11 @@ class Model:
         self.cut = re.compile(f"[{re.escape(''.join(apart))}]| *[^ {re.escape(''.join(apart))}]+| +")
         self.single = {c: self.id_of[c] for c in single if c != SPACE} | {" ": self.id_of[SPACE]}
 
+        # id of every character, or -1 minus its code point
+        self.char_ids = -1 - np.arange(0x110000, dtype=np.int32)
+        for c, k in self.single.items():
+            self.char_ids[ord(c)] = k
+
     def units(self, text: str) -> list[str]:
         return self.cut.findall(" " + text) if text else []
 
@@ -126,19 +131,16 @@ def agenda(model: Model, unit: str, key: int, rate: float) -> list[int]:
     return model.spell([s for s, live in zip(sym, alive) if live])
 
 
-def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -> list[list[int]]:
-    """All units at once: each round makes the best candidate of every unit that has one."""
-    out: list[list[int] | None] = [None] * len(units)
-    short = []
-    for k, u in enumerate(units):
-        if len(u) > LONG:
-            out[k] = agenda(model, u, keys[k], rate)
-        else:
-            short.append(k)
-    if not short:
-        return out
-    size = np.array([len(units[k]) for k in short])
-    sym = np.array([s for k in short for s in model.symbols(units[k])], np.int64)
+def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -> list[bytes]:
+    """Little-endian 32-bit ids of all units at once: each round makes the best candidate of every unit that has one."""
+    out: list[bytes] = [b""] * len(units)
+    short = [k for k, u in enumerate(units) if len(u) <= LONG]
+    if len(short) < len(units):
+        for k, u in enumerate(units):
+            if len(u) > LONG:
+                out[k] = np.array(agenda(model, u, keys[k], rate), "<i4").tobytes()
+    size = np.array([len(units[k]) for k in short], np.int64)
+    sym = model.char_ids[np.frombuffer("".join(units[k] for k in short).encode("utf-32-le"), "<u4")].astype(np.int64)
     unit = np.repeat(np.arange(len(short)), size)
     place = np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)
     key = np.array([keys[k] for k in short], np.uint64)
@@ -147,8 +149,9 @@ def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -
         """Order (rank, place) and merged piece of the pairs that start at i."""
         rank, made = np.full(len(i), _NONE), np.zeros(len(i), np.int64)
         j = np.minimum(i + 1, len(sym) - 1)
-        ok = np.flatnonzero((i + 1 < len(sym)) & (unit[j] == unit[i]) & (sym[i] >= 0) & (sym[j] >= 0))
-        want = sym[i[ok]] << 32 | sym[j[ok]]
+        a, b = sym[i], sym[j]
+        ok = np.flatnonzero((i < j) & (unit[j] == unit[i]) & (a >= 0) & (b >= 0))
+        want = a[ok] << 32 | b[ok]
         at = np.minimum(np.searchsorted(model.keys, want), len(model.keys) - 1)
         hit = model.keys[at] == want
         ok, at = ok[hit], at[hit]
@@ -159,17 +162,16 @@ def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -
         return rank, made
 
     best, made = candidates(np.arange(len(sym)))
+    done = []
     while len(sym):
         first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         top = np.minimum.reduceat(best, first)
-        over = top == _NONE
         counts = np.diff(np.concatenate([first, [len(sym)]]))
+        over = top == _NONE
         if over.any():
-            ends = np.cumsum(counts)
-            flat = sym.tolist()
-            for g in np.flatnonzero(over):
-                out[short[unit[first[g]]]] = model.spell(flat[first[g] : ends[g]])
-            stay = np.repeat(~over, counts)
+            ended = np.repeat(over, counts)
+            done.append((unit[ended], sym[ended]))
+            stay = ~ended
             sym, unit, place, best, made = sym[stay], unit[stay], place[stay], best[stay], made[stay]
             top, counts = top[~over], counts[~over]
             if not len(sym):
@@ -180,8 +182,20 @@ def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -
         stay[i + 1] = False
         moved = i - np.arange(len(i))  # where the merged symbols stand afterwards
         sym, unit, place, best, made = sym[stay], unit[stay], place[stay], best[stay], made[stay]
-        again = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+        again = np.concatenate([moved, np.maximum(moved - 1, 0)])
         best[again], made[again] = candidates(again)
+    if done:
+        unit, sym = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(unit, kind="stable")
+        unit, sym = unit[order], sym[order]
+        ends = np.cumsum(np.bincount(unit, minlength=len(short)))
+        odd = set(unit[sym < 0].tolist())
+        flat, at = sym.astype("<i4").tobytes(), 0
+        for g, end in enumerate((4 * ends).tolist()):
+            out[short[g]] = flat[at:end]
+            at = end
+        for g in odd:
+            out[short[g]] = np.array(model.spell(sym[0 if not g else ends[g - 1] : ends[g]].tolist()), "<i4").tobytes()
     return out
 
 
@@ -208,8 +222,7 @@ def encode_all(texts: list[str], variant: int, path: str, seed: int = SEED, rate
     new = list(new)
     for a in range(0, len(new), 20_000):
         part = new[a : a + 20_000]
-        for u, ids in zip(part, encode_units(model, part, [unit_key(u, seed, variant) for u in part], rate)):
-            known[u] = np.array(ids, "<i4").tobytes()
+        known.update(zip(part, encode_units(model, part, [unit_key(u, seed, variant) for u in part], rate)))
     return [np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4") for units in parts]
 
 
@@ -224,9 +237,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             variants, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             got: list[np.ndarray | None] = [None] * len(texts)
-            for a in range(0, len(texts), 256):
+            for a in range(0, len(texts), 1024):
                 for v in range(VARIANTS):
-                    rows = [k for k in range(a, min(a + 256, len(texts))) if variants[k] == v and texts[k] is not None]
+                    rows = [k for k in range(a, min(a + 1024, len(texts))) if variants[k] == v and texts[k] is not None]
                     for k, ids in zip(rows, encode_all([texts[k] for k in rows], v, path, seed, rate)):
                         got[k] = ids
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], [id_col, "text_crc32", "pieces"])
