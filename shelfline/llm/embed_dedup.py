@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, grouped, stored
 
-COUNTED, HALF, MISS = 32, 0.9, 1e-4
-TARGET, LOST, BLOCK = 64, 1e-4, 512
+COUNTED, HALF, MISS = 32, 0.9, 1e-6
+TARGET, LOST, BLOCK = 64, 1e-6, 512
 
 
 def _normal(x: float) -> float:

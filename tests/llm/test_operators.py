@@ -1,0 +1,315 @@
+"""Each operator against brute force or a round trip, and on awkward rows: nulls, blanks, repeats, long texts, odd columns."""
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from shelfline.llm import common, decontaminate, embed_dedup, langid, licenses, minhash, pieces, pii, ppm, token_files, urls
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long"
+LONG_TEXT = "alpha beta " * 20000 + "x" * 3000
+ROWS = [(1, None), (2, ""), (3, "  \t "), (4, LONG_TEXT), (5, LONG_TEXT + " tail"), (None, "no id here at all"), (None, "no id here at all"),
+        (7, "one"), (8, "one"), (9, "mail a.b@c.de or +1 (555) 123-4567, 10.0.0.1"), (9, "mail a.b@c.de or +1 (555) 123-4567, 10.0.0.1"), (11, "▁ odd\x00 日本語😀"),
+        (12, "Released under the MIT License.\n\nplain line of words")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return common.table(spark, SF, "documents").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en", "s", None, 0.5, 7) for i, t in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def components_of(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 200)]
+    got = {r.id: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = components_of(links, {x for p in links for x in p})
+    assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= {7}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    k = min(k, len(w))
+    return frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if k else frozenset()
+
+
+def test_minhash(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    base = " ".join(f"w{k}" for k in range(400))
+    rows += [(1000 + k, base.replace(f"w{7 * k} ", "")) for k in range(1, 50)]  # a chain of near copies around one text
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 2) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(links, ids)
+    for r in minhash.op10_minhash_dedup(frame).collect():
+        assert (r.component_id, r.kept, r.n_shingles) == (want[r.doc_id], want[r.doc_id] == r.doc_id, len(sets[r.doc_id]))
+
+
+def test_minhash_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    words = [f"v{k}" for k in range(300)]
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(w for w in words if rng.random() > 0.07)) for k in range(60)]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    want = components_of([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    got = {r.doc_id: r.component_id for r in minhash.op10_minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_b_bit_estimate():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    b = np.concatenate([a[:880], rng.integers(0, 2**63, 120, dtype=np.uint64)])
+    sig = np.stack([minhash.pack(minhash.minima(np.unique(x))) for x in (a, b)])
+    assert minhash.match_matrix(sig)[0, 1] >= minhash.least_matches(0.78)
+
+
+def test_minhash_odd_rows(odd, none):
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == len(ROWS) and all(r.component_id is None and r.kept for r in got if r.id is None)
+    kept = minhash.keep_one(odd).collect()
+    ids = [r.doc_id for r in kept]
+    assert ids.count(9) == 1 and 8 not in ids and {1, 2, 3, 4, 5, 7} <= set(ids) and kept[0].asDict().keys() == odd.first().asDict().keys()
+    assert minhash.keep_one(none).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 24))
+    x[100:220] = x[0] + 0.18 * rng.standard_normal((120, 24))
+    x[300:310] = x[5]
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)] + [(600, None), (601, [0.0] * 24), (602, [float("nan")] + [1.0] * 23), (603, [None] + [1.0] * 23), (604, [1.0]), (605, []), (None, x[5].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    u = np.array([r[1] for r in rows[:600]], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = components_of(list(zip(*map(np.ndarray.tolist, np.nonzero(near)))), range(600))
+    got = embed_dedup.op2_embedding_dedup(frame).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.vec_id is None:
+            assert r.component_id is None and r.kept and r.n_links == 0
+        elif r.vec_id < 600:
+            assert r.component_id == want[r.vec_id] and 0.99 * near[r.vec_id].sum() <= r.n_links <= near[r.vec_id].sum()
+        else:
+            assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
+    assert embed_dedup.op2_embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_urls(spark):
+    cases = ["http://A.Example.NET/en/x?q", "https://x.com/de/1", "https://www.example.com/de/1#t", "http://org/fr/", "http://net", "http://net/", "no scheme", None, "ftp://spam.example.org/a/b.exe", "http://foo.com/x.net/y", "http://" + "a" * 90 + ".net/" + "z" * 5000]
+    got = {r.page_id: r for r in urls.op8_url_filter(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")).collect()}
+    for k, url in enumerate(cases):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host, best = host.lower(), None
+        for rule in urls.NAMED:
+            h, _, p = rule.name.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule.name) > len(best.name)):
+                best = rule
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, best and best.name)
+        assert best is None or got[k].verdict == best.verdict
+    assert got[8].verdict == "block" and got[6].verdict == "allow"
+
+
+def test_automaton_against_regex():
+    rng = np.random.default_rng(3)
+    globs = ["".join(rng.choice(list("ab*?"), rng.integers(1, 30))) for _ in range(60)]
+    texts = ["".join(rng.choice(list("ab"), rng.integers(0, 40))) for _ in range(200)]
+    want = np.array([[bool(re.fullmatch(g.replace("*", ".*").replace("?", "."), t)) for g in globs] for t in texts])
+    assert (urls.Automaton(globs).match([t.encode() for t in texts]) == want).all()
+
+
+def test_language(docs, odd, none):
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    got = langid.op9_language_id(docs).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.9
+    und = [r for r in langid.op9_language_id(odd).collect() if r.doc_id in (1, 2, 3)]
+    assert all(r.lang_pred == "und" and r.score == 0 for r in und)
+    assert langid.recognised(odd).columns == odd.columns
+    assert langid.op9_language_id(none).count() == 0
+
+
+def test_license(docs, odd, none):
+    want = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
+    expected = {(r.doc_id, k, want[line]) for r in docs.collect() for k, line in enumerate((r.text or "").split("\n")) if line in want}
+    assert {(r.doc_id, r.paragraph, r.family) for r in licenses.op1_license_scan(docs).collect()} == expected
+    assert [(r.doc_id, r.paragraph, r.family) for r in licenses.op1_license_scan(odd).collect()] == [(12, 0, "MIT")]
+
+
+def test_personal_data(spark, docs, odd, none):
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pii.op4_pii(docs).collect():
+        spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", texts[r.doc_id])]
+        spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", texts[r.doc_id]) if all(int(x) <= 255 for x in m.group().split("."))]
+        spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", texts[r.doc_id]) if 16 <= len(re.sub(r"\D", "", m.group())) <= 19 and pii._luhn(re.sub(r"\D", "", m.group()))]
+        spans += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", texts[r.doc_id]) if 8 <= len(re.sub(r"\D", "", m.group())) <= 15]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.spans.startswith(text)
+    got = pii.redact(odd).collect()
+    assert len(got) == len(ROWS) and [r.text for r in got if r.doc_id == 9] == ["mail [EMAIL] or [PHONE], [IP]"] * 2 and [r.text for r in got if r.doc_id == 1] == [None]
+    assert pii.op4_pii(none).count() == 0
+
+
+def test_context_discovery(spark):
+    rows = [(k, f"some words then write to user{k}@mail.example.com today") for k in range(40)] + [(100, "he said write to customer48213 today"), (101, "unrelated number 48213999 here")]
+    got = {r.doc_id: r.spans for r in pii.op4_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "ctx_email:17:30" and got[101] == ""
+
+
+def test_token_files(spark, docs, odd, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    at, want = 0, {}
+    for i, t in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op5_token_files(docs).collect()} == want
+    assert token_files.op5_token_files(odd).count() == len(ROWS) and token_files.op5_token_files(none).count() == 0
+    ids = np.random.default_rng(4).integers(0, 1 << 17, 200_001).astype(np.uint32)
+    listed, back = token_files.decode_shard(token_files.encode_shard(ids, [(None, 200_001)]))
+    assert (back == ids).all() and listed == [[None, 200_001]]
+
+
+def test_language_model(docs, odd, none):
+    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in docs.collect()]
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    count = collections.Counter(w for i, ws in rows if not out[i] for w in ws)
+    total, distinct = sum(count.values()), len(count)
+    trie = collections.defaultdict(collections.Counter)
+    for w, n in count.items():
+        s = b" " + w + b" "
+        for p in range(1, len(s)):
+            for k in range(min(ppm.ORDER, p) + 1):
+                trie[s[p - k : p]][s[p]] += n
+
+    def length(w):
+        s, lp = b" " + w + b" ", 0.0
+        for p in range(1, len(s)):
+            seen = set()
+            for k in range(min(ppm.ORDER, p), -1, -1):
+                live = {b: n for b, n in trie.get(s[p - k : p], {}).items() if b not in seen}
+                mass = sum(live.values()) + len(live)
+                if s[p] in live:
+                    lp += math.log10(live[s[p]] / mass)
+                    break
+                if mass:
+                    lp += math.log10(len(live) / mass)
+                seen |= set(live)
+            else:
+                lp -= math.log10(max(256 - len(seen), 1))
+        return lp
+
+    got = {r.doc_id: r for r in ppm.op6_lm_scoring(docs).collect()}
+    for i, ws in rows:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(ws), sum(count[w] > 0 for w in ws), total)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in ws), rel=1e-9)
+        assert r.score == pytest.approx(sum(map(length, ws)), rel=1e-9)
+    assert ppm.op6_lm_scoring(odd).count() == len(ROWS) and ppm.op6_lm_scoring(none).count() == 0
+
+
+def test_pieces(docs, odd, none):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path)
+    texts = [r.text or "" for r in docs.collect()]
+    assert [x.tolist() for x in pieces.encode_all(texts, 0, path, rate=0.0)] == [sp.encode(t) for t in texts]
+    first, second = (pieces.encode_all(texts, v, path) for v in (0, 1))
+    assert any(len(a) != len(b) for a, b in zip(first, second))
+    for u in list({u for t in texts[:40] for u in model.units(t)})[:300]:
+        key = pieces.unit_key(u, 17, 1)
+        assert np.array(pieces.agenda(model, u, key, 0.1), "<i4").tobytes() == pieces.encode_units(model, [u], [key], 0.1)[0]
+    for t in ["a▁b  c", "\n\n \t x", "日本語😀\x00", " ", "x" * 5000, "  lead", "trail  ", "<s> </s><unk><0x41>", ""]:
+        assert pieces.decode(pieces.encode_all([t], 1, path)[0].tolist(), path) == t
+    got = pieces.op7_merge_dropout(odd).collect()
+    assert len(got) == len(ROWS) and all(r.lossless for r in got) and pieces.op7_merge_dropout(none).count() == 0
+    back = pieces.decode_documents(pieces.encode_documents(odd, path), path).collect()
+    assert sorted(map(repr, (r.decoded for r in back))) == sorted(map(repr, (t for _, t in ROWS)))
+
+
+def test_decontamination(spark, docs, odd, none):
+    bench = common.table(spark, SF, "benchmark")
+    items = [(r.item_id, decontaminate.words(r.text)) for r in bench.collect()]
+    want = set()
+    for r in docs.collect():
+        ws = decontaminate.words(r.text)
+        for i, item in items:
+            d = decontaminate.infix_distance(item, ws)[0] if len(set(ws) & set(item)) >= 0.5 * len(set(item)) else len(item)
+            if d <= decontaminate.allowed(len(item)):
+                want.add((r.doc_id, i, d))
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.op3_decontamination(docs, bench).collect()} == want
+    assert decontaminate.clean(docs, bench).count() == docs.count() - len({d for d, _, _ in want})
+    assert decontaminate.clean(odd, bench).count() == len(ROWS) and decontaminate.op3_decontamination(none, bench).count() == 0
+
+
+def test_decontamination_recall(spark):
+    items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    finder, rng, met = decontaminate.Finder(items), np.random.default_rng(6), 0
+    for i, text in items:
+        x = decontaminate.words(text)
+        for _ in range(decontaminate.allowed(len(x))):
+            p, kind = int(rng.integers(len(x))), int(rng.integers(3))
+            x[p : p + (kind != 1)] = [] if kind == 0 else ["zzz"]
+        met += any(finder.ids[g[1]] == i for g in finder.search([finder.ids_of(" ".join(["foo", "bar"] * 20 + x + ["baz"] * 30))]))
+    assert met >= 0.9 * len(items)
+
+
+def test_infix_distance():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(1, 12)).tolist(), rng.integers(0, 4, rng.integers(0, 25)).tolist()
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        assert decontaminate.infix_distance(a, b)[0] == min(row)
+
+
+def test_pipeline(spark, docs):
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES:
+        columns, before = rows.columns, rows.count()
+        rows = common.stored(stage(spark, rows, SF), name)
+        assert 0.7 * before <= rows.count() <= before
+        assert name == "encoding" or rows.columns == columns
+    assert rows.where("not lossless").count() == 0
