@@ -88,7 +88,7 @@ def week_calendar(s):
 # ---- sources and sinks -----------------------------------------------------
 def _csv_round_trip(s, sf):
     path = scratch_path(s, "csv")
-    raw_panel(s, sf).write.csv(path, sep=";", header=True)
+    raw_panel(s, sf).write.csv(path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     out = files.read_delimited(s, path)
     return out.groupBy("Department").agg(F.count(F.lit(1)).alias("n_rows"),
                                          F.sum(F.col("Units Sold").try_cast("double")).alias("units"),

@@ -7,8 +7,8 @@ SEPARATORS = (",", "\t", ";", "|")
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """Most frequent of the four separators in the first 4 KB."""
-    head = "\n".join(row.value for row in spark.read.text(path).head(64))[:4096]
+    """Most frequent of the four separators in the header line."""
+    head = "".join(row.value for row in spark.read.text(path).head(1))
     counts = {s: head.count(s) for s in SEPARATORS}
     best = max(counts, key=counts.get)
     return best if counts[best] else ","
@@ -59,7 +59,8 @@ def write_forecasts(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, partition_by=()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).csv(path, header=True)
+    df.write.mode("overwrite").partitionBy(*partition_by).csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # the writer trims by default
 
 
 # fixed values: columns of the SKU table export, in order

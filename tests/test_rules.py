@@ -197,8 +197,12 @@ def test_guarded_sql(spark, panel_of):
     t = {"panel": panel_of({"A": [1, 2]})}
     assert one(adhoc.safe_sql(spark, "SELECT sum(demand) AS d FROM panel;", t)).d == 3
     panel_of({"A": [1]}).createOrReplaceTempView("hidden")
-    with pytest.raises(adhoc.QueryError):
-        adhoc.safe_sql(spark, "SELECT * FROM panel, hidden", t)
+    for text in ("SELECT * FROM panel, hidden", "select sku_id from panel union all select sku_id from (hidden)", "select sku_id from panel union all select sku_id from/**/hidden",
+                 "select * from panel where sku_id in (select sku_id from hidden)", "select reflect('java.lang.System', 'getProperty', 'user.home') from panel",
+                 "select * from parquet.`/tmp`", "select * from panel, range(3)"):
+        with pytest.raises(adhoc.QueryError):
+            adhoc.safe_sql(spark, text, t)
+    assert spark.table("hidden").count() == 1 and not spark.catalog.tableExists("panel")
 
 
 def test_purchase_orders(spark, panel_of):
