@@ -17,7 +17,7 @@ from .series import (MODEL_LAGS, ROLLING, SEASONAL_LAGS, ACF_THRESHOLD, add_lags
 # fixed values: thresholds of the forecast path
 MIN_OBS, LOW_HISTORY = 8, 13
 COLD_START = {"D": 90, "W": 26, "M": 6}
-MIN_SKUS_ML, MIN_OBS_ML = 20, 40
+MIN_OBS_ML = 40
 ROUTES = {"smooth": "ets", "seasonal": "arima", "intermittent": "croston", "lumpy": "tsb"}
 CROSTON_ALPHA, TSB_ALPHA = 0.1, 0.2
 

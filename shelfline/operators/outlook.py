@@ -113,8 +113,7 @@ def forecast_all(df: DataFrame, h: int, freq: str, priors: DataFrame | None = No
     scores = ev.backtest_summary(bt, by_method=False).drop("method")
     members = warm.select("sku_id", "method").join(scores.select("sku_id", "crps"), "sku_id", "left")
     forecasts = classical
-    use_ml = ml and warm.count() >= fo.MIN_SKUS_ML
-    if use_ml:
+    if ml:
         rich = warm.where(F.col("n") >= fo.MIN_OBS_ML)
         model, sigma = train_gbt(df, freq)
         trees = fo.rows(gbt_fc(rich, model, sigma, h, freq), "sku_id").withColumn("method", F.lit("ml_gbt"))

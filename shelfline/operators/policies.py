@@ -1,6 +1,9 @@
 """Lead-time demand, order policies, schedules and recommendations."""
+import math
+
 import numpy as np
 import pandas as pd
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
@@ -19,11 +22,6 @@ ECONOMICS = {
     "HOBBIES_2": (0.25, 50.0, 1.6, 14.0, False, 7.0), "HOUSEHOLD_1": (0.25, 50.0, 1.6, 10.0, False, 7.0),
     "HOUSEHOLD_2": (0.25, 50.0, 1.6, 10.0, False, 7.0), "_default": (0.25, 50.0, 1.5, 14.0, False, 14.0)}
 ECON_COLS = ("holding_cost_rate", "order_cost_default", "markup_default", "default_lead_time", "perishable", "review_days")
-# fixed values: fractional parts of square roots of primes, one per lattice dimension
-LATTICE = tuple((p ** 0.5) % 1 for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79,
-                                         83, 89, 97, 101, 103, 107, 109, 113, 127, 131, 137, 139, 149, 151, 157, 163, 167,
-                                         173, 179, 181, 191, 193, 197, 199, 211, 223, 227, 229, 233, 239))
-
 
 # ---- lead time --------------------------------------------------------------------------------
 
@@ -54,8 +52,14 @@ def interpolate(u: Column, values: list[Column]) -> Column:
     return F.greatest(F.lit(0.0), F.when(u <= QUANTILE_LEVELS[0], values[0]).otherwise(out))
 
 
+def stride(step: int) -> float:
+    """Irrational stride of a step, from the step alone: no horizon is too long."""
+    return math.sqrt(step + 1 / 3) * math.pi % 1
+
+
 def _u(step: Column, draw: Column) -> Column:
-    x = F.lit(0.5) + draw * F.get(F.array(*[F.lit(a) for a in LATTICE]), (step - 1).cast("int"))
+    x = F.sqrt(step + F.lit(1 / 3)) * F.lit(math.pi)
+    x = F.lit(0.5) + draw * (x - F.floor(x))
     return x - F.floor(x)
 
 

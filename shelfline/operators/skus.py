@@ -50,7 +50,7 @@ def _status_rank() -> Column:
 
 
 def page(rows: DataFrame, filters: dict | None = None, sort_by: str = "days_of_cover", sort_dir: str = "asc",
-         limit: int = 200, offset: int = 0) -> DataFrame:
+         limit: int | None = None, offset: int = 0) -> DataFrame:
     """Equality filters, one of six sort keys (missing cover sorts as infinite), a page.
 
     Spark turns the offset and limit into a top-k of offset + limit rows per partition."""
@@ -60,7 +60,8 @@ def page(rows: DataFrame, filters: dict | None = None, sort_by: str = "days_of_c
     key = {"days_of_cover": F.coalesce("days_of_cover", F.lit(float("inf"))), "status": _status_rank()}.get(
         sort_by, F.col(sort_by))
     key = key.asc() if sort_dir == "asc" else key.desc()
-    return rows.orderBy(key, "sku_id").offset(offset).limit(limit)
+    rows = rows.orderBy(key, "sku_id").offset(offset)
+    return rows if limit is None else rows.limit(limit)
 
 
 def sku_table(df: DataFrame, freq: str, history: int = 0, **paging) -> DataFrame:
@@ -79,7 +80,7 @@ def sku_history(df: DataFrame, n: int) -> DataFrame:
             .where(F.col("_b") <= n).drop("_b"))
 
 
-def search_skus(rows: DataFrame, text: str = "", abc=("A", "B"), xyz=(), status=None, needs_action=False,
+def search_skus(rows: DataFrame, text: str = "", abc=(), xyz=(), status=None, needs_action=False,
                 category=None) -> DataFrame:
     t = text.strip().lower()
     if t:

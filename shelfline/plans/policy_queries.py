@@ -24,7 +24,7 @@ _interp = "case " + " ".join(
     [f"when u <= {QUANTILE_LEVELS[0]} then {QUANTILE_COLS[0]}"]
     + [f"when u <= {hi} then {a} + ({b} - {a}) * (u - {lo}) / {hi - lo!r}" for lo, hi, a, b in
        zip(QUANTILE_LEVELS, QUANTILE_LEVELS[1:], QUANTILE_COLS, QUANTILE_COLS[1:])]) + f" else {QUANTILE_COLS[-1]} end"
-_lat = "[" + ", ".join(repr(x) for x in po.LATTICE[:H]) + "]"
+_lat = "[" + ", ".join(repr(po.stride(k + 1)) for k in range(H)) + "]"
 cte("grid_d", f"""select sku_id, step, cast(draw as integer) as draw, greatest(0.0, {_interp}) as demand from (
   select *, (0.5 + draw * ({_lat})[step]) - floor(0.5 + draw * ({_lat})[step]) as u from fc_cr, (select unnest(range(0, {N})) as draw))""")
 register("demand_grid", lambda s, sf: rounded(po.demand_grid(fc(s, sf), N), 5), "select sku_id, step, draw, round(demand, 5) as demand from grid_d")

@@ -21,7 +21,7 @@ T = "select * exclude (lt) from skut"
 rows = lambda s, sf: k.sku_rows(bt(s, sf), "W")
 register("days_of_cover", lambda s, sf: k.days_of_cover(bt(s, sf), "W"), f"select sku_id, {COVER} as days_of_cover from state")
 register("sku_status", lambda s, sf: k.sku_status(bt(s, sf), "W"), "select sku_id, days_of_cover, status from skut")
-register("sku_table", lambda s, sf: k.sku_table(bt(s, sf), "W", limit=10_000), T)
+register("sku_table", lambda s, sf: k.sku_table(bt(s, sf), "W"), T)
 RANK = "case status when 'order_now' then 1 when 'at_risk' then 2 when 'watch' then 3 else 4 end"
 register("sku_table_page", lambda s, sf: k.page(rows(s, sf), {"category": "ECONOMY"}, "status", "desc", limit=10, offset=3),
          f"{T} where category = 'ECONOMY' order by {RANK} desc, sku_id limit 10 offset 3")
@@ -56,7 +56,7 @@ def _export(s, sf):
     return s.read.csv(path, header=True).select("sku_id", "status", "abc_class", F.col("on_hand").cast("double").alias("on_hand"))
 
 
-register("export_sku_table", _export, "select sku_id, status, abc_class, on_hand from skut where abc_class in ('A','B')")
+register("export_sku_table", _export, "select sku_id, status, abc_class, on_hand from skut")
 
 # ---- insights -------------------------------------------------------------------
 cte("rcov", """select *, on_hand / mean_d * 7.0 as days_of_cover from (select sku_id, max(on_hand) filter (back = 1) as on_hand, max(unit_price) filter (back = 1) as unit_price,

@@ -205,6 +205,13 @@ def test_guarded_sql(spark, panel_of):
     assert spark.table("hidden").count() == 1 and not spark.catalog.tableExists("panel")
 
 
+def test_demand_grid_has_no_last_step(spark):
+    from shelfline.operators import policies
+    fc = spark.createDataFrame([("A", k, 1.0, 2.0, 3.0, 4.0, 100.0) for k in (1, 52, 53, 60, 104)], "sku_id string, step int, q025 double, q10 double, q50 double, q90 double, q975 double")
+    means = {r.step: r.m for r in policies.demand_grid(fc, 256).groupBy("step").agg(F.avg("demand").alias("m")).collect()}
+    assert all(5 < m < 15 for m in means.values()) and len(means) == 5
+
+
 def test_purchase_orders(spark, panel_of):
     p = panel_of({"A": [1] * 5}, lead_time_days=10.0)
     lines = spark.createDataFrame([("d1", "1", " a ", 4.0), ("d1", "2", "nope", 1.0), ("d2", "1", "nope", 1.0)], "draft_id string, line_no string, sku_id string, qty double")
