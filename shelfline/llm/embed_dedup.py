@@ -5,7 +5,7 @@ around the first.  Pairs with at least `least_collisions()` collisions (a count
 with at most MISS) are verified in double precision.
 
 So that a window need not be searched over all vectors, each of several tables first cuts the vectors by `bits` further
-projections at their medians; a table's windows are searched inside a cut, in the order of one projection.  The number of
+projections at zero; inside a cut, wide windows in the order of one projection bound the pairs that are counted.  The number of
 cuts grows with the logarithm of the rows (about TARGET rows to a cut) and the number of tables with it, so that a wanted
 pair shares a cut with probability 1 - LOST.  Large cuts are dealt out as pairs of blocks of BLOCK rows.  A pair counts in
 the first table it shares and nowhere else.  Equal vectors are one representative from the start.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, forest, grouped, stored
 
 COUNTED, HALF, MISS = 32, 0.9, 1e-6
-TARGET, LOST, BLOCK = 64, 1e-6, 512
+TARGET, LOST, BLOCK = 64, 1e-4, 512
 
 
 def _normal(x: float) -> float:
@@ -57,47 +57,51 @@ def _directions(dim: int, n: int) -> np.ndarray:
     return np.random.default_rng(20240611 + dim).standard_normal((dim, n))
 
 
-def _deal(dim_tables: int, bits: int):
-    """Rows (dim, table, cut, ...) of each representative; all its cuts are carried so that a pair knows its first table."""
+def _unit(column) -> np.ndarray:
+    """Rows of a list column of one length, in double precision and of length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cuts(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Cut of each row in each table: on which side of each of the table's projections it lies."""
+    side = (x @ _directions(x.shape[1], tables * bits) > 0).reshape(len(x), tables, bits)
+    return (side << np.arange(bits, dtype=np.int64)).sum(axis=2)
+
+
+def _deal(tables: int, bits: int):
+    """Rows (dim, table, cut, id) of each representative."""
 
     def run(batches):
-        made: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, vectors = batch.column("id").to_numpy(), batch.column("vector").to_pylist()
-            dims = np.array([len(v) for v in vectors])
+            ids, dims = batch.column("id"), np.diff(batch.column("vector").offsets.to_numpy())
             for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                x = np.array([vectors[k] for k in own], np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                if dim not in made:
-                    made[dim] = _directions(int(dim), dim_tables * bits)
-                side = (x @ made[dim] > 0).reshape(len(own), dim_tables, bits)
-                cuts = (side << np.arange(bits, dtype=np.int64)).sum(axis=2)
-                for t in range(dim_tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), dim, np.int64)), pa.array(np.full(len(own), t, np.int64)), pa.array(cuts[:, t]), pa.array(ids[own]),
-                         pa.array([c.astype("<i8").tobytes() for c in cuts], pa.binary()), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())],
-                        ["dim", "table", "cut", "id", "cuts", "unit"])
+                own = pa.array(np.flatnonzero(dims == dim))
+                cuts = _cuts(_unit(batch.column("vector").take(own)), tables, bits)
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, np.int64)), pa.array(np.full(len(own), t, np.int64)), pa.array(cuts[:, t]), ids.take(own)],
+                                                     ["dim", "table", "cut", "id"])
 
     return run
 
 
-def _verified(cosine: float, least: int):
+def _verified(cosine: float, least: int, tables: int, bits: int):
     def fn(rows: pa.Table):
         ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
         i, j, table = (rows.column(c)[0].as_py() for c in ("i", "j", "table"))
-        x = np.stack([np.frombuffer(b, "<f8") for b in rows.column("unit").to_pylist()])
-        cuts = np.stack([np.frombuffer(b, "<i8") for b in rows.column("cuts").to_pylist()])
+        x = _unit(rows.column("vector"))
         weight = rows.column("copies").to_numpy()
         line = x @ _counting(x.shape[1])
         order = np.argsort(line[:, 0], kind="stable")
         sorted_ = line[order, 0]
         links, a, b = np.zeros(len(ids), np.int64), [], []
-        # query-centred windows in the order of the first projection; the other projections are counted inside them
+        # windows in the order of the first projection bound the search: so wide that a wanted pair is outside in 1 of 1e7
+        reach = 5.4 * math.sqrt(2 - 2 * cosine)
         for at in range(0, len(order), 64):
             asks = order[at : at + 64]
-            low, high = np.searchsorted(sorted_, sorted_[at] - HALF), np.searchsorted(sorted_, sorted_[min(at + 63, len(order) - 1)] + HALF, side="right")
+            low, high = np.searchsorted(sorted_, sorted_[at] - reach), np.searchsorted(sorted_, sorted_[min(at + 63, len(order) - 1)] + reach, side="right")
             near = order[low:high]
             count = np.zeros((len(asks), len(near)), np.int8)
             for k in range(COUNTED):
@@ -108,8 +112,10 @@ def _verified(cosine: float, least: int):
             if i != j:
                 keep &= own[p] != own[q]
             p, q = p[keep], q[keep]
-            if table:
-                new = ~(cuts[p, :table] == cuts[q, :table]).any(axis=1)
+            if table and len(p):
+                met = np.unique(np.concatenate([p, q]))
+                cuts = _cuts(x[met], tables, bits)[:, :table]
+                new = ~(cuts[np.searchsorted(met, p)] == cuts[np.searchsorted(met, q)]).any(axis=1)
                 p, q = p[new], q[new]
             for s in range(0, len(p), 20_000):
                 u, v = p[s : s + 20_000], q[s : s + 20_000]
@@ -133,7 +139,10 @@ def _counting(dim: int) -> np.ndarray:
 
 def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    vector = F.col(vector_col).cast("array<double>")
+    # single precision is carried as it is; all arithmetic is in double
+    vector = F.col(vector_col)
+    if rows.schema[vector_col].dataType.simpleString() != "array<float>":
+        vector = vector.cast("array<double>")
     fit = (F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
     base = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(fit, F.lit(False)).alias("fit"))
     # equal vectors are found by their exact components
@@ -143,14 +152,14 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     reps = stored(named.drop("key").join(same.drop("key"), "id"), "reps")
     n = reps.count()
     bits, tables = shape(n, cosine)
-    dealt = stored(reps.select("id", "vector").mapInArrow(_deal(tables, bits), "dim long, table long, cut long, id long, cuts binary, unit binary"), "dealt")
+    dealt = stored(reps.select("id", "vector").mapInArrow(_deal(tables, bits), "dim long, table long, cut long, id long"), "dealt")
     cut = ["dim", "table", "cut"]
     size = stored(dealt.groupBy(*cut).agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "cuts")
-    member = dealt.join(size, cut).join(reps.select("id", "copies"), "id")
+    member = dealt.join(size, cut).join(reps, "id")
     block = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")))
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     block = block.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "nb")
-    found = stored(grouped(block, [*cut, "i", "j"], _verified(cosine, least_collisions(cosine)), "id long, towards long, links long"), "found")
+    found = stored(grouped(block, [*cut, "i", "j"], _verified(cosine, least_collisions(cosine), tables, bits), "id long, towards long, links long"), "found")
     root = stored(components(found.select(F.col("id").alias("a"), F.col("towards").alias("b"))), "roots")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     rep = stored(same.select("key", F.col("id").alias("rep"), "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(root.withColumnRenamed("id", "rep"), "rep", "left"), "answers")
