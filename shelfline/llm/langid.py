@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE, PIECE, DICT, BLOCK, LANGUAGES = 160, 1200, 112 * 1024, 4096, 256
+SLOTS = 1 << 40       # places of the hash sample
 MARGIN = 0.002
 UND = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -34,13 +35,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", use: Co
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if use is not None:
         rows = rows.where(use)
-    size = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    # the LANGUAGES commonest labels are learned; their counts come to the driver, so that the sample is a filter of the scan
+    counts = rows.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    if not counts:
+        return {}
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], min(SLOTS, int(SAMPLE * SLOTS / r["count"]) + 1))))
     middle = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((F.char_length(text_col) - PIECE) / 2).cast("int")), F.lit(PIECE))
-    slot = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 30))
-    rows = rows.select(F.col(lang_col).alias("_lang"), slot.alias("_slot"), middle.alias("_piece"))
-    picked = rows.join(size, "_lang").where(F.col("_slot") < F.lit(float(SAMPLE << 30)) / F.col("_n"))
+    slot = F.pmod(F.xxhash64(F.col(text_col)), F.lit(SLOTS))
+    picked = rows.where(slot < F.coalesce(share[F.col(lang_col)], F.lit(0))).select(F.col(lang_col).alias("_lang"), slot.alias("_slot"), middle.alias("_piece"))
     # copies of one text share its slot and count once; the limit only bounds what reaches the driver
-    picked = picked.dropDuplicates(["_lang", "_slot"]).orderBy("_slot").limit(SAMPLE * LANGUAGES)
+    picked = picked.groupBy("_lang", "_slot").agg(F.min("_piece").alias("_piece")).orderBy("_slot", "_lang").limit(SAMPLE * LANGUAGES)
     out: dict[str, bytes] = {}
     for lang, _, piece in picked.select("_lang", "_slot", "_piece").collect():
         out[lang] = (out.get(lang, b"") + b" " + plain(piece))[:DICT]
