@@ -20,13 +20,11 @@ def _median(sorted_arr):
 
 
 def robust_z(df: DataFrame) -> DataFrame:
-    """Centred rolling median / MAD score over the last 200 rows of each SKU.
+    """Centred rolling median / MAD score over the whole history of each SKU.
 
     The half width is 2 to 6 depending on the SKU's length; the widest frame is
     collected once and cut to the SKU's own width."""
-    latest = W.partitionBy("sku_id").orderBy(F.desc("date"))
     rows = (df.select("sku_id", "date", "demand")
-            .withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= 200)
             .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("sku_id")))
             .where(F.col("_n") >= 8)
             .withColumn("_i", F.row_number().over(by_date()) - 1))
@@ -45,16 +43,23 @@ def robust_z(df: DataFrame) -> DataFrame:
 
 
 def cusum(df: DataFrame) -> DataFrame:
-    """One-sided CUSUMs of the z-score from the second row on, as running sums minus
-    their running extreme."""
-    run = by_date().rowsBetween(W.unboundedPreceding, 0)
-    z = robust_z(df)
-    up = F.when(F.col("_i") == 0, 0.0).otherwise(F.col("z") - CUSUM_K)
-    down = F.when(F.col("_i") == 0, 0.0).otherwise(F.col("z") + CUSUM_K)
-    z = z.withColumns({"_su": F.sum(up).over(run), "_sd": F.sum(down).over(run)})
-    z = z.withColumns({"cusum_pos": F.col("_su") - F.min("_su").over(run),
-                       "cusum_neg": F.col("_sd") - F.max("_sd").over(run)})
-    return z.drop("_su", "_sd")
+    """One-sided CUSUMs of the z-score from the second row on, folded over the SKU's rows in order (their number is
+    bounded by the calendar): differences of running sums would lose digits where the MAD is zero."""
+    row = F.struct("date", "demand", "_i", "median", "mad", "z")
+    one = robust_z(df).groupBy("sku_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("pos"), zero.alias("neg"), F.array().cast("array<struct<pos:double,neg:double>>").alias("out"))
+
+    def step(acc, x):
+        first = x["_i"] == 0
+        pos = F.when(first, zero).otherwise(F.greatest(zero, acc["pos"] + x["z"] - CUSUM_K))
+        neg = F.when(first, zero).otherwise(F.least(zero, acc["neg"] + x["z"] + CUSUM_K))
+        return F.struct(pos.alias("pos"), neg.alias("neg"),
+                        F.concat(acc["out"], F.array(F.struct(pos.alias("pos"), neg.alias("neg")))).alias("out"))
+
+    sums = F.aggregate("r", start, step, lambda acc: acc["out"])
+    rows = one.select("sku_id", F.explode_outer(F.arrays_zip(F.col("r"), sums.alias("c"))).alias("x"))
+    return rows.select("sku_id", "x.r.*", F.col("x.c.pos").alias("cusum_pos"), F.col("x.c.neg").alias("cusum_neg"))
 
 
 def events(df: DataFrame, threshold: float = 2.5) -> DataFrame:

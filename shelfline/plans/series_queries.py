@@ -120,50 +120,51 @@ register("seasonal", lambda s, sf: rounded(s_.seasonal(pm(s, sf), "M"), 5),
 
 # ---- anomalies ---------------------------------------------------------------
 cte("rz1", """select sku_id, date, demand, row_number() over (partition by sku_id order by date) - 1 as i,
-  count(*) over (partition by sku_id) as n from (select *, row_number() over (partition by sku_id order by date desc) as back from panel)
-  where back <= 200""")
+  count(*) over (partition by sku_id) as n from panel""")
 cte("rz2", """select a.sku_id, a.date, a.demand, a.i, median(b.demand) as med from rz1 a join rz1 b on b.sku_id = a.sku_id
   and abs(b.i - a.i) <= greatest(5, least(13, a.n // 4)) // 2 where a.n >= 8 group by 1, 2, 3, 4""")
 cte("rz", """select a.sku_id, a.date, a.demand, a.i, a.med, greatest(median(abs(b.demand - a.med)), 1e-9) as mad,
     (a.demand - a.med) / (1.4826 * greatest(median(abs(b.demand - a.med)), 1e-9)) as z
   from rz2 a join rz1 b on b.sku_id = a.sku_id and abs(b.i - a.i) <= greatest(5, least(13, b.n // 4)) // 2 group by 1, 2, 3, 4, 5""")
-cte("cus1", """select *, sum(case when i = 0 then 0.0 else z - 0.5 end) over w as su, sum(case when i = 0 then 0.0 else z + 0.5 end) over w as sd
-  from rz window w as (partition by sku_id order by date rows unbounded preceding)""")
-cte("cus", """select sku_id, date, demand, i, med, mad, z, su - min(su) over w as pos, sd - max(sd) over w as neg
-  from cus1 window w as (partition by sku_id order by date rows unbounded preceding)""")
+cte("cus", """with recursive fold as (
+    select sku_id, date, demand, i, med, mad, z, 0.0::double as pos, 0.0::double as neg from rz where i = 0
+    union all select r.sku_id, r.date, r.demand, r.i, r.med, r.mad, r.z, greatest(0.0::double, f.pos + r.z - 0.5), least(0.0::double, f.neg + r.z + 0.5)
+    from fold f join rz r on r.sku_id = f.sku_id and r.i = f.i + 1)
+  select * from fold""")
 cte("evs", """select sku_id, date, demand as value, case when z >= 0 then 'spike' else 'drop' end as direction, z as magnitude_z,
     case when abs(pos) > abs(neg) then pos else neg end as cusum_score, med as baseline_mean, 1.4826 * mad as baseline_std,
     case when abs(z) > 4 or pos >= 4 or neg <= -4 then 'crit' when abs(z) > 3 then 'warn' else 'info' end as severity
   from cus where abs(z) >= 2.5 or pos >= 4 or neg <= -4""")
-# series with a positive spread only: a zero MAD turns z into +-1e9 and its running sums lose digits
-LIVE = "sku_id in (select sku_id from rz group by 1 having min(mad) > 1e-6)"
 
 
-def live(df, metrics):
-    ok = metrics.groupBy("sku_id").agg(F.min("mad").alias("m")).where(F.col("m") > 1e-6)
-    return df.join(ok, "sku_id", "left_semi")
+def score_sql(c):
+    """Four decimals; whole numbers from a million up, where a zero spread puts the scores."""
+    return f"case when abs({c}) >= 1e6 then round({c}) else round({c}, 4) end"
+
+
+def scored(df, *cols):
+    return df.withColumns({c: F.when(F.abs(c) >= 1e6, F.round(c)).otherwise(F.round(c, 4)) for c in cols})
 
 
 register("robust_z", lambda s, sf: rounded(a.robust_z(bt(s, sf)).drop("_i").withColumn("z", F.round("z", 3)), 3),
          "select sku_id, date, demand, round(med, 3) as median, round(mad, 3) as mad, round(z, 3) as z from rz")
 
 
-def _panel_live(s, sf):
-    p = bt(s, sf).select("sku_id", "date", "demand", "category", "unit_price")
-    return live(p, a.robust_z(p))
+def _panel(s, sf):
+    return bt(s, sf).select("sku_id", "date", "demand", "category", "unit_price")
 
 
-register("cusum", lambda s, sf: rounded(live(a.cusum(bt(s, sf)), a.robust_z(bt(s, sf))).select("sku_id", "date", "cusum_pos", "cusum_neg"), 4),
-         f"select sku_id, date, round(pos, 4) as cusum_pos, round(neg, 4) as cusum_neg from cus where {LIVE}")
-register("anomaly_events", lambda s, sf: rounded(a.events(_panel_live(s, sf)), 4), f"""
-  select sku_id, date, value, direction, round(magnitude_z, 4) as magnitude_z, round(cusum_score, 4) as cusum_score,
-    round(baseline_mean, 4) as baseline_mean, round(baseline_std, 4) as baseline_std, severity from evs where {LIVE}""")
-register("anomalies", lambda s, sf: rounded(a.anomalies(_panel_live(s, sf)).select("sku_id", "date", "pos", "magnitude_z", "severity"), 4), f"""
-  select sku_id, date, pos, round(magnitude_z, 4) as magnitude_z, severity from (select *, row_number() over (partition by sku_id
-    order by round(abs(magnitude_z), 6) desc, date) as pos from evs where {LIVE}) where pos <= 5""")
-register("anomaly_near", lambda s, sf: rounded(a.anomaly_near(_panel_live(s, sf), "1998-06-01").select("sku_id", "date", "magnitude_z"), 4), f"""
-  select sku_id, min(date) as date, round(arg_min(magnitude_z, (abs(date - date '1998-06-01'), date)), 4) as magnitude_z from (
-    select *, row_number() over (partition by sku_id order by abs(date - date '1998-06-01'), date) as k from evs where {LIVE}) where k = 1 group by 1""")
+register("cusum", lambda s, sf: scored(a.cusum(bt(s, sf)).select("sku_id", "date", "cusum_pos", "cusum_neg"), "cusum_pos", "cusum_neg"),
+         f"select sku_id, date, {score_sql('pos')} as cusum_pos, {score_sql('neg')} as cusum_neg from cus")
+register("anomaly_events", lambda s, sf: scored(a.events(_panel(s, sf)), "magnitude_z", "cusum_score", "baseline_mean", "baseline_std"), f"""
+  select sku_id, date, value, direction, {score_sql('magnitude_z')} as magnitude_z, {score_sql('cusum_score')} as cusum_score,
+    round(baseline_mean, 4) as baseline_mean, round(baseline_std, 4) as baseline_std, severity from evs""")
+register("anomalies", lambda s, sf: scored(a.anomalies(_panel(s, sf)).select("sku_id", "date", "pos", "magnitude_z", "severity"), "magnitude_z"), f"""
+  select sku_id, date, pos, {score_sql('magnitude_z')} as magnitude_z, severity from (select *, row_number() over (partition by sku_id
+    order by round(abs(magnitude_z), 6) desc, date) as pos from evs) where pos <= 5""")
+register("anomaly_near", lambda s, sf: scored(a.anomaly_near(_panel(s, sf), "1998-06-01").select("sku_id", "date", "magnitude_z"), "magnitude_z"), f"""
+  select sku_id, date, {score_sql('magnitude_z')} as magnitude_z from (
+    select *, row_number() over (partition by sku_id order by abs(date - date '1998-06-01'), date) as k from evs) where k = 1""")
 register("siblings", lambda s, sf: a.siblings(bt(s, sf)), """
   with p as (select sku_id, category, round(coalesce(sum(demand * unit_price), sum(demand)), 2) as rv from panel group by 1, 2)
   select sku_id, category, pos, sibling, revenue_proxy from (select x.sku_id, x.category, y.sku_id as sibling, y.rv as revenue_proxy,
@@ -171,7 +172,7 @@ register("siblings", lambda s, sf: a.siblings(bt(s, sf)), """
 _hol = ", ".join("({}, {}, '{}')".format(m, dd, lab.replace("'", "''")) for m, dd, lab in a.HOLIDAYS)
 cte("ctx", f"""
   with h as (select row_number() over () as k, * from (values {_hol}) t(m, d, label)),
-  e as (select * from evs where {LIVE}),
+  e as (select * from evs),
   near as (select sku_id, date, k, label || ' (' || strftime(hd, '%Y-%m-%d') || ')' as txt from (
     select sku_id, date, k, label, hd, row_number() over (partition by sku_id, date, k order by hd) as q from (
       select e.sku_id, e.date, h.k, h.label, make_date(year(e.date) + y, h.m, h.d) as hd from e, h, (values (-1), (0), (1)) yy(y))
@@ -179,10 +180,10 @@ cte("ctx", f"""
     union all select sku_id, date, 98, 'first ' || day(date) || ' day(s) of ' || monthname(date) from e where day(date) <= 3
     union all select sku_id, date, 99, 'end of ' || monthname(date) from e where day(date) >= 28)
   select e.*, string_agg(txt, ', ' order by k) as context from e left join near n on n.sku_id = e.sku_id and n.date = e.date group by all""")
-register("calendar_context", lambda s, sf: a.calendar_context(a.events(_panel_live(s, sf))).select(
+register("calendar_context", lambda s, sf: a.calendar_context(a.events(_panel(s, sf))).select(
     "sku_id", "date", F.array_join("context", ", ").alias("context")),
     "select sku_id, date, coalesce(context, '') as context from ctx")
-register("judge_event", lambda s, sf: a.judge_event(a.events(_panel_live(s, sf))).withColumn("evidence", F.array_join("evidence", "; ")), """
+register("judge_event", lambda s, sf: a.judge_event(a.events(_panel(s, sf))).withColumn("evidence", F.array_join("evidence", "; ")), """
   select sku_id, date, case when context is not null then 'holiday_or_calendar' else 'unclear' end as cause,
     case when context is not null then 0.3 else 0.15 end::double as confidence,
     'Robust z = ' || printf('%+.1f', round(magnitude_z, 1)) || ' on ' || strftime(date, '%Y-%m-%d') || ' (' || direction || ')'
