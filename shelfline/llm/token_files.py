@@ -31,35 +31,69 @@ from ..session import scratch_path
 CHUNK, SHARD = 1 << 16, 1 << 22
 MAGIC = b"BITPLN1\n"
 END = 1
-CACHE = 400_000
+CACHE, TOGETHER = 600_000, 2_000
+MARK = "|"
 
 
 class Words:
     """Ids of whole texts by the tokenizers library, remembered by blank-separated piece.
 
-    The vocabulary drops white space and splits at it, so a text's ids are those of its pieces in order."""
+    The vocabulary drops white space and splits at it, so a text's ids are those of its pieces in order.  Pieces not met
+    before are encoded TOGETHER at a time with MARK between them; those that hold the mark go by themselves."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.mark, = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if MARK not in p and "<" not in p]  # a < may open an added token, which reads across blanks
+        for a in range(0, len(plain), TOGETHER):
+            part = plain[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, ends, strict=True):
+                self.known[p] = raw[at:end]
+                at = end + 4
+        for p in set(pieces).difference(plain):
+            self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def all_ids(self, texts: list[str | None]):
+        """Little-endian unsigned 32-bit ids of each text; memory is bounded by the cache and the texts given."""
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(pieces))
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
-                for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        new = {p for pieces in parts for p in pieces if p not in known}
+        if new and len(known) + len(new) > CACHE:
+            known.clear()
+            new = {p for pieces in parts for p in pieces}
+        self._learn(list(new))
+        for pieces in parts:
+            yield b"".join(map(known.__getitem__, pieces))
+
+
+_words: dict[str, Words] = {}
+
+
+def _words_of(path: str) -> Words:
+    """The tokenizer of a path and its remembered pieces, one in a process."""
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
+
+
+def _in_parts(texts, chars: int = 2_000_000):
+    """Texts in lists of about so many characters, or of one longer text."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
@@ -137,7 +171,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
     def run(batches):
         from pyspark import TaskContext
 
-        words, part = Words(tokenizer), TaskContext.get().partitionId()
+        words, part = _words_of(tokenizer), TaskContext.get().partitionId()
         held, docs_, size, shard = [], [], 0, 0
         end = np.array([END], "<u4").tobytes()
 
@@ -149,8 +183,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
             return row
 
         for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = words.ids(text.as_py()) + end
+            encoded = (ids for texts in _in_parts(t.as_py() for t in batch.column(1)) for ids in words.all_ids(texts))
+            for id_, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                got = ids + end
                 n = len(got) // 4
                 if size and size + n > SHARD:
                     yield close()
