@@ -55,16 +55,14 @@ def _first_values(tall: DataFrame, k: int, out: str) -> DataFrame:
             .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias(out)))
 
 
-def label_dtype(df: DataFrame, sample: int = 30) -> DataFrame:
-    """date, integer, float or string from the first `sample` distinct values."""
-    values = F.col("_values")
-    is_date = F.forall(values, lambda v: v.rlike(ISO_DATE) & v.try_cast("timestamp").isNotNull())
-    is_number = F.forall(values, lambda v: v.try_cast("double").isNotNull())
-    dotted = F.exists(values, lambda v: v.contains("."))
-    return (_first_values(_tall(df), sample, "_values")
-            .select("column", F.when(is_date, "date")
-                    .when(is_number & dotted, "float").when(is_number, "integer")
-                    .otherwise("string").alias("dtype")))
+def label_dtype(df: DataFrame) -> DataFrame:
+    """date, integer, float or string from all values of a column."""
+    v = F.col("value")
+    number = F.bool_and(v.try_cast("double").isNotNull())
+    is_date = F.bool_and(v.rlike(ISO_DATE) & v.try_cast("timestamp").isNotNull())
+    return (_tall(df).where(v.isNotNull()).groupBy("column").agg(
+        F.when(is_date, "date").when(number & F.bool_or(v.contains(".")), "float")
+        .when(number, "integer").otherwise("string").alias("dtype")))
 
 
 def _clean(c: Column) -> Column:

@@ -187,20 +187,19 @@ register("profile_columns", lambda s, sf: p.profile_columns(raw_panel(s, sf)).se
   select t.col, count(*) as n_rows, round(count(*) filter (v is null)::double / count(*), 4) as null_pct,
     round(count(distinct v)::double / count(*), 4) as unique_pct, any_value(s.sample_values) as sample_values
   from tall t left join s on s.col = t.col group by 1""")
-register("label_dtype", lambda s, sf: p.label_dtype(
-    raw_panel(s, sf).where(F.col("Day") != "not-a-date")).withColumnRenamed("column", "col"), """
+register("label_dtype", lambda s, sf: p.label_dtype(raw_panel(s, sf)).withColumnRenamed("column", "col"), """
   with tall as (
-    select 'Item ID' as col, item_id as v from raw_panel where day_ <> 'not-a-date'
-    union all select 'Day', day_ from raw_panel where day_ <> 'not-a-date'
-    union all select 'Units Sold', units from raw_panel where day_ <> 'not-a-date'
-    union all select 'Department', dept from raw_panel where day_ <> 'not-a-date'
-    union all select 'LT (days)', lt from raw_panel where day_ <> 'not-a-date'
-    union all select 'Comment', 'x' from raw_panel where day_ <> 'not-a-date'),
+    select 'Item ID' as col, item_id as v from raw_panel
+    union all select 'Day', day_ from raw_panel
+    union all select 'Units Sold', units from raw_panel
+    union all select 'Department', dept from raw_panel
+    union all select 'LT (days)', lt from raw_panel
+    union all select 'Comment', 'x' from raw_panel),
   f as (select col, v, row_number() over (partition by col order by v) as rn from (select distinct col, v from tall))
   select col, case when bool_and(regexp_matches(v, '^\\d{4}-\\d{1,2}-\\d{1,2}') and try_cast(v as timestamp) is not null) then 'date'
     when bool_and(try_cast(v as double) is not null) and bool_or(contains(v, '.')) then 'float'
     when bool_and(try_cast(v as double) is not null) then 'integer' else 'string' end as dtype
-  from f where rn <= 30 group by 1""")
+  from f group by 1""")
 register("score_headers", lambda s, sf: p.score_headers(header_catalogue(s, sf)).groupBy("header", "canonical")
          .agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_files")),
          "select header, canonical, max(score) as score, count(*) as n_files from header_scores group by 1, 2")
