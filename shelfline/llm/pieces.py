@@ -2,14 +2,17 @@
 
 A text is cut where no piece of the model can reach across: before a run of spaces, and around characters that occur in no
 longer piece.  Each unit goes through an agenda of candidate merges, best score first, leftmost first; a candidate is
-skipped when a keyed hash of (seed, variant, unit, place, merged piece) falls under the dropout rate.  The variant is a
-hash of the document id modulo VARIANTS, so documents differ, and one unit of one variant is always cut alike and can be
-remembered.  Without dropout the ids are the library's own.
+skipped when a keyed hash of (seed, document id, occurrence of the unit, place, merged piece) falls under the dropout rate,
+so every occurrence in every document is cut on its own.  Without dropout the ids are the library's own.
+
+What a worker remembers is a tree by unit: a node has the unit's ids when certain of its candidates are skipped, and the
+candidates that are still open then; the first open one that an occurrence skips leads to the child.  A child is made when
+it is asked for again; till then the agenda is replayed.  Both give the same ids.
 
 Characters the model lacks become byte pieces, and so does a U+2581 that stands in the text, so that decoding gives the
 text back exactly.
 
-Edge cases: a null text has null pieces and decodes to null; an empty text has none; a document without id is variant 0;
+Edge cases: a null text has null pieces and decodes to null; an empty text has none; a document without id is keyed by its text;
 texts of any length are encoded whole (units over LONG symbols by a heap); other columns are only passed on.
 """
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEED, RATE, VARIANTS = 17, 0.1, 2
-LONG, CACHE = 64, 500_000
+SEED, RATE = 17, 0.1
+LONG, CACHE = 64, 1_000_000
 SPACE = "▁"
 _NONE = np.int64(1) << 62
 
@@ -93,10 +96,23 @@ def unit_key(unit: str, seed: int, variant: int) -> int:
     return xxhash.xxh3_64_intdigest(unit.encode(), seed=seed * 1_000_003 + variant)
 
 
+def occurrence_keys(document: int, count: int, seed: int) -> np.ndarray:
+    """Keys of the units of a document, in order."""
+    own = _mix(np.array([document % 2**64], np.uint64) ^ _mix(np.array([seed % 2**64 + 1], np.uint64)))
+    return _mix(own + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def candidate_hash(place: np.ndarray, merged: np.ndarray) -> np.ndarray:
+    return _mix(place.astype(np.uint64) << np.uint64(32) | merged.astype(np.uint64))
+
+
+def falls(key: np.ndarray, candidate: np.ndarray, rate: float) -> np.ndarray:
+    return (_mix(key ^ candidate) >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
+
+
 def skipped(key: np.ndarray, place: np.ndarray, merged: np.ndarray, rate: float) -> np.ndarray:
     """Whether the candidate that makes this piece at this place of this unit is skipped."""
-    h = _mix(key ^ _mix(place.astype(np.uint64) << np.uint64(32) | merged.astype(np.uint64)))
-    return (h >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
+    return falls(key, candidate_hash(place, merged), rate)
 
 
 def agenda(model: Model, unit: str, key: int, rate: float) -> list[int]:
@@ -131,8 +147,10 @@ def agenda(model: Model, unit: str, key: int, rate: float) -> list[int]:
     return model.spell([s for s, live in zip(sym, alive) if live])
 
 
-def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -> list[bytes]:
-    """Little-endian 32-bit ids of all units at once: each round makes the best candidate of every unit that has one."""
+def encode_units(model: Model, units: list[str], keys: list[int], rate: float, stays=None) -> list[bytes]:
+    """Little-endian 32-bit ids of all units at once: each round makes the best candidate of every unit that has one.
+
+    stays: says of (unit, place, merged piece) of the candidates of a round which are not skipped, in place of the hash."""
     out: list[bytes] = [b""] * len(units)
     short = [k for k, u in enumerate(units) if len(u) <= LONG]
     if len(short) < len(units):
@@ -155,9 +173,9 @@ def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -
         at = np.minimum(np.searchsorted(model.keys, want), len(model.keys) - 1)
         hit = model.keys[at] == want
         ok, at = ok[hit], at[hit]
-        if rate:
-            stays = ~skipped(key[unit[i[ok]]], place[i[ok]], model.merged[at], rate)
-            ok, at = ok[stays], at[stays]
+        if stays or rate:
+            live = stays(unit[i[ok]], place[i[ok]], model.merged[at]) if stays else ~skipped(key[unit[i[ok]]], place[i[ok]], model.merged[at], rate)
+            ok, at = ok[live], at[live]
         rank[ok], made[ok] = model.rank[at] << 8 | place[i[ok]], model.merged[at]
         return rank, made
 
@@ -200,7 +218,7 @@ def encode_units(model: Model, units: list[str], keys: list[int], rate: float) -
 
 
 _models: dict[str, Model] = {}
-_known: dict[tuple, dict[str, bytes]] = {}
+_trees: dict[tuple, "Trees"] = {}
 
 
 def _model(path: str) -> Model:
@@ -210,20 +228,161 @@ def _model(path: str) -> Model:
     return _models[path]
 
 
-def encode_all(texts: list[str], variant: int, path: str, seed: int = SEED, rate: float = RATE) -> list[np.ndarray]:
-    """Ids of each text; units not met before are cut together and remembered, up to CACHE of them."""
-    model, known = _model(path), _known.setdefault((path, seed, rate, variant), {})
+class Column:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        while self.size + len(x) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.size : self.size + len(x)] = x
+        self.size += len(x)
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then the same for the others."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Trees:
+    """What becomes of units under dropout, by the candidates that are skipped."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.root: dict[str, int] = {}
+        self.units: list[str] = []
+        # of a node: unit, ids, open candidates, number of decided ones before them, parent, and which of its candidates was skipped
+        self.unit, self.ids_at, self.ids_n, self.open_at, self.open_n, self.decided, self.parent, self.skip = (Column(np.int64) for _ in range(8))
+        self.ids, self.open, self.child = Column("<i4"), Column(np.uint64), Column(np.int32)
+
+    def __len__(self) -> int:
+        return self.unit.size
+
+    def __bool__(self) -> bool:
+        return True
+
+    def grow(self, unit: np.ndarray, parent: np.ndarray, skip: np.ndarray) -> None:
+        """New nodes; parent -1 for roots, skip: place among all candidates of the unit, decided ones counted."""
+        row, off, up, k = np.arange(len(unit)), [], parent, skip
+        while (has := up >= 0).any():  # the skipped candidates on the way to the root
+            off.append((row[has], k[has]))
+            row, k, up = row[has], self.skip.data[up[has]], self.parent.data[up[has]]
+        forced_row, forced_k = (np.concatenate(x) for x in zip(*off)) if off else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        forced = np.sort(forced_row << 16 | forced_k)
+        met = [np.zeros(0, np.int64)] * 2  # (unit, place, piece) of the candidates met, sorted, and their places in the order of the unit
+        count = np.zeros(len(unit), np.int64)
+
+        def stays(u: np.ndarray, place: np.ndarray, merged: np.ndarray) -> np.ndarray:
+            nonlocal met
+            c = u << 40 | place << 24 | merged
+            at = np.searchsorted(met[0], c)
+            known = at < len(met[0])
+            known[known] = met[0][at[known]] == c[known]
+            fresh, first = np.unique(c[~known], return_index=True)
+            if len(fresh):
+                # in the order in which this round offers them, a unit's after each other
+                order = np.lexsort((first, fresh >> 40))
+                own = fresh[order] >> 40
+                n = np.bincount(own, minlength=len(unit))
+                nth = np.empty(len(fresh), np.int64)
+                nth[order] = count[own] + np.arange(len(own)) - (np.cumsum(n) - n)[own]
+                count[:] += n
+                where = np.searchsorted(met[0], fresh)
+                met = [np.insert(met[0], where, fresh), np.insert(met[1], where, nth)]
+                at = np.searchsorted(met[0], c)
+            mine = u << 16 | met[1][at]
+            hit = np.minimum(np.searchsorted(forced, mine), len(forced) - 1)
+            return forced[hit] != mine if len(forced) else np.ones(len(u), bool)
+
+        cut = encode_units(self.model, [self.units[k] for k in unit], [0] * len(unit), 0.0, stays)
+        c, nth = met
+        decided = skip + 1
+        own = c >> 40
+        keep = np.lexsort((nth, own))
+        keep = keep[nth[keep] >= decided[own[keep]]]
+        size = np.array([len(x) for x in cut]) // 4
+        n = np.bincount(own[keep], minlength=len(unit))
+        for column, values in ((self.unit, unit), (self.ids_at, self.ids.size + np.cumsum(size) - size), (self.ids_n, size), (self.open_at, self.open.size + np.cumsum(n) - n),
+                               (self.open_n, n), (self.decided, decided), (self.parent, parent), (self.skip, skip)):
+            column.add(values)
+        self.ids.add(np.frombuffer(b"".join(cut), "<i4"))
+        self.open.add(candidate_hash(c[keep] >> 24 & 0xFFFF, c[keep] & 0xFFFFFF))
+        self.child.add(np.full(len(keep), -1, np.int32))
+
+    def meet(self, units: list[str]) -> None:
+        """Roots of units that are new."""
+        for a in range(0, len(units), 20_000):
+            part = units[a : a + 20_000]
+            self.root.update(zip(part, range(len(self), len(self) + len(part))))
+            ids = np.arange(len(self.units), len(self.units) + len(part))
+            self.units += part
+            self.grow(ids, np.full(len(part), -1), np.full(len(part), -1))
+
+    def leaves(self, node: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+        """The nodes at which occurrences end that begin at these; -1 for those to be replayed."""
+        node, rows = node.copy(), np.arange(len(node))
+        while len(rows):
+            again = []
+            for a in range(0, len(rows), 1 << 14):
+                part = rows[a : a + (1 << 14)]
+                at, n = self.open_at.data[node[part]], self.open_n.data[node[part]]
+                hit = np.flatnonzero(falls(np.repeat(key[part], n), self.open.data[spread(at, n)], rate))
+                who = np.searchsorted(np.cumsum(n), hit, side="right")
+                first = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
+                who, hit = who[first], hit[first]
+                again.append((part[who], hit - (np.cumsum(n) - n)[who]))
+            rows, nth = (np.concatenate(x) for x in zip(*again))
+            edge = self.open_at.data[node[rows]] + nth
+            unmade = np.flatnonzero(self.child.data[edge] < 0)
+            new, at, times = np.unique(edge[unmade], return_index=True, return_counts=True)
+            asked = (times > 1) | (self.child.data[new] == -2)
+            self.child.data[new[~asked]] = -2
+            new, at = new[asked], unmade[at[asked]]
+            up, nth = node[rows[at]], nth[at]
+            for a in range(0, len(new), 20_000):
+                part = slice(a, a + 20_000)
+                self.child.data[new[part]] = np.arange(len(self), len(self) + len(new[part]))
+                self.grow(self.unit.data[up[part]], up[part], self.decided.data[up[part]] + nth[part])
+            node[rows] = np.maximum(self.child.data[edge], -1)
+            rows = rows[node[rows] >= 0]
+        return node
+
+
+def encode_all(texts: list[str], documents: int | list[int], path: str, seed: int = SEED, rate: float = RATE) -> list[np.ndarray]:
+    """Ids of each text, given the keys of the documents; a worker remembers about CACHE nodes of the units it met."""
+    model = _model(path)
+    trees = _trees.get(path) or _trees.setdefault(path, Trees(model))
+    documents = [documents] * len(texts) if isinstance(documents, int) else documents
+    if len(trees) > CACHE:
+        trees.clear()
     parts = [model.units(t) for t in texts]
-    new = {u for units in parts for u in units if u not in known}
-    if new and sum(map(len, _known.values())) + len(new) > CACHE:
-        for d in _known.values():
-            d.clear()
-        new = {u for units in parts for u in units}
-    new = list(new)
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        known.update(zip(part, encode_units(model, part, [unit_key(u, seed, variant) for u in part], rate)))
-    return [np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4") for units in parts]
+    trees.meet(list({u for units in parts for u in units if len(u) <= LONG and u not in trees.root}))
+    sizes = [len(units) for units in parts]
+    flat = [u for units in parts for u in units]
+    node = np.fromiter((trees.root.get(u, -1) for u in flat), np.int64, len(flat))
+    key = np.concatenate([np.zeros(0, np.uint64), *(occurrence_keys(d, n, seed) for d, n in zip(documents, sizes))])
+    if rate:
+        short = np.flatnonzero(node >= 0)
+        node[short] = trees.leaves(node[short], key[short], rate)
+    rest = np.flatnonzero(node < 0)
+    cut = []
+    for a in range(0, len(rest), 5_000):
+        part = rest[a : a + 5_000]
+        cut += encode_units(model, [flat[k] for k in part], key[part].tolist(), rate)
+    at, n = trees.ids_at.data[node], trees.ids_n.data[node]
+    kept = trees.ids.size
+    n[rest] = [len(x) // 4 for x in cut]
+    at[rest] = kept + np.cumsum(n[rest]) - n[rest]
+    trees.ids.add(np.frombuffer(b"".join(cut), "<i4"))
+    ids = trees.ids.data[spread(at, n)]
+    trees.ids.size = kept  # only those of nodes stay
+    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *sizes])].tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def decode(ids: list[int], path: str) -> str:
@@ -235,19 +394,20 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         for batch in batches:
-            variants, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a in range(0, len(texts), 1024):
                 part = texts[a : a + 1024]
                 got: list[np.ndarray | None] = [None] * len(part)
-                for v in range(VARIANTS):
-                    rows = [k for k, t in enumerate(part) if variants[a + k] == v and t is not None]
-                    for k, ids in zip(rows, encode_all([part[k] for k in rows], v, path, seed, rate)):
+                rows = [k for k, t in enumerate(part) if t is not None]
+                for b in range(0, len(rows), 128):
+                    own = rows[b : b + 128]
+                    for k, ids in zip(own, encode_all([part[k] for k in own], [keys[a + k] for k in own], path, seed, rate)):
                         got[k] = ids
                 same = [t is None or decode(ids.tolist(), path) == t for t, ids in zip(part, got)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(got, pa.list_(pa.int32())), pa.array(same)], [id_col, "pieces", "lossless"])
 
-    variant = F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(VARIANTS)), F.lit(0))
-    base = docs.select(F.col(id_col), variant.alias("_variant"), F.col(text_col).cast("string").alias("_text"))
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col))).otherwise(F.xxhash64(F.col(text_col)))
+    base = docs.select(F.col(id_col), key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
     return base.mapInArrow(run, T.StructType([base.schema.fields[0], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())]))
 
 

@@ -265,6 +265,20 @@ def test_pieces(docs, odd, none):
     assert sorted(map(repr, (r.decoded for r in back))) == sorted(map(repr, (t for _, t in ROWS)))
 
 
+def test_dropout_of_every_occurrence(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, text = pieces._model(path), "the international understanding " * 200 + "y" * 70
+    rows = spark.createDataFrame([(k, text) for k in range(20)] + [(None, text), (None, text + " z")], "doc_id long, text string")
+    got = pieces.encode_documents(rows, path).collect()
+    assert all(r.lossless for r in got) and len({tuple(r.pieces) for r in got}) == len(got)
+    units = model.units(text)
+    for d in (3, -4):
+        key = pieces.occurrence_keys(d, len(units), 17).tolist()
+        cut = [tuple(pieces.agenda(model, u, k, 0.1)) for u, k in zip(units, key)]
+        assert pieces.encode_all(["a b", text], [9, d], path)[1].tolist() == [i for c in cut for i in c]
+        assert len({c for u, c in zip(units, cut) if u == " understanding"}) > 5
+
+
 def test_decontamination(spark, docs, odd, none):
     bench = common.table(spark, SF, "benchmark")
     items = [(r.item_id, decontaminate.words(r.text)) for r in bench.collect()]
