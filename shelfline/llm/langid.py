@@ -1,8 +1,8 @@
 """Language ID by compression: each language has a zstandard raw-content dictionary, and a text belongs to the language
 whose dictionary compresses it best.
 
-Dictionaries come from a bounded sample of labelled rows (SAMPLE rows of a language, PIECE characters from the middle of
-each, DICT bytes in all); prediction covers whole texts, in blocks of BLOCK bytes so that a long text cannot become its
+Dictionaries come from a bounded sample of the distinct labelled texts (about SAMPLE texts of a language, all of them where
+there are fewer, PIECE characters from the middle of each, DICT bytes in all); every label is learned.  Prediction covers whole texts, in blocks of BLOCK bytes so that a long text cannot become its
 own dictionary.  The relative gap between the best and the second size is the margin; narrow margins are rejected.
 
 Edge cases: a null text or one without a letter is `und`, score 0, rejected; with no labelled row every text is `und`;
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, PIECE, DICT, BLOCK, LANGUAGES = 160, 1200, 112 * 1024, 4096, 256
+SAMPLE, PIECE, DICT, BLOCK = 160, 1200, 112 * 1024, 4096
 SLOTS = 1 << 40       # places of the hash sample
 MARGIN = 0.002
 UND = "und"
@@ -35,16 +35,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", use: Co
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if use is not None:
         rows = rows.where(use)
-    # the LANGUAGES commonest labels are learned; their counts come to the driver, so that the sample is a filter of the scan
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    # the sample is a filter of the scan by a hash of the text, which copies share: its rate comes from the distinct texts,
+    # and the margin over SAMPLE covers the error of their estimated number, so that the sample does not run short
+    rows = rows.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(SLOTS)).alias("_slot"))
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_slot", 0.05).alias("n")).collect()
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], min(SLOTS, int(SAMPLE * SLOTS / r["count"]) + 1))))
-    middle = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((F.char_length(text_col) - PIECE) / 2).cast("int")), F.lit(PIECE))
-    slot = F.pmod(F.xxhash64(F.col(text_col)), F.lit(SLOTS))
-    picked = rows.where(slot < F.coalesce(share[F.col(lang_col)], F.lit(0))).select(F.col(lang_col).alias("_lang"), slot.alias("_slot"), middle.alias("_piece"))
-    # copies of one text share its slot and count once; the limit only bounds what reaches the driver
-    picked = picked.groupBy("_lang", "_slot").agg(F.min("_piece").alias("_piece")).orderBy("_slot", "_lang").limit(SAMPLE * LANGUAGES)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["_lang"], SLOTS if r["n"] <= 2 * SAMPLE else int(1.5 * SAMPLE * SLOTS / r["n"]) + 1)))
+    middle = F.substring(F.col("_text"), F.greatest(F.lit(1), F.floor((F.char_length("_text") - PIECE) / 2).cast("int")), F.lit(PIECE))
+    picked = rows.where(F.col("_slot") < share[F.col("_lang")]).select("_lang", "_slot", middle.alias("_piece"))
+    # copies of one text share its slot and count once
+    picked = picked.groupBy("_lang", "_slot").agg(F.min("_piece").alias("_piece"))
+    picked = picked.groupBy("_lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("_slot", "_piece"))), 1, SAMPLE).alias("_few")).select("_lang", F.posexplode("_few").alias("_at", "_one"))
+    picked = picked.select("_lang", F.col("_one._slot").alias("_slot"), F.col("_one._piece").alias("_piece")).orderBy("_slot", "_lang")
     out: dict[str, bytes] = {}
     for lang, _, piece in picked.select("_lang", "_slot", "_piece").collect():
         out[lang] = (out.get(lang, b"") + b" " + plain(piece))[:DICT]

@@ -164,6 +164,16 @@ def test_language(docs, odd, none):
     assert langid.op9_language_id(none).count() == 0
 
 
+def test_language_of_copies(spark):
+    """A language whose rows are mostly copies, and one of few texts, get whole dictionaries."""
+    rng = np.random.default_rng(5)
+    text = lambda tag: " ".join(tag + "".join(rng.choice(list("abcdefghij"), 6)) for _ in range(150))
+    rows = [("rare", text("q"))] * 3000 + [("many", text("z"))] * 5000 + [("many", text("z")) for _ in range(400)]
+    rows += [(f"l{k:03}", text("v")) for k in range(300)]
+    got = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(got) == 302 and len(got["rare"]) > 1000 and len(got["many"]) > 0.95 * langid.DICT
+
+
 def test_license(docs, odd, none):
     want = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     expected = {(r.doc_id, k, want[line]) for r in docs.collect() for k, line in enumerate((r.text or "").split("\n")) if line in want}
