@@ -4,11 +4,13 @@ Texts are sequences of lower-case words.  A CGK embedding reads a window with a
 pointer is written and a random bit of (j, word) says whether the pointer moves on.  Few edits change few written words,
 so edit distance becomes Hamming distance.  A key is the words written at a few sampled steps; windows that agree with an
 item on a key of any repetition are candidates, and the number of repetitions is set from edited copies of the items so
-that TARGET of those at the allowed distance are met.  Candidates are verified by exact word edit distance.
+that TARGET of those at the allowed distance are met, for each size and number of shares; when MOST_REPEATS do not, it fails.  Candidates are verified by exact word edit distance.
 
-Windows have the size of the items: an item of n words belongs to the largest size of a geometric list not above n, and
-is indexed by all its windows of that size; documents are read at every word.  Before the walk, windows are dropped that
-hold too few of the benchmark's word pairs to be within the allowed distance of any item: an edit breaks two at most.
+Windows have the size of the items or, for items that are longer than LONGEST words, of equal shares of them: one of the
+shares holds no more than its part of the edits.  An item whose shares have n words belongs to the largest size of a
+geometric list not above n, and is indexed by all its windows of that size; documents are read at every word.  Before the
+walk, windows are dropped that hold too few of the benchmark's word pairs to be within the allowed distance of a share: an
+edit breaks two at most.
 
 A document is contaminated by an item when some stretch of it is within ERRORS * (words of the item) word edits.
 
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ERRORS, TARGET, LEAST = 0.2, 0.995, 5
-SAMPLES, MOST_REPEATS = 4, 64
+SAMPLES, MOST_REPEATS = 4, 1000
+LONGEST = 40
+COPIES, TRIED = 400, 200_000  # copies the repetitions are set from, and windows of theirs beyond which no item is added
 PAIR_BITS = 22
 PART, CHUNK = 4_000_000, 4_000_000
 SEED = 20240613
@@ -48,6 +52,11 @@ def size_class(n: int) -> int:
     return w
 
 
+def shares(n: int) -> int:
+    """Shares of an item of n words."""
+    return -(-n // LONGEST)
+
+
 def allowed(n: int) -> int:
     return int(ERRORS * n)
 
@@ -116,8 +125,9 @@ class Finder:
             x = np.array(item)
             self.pairs[self._pair(x)] = True
         self.classes = {}
-        for size in sorted({size_class(len(x)) for x in self.items}):
-            self.classes[size] = self._class(size, [k for k, x in enumerate(self.items) if size_class(len(x)) == size], total)
+        size_of = [size_class(len(x) // shares(len(x))) for x in self.items]
+        for size in sorted(set(size_of)):
+            self.classes[size] = self._class(size, [k for k, s in enumerate(size_of) if s == size], total)
         self.pad = 1 + max((allowed(len(x)) for x in self.items), default=0)
 
     def _class(self, size: int, own: list[int], total: int):
@@ -132,9 +142,9 @@ class Finder:
             walk = Walk(size, r, total)
             key = walk.keys(flat, start)
             order = np.argsort(key, kind="stable")
-            tables.append((walk, key[order], item[order], offset[order]))
-        # a window within reach of an item holds at least so many of the benchmark's word pairs
-        return tables, size - 1 - 2 * max(allowed(len(self.items[k])) for k in own)
+            tables.append((walk, key[order], order.astype(np.int32)))
+        # a window within reach of a share holds at least so many of the benchmark's word pairs
+        return tables, item, offset, size - 1 - 2 * max(allowed(len(x)) // shares(len(x)) for x in map(self.items.__getitem__, own))
 
     @staticmethod
     def _pair(x: np.ndarray) -> np.ndarray:
@@ -142,27 +152,39 @@ class Finder:
         return h >> np.uint64(64 - PAIR_BITS)
 
     def _repeats(self, size: int, own: list[int], total: int) -> int:
-        """Repetitions that meet TARGET of copies with the allowed number of random edits; from 200 items at most."""
+        """Repetitions that meet TARGET of copies with the allowed number of random edits, whatever their number of shares."""
         rng = np.random.default_rng([SEED, size])
-        picked = [own[k] for k in rng.permutation(len(own))[:200]]
-        pairs = []
-        for k in picked:
-            for _ in range(4):
-                x = list(self.items[k])
+        groups: dict[int, list[int]] = {}
+        for k in rng.permutation(own).tolist():
+            groups.setdefault(shares(len(self.items[k])), []).append(k)
+        most = 0
+        for group in groups.values():
+            length = np.cumsum([len(self.items[k]) * max(4, -(-COPIES // len(group))) for k in group])
+            picked = group[: max(1, int(np.searchsorted(length, TRIED)))][:COPIES]
+            flat, start, copy, at = [], [], [], 0
+            for c in range(len(picked) * max(4, -(-COPIES // len(picked)))):
+                item = self.items[picked[c % len(picked)]]
+                x = list(item)
                 for _ in range(allowed(len(x))):
                     p, kind = int(rng.integers(len(x))), int(rng.integers(3))
                     x[p : p + (kind != 1)] = [] if kind == 0 else [0]
-                pairs.append((self.items[k][:size], (x + [1] * size)[:size]))
-        a, b = (np.concatenate([np.array(p[s]) for p in pairs]) for s in (0, 1))
-        start = np.arange(len(pairs)) * size
-        met, missed = 0, np.ones(len(pairs), bool)
-        for r in range(MOST_REPEATS):
-            walk = Walk(size, r, total)
-            missed &= walk.keys(a, start) != walk.keys(b, start)
-            met = 1 - missed.mean()
-            if met >= TARGET:
-                return r + 1
-        return MOST_REPEATS
+                for side, y in ((0, item), (1, x)):
+                    begin = np.arange(len(item) - size + 1 if not side else max(1, len(y)))
+                    flat.append(np.array(y + [1] * size)), start.append(at + begin), copy.append(np.full(len(begin), 2 * c + side))
+                    at += len(y) + size
+            flat, start, copy = (np.concatenate(v) for v in (flat, start, copy))
+            missed = np.ones(c + 1, bool)
+            for r in range(MOST_REPEATS):
+                live = missed[copy >> 1]
+                key, of = Walk(size, r, total).keys(flat, start[live]), copy[live]
+                key = key ^ (of >> 1).astype(np.uint64) * _MULTIPLY  # keys count within a copy only
+                missed[of[(of & 1 == 1) & np.isin(key, key[of & 1 == 0])] >> 1] = False
+                if 1 - missed.mean() >= TARGET:
+                    most = max(most, r + 1)
+                    break
+            else:
+                raise ValueError(f"{MOST_REPEATS} repetitions meet {1 - missed.mean():.4f} of copies in windows of {size} words, not {TARGET}")
+        return most
 
     def ids_of(self, text: str | None) -> np.ndarray:
         ws = words(text)
@@ -178,7 +200,7 @@ class Finder:
         known = self.pairs[self._pair(tok)] & (tok[:-1] > 1) & (tok[1:] > 1)
         pairs = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
         found = {}
-        for size, (tables, least) in self.classes.items():
+        for size, (tables, item, offset, least) in self.classes.items():
             # pairs[k] counts those that start before k; a window of that size starts size - 1 of them
             span = min(size - 1, len(pairs) - 1)
             begin = np.flatnonzero(np.concatenate([pairs[span:], np.full(span, pairs[-1])])[: len(tok)] - pairs[: len(tok)] >= least)
@@ -186,12 +208,12 @@ class Finder:
             if not len(begin):
                 continue
             seen = set()
-            for walk, key, item, offset in tables:
+            for walk, key, order in tables:
                 asked = walk.keys(tok, begin)
                 low, high = np.searchsorted(key, asked), np.searchsorted(key, asked, side="right")
                 for k in np.flatnonzero(high > low):
                     for h in range(low[k], high[k]):
-                        seen.add((int(of[begin[k]]), int(item[h]), int(begin[k] - offset[h])))
+                        seen.add((int(of[begin[k]]), int(item[order[h]]), int(begin[k] - offset[order[h]])))
             for t, i, at in sorted(seen):
                 self._verify(found, t, i, at, tok, int(first[t]), int(size_of[t]))
         return [(t, i, a, b, d) for (t, i), (d, a, b, _) in sorted(found.items())]

@@ -316,6 +316,20 @@ def test_decontamination_recall(spark):
     assert met >= 0.9 * len(items)
 
 
+def test_decontamination_recall_of_long_items():
+    rng = np.random.default_rng(11)
+    for size in (50, 97, 189, 300):
+        items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 3000, size))) for k in range(25)]
+        finder, met = decontaminate.Finder(items), 0
+        for i, text in items * 4:
+            x = text.split()
+            for _ in range(decontaminate.allowed(size)):
+                p, kind = int(rng.integers(len(x))), int(rng.integers(3))
+                x[p : p + (kind != 1)] = [] if kind == 0 else ["zzz"]
+            met += any(finder.ids[g[1]] == i for g in finder.search([finder.ids_of(" ".join(["foo", "bar"] * 20 + x + ["baz"] * 30))]))
+        assert met >= 98, (size, met)
+
+
 def test_infix_distance():
     rng = np.random.default_rng(7)
     for _ in range(200):
