@@ -1,5 +1,5 @@
 """Queries of this subpackage, by name, and SQL for those that SQL can express on whole tables."""
-from . import decontaminate, embed_dedup, langid, licenses, minhash, pieces, pii, ppm, token_files, urls
+from . import decontaminate, embed_dedup, langid, licenses, minhash, pieces, pii, ppm, resample, token_counts, token_files, urls, vector_codes
 from .common import table
 
 
@@ -18,5 +18,8 @@ QUERIES = {
     "op8_url_filter": lambda spark, sf_dir: urls.op8_url_filter(table(spark, sf_dir, "pages")),
     "op9_language_id": _docs(langid.op9_language_id),
     "op10_minhash_dedup": _docs(minhash.op10_minhash_dedup),
+    "op11_resampling": lambda spark, sf_dir: resample.op11_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_token_counts": _docs(token_counts.op12_token_counts),
+    "op13_vector_codes": lambda spark, sf_dir: vector_codes.op13_vector_codes(table(spark, sf_dir, "embeddings")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_resampling": resample.oracle(), "op13_vector_codes": vector_codes.oracle()}
