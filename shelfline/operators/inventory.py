@@ -22,19 +22,23 @@ def _abc(share: Column) -> Column:
     return F.when(share <= ABC_LIMITS[0], "A").when(share <= ABC_LIMITS[1], "B").otherwise("C")
 
 
+def class_columns(factor: float) -> list[Column]:
+    """Aggregates of a SKU's rows that its classes come from."""
+    price = F.coalesce("unit_price", "unit_cost", F.lit(1.0))
+    mean = F.avg("demand")
+    return [(F.coalesce(F.sum(F.col("demand") * price), F.lit(0.0)) / F.count(F.lit(1)) * factor).alias("revenue_annual"),
+            F.when(F.coalesce(mean, F.lit(0.0)) == 0, 0.0)
+            .otherwise(F.coalesce(F.nanvl(F.stddev_samp("demand"), F.lit(0.0)), F.lit(0.0)) / mean).alias("cv_demand")]
+
+
 def abc_xyz(df: DataFrame, factor: float) -> DataFrame:
     """Pareto class on annual revenue (cumulative share inclusive of the SKU) and
     variability class per SKU."""
-    price = F.coalesce("unit_price", "unit_cost", F.lit(1.0))
-    mean = F.avg("demand")
-    per = df.groupBy("sku_id").agg(
-        (F.coalesce(F.sum(F.col("demand") * price), F.lit(0.0)) / F.count(F.lit(1)) * factor).alias("revenue_annual"),
-        F.when(F.coalesce(mean, F.lit(0.0)) == 0, 0.0)
-        .otherwise(F.coalesce(F.nanvl(F.stddev_samp("demand"), F.lit(0.0)), F.lit(0.0)) / mean).alias("cv_demand"))
-    return _classed(per)
+    return classed(df.groupBy("sku_id").agg(*class_columns(factor)))
 
 
-def _classed(per: DataFrame) -> DataFrame:
+def classed(per: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Classes of (sku_id, revenue_annual, cv_demand) rows; `keep` names columns to pass on."""
     ranked = running_total(per, [F.desc("revenue_annual"), F.asc("sku_id")], F.col("revenue_annual"), "_cum")
     total = ranked.agg(F.sum("revenue_annual")).scalar()
     share = F.when(total <= 0, 0.0).otherwise(F.col("_cum") / total)
@@ -43,7 +47,7 @@ def _classed(per: DataFrame) -> DataFrame:
         "sku_id", _abc(share).alias("abc_class"),
         F.when(cv < XYZ_LIMITS[0], "X").when(cv < XYZ_LIMITS[1], "Y").otherwise("Z").alias("xyz_class"),
         "revenue_annual", "cv_demand",
-        (F.col("revenue_annual") / F.greatest(total, F.lit(1e-9))).alias("revenue_share"))
+        (F.col("revenue_annual") / F.greatest(total, F.lit(1e-9))).alias("revenue_share"), *keep)
 
 
 def abc_xyz_heatmap(classes: DataFrame) -> DataFrame:
@@ -75,22 +79,25 @@ def abc_migration(df: DataFrame) -> DataFrame:
 def sku_state(df: DataFrame) -> DataFrame:
     """Latest attributes, recent demand and lead-time moments of each SKU.
 
-    `last_*` are the values of the last row, `known_*` the last non-null ones."""
-    back = F.row_number().over(W.partitionBy("sku_id").orderBy(F.desc("date")))
-    rows = df.withColumn("_back", back)
-    recent = F.when(F.col("_back") <= RECENT_ROWS, F.col("demand"))
-    last = lambda c: F.max(F.when(F.col("_back") == 1, F.col(c))).alias(f"last_{c}")
-    known = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("date", c))).getField(c).alias(f"known_{c}")
+    `last_*` are the values of the last row, `known_*` the last non-null ones: partial aggregates, like the counts and
+    means.  Recent demand needs the last RECENT_ROWS rows alone, which are picked before the exchange (a ranking with a
+    limit), so no row of the panel travels whole."""
+    at = ("demand", "on_hand", "unit_cost", "unit_price", "lead_time_days", "supplier", "category")
     lt = F.col("lead_time_days")
-    return rows.groupBy("sku_id").agg(
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"known_{c}")
+    whole = df.groupBy("sku_id").agg(
         F.count(F.lit(1)).alias("n_obs"), F.min("date").alias("date_min"), F.max("date").alias("date_max"),
-        F.avg("demand").alias("mean_demand"), F.sum("demand").alias("sum_demand"),
-        F.avg(recent).alias("mean_recent"), F.stddev_pop(recent).alias("std_recent"),
-        F.avg(F.when(F.col("_back") <= 8, F.col("demand"))).alias("mean_last8"),
-        *[last(c) for c in ("demand", "on_hand", "unit_cost", "unit_price", "lead_time_days", "supplier", "category")],
+        F.avg("demand").alias("mean_demand"), F.sum("demand").alias("sum_demand"), F.max_by(F.struct(*at), "date").alias("_last"),
         *[known(c) for c in ("unit_cost", "unit_price", "on_hand", "lead_time_days")],
         F.avg("unit_cost").alias("mean_cost"), F.avg("unit_price").alias("mean_price"),
         F.count(lt).alias("lt_n"), F.avg(lt).alias("lt_mean"), F.stddev_pop(lt).alias("lt_std"))
+    back = F.row_number().over(W.partitionBy("sku_id").orderBy(F.desc("date")))
+    recent = df.select("sku_id", "date", "demand").withColumn("_back", back).where(F.col("_back") <= RECENT_ROWS).groupBy("sku_id").agg(
+        F.avg("demand").alias("mean_recent"), F.stddev_pop("demand").alias("std_recent"),
+        F.avg(F.when(F.col("_back") <= 8, F.col("demand"))).alias("mean_last8"))
+    j = whole.join(recent, "sku_id")
+    plain = [c for c in whole.columns if c not in ("sku_id", "_last")]
+    return j.select("sku_id", *plain, "mean_recent", "std_recent", "mean_last8", *[F.col("_last")[c].alias(f"last_{c}") for c in at])
 
 
 def latest_by_sku(df: DataFrame) -> DataFrame:

@@ -1,15 +1,16 @@
-"""Lead-time demand, order policies, schedules and recommendations."""
+"""Lead-time demand, order policies, schedules and recommendations.
+
+Distributions are lattices (`functions.lattice`): an array of chances and the width of a cell, in the SKU's row."""
 import math
 
 import numpy as np
 import pandas as pd
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import arrays as A
+from ..functions import arrays as A, lattice as L
 from ..functions.stats import gamma_ppf
 from ..schema import PERIOD_DAYS, PERIODS_PER_YEAR, QUANTILE_COLS, QUANTILE_LEVELS
-from .inventory import abc_xyz, sku_state
+from .inventory import class_columns, classed, sku_state
 
 # fixed values: service levels of the frontier
 SERVICE_LEVELS = (0.85, 0.90, 0.93, 0.95, 0.97, 0.98, 0.99)
@@ -25,14 +26,19 @@ ECON_COLS = ("holding_cost_rate", "order_cost_default", "markup_default", "defau
 
 # ---- lead time --------------------------------------------------------------------------------
 
+def gamma_columns(n: Column, m: Column, v: Column, fallback_mean=14.0, fallback_cv: float = 0.2) -> tuple[Column, Column]:
+    """(shape, scale) by moments of n positive observations; fewer than three use the fallback."""
+    cv2 = max(0.001, fallback_cv ** 2)
+    few, flat = n < 3, v < 1e-9
+    return (F.when(few, 1 / cv2).when(flat, 1e3).otherwise(m * m / v), F.when(few, fallback_mean * cv2).when(flat, m / 1e3).otherwise(v / m))
+
+
 def lead_time_gamma(df: DataFrame, fallback_mean: float = 14.0, fallback_cv: float = 0.2) -> DataFrame:
     """Gamma by moments on positive observations; fewer than three use the fallback."""
     lt = F.when(F.col("lead_time_days") > 0, F.col("lead_time_days"))
     g = df.groupBy("sku_id").agg(F.count(lt).alias("n"), F.avg(lt).alias("m"), F.var_samp(lt).alias("v"))
-    cv2 = max(0.001, fallback_cv ** 2)
-    few, flat = F.col("n") < 3, F.col("v") < 1e-9
-    return g.select("sku_id", F.when(few, 1 / cv2).when(flat, 1e3).otherwise(F.col("m") * F.col("m") / F.col("v")).alias("shape"),
-                    F.when(few, fallback_mean * cv2).when(flat, F.col("m") / 1e3).otherwise(F.col("v") / F.col("m")).alias("scale"))
+    shape, scale = gamma_columns(F.col("n"), F.col("m"), F.col("v"), F.lit(fallback_mean), fallback_cv)
+    return g.select("sku_id", shape.alias("shape"), scale.alias("scale"))
 
 
 def gamma_summary(g: DataFrame) -> DataFrame:
@@ -71,36 +77,72 @@ def demand_grid(fc: DataFrame, draws: int = 128) -> DataFrame:
         _u(F.col("step"), F.col("draw")), [F.col(c) for c in QUANTILE_COLS]).alias("demand"))
 
 
-def ltd_draws(fc: DataFrame, lt: DataFrame, freq: str, draws: int = 128) -> DataFrame:
-    """Demand over the lead time, one value per SKU and draw.
+LEAD_POINTS, CELLS = 32, 128  # equally likely lead times of a SKU; cells of its lattice
+
+
+def forecast_steps(fc: DataFrame) -> DataFrame:
+    """One row per SKU: points and ascending quantile arrays in step order."""
+    quantiles = F.array_sort(F.array(*[F.col(c) for c in QUANTILE_COLS]))
+    rows = fc.groupBy("sku_id").agg(F.sort_array(F.collect_list(F.struct("step", "point", quantiles.alias("q")))).alias("_s"))
+    return rows.select("sku_id", F.transform("_s", lambda x: x["point"]).alias("point"), F.transform("_s", lambda x: x["q"]).alias("steps"))
+
+
+def lead_periods_points(shape: Column, scale: Column, freq: str, points: int = LEAD_POINTS) -> Column:
+    """Quantiles of the lead time at the middles of equal shares, in periods."""
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: gamma_ppf((k + 0.5) / points, shape, scale) / PERIOD_DAYS[freq])
+
+
+def _stacked(arrays: pd.Series, width: int = 1) -> np.ndarray:
+    """Rows x places x width from flat arrays; shorter ones repeat their last place."""
+    n = max(map(len, arrays)) // width
+    out = np.empty((len(arrays), n, width))
+    for i, a in enumerate(arrays):
+        a = np.asarray(a, float).reshape(-1, width)
+        out[i, : len(a)], out[i, len(a) :] = a, a[-1]
+    return out
+
+
+BATCH = 1024  # rows that are worked on at once
+
+
+def _ltd_udf(cells: int):
+    def run(steps: pd.Series, lead: pd.Series) -> pd.DataFrame:
+        given = np.flatnonzero(steps.notna() & lead.notna())
+        width, chances = np.full(len(steps), None, object), np.full(len(steps), None, object)
+        for a in range(0, len(given), BATCH):
+            i = given[a : a + BATCH]
+            w, p = L.lead_time_demand(_stacked(steps.iloc[i], len(QUANTILE_COLS)), _stacked(lead.iloc[i])[:, :, 0], cells)
+            for k, row in enumerate(i):
+                width[row], chances[row] = w[k], p[k, : np.flatnonzero(p[k])[-1] + 1]
+        return pd.DataFrame({"width": width, "p": chances})
+
+    return F.pandas_udf(run, "width double, p array<double>")
+
+
+def ltd_columns(steps: Column, shape: Column, scale: Column, freq: str, cells: int = CELLS) -> Column:
+    """struct(width, p) of a SKU's lead-time demand; null where an input is."""
+    return _ltd_udf(cells)(F.flatten(steps), F.when(shape.isNotNull() & scale.isNotNull(), lead_periods_points(shape, scale, freq)))
 
-    Draw d pairs the (d + 0.5) / draws quantile of the lead time with its demand path;
-    a step counts in full, in part or not at all.  The forecast rows of a SKU are put
-    next to its lead time first, so grid and sum stay in the SKU's partition."""
-    steps = fc.groupBy("sku_id").agg(F.collect_list(F.struct("step", *QUANTILE_COLS)).alias("_f"))
-    j = steps.join(lt.select("sku_id", "shape", "scale"), "sku_id")
-    j = j.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    j = j.withColumn("_p", (F.col("draw") + 0.5) / draws)
-    j = j.withColumn("_l", gamma_ppf(F.col("_p"), F.col("shape"), F.col("scale")) / PERIOD_DAYS[freq])
-    r = j.select("sku_id", "draw", "_l", F.inline("_f"))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_l") - (F.col("step") - 1)))
-    d = interpolate(_u(F.col("step"), F.col("draw")), [F.col(c) for c in QUANTILE_COLS])
-    return r.groupBy("sku_id", "draw").agg(F.sum(share * d).alias("ltd"))
 
+def with_moments(t: DataFrame, name: str) -> DataFrame:
+    """The struct column `name` with mean and std of its distribution added."""
+    d = F.col(name)
+    return t.withColumn(name, F.when(d["p"].isNotNull(), F.struct(d["width"].alias("width"), d["p"].alias("p"), L.mean(d["p"], d["width"]).alias("ltd_mean"), L.std(d["p"], d["width"]).alias("ltd_std"))))
 
-def ltd_distribution(fc: DataFrame, lt: DataFrame, freq: str, draws: int = 128) -> DataFrame:
-    """Sorted draws of each SKU with mean and std; `draws` values per row."""
-    d = ltd_draws(fc, lt, freq, draws)
-    return d.groupBy("sku_id").agg(F.sort_array(F.collect_list("ltd")).alias("samples"),
-                                   F.avg("ltd").alias("ltd_mean"), F.stddev_pop("ltd").alias("ltd_std"))
 
+def ltd_distribution(fc: DataFrame, lt: DataFrame, freq: str, cells: int = CELLS) -> DataFrame:
+    """Lead-time demand of each SKU as chances `p` of the multiples of `width`, with mean and std.
 
-def _above(a: Column, x: Column) -> Column:
-    return F.size(F.filter(a, lambda v: v > x)) / F.size(a)
+    Period demands are convolved and mixed over the lead time; a lead time past the horizon repeats the last step."""
+    j = forecast_steps(fc).join(lt.select("sku_id", "shape", "scale"), "sku_id")
+    j = j.select("sku_id", ltd_columns(F.col("steps"), F.col("shape"), F.col("scale"), freq, cells).alias("_d"))
+    return with_moments(j, "_d").select("sku_id", "_d.*")
 
 
-def _shortage(a: Column, x: Column) -> Column:
-    return A.mean(F.transform(a, lambda v: F.greatest(F.lit(0.0), v - x)))
+def ltd_cells(ltd: DataFrame) -> DataFrame:
+    """One row per SKU and cell that can happen: value, chance and cumulated chance."""
+    rows = ltd.select("sku_id", "width", F.posexplode(F.arrays_zip("p", L.running(F.col("p")).alias("cum"))).alias("cell", "_x"))
+    return rows.select("sku_id", "cell", (F.col("cell") * F.col("width")).alias("value"), F.col("_x.p").alias("p"), F.col("_x.cum").alias("cum")).where("p > 1e-12")
 
 
 # ---- closed forms ---------------------------------------------------------------------------------
@@ -120,113 +162,161 @@ def eoq(df: DataFrame) -> DataFrame:
                      (e["holding_cost"] + e["ordering_cost"]).alias("total_cost_annual"))
 
 
+def _clamped(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def qr_columns(p: Column, width: Column, ltd_mean: Column, demand: Column, order_cost: Column, holding: Column, level: Column) -> Column:
+    """struct of (Q,R) figures."""
+    e = eoq_columns(demand, order_cost, holding)
+
+    def at(v):
+        q, r = v["q"], v["r"]
+        safety = F.greatest(F.lit(0.0), r - ltd_mean)
+        hold = (q / 2 + safety) * holding
+        fill = F.when(ltd_mean > 0, 1 - L.shortage(p, width, r) / ltd_mean).otherwise(1.0)
+        return F.struct(q.alias("q"), r.alias("r"), safety.alias("safety_stock"), L.chance_above(p, width, r).alias("stockout_prob"), _clamped(fill).alias("fill_rate"),
+                        hold.alias("holding_cost_annual"), (hold + demand / q * order_cost).alias("total_cost_annual"))
+
+    return L.let(F.struct(e["q"].alias("q"), L.quantile(p, width, level).alias("r")), at)
+
+
 def qr_policy(t: DataFrame) -> DataFrame:
-    """(Q,R) from (samples, annual_demand, order_cost, holding_cost, service_level)."""
-    a = F.col("samples")
-    e = eoq_columns(F.col("annual_demand"), F.col("order_cost"), F.col("holding_cost"))
-    t = t.withColumns({"q": e["q"], "r": A.at_level(a, F.col("service_level")), "_m": A.mean(a)})
-    t = t.withColumn("safety_stock", F.greatest(F.lit(0.0), F.col("r") - F.col("_m")))
-    fill = F.when(F.col("_m") > 0, 1 - _shortage(a, F.col("r")) / F.col("_m")).otherwise(1.0)
-    hold = (F.col("q") / 2 + F.col("safety_stock")) * F.col("holding_cost")
-    return t.select("sku_id", "service_level", "q", "r", "safety_stock", _above(a, F.col("r")).alias("stockout_prob"),
-                    F.greatest(F.lit(0.0), F.least(F.lit(1.0), fill)).alias("fill_rate"), hold.alias("holding_cost_annual"),
-                    (hold + F.col("annual_demand") / F.col("q") * F.col("order_cost")).alias("total_cost_annual"))
+    """(Q,R) from (p, width, ltd_mean, annual_demand, order_cost, holding_cost, service_level)."""
+    c = F.col
+    r = qr_columns(c("p"), c("width"), c("ltd_mean"), c("annual_demand"), c("order_cost"), c("holding_cost"), c("service_level"))
+    return t.select("sku_id", "service_level", r.alias("_r")).select("sku_id", "service_level", "_r.*")
+
+
+def newsvendor_columns(p: Column, width: Column, under: Column, over: Column) -> Column:
+    """struct of the newsvendor quantity and its expected costs; null unless both costs are positive."""
+
+    def at(v):
+        q = v["q"]
+        short, left = L.shortage(p, width, q) * under, L.surplus(p, width, q) * over
+        return F.struct(v["ratio"].alias("critical_ratio"), q.alias("q"), short.alias("underage_cost"), left.alias("overage_cost"), (short + left).alias("total_cost"))
+
+    ratio = under / (under + over)
+    return F.when((under > 0) & (over > 0), L.let(F.struct(ratio.alias("ratio"), L.quantile(p, width, ratio).alias("q")), at))
 
 
 def newsvendor(t: DataFrame) -> DataFrame:
-    """From (samples sorted, underage, overage)."""
-    a = F.col("samples")
-    t = t.where((F.col("underage") > 0) & (F.col("overage") > 0)).withColumn(
-        "critical_ratio", F.col("underage") / (F.col("underage") + F.col("overage")))
-    t = t.withColumn("q", A.at_level(a, F.col("critical_ratio")))
-    over = A.mean(F.transform(a, lambda v: F.greatest(F.lit(0.0), F.col("q") - v)))
-    return t.select("sku_id", "critical_ratio", "q", (_shortage(a, F.col("q")) * F.col("underage")).alias("underage_cost"),
-                    (over * F.col("overage")).alias("overage_cost"),
-                    (_shortage(a, F.col("q")) * F.col("underage") + over * F.col("overage")).alias("total_cost"))
+    """From (p, width, underage, overage)."""
+    c = F.col
+    return t.select("sku_id", newsvendor_columns(c("p"), c("width"), c("underage"), c("overage")).alias("_r")).where("_r is not null").select("sku_id", "_r.*")
 
 
 def newsvendor_hist(df: DataFrame, salvage: float = 0.0) -> DataFrame:
-    """Newsvendor quantity of each SKU on its own demand history."""
-    st = sku_state(df).select("sku_id", F.coalesce("known_unit_cost", F.lit(1.0)).alias("c"), "known_unit_price")
-    s = df.groupBy("sku_id").agg(F.sort_array(F.collect_list("demand")).alias("samples")).join(st, "sku_id")
-    price = F.coalesce(F.col("known_unit_price"), F.col("c") * 1.5)
-    s = s.withColumns({"underage": F.greatest(F.lit(0.01), price - F.col("c")),
-                       "overage": F.greatest(F.lit(0.01), F.col("c") - salvage)})
-    n = newsvendor(s).select("sku_id", "critical_ratio", F.col("q").alias("optimal_qty"))
-    return s.select("sku_id", "underage", "overage").join(n, "sku_id")
+    """Newsvendor quantity of each SKU on its own demand history, one value a calendar period."""
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date")))
+    s = df.groupBy("sku_id").agg(F.sort_array(F.collect_list("demand")).alias("_y"), F.coalesce(known("unit_cost"), F.lit(1.0)).alias("_c"), known("unit_price").alias("_p"))
+    price = F.coalesce(F.col("_p"), F.col("_c") * 1.5)
+    s = s.withColumns({"underage": F.greatest(F.lit(0.01), price - F.col("_c")), "overage": F.greatest(F.lit(0.01), F.col("_c") - salvage)})
+    ratio = F.col("underage") / (F.col("underage") + F.col("overage"))
+    return s.select("sku_id", "underage", "overage", ratio.alias("critical_ratio"), A.at_level(F.col("_y"), ratio).alias("optimal_qty"))
 
 
 def base_stock(t: DataFrame) -> DataFrame:
-    a = F.col("samples")
-    t = t.withColumn("s_level", A.at_level(a, F.col("service_level")))
-    return t.select("sku_id", "s_level", F.greatest(F.lit(0.0), F.col("s_level") - A.mean(a)).alias("safety_stock"),
-                    _above(a, F.col("s_level")).alias("stockout_prob"))
-
-
-# ---- (s,S) by replay --------------------------------------------------------------------------------
-
-def _replay(D, s, S, lead, review, holding, order_cost):
-    """Inventory of series x pairs replayed over the demand columns; cost, fill, stockout share."""
-    n, T = D.shape
-    on = S.copy()
-    due = np.zeros((T + 1,) + S.shape)
-    cost, filled, outs = np.zeros_like(S), np.zeros_like(S), np.zeros_like(S)
-    for t in range(T):
-        on = on + due[t]
-        due[t] = 0.0
-        d = D[:, t:t + 1]
-        served = np.minimum(on, d)
-        filled += served
-        outs += served < d
-        on = on - served
-        cost += on * holding / 52.0
-        look = (t % review == 0)
-        pend = due.sum(axis=0)
-        qty = np.where(look & (on + pend <= s), np.maximum(0.0, S - on - pend), 0.0)
-        cost += np.where(qty > 0, order_cost, 0.0)
-        arrive = t + lead
-        for a in np.unique(arrive[qty.max(axis=1) > 0]):
-            if a < T:
-                due[a] += np.where(arrive[:, None] == a, qty, 0.0)
-    tot = D.sum(axis=1, keepdims=True)
-    fill = np.where(tot > 0, filled / np.where(tot > 0, tot, 1), 1.0)
-    return cost, fill, outs / T
-
-
-def _best_pairs(y: pd.Series, mean_ltd: pd.Series, eoq_q: pd.Series, lead: pd.Series, review: pd.Series,
-               holding: pd.Series, order_cost: pd.Series, level: pd.Series) -> pd.DataFrame:
-    out = np.zeros((len(y), 4))
-    lengths = y.map(len).to_numpy()
-    for n in np.unique(lengths):
-        where = np.flatnonzero(lengths == n)
-        for lo in range(0, len(where), 64):
-            i = where[lo:lo + 64]
-            col = lambda c: c.to_numpy()[i][:, None].astype(float)
-            m, q = col(mean_ltd), col(eoq_q)
-            s = np.repeat(m * np.linspace(0.5, 2.5, 6), 6, axis=1)
-            S = s + np.tile(q * np.linspace(0.5, 2.0, 6), (1, 6))
-            D = np.stack([np.asarray(y.iloc[k], dtype=float) for k in i])
-            cost, fill, outs = _replay(D, s, S, lead.to_numpy()[i].astype(int), review.to_numpy()[i][:, None].astype(int),
-                                       col(holding), col(order_cost))
-            goal = cost + np.maximum(0.0, col(level) - fill) * 1e6
-            b = (np.arange(len(i)), goal.argmin(axis=1))
-            out[i] = np.stack([s[b], S[b], outs[b], fill[b]], axis=1)
-    return pd.DataFrame(out, columns=["s", "big_s", "stockout_prob", "fill_rate"])
-
-
-def ss_backtest(t: DataFrame) -> DataFrame:
-    """Best (s,S) of a 6 x 6 grid per SKU, replayed over its demand history.
-
-    Needs (sku_id, y, lead_periods, review_periods, holding_cost, order_cost,
-    service_level, annual_demand)."""
-    mean = A.mean(F.col("y"))
-    ltd = F.greatest(F.lit(0.1), mean * F.col("lead_periods"))
-    q = F.sqrt(2.0 * F.greatest(F.col("annual_demand"), F.lit(1.0)) * F.col("order_cost")
-               / F.greatest(F.col("holding_cost"), F.lit(1e-6)))
-    best = F.pandas_udf(_best_pairs, "s double, big_s double, stockout_prob double, fill_rate double")
-    r = t.withColumn("_r", best("y", ltd, q, "lead_periods", "review_periods", "holding_cost", "order_cost", "service_level"))
-    return r.select("sku_id", F.col("_r.s").alias("s"), F.col("_r.big_s").alias("big_s"),
-                    F.col("_r.stockout_prob").alias("stockout_prob"), F.col("_r.fill_rate").alias("fill_rate"))
+    p, w = F.col("p"), F.col("width")
+    t = t.withColumn("s_level", L.quantile(p, w, F.col("service_level")))
+    return t.select("sku_id", "s_level", F.greatest(F.lit(0.0), F.col("s_level") - F.col("ltd_mean")).alias("safety_stock"),
+                    L.chance_above(p, w, F.col("s_level")).alias("stockout_prob"))
+
+
+# ---- (s,S) by renewal --------------------------------------------------------------------------------
+
+S_STEPS, SS_CELLS = 6, 96     # the grid has S_STEPS reorder points and as many gaps; cells of its lattice
+SHORTFALL = 1e6               # cost of a whole unit of fill rate below the level
+
+
+def best_pairs(cells_of, mean, lead, review, holding, order_cost, level, demand, periods: float):
+    """(s, big_s, stockout_prob, fill_rate, cost) of every row: the cheapest pair of the grid, shortfalls of fill counted in.
+
+    Between two orders the inventory position starts at S and falls by the demand of each review; m[j] is the expected
+    number of reviews that see it j cells under S (the renewal recursion m[j] = sum of d[l] m[j - l]), and their sum up to
+    S - s is the expected number of reviews between orders.  A position y costs what holding E(y - D)+ costs, D the demand
+    of lead and review time, and is short by the growth of E(D - y)+ over the review.  Averages over m give cost,
+    fill and stockout chance of every pair; nothing is replayed.  S - s is a whole number of cells, s need not be.
+
+    cells_of(width, cells): chances of one period's demand.  All else are arrays of a value a row."""
+    ltd = np.maximum(0.1, mean * lead)
+    gap = np.sqrt(2.0 * np.maximum(demand, 1.0) * order_cost / np.maximum(holding, 1e-6))
+    w = (2.5 * ltd + 2.0 * gap) / SS_CELLS
+    one = cells_of(w, SS_CELLS + 4)
+    d, cum, cum_lead = L.power(one, review), L.power(one, lead + review).cumsum(axis=1), L.power(one, lead).cumsum(axis=1)
+    surplus = lambda c: np.concatenate([np.zeros((len(w), 1)), (c * w[:, None]).cumsum(axis=1)], axis=1)
+    over, over_lead = surplus(cum), surplus(cum_lead)
+    reach = np.floor(2.0 * gap / w + 0.5).astype(np.int64)
+    m = np.zeros((len(w), reach.max() + 1))
+    still = np.maximum(1e-12, 1.0 - d[:, 0])
+    m[:, 0] = 1.0 / still
+    for j in range(1, m.shape[1]):
+        m[:, j] = (d[:, 1 : j + 1] * m[:, j - 1 :: -1]).sum(axis=1) / still
+    best = np.full((len(w), 5), np.nan)
+    lowest = np.full(len(w), np.inf)
+    for n in range(S_STEPS * S_STEPS):
+        s = ltd * (0.5 + 2.0 / (S_STEPS - 1) * (n // S_STEPS))
+        wide = np.maximum(1, np.floor(gap * (0.5 + 1.5 / (S_STEPS - 1) * (n % S_STEPS)) / w + 0.5).astype(np.int64))
+        low = np.floor(s / w).astype(np.int64)
+        part = (s / w - low)[:, None]
+        j = np.arange(wide.max())
+        seen = np.where(j < wide[:, None], m[:, : len(j)], 0.0)
+        k = np.maximum(0, low[:, None] + wide[:, None] - j)
+        at = lambda a, k: np.take_along_axis(a, k, axis=1)
+        between = lambda a: at(a, k) + (at(a, k + 1) - at(a, k)) * part
+        total = seen.sum(axis=1)
+        held, held_lead = (seen * between(over)).sum(axis=1), (seen * between(over_lead)).sum(axis=1)
+        out = (seen * np.maximum(0.0, 1.0 - at(cum, k))).sum(axis=1) / total
+        cost = (order_cost + holding * review / periods * held) / total * periods / review
+        fill = np.where(mean > 0, np.clip((held_lead - held) / (total * review * np.where(mean > 0, mean, 1.0)), 0.0, 1.0), 1.0)
+        goal = np.round(cost + np.maximum(0.0, level - fill) * SHORTFALL, 6)
+        better = goal < lowest
+        lowest = np.where(better, goal, lowest)
+        best[better] = np.stack([s, s + wide * w, out, fill, cost], axis=1)[better]
+    return best
+
+
+SS_COLS = ("s", "big_s", "stockout_prob", "fill_rate", "cost")
+SS_TYPE = ", ".join(f"{c} double" for c in SS_COLS)
+
+
+def _ss_udf(kind: str, periods: float):
+    """kind `values`: equally likely values of a period; `steps`: flat ascending quantiles of the forecast steps, one of them drawn at random."""
+
+    def run(data: pd.Series, lead: pd.Series, review: pd.Series, holding: pd.Series, order_cost: pd.Series, level: pd.Series, demand: pd.Series) -> pd.DataFrame:
+        out = np.full((len(data), len(SS_COLS)), np.nan)
+        given = np.flatnonzero(data.notna())
+        for a in range(0, len(given), BATCH):
+            i = given[a : a + BATCH]
+            part = [np.asarray(x, float) for x in data.iloc[i]]
+            count = np.array([len(x) for x in part]) // (1 if kind == "values" else len(QUANTILE_COLS))
+            rows, flat = np.repeat(np.arange(len(i)), count), np.concatenate(part)
+            if kind == "values":
+                mean = np.bincount(rows, flat, len(i)) / count
+                cells_of = lambda w, cells: L.cells_of_values(rows, flat, 1.0 / count[rows], w, cells)
+            else:
+                q = flat.reshape(-1, len(QUANTILE_COLS))
+                mean = np.bincount(rows, L.quantile_means(q), len(i)) / count
+
+                def cells_of(w, cells):
+                    total = np.zeros((len(i), cells))
+                    np.add.at(total, rows, L.cells_of_quantiles(q, w[rows], cells))
+                    return total / count[:, None]
+
+            whole = lambda c: c.iloc[i].to_numpy().astype(np.int64)
+            real = lambda c: c.iloc[i].to_numpy().astype(float)
+            out[i] = best_pairs(cells_of, mean, whole(lead), whole(review), real(holding), real(order_cost), real(level), real(demand), periods)
+        return pd.DataFrame(out, columns=SS_COLS)
+
+    return F.pandas_udf(run, SS_TYPE)
+
+
+def ss_history(t: DataFrame, periods: float = 52.0) -> DataFrame:
+    """Best (s,S) of each SKU on the distribution of its own demand history.
+
+    Needs (sku_id, y, lead_periods, review_periods, holding_cost, order_cost, service_level, annual_demand)."""
+    r = _ss_udf("values", periods)("y", "lead_periods", "review_periods", "holding_cost", "order_cost", "service_level", "annual_demand")
+    return t.select("sku_id", r.alias("_r")).select("sku_id", "_r.*")
 
 
 # ---- schedules -----------------------------------------------------------------------------------
@@ -262,6 +352,18 @@ def _schedule(point: Column, on_hand: Column, lead: Column, want, reason) -> Col
     return F.aggregate(F.sequence(F.lit(0), h - 1), start, step, lambda a: a["out"])
 
 
+def _qr_rule():
+    """Quantity and reason from columns q, r."""
+    return (lambda stock, due, t, arrive: F.when((stock <= F.col("r")) & (F.get(due, arrive) == 0), F.col("q")).otherwise(0.0),
+            lambda stock, t: F.format_string("on-hand %.0f ≤ R=%.0f", stock, F.col("r")))
+
+
+def _ss_rule(review: str):
+    """Quantity and reason from columns s, big_s and the review interval."""
+    return (lambda stock, due, t, arrive: F.when((t % F.col(review) == 0) & (stock <= F.col("s")), F.greatest(F.lit(0.0), F.col("big_s") - stock - A.total(due))).otherwise(0.0),
+            lambda stock, t: F.format_string("review @ t=%d: on-hand %.0f ≤ s=%.0f, order to S=%.0f", t, stock, F.col("s"), F.col("big_s")))
+
+
 def schedule(t: DataFrame, mode: str, freq: str) -> DataFrame:
     """Projected orders and deliveries of each SKU, one row per period.
 
@@ -270,16 +372,11 @@ def schedule(t: DataFrame, mode: str, freq: str) -> DataFrame:
     days = PERIOD_DAYS[freq]
     lead = F.greatest(F.lit(1), F.rint(F.col("lead_time_days") / days).cast("int"))
     if mode == "QR":
-        want = lambda stock, due, t_, a: F.when((stock <= F.col("r")) & (F.get(due, a) == 0), F.col("q")).otherwise(0.0)
-        reason = lambda stock, t_: F.format_string("on-hand %.0f ≤ R=%.0f", stock, F.col("r"))
+        want, reason = _qr_rule()
     elif mode in ("sS", "base_stock"):
         if mode == "base_stock":
             t = t.withColumns({"s": F.col("s_level") - 1, "big_s": F.col("s_level"), "review_periods": F.lit(1)})
-        want = lambda stock, due, t_, a: F.when(
-            (t_ % F.col("review_periods") == 0) & (stock <= F.col("s")),
-            F.greatest(F.lit(0.0), F.col("big_s") - stock - A.total(due))).otherwise(0.0)
-        reason = lambda stock, t_: F.format_string("review @ t=%d: on-hand %.0f ≤ s=%.0f, order to S=%.0f",
-                                                   t_, stock, F.col("s"), F.col("big_s"))
+        want, reason = _ss_rule("review_periods")
     else:
         raise ValueError(f"unsupported policy mode: {mode}")
     rows = t.withColumn("_lead", lead)
@@ -307,7 +404,7 @@ def category_economics(skus: DataFrame, table: dict = ECONOMICS) -> DataFrame:
         match = F.when(F.startswith(F.lit(n), prefix), n).otherwise(match)
     for n in names:
         match = F.when(cat == n, n).otherwise(match)
-    out = skus.select("sku_id", "category", F.when(cat.isNull() | (cat == ""), "_default").otherwise(match).alias("matched"))
+    out = skus.withColumn("matched", F.when(cat.isNull() | (cat == ""), "_default").otherwise(match))
 
     def value(i):
         v = F.lit(table["_default"][i])
@@ -333,132 +430,143 @@ def implied_service_level(price: Column, cost: Column, holding: Column, saved: f
     return F.least(F.lit(0.99), F.greatest(F.lit(0.85), under / (under + over)))
 
 
-def recommendation_inputs(df: DataFrame, fc: DataFrame, freq: str, service_level=None, holding_rate=None, order_cost=None,
-                          policy=None, lt_override: DataFrame | None = None, saved_level=None, draws: int = 128) -> DataFrame:
-    """One row per SKU with everything the policies need."""
-    st = sku_state(df).withColumn("category", F.col("last_category"))
-    econ = category_economics(st.select("sku_id", "category")).drop("category", "matched")
-    g = lead_time_gamma(df)
-    if lt_override is not None:
-        m = F.col("_lt")
-        g = g.join(lt_override.select("sku_id", F.col("lead_time_days").alias("_lt")), "sku_id", "left").select(
-            "sku_id", F.when(m.isNull(), F.col("shape")).otherwise(F.greatest(F.lit(1.0), (m / 0.2) * (m / 0.2) / m)).alias("shape"),
-            F.when(m.isNull(), F.col("scale")).otherwise(F.greatest(F.lit(1e-3), m * 0.04)).alias("scale"))
-    ltd = ltd_distribution(fc, g, freq, draws)
-    path = fc.groupBy("sku_id").agg(F.avg("point").alias("_mean_fc"), F.transform(
-        F.sort_array(F.collect_list(F.struct("step", "point"))), lambda s: s["point"]).alias("point"))
-    y = df.groupBy("sku_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "demand"))),
-                                             lambda s: s["demand"]).alias("y"))
-    j = st.join(econ, "sku_id").join(g, "sku_id").join(ltd, "sku_id").join(path, "sku_id").join(y, "sku_id")
-    cost = F.coalesce("mean_cost", F.lit(1.0))
-    j = j.withColumns({"unit_cost": cost, "unit_price": F.coalesce(F.col("mean_price"), cost * F.col("markup_default"))})
-    j = j.withColumns({"holding_cost": F.lit(holding_rate or HOLDING_RATE) * F.col("unit_cost"),
-                       "order_cost": F.lit(float(order_cost or ORDER_COST)),
-                       "annual_demand": F.col("_mean_fc") * PERIODS_PER_YEAR[freq],
-                       "on_hand": F.coalesce("known_on_hand", F.lit(0.0)), "start_date": F.col("date_max"),
-                       "lead_time_days": F.col("shape") * F.col("scale"),
-                       "lead_periods": F.greatest(F.lit(1), F.rint(F.col("shape") * F.col("scale") / PERIOD_DAYS[freq]).cast("int")),
-                       "review_periods": F.greatest(F.lit(1), F.rint(F.col("review_days") / PERIOD_DAYS[freq]).cast("int"))})
-    j = j.withColumn("service_level", implied_service_level(F.col("unit_price"), F.col("unit_cost"), F.col("holding_cost"),
-                                                            saved_level, service_level))
-    return select_policy(j, policy).select(
-        "sku_id", "policy_name", "samples", "ltd_mean", "point", "y", "unit_cost", "unit_price", "holding_cost", "order_cost",
-        "annual_demand", "service_level", "on_hand", "start_date", "lead_time_days", "lead_periods", "review_periods")
-
-
-REC_COLS = ("sku_id", "policy_name", "recommended_order_qty", "reorder_point", "safety_stock", "expected_stockout_prob",
-            "expected_fill_rate", "expected_holding_cost_annual", "expected_total_cost_annual", "parameters")
-
-
-def _rec(t, policy, qty, rop, ss, p, fill, hold, total, params: dict) -> DataFrame:
-    m = F.create_map(*[x for k, v in params.items() for x in (F.lit(k), v.cast("double"))])
-    vals = (F.lit(policy), qty, rop, ss, p, fill, hold, total)
-    return t.select("sku_id", F.lit(policy).alias("policy_name"), *[
-        v.cast("double").alias(c) for v, c in zip(vals[1:], REC_COLS[2:9])], m.alias("parameters"), "on_hand")
-
-
-def recommend(inputs: DataFrame) -> DataFrame:
-    """Recommendation rows: the inputs split by policy, solved, and put together."""
-    c, zero = F.col, F.lit(0.0)
-    of = lambda name: inputs.where(c("policy_name") == name)
-    join = lambda t, r: t.join(r, "sku_id")
-    qr = of("(Q,R)")
-    qr = join(qr.select("sku_id", "on_hand"), qr_policy(qr))
-    parts = [_rec(qr, "(Q,R)", c("q"), c("r"), c("safety_stock"), c("stockout_prob"), c("fill_rate"),
-                  c("holding_cost_annual"), c("total_cost_annual"), {"Q": c("q"), "R": c("r")})]
-    e = of("EOQ")
-    k = eoq_columns(c("annual_demand"), c("order_cost"), c("holding_cost"))
-    parts.append(_rec(e, "EOQ", k["q"], F.lit(None), zero, zero, F.lit(1.0), k["holding_cost"],
-                      k["holding_cost"] + k["ordering_cost"], {"Q": k["q"], "expected_orders_per_year": k["orders"]}))
-    nv = of("newsvendor").withColumns({
-        "underage": F.when(c("unit_price") - c("unit_cost") <= 0, 1.0).otherwise(c("unit_price") - c("unit_cost")),
-        "overage": c("holding_cost")})
-    nv = join(nv, newsvendor(nv).drop("underage_cost", "overage_cost"))
-    fill = 1 - _shortage(c("samples"), c("q")) / F.greatest(F.lit(1e-9), A.mean(c("samples")))
-    parts.append(_rec(nv, "newsvendor", c("q"), c("q"), zero, _above(c("samples"), c("q")),
-                      F.greatest(zero, F.least(F.lit(1.0), fill)), zero, c("total_cost"),
-                      {"Q": c("q"), "underage_cost": c("underage"), "overage_cost": c("overage")}))
-    ss = of("(s,S)")
-    ss = join(ss, ss_backtest(ss))
-    safe = F.greatest(zero, c("s") - c("ltd_mean"))
-    hold = (c("big_s") / 2 + safe) * c("holding_cost")
-    parts.append(_rec(ss, "(s,S)", F.greatest(zero, c("big_s") - c("on_hand")), c("s"), safe, c("stockout_prob"), c("fill_rate"),
-                      hold, hold + c("annual_demand") / F.greatest(c("big_s") - c("s"), F.lit(1.0)) * c("order_cost"),
-                      {"s": c("s"), "S": c("big_s"), "review_period_periods": c("review_periods")}))
-    bs = of("base-stock")
-    bs = join(bs, base_stock(bs))
-    parts.append(_rec(bs, "base-stock", c("s_level"), c("s_level"), c("safety_stock"), c("stockout_prob"), 1 - c("stockout_prob"),
-                      c("s_level") * c("holding_cost"), c("s_level") * c("holding_cost"), {"S": c("s_level")}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    covered = c("policy_name").isin("(Q,R)", "(s,S)", "base-stock") & (c("on_hand") > c("reorder_point"))
-    return out.withColumns({
-        "caveats": F.filter(F.array(
-            F.when(F.coalesce(covered, F.lit(False)), F.format_string(
-                "on-hand %.0f > reorder point %.0f; no order needed now.", "on_hand", "reorder_point")),
-            F.when(c("policy_name") == "EOQ", "EOQ assumes deterministic lead time; switch to (Q,R) for stochastic.")),
-            lambda x: x.isNotNull()),
-        "recommended_order_qty": F.when(covered, 0.0).otherwise(c("recommended_order_qty"))})
-
-
-def recommend_all(df: DataFrame, fc: DataFrame, freq: str, **overrides) -> DataFrame:
+def recommendation_base(df: DataFrame, fc: DataFrame, freq: str) -> DataFrame:
+    """One row per SKU with all that any recommendation needs: one aggregate of the panel, one of the forecast, the ranking."""
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date")))
+    lt = F.when(F.col("lead_time_days") > 0, F.col("lead_time_days"))
+    per = df.groupBy("sku_id").agg(
+        *class_columns(PERIODS_PER_YEAR[freq]), F.count(F.lit(1)).alias("n_obs"), F.max("date").alias("start_date"), F.max_by("category", "date").alias("category"),
+        F.avg("unit_cost").alias("_cost"), F.avg("unit_price").alias("_price"), F.coalesce(known("on_hand"), F.lit(0.0)).alias("on_hand"),
+        F.avg("lead_time_days").alias("_lt_all"), F.count(lt).alias("n"), F.avg(lt).alias("m"), F.var_samp(lt).alias("v"))
+    ranked = classed(per, [c for c in per.columns if c not in ("revenue_annual", "cv_demand", "sku_id")])
+    return ranked.join(forecast_steps(fc), "sku_id", "left")
+
+
+def settled(base: DataFrame, freq: str, service_level=None, holding_rate=None, order_cost=None, policy=None, lead_mult=None, lead_days=None,
+            saved_level=None, cells: int = CELLS) -> DataFrame:
+    """base with costs, lead time, level, policy and lead-time demand under these settings."""
+    c = F.col
+    econ = category_economics(base).drop("matched")
+    shape, scale = gamma_columns(c("n"), c("m"), c("v"), c("default_lead_time"))
+    given = F.lit(float(lead_days)) if lead_days is not None else c("_lt_all") * lead_mult if lead_mult is not None else None
+    if given is not None:
+        shape = F.when(given.isNull(), shape).otherwise(F.greatest(F.lit(1.0), given / 0.04))
+        scale = F.when(given.isNull(), scale).otherwise(F.greatest(F.lit(1e-3), given * 0.04))
+    t = econ.withColumns({"unit_cost": F.coalesce("_cost", F.lit(1.0)), "shape": shape, "scale": scale})
+    t = t.withColumns({"unit_price": F.coalesce(c("_price"), c("unit_cost") * c("markup_default")), "holding_cost": F.lit(float(holding_rate or HOLDING_RATE)) * c("unit_cost"),
+                       "order_cost": F.lit(float(order_cost or ORDER_COST)), "annual_demand": A.mean(c("point")) * PERIODS_PER_YEAR[freq], "lead_time_days": c("shape") * c("scale"),
+                       "review_periods": F.greatest(F.lit(1), F.rint(c("review_days") / PERIOD_DAYS[freq]).cast("int"))})
+    t = t.withColumns({"lead_periods": F.greatest(F.lit(1), F.rint(c("lead_time_days") / PERIOD_DAYS[freq]).cast("int")),
+                       "service_level": implied_service_level(c("unit_price"), c("unit_cost"), c("holding_cost"), saved_level, service_level)})
+    return with_moments(select_policy(t, policy).withColumn("_ltd", ltd_columns(c("steps"), c("shape"), c("scale"), freq, cells)), "_ltd")
+
+
+REC_COLS = ("recommended_order_qty", "reorder_point", "safety_stock", "expected_stockout_prob", "expected_fill_rate", "expected_holding_cost_annual",
+            "expected_total_cost_annual")
+
+
+def recommended(t: DataFrame, freq: str) -> DataFrame:
+    """Adds `rec`, a struct with REC_COLS, parameters, caveats and schedule, to rows of settled(): every policy is a case of one projection, and
+    only the case of a row is computed."""
+    c, zero, one = F.col, F.lit(0.0), F.lit(1.0)
+    p, w, mean = c("_ltd")["p"], c("_ltd")["width"], c("_ltd")["ltd_mean"]
+    hold, demand, order_cost = c("holding_cost"), c("annual_demand"), c("order_cost")
+
+    def row(values, **parameters):
+        named = [F.coalesce(v, F.lit(None)).cast("double").alias(k) for k, v in zip(REC_COLS, values)]
+        return F.struct(*named, F.create_map(*[x for k, v in parameters.items() for x in (F.lit(k), v.cast("double"))]).alias("parameters"))
+
+    qr = L.let(qr_columns(p, w, mean, demand, order_cost, hold, c("service_level")), lambda r: row(
+        (r["q"], r["r"], r["safety_stock"], r["stockout_prob"], r["fill_rate"], r["holding_cost_annual"], r["total_cost_annual"]), Q=r["q"], R=r["r"]))
+    k = eoq_columns(demand, order_cost, hold)
+    eoq_ = row((k["q"], F.lit(None), zero, zero, one, k["holding_cost"], k["holding_cost"] + k["ordering_cost"]), Q=k["q"], expected_orders_per_year=k["orders"])
+    margin = c("unit_price") - c("unit_cost")
+    under = F.when(margin <= 0, 1.0).otherwise(margin)
+    news = L.let(newsvendor_columns(p, w, under, hold), lambda r: row(
+        (r["q"], r["q"], zero, L.chance_above(p, w, r["q"]), _clamped(1 - L.shortage(p, w, r["q"]) / F.greatest(F.lit(1e-9), mean)), zero, r["total_cost"]),
+        Q=r["q"], underage_cost=under, overage_cost=hold))
+    # rows of other policies go to the function as nulls
+    t = t.withColumn("_ss", _ss_udf("steps", PERIODS_PER_YEAR[freq])(
+        F.when((c("policy_name") == "(s,S)") & c("_ltd").isNotNull(), F.flatten("steps")), "lead_periods", "review_periods", "holding_cost", "order_cost", "service_level", "annual_demand"))
+
+    def ss_row(r):
+        safe = F.greatest(zero, r["s"] - mean)
+        held = (r["big_s"] / 2 + safe) * hold
+        return row((F.greatest(zero, r["big_s"] - c("on_hand")), r["s"], safe, r["stockout_prob"], r["fill_rate"], held,
+                    held + demand / F.greatest(r["big_s"] - r["s"], one) * order_cost), s=r["s"], S=r["big_s"], review_period_periods=c("review_periods"))
+
+    base = L.let(L.quantile(p, w, c("service_level")), lambda s: L.let(L.chance_above(p, w, s), lambda out: row(
+        (s, s, F.greatest(zero, s - mean), out, 1 - out, s * hold, s * hold), S=s)))
+    name = c("policy_name")
+    cases = (F.when(name == "(Q,R)", qr).when(name == "EOQ", eoq_).when(name == "newsvendor", news).when(name == "(s,S)", ss_row(c("_ss"))).when(name == "base-stock", base))
+    t = t.withColumn("_r", F.when(c("_ltd").isNotNull(), cases))
+    r = c("_r")
+    ordered = name.isin("(Q,R)", "(s,S)", "base-stock")
+    covered = F.coalesce(ordered & (c("on_hand") > r["reorder_point"]), F.lit(False))
+    par = lambda key: F.try_element_at(r["parameters"], F.lit(key))
+    inside = t.withColumns({"q": par("Q"), "r": par("R"), "s": F.when(name == "base-stock", par("S") - 1).otherwise(par("s")), "big_s": par("S"),
+                            "_review": F.when(name == "base-stock", 1).otherwise(c("review_periods")), "_covered": covered})
+    inside = inside.withColumn("_plan", F.when(ordered & r.isNotNull(), F.when(name == "(Q,R)", _schedule(c("point"), c("on_hand"), c("lead_periods"), *_qr_rule()))
+                                               .otherwise(_schedule(c("point"), c("on_hand"), c("lead_periods"), *_ss_rule("_review")))))
+    outs = F.size(F.filter("_plan", lambda e: e["stockout"]))
+    caveats = F.filter(F.array(
+        F.when(name == "EOQ", "EOQ assumes deterministic lead time; switch to (Q,R) for stochastic."),
+        F.when((name == "newsvendor") & (margin <= 0), "price <= cost: underage cost is not positive, a floor of 1 is used."),
+        F.when(c("_covered"), F.format_string("on-hand %.0f > reorder point %.0f; no order needed now.", "on_hand", r["reorder_point"])),
+        F.when(outs > 0, F.format_string("projected schedule has %d stockout periods out of %d; consider higher service level or shorter lead time.", outs, F.size("_plan")))),
+        lambda x: x.isNotNull())
+    quantity = F.when(c("_covered"), 0.0).otherwise(r["recommended_order_qty"])
+    rec = F.struct(quantity.alias("recommended_order_qty"), *[r[x].alias(x) for x in REC_COLS[1:]], r["parameters"].alias("parameters"), caveats.alias("caveats"), c("_plan").alias("schedule"))
+    return inside.withColumn("rec", F.when(r.isNotNull(), rec)).drop("_r", "_ss", "q", "r", "s", "big_s", "_review", "_covered", "_plan")
+
+
+def recommend(df: DataFrame, fc: DataFrame, freq: str, **settings) -> DataFrame:
+    """Recommendation rows of the SKUs with a forecast."""
+    t = recommended(settled(recommendation_base(df, fc, freq), freq, **settings), freq)
+    return t.where("rec is not null").select("sku_id", "abc_class", "xyz_class", "policy_name", "on_hand", "rec.*")
+
+
+def recommend_all(df: DataFrame, fc: DataFrame, freq: str, **settings) -> DataFrame:
     """Recommendation for every SKU, SKUs without a forecast as error rows."""
-    rec = recommend(recommendation_inputs(df, fc, freq, **overrides))
-    classes = abc_xyz(df, PERIODS_PER_YEAR[freq]).select("sku_id", "abc_class", "xyz_class")
-    out = classes.join(rec, "sku_id", "left")
-    return out.withColumn("error", F.when(F.col("policy_name").isNull(), "no forecast: fewer than 8 observations"))
+    t = recommended(settled(recommendation_base(df, fc, freq), freq, **settings), freq)
+    gone = F.col("rec").isNull()
+    return t.select("sku_id", "abc_class", "xyz_class", F.when(~gone, F.col("policy_name")).alias("policy_name"), "on_hand", "rec.*",
+                    F.when(gone, F.when(F.col("n_obs") < 8, "no forecast: fewer than 8 observations").otherwise("no forecast")).alias("error"))
 
 
 DELTAS = ("safety_stock", "expected_stockout_prob", "expected_fill_rate", "expected_holding_cost_annual",
           "expected_total_cost_annual", "recommended_order_qty")
 
 
-def scenario(df: DataFrame, fc: DataFrame, freq: str, **overrides) -> DataFrame:
-    """Base against overridden recommendation with six differences."""
-    base = recommend(recommendation_inputs(df, fc, freq))
-    alt = recommend(recommendation_inputs(df, fc, freq, **overrides))
-    b = base.select("sku_id", *[F.col(c).alias(f"base_{c}") for c in DELTAS])
-    a = alt.select("sku_id", *[F.col(c).alias(f"scenario_{c}") for c in DELTAS])
-    return b.join(a, "sku_id").withColumns(
-        {f"delta_{c}": F.col(f"scenario_{c}") - F.col(f"base_{c}") for c in DELTAS})
+def scenario(df: DataFrame, fc: DataFrame, freq: str, skus: DataFrame | None = None, **settings) -> DataFrame:
+    """Base against changed settings with six differences: two projections of one row per SKU.
+
+    With `skus`, one row for each of them, those without a result with an error."""
+    base = recommendation_base(df, fc, freq)
+    plain = base.columns
+    keep = lambda t, name: t.select(*plain, *[c for c in t.columns if c.startswith("_at_")], F.col("rec").alias(name))
+    t = keep(recommended(settled(base, freq), freq), "_at_base")
+    t = keep(recommended(settled(t, freq, **settings), freq), "_at_scenario")
+    out = t.where("_at_base is not null").select(
+        "sku_id", *[F.col("_at_base")[c].alias(f"base_{c}") for c in DELTAS], *[F.col("_at_scenario")[c].alias(f"scenario_{c}") for c in DELTAS],
+        *[(F.col("_at_scenario")[c] - F.col("_at_base")[c]).alias(f"delta_{c}") for c in DELTAS])
+    if skus is None:
+        return out
+    return skus.select("sku_id").join(out, "sku_id", "left").withColumn("error", F.when(F.col("base_safety_stock").isNull(), "no history"))
 
 
-def scenario_leadtime(df: DataFrame, fc: DataFrame, freq: str, skus: DataFrame, mult: float, **overrides) -> DataFrame:
-    """Scenario with multiplied lead times on a SKU list; SKUs without result get an error."""
-    part = df.join(skus.select("sku_id"), "sku_id", "left_semi")
-    lt = part.groupBy("sku_id").agg((F.avg("lead_time_days") * mult).alias("lead_time_days"))
-    s = scenario(part, fc, freq, lt_override=lt, **overrides)
-    return skus.select("sku_id").join(s, "sku_id", "left").withColumn(
-        "error", F.when(F.col("base_safety_stock").isNull(), "no history"))
+def scenario_leadtime(df: DataFrame, fc: DataFrame, freq: str, skus: DataFrame, mult: float, **settings) -> DataFrame:
+    """Scenario with multiplied lead times on a SKU list."""
+    return scenario(df, fc, freq, skus, lead_mult=mult, **settings)
 
 
 def frontier(inputs: DataFrame) -> DataFrame:
-    """(Q,R) figures of each SKU at seven service levels from one set of draws."""
+    """(Q,R) figures of each SKU at seven service levels from one distribution."""
+    c = F.col
     t = inputs.drop("service_level").withColumn("service_level", F.explode(F.array(*[F.lit(x) for x in SERVICE_LEVELS])))
-    cost = inputs.select("sku_id", "unit_cost")
-    return qr_policy(t).join(cost, "sku_id").withColumn(
-        "inventory_value", (F.col("q") / 2 + F.col("safety_stock")) * F.col("unit_cost")).drop("unit_cost")
+    r = qr_columns(c("p"), c("width"), c("ltd_mean"), c("annual_demand"), c("order_cost"), c("holding_cost"), c("service_level"))
+    return t.select("sku_id", "service_level", "unit_cost", r.alias("_r")).select(
+        "sku_id", "service_level", "_r.*", ((c("_r.q") / 2 + c("_r.safety_stock")) * c("unit_cost")).alias("inventory_value"))
 
 
 def status_from_rec(rec: DataFrame) -> DataFrame:
@@ -477,12 +585,12 @@ def sku_header(df: DataFrame, fc: DataFrame) -> DataFrame:
     return last.join(nxt, "sku_id")
 
 
-def sku_insights(df: DataFrame, fc: DataFrame, rec: DataFrame, sched: DataFrame) -> DataFrame:
-    """Trend against the last seven rows, low fill and stockouts in the schedule."""
-    h = sku_header(df, fc).join(rec.select("sku_id", "expected_fill_rate"), "sku_id").join(
-        schedule_totals(sched).select("sku_id", "expected_stockout_periods"), "sku_id", "left")
+def sku_insights(df: DataFrame, fc: DataFrame, rec: DataFrame) -> DataFrame:
+    """Trend against the last seven rows, low fill and stockouts in the recommendation's own schedule."""
+    outs = F.when(F.col("schedule").isNull(), 0).otherwise(F.size(F.filter("schedule", lambda e: e["stockout"])))
+    h = sku_header(df, fc).join(rec.select("sku_id", "expected_fill_rate", outs.alias("stockouts")), "sku_id")
     l, n = F.col("last_7"), F.col("next_7")
     change = F.round(F.abs(n - l) / F.greatest(F.lit(1.0), l) * 100, 0)
-    return h.select("sku_id", F.coalesce("expected_stockout_periods", F.lit(0)).alias("stockouts"),
+    return h.select("sku_id", "stockouts",
                     F.when(n > l * 1.2, "higher").when((n < l * 0.8) & (l > 0), "lower").alias("trend"),
                     change.alias("change_pct"), (F.col("expected_fill_rate") < 0.95).alias("low_fill"))

@@ -1,17 +1,18 @@
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
 from ..functions.stats import r
-from ..operators import forecast as fo, inventory as v, outlook as ol, policies as po
+from ..operators import forecast as fo, inventory as v, policies as po
 from ..schema import QUANTILE_COLS, QUANTILE_LEVELS
-from ..session import materialise, scratch_path
+from ..schema import PERIODS_PER_YEAR
+from ..session import scratch_path
 from ..sources import derived as d, files
 from .forecast_queries import H, rq
+from .lattice_sql import cells_sql, demand_cells, history_cells, level_sql, ss_sql
 from .oracle import cte, gamma_ppf
 from .registry import register
 from .series_queries import bt, pm, rounded
 
-N = 32
+N = 128
 fc = lambda s, sf: fo.forecast_croston(pm(s, sf), H)
 lt = lambda s, sf: po.lead_time_gamma(pm(s, sf))
 cte("ltg", """select sku_id, case when n < 3 then 25.0 when v < 1e-9 then 1000.0 else m * m / v end as shape, case when n < 3 then 14.0 * 0.04 when v < 1e-9 then m / 1000.0 else v / m end as scale
@@ -28,16 +29,22 @@ _lat = "[" + ", ".join(repr(po.stride(k + 1)) for k in range(H)) + "]"
 cte("grid_d", f"""select sku_id, step, cast(draw as integer) as draw, greatest(0.0, {_interp}) as demand from (
   select *, (0.5 + draw * ({_lat})[step]) - floor(0.5 + draw * ({_lat})[step]) as u from fc_cr, (select unnest(range(0, {N})) as draw))""")
 register("demand_grid", lambda s, sf: rounded(po.demand_grid(fc(s, sf), N), 5), "select sku_id, step, draw, round(demand, 5) as demand from grid_d")
-_l = gamma_ppf(f"((draw + 0.5) / {float(N)})", "shape", "scale")
-cte("ltd", f"""select g.sku_id, draw, sum(greatest(0.0, least(1.0, l - (step - 1))) * demand) as ltd from grid_d g join (
-    select sku_id, d as dd, {_l.replace('draw', 'd')} / 30.0 as l from ltg, (select unnest(range(0, {N})) as d)) x on x.sku_id = g.sku_id and x.dd = g.draw group by 1, 2""")
-register("ltd_distribution", lambda s, sf: rounded(po.ltd_distribution(fc(s, sf), lt(s, sf), "M", N).drop("samples"), 4),
-         "select sku_id, round(avg(ltd), 4) as ltd_mean, round(stddev_pop(ltd), 4) as ltd_std from ltd group by 1")
+long_fc = lambda s, sf: fc(s, sf).where("step <= 2")
+long_lt = lambda s, sf: lt(s, sf).withColumn("scale", F.col("scale") * 4)
+cte("ltg_long", "select sku_id, shape, scale * 4 as scale from ltg")
+cte("fc_short", "select * from fc_cr where step <= 2")
+cells_sql("ltd", "fc_cr", "ltg", 30.0, 2)
+cells_sql("ltl", "fc_short", "ltg_long", 30.0, 6)
+for name, tag, frames in (("ltd_distribution", "ltd", (fc, lt)), ("ltd_beyond_horizon", "ltl", (long_fc, long_lt))):
+    register(name, (lambda f: lambda s, sf: rounded(po.ltd_cells(po.ltd_distribution(f[0](s, sf), f[1](s, sf), "M")), 7))(frames),
+             f"select sku_id, cell::integer as cell, round(cell * w, 7) as value, round(p, 7) as p, round(cum, 7) as cum from {tag}_cells where p > 1e-12")
+    register(f"{name}_moments", (lambda f: lambda s, sf: rounded(po.ltd_distribution(f[0](s, sf), f[1](s, sf), "M").drop("p"), 6))(frames),
+             f"select sku_id, round(w, 6) as width, round(ltd_mean, 6) as ltd_mean, round(ltd_std, 6) as ltd_std from {tag}_mom")
 
 
 def policy_frame(s, sf):
-    """Draws of each SKU with demand, cost and level inputs."""
-    t = po.ltd_distribution(fc(s, sf), lt(s, sf), "M", N)
+    """Lead-time demand of each SKU with demand, cost and level inputs."""
+    t = po.ltd_distribution(fc(s, sf), lt(s, sf), "M")
     st = v.sku_state(pm(s, sf)).select("sku_id", (F.col("mean_demand") * 12.0).alias("annual_demand"), F.lit(50.0).alias("order_cost"),
                                        (F.col("mean_cost") * 0.25).alias("holding_cost"), "mean_cost", "mean_price")
     return t.join(st, "sku_id").withColumn("service_level", po.implied_service_level(
@@ -54,38 +61,26 @@ register("eoq", lambda s, sf: rounded(po.eoq(policy_frame(s, sf)), 3), f"""
   select sku_id, round(q, 3) as q, round(annual_demand / q, 3) as expected_orders_per_year, round(q / 2 * holding_cost, 3) as expected_holding_cost_annual,
     round(annual_demand / q * order_cost, 3) as expected_order_cost_annual, round(q / 2 * holding_cost + annual_demand / q * order_cost, 3) as total_cost_annual
   from (select *, {EOQ} as q from pf where annual_demand > 0)""")
-# quantile at a level per row: rank interpolation
-cte("ltr", "select *, row_number() over (partition by sku_id order by ltd) - 1 as i from ltd")
-
-
-def level_sql(lv, src="pf"):
-    """(sku_id, level key, quantile) for a level column of `src`."""
-    return f"""(select p.sku_id, p.{lv} as lv, max(ltd) filter (i = floor(p.{lv} * {N - 1})) + (max(ltd) filter (i = ceil(p.{lv} * {N - 1})) - max(ltd) filter (i = floor(p.{lv} * {N - 1})))
-      * any_value(p.{lv} * {N - 1} - floor(p.{lv} * {N - 1})) as r from {src} p join ltr on ltr.sku_id = p.sku_id group by 1, 2)"""
-
-
-QR = """select f.sku_id, f.service_level, f.q, x.r, greatest(0.0, x.r - avg(ltd)) as safety_stock, avg((ltd > x.r)::integer) as stockout_prob,
-    case when avg(ltd) > 0 then greatest(0.0, least(1.0, 1 - avg(greatest(0.0, ltd - x.r)) / avg(ltd))) else 1.0 end as fill_rate,
-    (f.q / 2 + greatest(0.0, x.r - avg(ltd))) * any_value(holding_cost) as holding_cost_annual,
-    (f.q / 2 + greatest(0.0, x.r - avg(ltd))) * any_value(holding_cost) + any_value(annual_demand) / f.q * 50.0 as total_cost_annual, any_value(mc) as mc
-  from (select *, {eoq} as q from {src} where annual_demand > 0) f join {lev} x on x.sku_id = f.sku_id and x.lv = f.service_level join ltd on ltd.sku_id = f.sku_id group by 1, 2, 3, 4"""
-cte("qr", QR.format(eoq=EOQ, src="pf", lev=level_sql("service_level")))
-QRC = ("q", "safety_stock", "fill_rate", "holding_cost_annual", "total_cost_annual")
-register("qr_policy", lambda s, sf: rounded(po.qr_policy(policy_frame(s, sf)).drop("stockout_prob"), 3),
-         f"select sku_id, round(service_level, 3) as service_level, round(r, 3) as r, {rq(QRC, 3)} from qr")
+QR = """select f.sku_id, f.service_level, f.q, x.r, greatest(0.0, x.r - ltd_mean) as safety_stock, x.above as stockout_prob,
+    case when ltd_mean > 0 then greatest(0.0, least(1.0, 1 - x.short / ltd_mean)) else 1.0 end as fill_rate,
+    (f.q / 2 + greatest(0.0, x.r - ltd_mean)) * holding_cost as holding_cost_annual,
+    (f.q / 2 + greatest(0.0, x.r - ltd_mean)) * holding_cost + annual_demand / f.q * order_cost as total_cost_annual, mc
+  from (select *, {eoq} as q from {src} where annual_demand > 0) f join {lev} x on x.sku_id = f.sku_id and x.lv = f.service_level join {tag}_mom m on m.sku_id = f.sku_id"""
+cte("qr", QR.format(eoq=EOQ, src="pf", lev=level_sql("service_level", "pf", "ltd"), tag="ltd"))
+QRC = ("q", "r", "safety_stock", "stockout_prob", "fill_rate", "holding_cost_annual", "total_cost_annual")
+register("qr_policy", lambda s, sf: rounded(po.qr_policy(policy_frame(s, sf)), 4), f"select sku_id, round(service_level, 4) as service_level, {rq(QRC, 4)} from qr")
 cte("pf7", f"select pf.* exclude (service_level), unnest({list(po.SERVICE_LEVELS)}::double[]) as service_level from pf")
-cte("front", QR.format(eoq=EOQ, src="pf7", lev=level_sql("service_level", "pf7")))
-register("frontier", lambda s, sf: rounded(po.frontier(policy_frame(s, sf).withColumnRenamed("mean_cost", "unit_cost")).drop("stockout_prob"), 2),
-         f"select sku_id, round(service_level, 2) as service_level, round(r, 2) as r, {rq(QRC, 2)}, round((q / 2 + safety_stock) * mc, 2) as inventory_value from front")
-register("base_stock", lambda s, sf: rounded(po.base_stock(policy_frame(s, sf)).drop("stockout_prob"), 4), f"""
-  select x.sku_id, round(x.r, 4) as s_level, round(greatest(0.0, x.r - avg(ltd)), 4) as safety_stock from {level_sql('service_level')} x join ltd on ltd.sku_id = x.sku_id group by 1, x.r""")
+cte("front", QR.format(eoq=EOQ, src="pf7", lev=level_sql("service_level", "pf7", "ltd"), tag="ltd"))
+register("frontier", lambda s, sf: rounded(po.frontier(policy_frame(s, sf).withColumnRenamed("mean_cost", "unit_cost")), 4),
+         f"select sku_id, round(service_level, 4) as service_level, {rq(QRC, 4)}, round((q / 2 + safety_stock) * mc, 4) as inventory_value from front")
+register("base_stock", lambda s, sf: rounded(po.base_stock(policy_frame(s, sf)), 5), f"""
+  select x.sku_id, round(x.r, 5) as s_level, round(greatest(0.0, x.r - ltd_mean), 5) as safety_stock, round(above, 5) as stockout_prob
+  from {level_sql('service_level', 'pf', 'ltd')} x join ltd_mom m on m.sku_id = x.sku_id""")
 cte("nvp", "select *, greatest(0.01, coalesce(mp, mc * 1.5) - mc) / (greatest(0.01, coalesce(mp, mc * 1.5) - mc) + holding_cost) as cr, greatest(0.01, coalesce(mp, mc * 1.5) - mc) as cu from pf")
 register("newsvendor", lambda s, sf: rounded(po.newsvendor(policy_frame(s, sf).withColumns({
-    "underage": F.greatest(F.lit(0.01), F.coalesce("mean_price", F.col("mean_cost") * 1.5) - F.col("mean_cost")), "overage": F.col("holding_cost")})), 2), f"""
-  select n.sku_id, round(n.cr, 2) as critical_ratio, round(x.r, 2) as q, round(avg(greatest(0.0, ltd - x.r)) * any_value(cu), 2) as underage_cost,
-    round(avg(greatest(0.0, x.r - ltd)) * any_value(holding_cost), 2) as overage_cost,
-    round(avg(greatest(0.0, ltd - x.r)) * any_value(cu) + avg(greatest(0.0, x.r - ltd)) * any_value(holding_cost), 2) as total_cost
-  from nvp n join {level_sql('cr', 'nvp')} x on x.sku_id = n.sku_id join ltd on ltd.sku_id = n.sku_id group by 1, n.cr, x.r""")
+    "underage": F.greatest(F.lit(0.01), F.coalesce("mean_price", F.col("mean_cost") * 1.5) - F.col("mean_cost")), "overage": F.col("holding_cost")})), 4), f"""
+  select n.sku_id, round(n.cr, 4) as critical_ratio, round(x.r, 4) as q, round(short * cu, 4) as underage_cost, round(excess * holding_cost, 4) as overage_cost,
+    round(short * cu + excess * holding_cost, 4) as total_cost from nvp n join {level_sql('cr', 'nvp', 'ltd')} x on x.sku_id = n.sku_id and x.lv = n.cr""")
 register("newsvendor_hist", lambda s, sf: rounded(po.newsvendor_hist(bt(s, sf)), 4), """
   with c as (select sku_id, greatest(0.01, known_unit_price - known_unit_cost) as cu, greatest(0.01, known_unit_cost) as co, n_obs from state),
   o as (select sku_id, demand, row_number() over (partition by sku_id order by demand) - 1 as i from panel),
@@ -118,7 +113,12 @@ def ss_frame(s, sf):
         "lead_periods": F.greatest(F.lit(1), "lead_periods"), "review_periods": F.lit(2), "service_level": F.lit(0.95)})
 
 
-register("ss_backtest", lambda s, sf: po.ss_backtest(ss_frame(s, sf)))
+cte("ssf", """select state.sku_id, mean_demand * 52 as annual_demand, mean_cost * 0.25 as holding_cost, 50.0::double as order_cost, 0.95::double as service_level,
+  greatest(1, cast(round_even(lt_mean / 7, 0) as integer)) as lead, 2 as review, mean_demand as mean from state""")
+history_cells("ss_h", "ssf", "panel")
+ss_sql("ss_best", "ssf", "ss_h", 52.0)
+register("ss_backtest", lambda s, sf: rounded(po.ss_history(ss_frame(s, sf)), 5),
+         f"select sku_id, {rq(('s', 'big_s', 'stockout_prob', 'fill_rate', 'cost'), 5)} from ss_best")
 
 
 def schedule_frame(s, sf):
@@ -148,45 +148,143 @@ register("schedule_qr_check", lambda s, sf: rounded(po.schedule(schedule_frame(s
 
 
 # ---- recommendations ----------------------------------------------------------------------
-def plain_fc(s, sf):
-    """Routed forecasts of the weekly panel, stored once."""
-    x = fo.route_model(fo.to_series(bt(s, sf)), "W")
-    return materialise(fo.rows(fo.classical_fc(x, 12, "W"), "sku_id"))
-
-
-register("recommend_all", lambda s, sf: po.recommend_all(bt(s, sf), plain_fc(s, sf), "W").drop("parameters"))
-register("recommend_policies", lambda s, sf: po.recommend_all(bt(s, sf), plain_fc(s, sf), "W", policy="(Q,R)").drop("parameters"))
-register("scenario", lambda s, sf: po.scenario(bt(s, sf), plain_fc(s, sf), "W", service_level=0.99, policy="base-stock"))
-
-
-def _lead_scenario(s, sf):
-    known = bt(s, sf).where(F.col("category") == "SMALL").select("sku_id").distinct()
-    asked = known.unionByName(known.select(F.concat("sku_id", F.lit("-OLD")).alias("sku_id")))
-    return po.scenario_leadtime(bt(s, sf), plain_fc(s, sf), "W", asked, 1.5)
-
-
-register("scenario_leadtime", _lead_scenario)
+# monthly panel and its Croston forecast; every sixth type is perishable, every third falls to the default economics
+TYPES = "case when abs(hash) % 6 = 0 then 'FOODS_2' when abs(hash) % 6 < 4 then 'HOBBIES_1' else 'misc' end"
+
+
+def rec_panel(s, sf):
+    kind = F.conv(F.substring(F.md5("sku_id"), 1, 8), 16, 10).cast("long") % 6
+    return pm(s, sf).withColumn("category", F.when(kind == 0, "FOODS_2").when(kind < 4, "HOBBIES_1").otherwise("misc"))
+
+
+def rec_sql(tag, service_level="null", holding_rate="0.25", order_cost="50.0", policy="null", lead_mult=None):
+    """CTE rec_<tag>: recommendation of every SKU of the monthly panel."""
+    shape, scale = ("coalesce(greatest(1.0, lt_all * {m} / 0.04), shape0)", "coalesce(greatest(1e-3, lt_all * {m} * 0.04), scale0)") if lead_mult else ("shape0", "scale0")
+    under = "greatest(0.5, unit_price - unit_cost)"
+    cte(f"rf_{tag}", f"""select *, greatest(1, cast(round_even(shape * scale / 30.0, 0) as integer)) as lead, coalesce({service_level}::double, least(0.99, greatest(0.85, {under} / ({under} + greatest(0.5, holding_cost))))) as service_level,
+        unit_cost as mc, case when unit_price - unit_cost <= 0 then 1.0 else unit_price - unit_cost end as cu from (
+      select *, {shape.format(m=lead_mult)} as shape, {scale.format(m=lead_mult)} as scale, coalesce(price, unit_cost * markup) as unit_price, {holding_rate}::double * unit_cost as holding_cost, {order_cost}::double as order_cost,
+        coalesce({policy}, case when perishable then 'newsvendor' else '(s,S)' end) as policy_name from (
+      select *, case when n < 3 then 25.0 when v < 1e-9 then 1000.0 else m * m / v end as shape0, case when n < 3 then dlt * 0.04 when v < 1e-9 then m / 1000.0 else v / m end as scale0,
+          coalesce(cost, 1.0) as unit_cost, annual * 12.0 as annual_demand from (
+        select b.*, f.annual, f.mean, case when kind = 0 then 1.45 when kind < 4 then 1.6 else 1.5 end as markup, case when kind = 0 then 4.0 else 14.0 end as dlt, kind = 0 as perishable, case when kind < 4 then 7.0 else 14.0 end as rv,
+            greatest(1, cast(round_even(case when kind < 4 then 7.0 else 14.0 end / 30.0, 0) as integer)) as review
+        from (select sku_id, any_value(('0x' || substr(md5(sku_id), 1, 8))::bigint % 6) as kind, avg(unit_cost) as cost, avg(unit_price) as price, coalesce(arg_max(on_hand, date) filter (on_hand is not null), 0.0) as on_hand, avg(lead_time_days) as lt_all,
+            count(*) filter (lead_time_days > 0) as n, avg(lead_time_days) filter (lead_time_days > 0) as m, var_samp(lead_time_days) filter (lead_time_days > 0) as v, max(date) as start_date from panel_pm group by 1) b
+        join rec_fc f on f.sku_id = b.sku_id)))""")
+    cells_sql(f"rl_{tag}", "fc_cr", f"rf_{tag}", 30.0, 3)
+    demand_cells(f"rd_{tag}", f"rf_{tag}", "fc_cr")
+    cte(f"rfs_{tag}", f"select * from rf_{tag} where policy_name = '(s,S)'")
+    ss_sql(f"rs_{tag}", f"rfs_{tag}", f"rd_{tag}", 12.0)
+    cte(f"rlv_{tag}", f"select *, case when policy_name = 'newsvendor' then cu / (cu + holding_cost) else service_level end as lv0 from rf_{tag}")
+    cte(f"rec_{tag}", f"""select *, case when policy_name in ('(Q,R)', '(s,S)', 'base-stock') and on_hand > reorder_point then 0.0 else qty0 end as recommended_order_qty,
+        policy_name in ('(Q,R)', '(s,S)', 'base-stock') and on_hand > reorder_point as covered from (
+      select f.sku_id, policy_name, on_hand, start_date, lead, review, unit_price, unit_cost, ss.s, ss.big_s, q, x.r,
+        case policy_name when '(Q,R)' then q when 'EOQ' then q when '(s,S)' then greatest(0.0, ss.big_s - on_hand) else x.r end as qty0,
+        case policy_name when '(s,S)' then ss.s when 'EOQ' then null else x.r end as reorder_point,
+        case policy_name when '(s,S)' then greatest(0.0, ss.s - ltd_mean) when '(Q,R)' then greatest(0.0, x.r - ltd_mean) when 'base-stock' then greatest(0.0, x.r - ltd_mean) else 0.0 end as safety_stock,
+        case policy_name when '(s,S)' then ss.stockout_prob when 'EOQ' then 0.0 else above end as expected_stockout_prob,
+        case policy_name when '(s,S)' then ss.fill_rate when 'EOQ' then 1.0 when 'base-stock' then 1 - above when '(Q,R)' then case when ltd_mean > 0 then greatest(0.0, least(1.0, 1 - short / ltd_mean)) else 1.0 end
+          else greatest(0.0, least(1.0, 1 - short / greatest(1e-9, ltd_mean))) end as expected_fill_rate,
+        case policy_name when '(s,S)' then (ss.big_s / 2 + greatest(0.0, ss.s - ltd_mean)) * holding_cost when '(Q,R)' then (q / 2 + greatest(0.0, x.r - ltd_mean)) * holding_cost when 'EOQ' then q / 2 * holding_cost
+          when 'base-stock' then x.r * holding_cost else 0.0 end as expected_holding_cost_annual,
+        case policy_name when '(s,S)' then (ss.big_s / 2 + greatest(0.0, ss.s - ltd_mean)) * holding_cost + annual_demand / greatest(1.0, ss.big_s - ss.s) * order_cost
+          when '(Q,R)' then (q / 2 + greatest(0.0, x.r - ltd_mean)) * holding_cost + annual_demand / q * order_cost when 'EOQ' then q / 2 * holding_cost + annual_demand / q * order_cost
+          when 'base-stock' then x.r * holding_cost else short * cu + excess * holding_cost end as expected_total_cost_annual
+      from (select *, case when annual_demand > 0 then sqrt(2.0 * annual_demand * order_cost / holding_cost) end as q from rlv_{tag}) f
+      join rl_{tag}_mom m on m.sku_id = f.sku_id join {level_sql('lv0', f'rlv_{tag}', f'rl_{tag}')} x on x.sku_id = f.sku_id left join rs_{tag} ss on ss.sku_id = f.sku_id)""")
+
+
+cte("rec_fc", f"""select sku_id, avg(point) as annual, avg({" + ".join(
+    [f"greatest(0.0, q[1]) * {QUANTILE_LEVELS[0]}", f"greatest(0.0, q[5]) * {1.0 - QUANTILE_LEVELS[-1]!r}"]
+    + [f"(case when q[{i + 2}] <= 0 then 0.0 when q[{i + 1}] >= 0 then (q[{i + 1}] + q[{i + 2}]) / 2 else q[{i + 2}] * q[{i + 2}] / (2 * (q[{i + 2}] - q[{i + 1}])) end) * {b - a!r}"
+       for i, (a, b) in enumerate(zip(QUANTILE_LEVELS, QUANTILE_LEVELS[1:]))])}) as mean
+  from (select *, list_sort([{", ".join(QUANTILE_COLS)}]) as q from fc_cr) group by 1""")
+rec_sql("main")
+rec_sql("qr", policy="'(Q,R)'")
+rec_sql("alt", service_level="0.99", policy="'base-stock'")
+rec_sql("lead", lead_mult=1.5)
+rec_sql("eoq", policy="'EOQ'")
+NUM = po.REC_COLS
+
+
+def flat(rec):
+    """Recommendation rows without the nested columns."""
+    return rounded(rec.drop("parameters", "schedule"), 4).withColumn("caveats", F.array_join("caveats", "; "))
+
+
+# the schedule of a recommendation: state by period in plain recursion; at most twelve periods
+for tag in ("main", "qr"):
+    cte(f"rp_{tag}", f"select sku_id, list(point order by step) as point from fc_cr group by 1")
+    cte(f"sch_{tag}", f"""with recursive g as (select sku_id, -1 as t, on_hand as stock, [0.0 for x in range(0, len(point))]::double[] as due, false as stockout, 0.0::double as qty, point, lead, review, policy_name, s, big_s, q, r
+        from rec_{tag} join rp_{tag} using (sku_id) where policy_name in ('(Q,R)', '(s,S)')
+      union all select sku_id, t, stock, list_transform(due, lambda d, i: case when i = t + lead + 1 then d + qty when i = t + 1 then 0.0 else d end), stockout, qty, point, lead, review, policy_name, s, big_s, q, r from (
+        select *, case when got > 0 or t + lead >= len(point) then 0.0 when policy_name = '(Q,R)' then case when stock <= r and due[t + lead + 1] = 0 then q else 0.0 end
+            when t % review = 0 and stock <= s then greatest(0.0, big_s - stock - (list_sum(due) - due[t + 1])) else 0.0 end as qty from (
+          select sku_id, t + 1 as t, greatest(0.0, stock - point[t + 2]) + due[t + 2] as stock, due[t + 2] as got, due, stock < point[t + 2] as stockout, point, lead, review, policy_name, s, big_s, q, r
+          from g where t + 1 < len(point))))
+      select sku_id, count(*) filter (stockout) as outs, max(t) + 1 as periods, count(*) filter (qty > 0) as orders, sum(qty) as units from g where t >= 0 group by 1""")
+    cte(f"recs_{tag}", f"""select r.*, coalesce(outs, 0) as outs, coalesce(orders, 0) as orders, coalesce(units, 0.0) as units, concat_ws('; ',
+        case when policy_name = 'newsvendor' and unit_price - unit_cost <= 0 then 'price <= cost: underage cost is not positive, a floor of 1 is used.' end,
+        case when covered then 'on-hand ' || printf('%.0f', round(on_hand, 0)) || ' > reorder point ' || printf('%.0f', round(reorder_point, 0)) || '; no order needed now.' end,
+        case when outs > 0 then 'projected schedule has ' || outs || ' stockout periods out of ' || periods || '; consider higher service level or shorter lead time.' end) as caveats
+      from rec_{tag} r left join sch_{tag} h on h.sku_id = r.sku_id""")
+
+cte("abc_pm", """select sku_id, case when share <= 0.8 then 'A' when share <= 0.95 then 'B' else 'C' end as abc_class, case when cv < 0.5 then 'X' when cv < 1.0 then 'Y' else 'Z' end as xyz_class from (
+  select *, sum(rev) over (order by rev desc, sku_id rows unbounded preceding) / sum(rev) over () as share from (
+    select sku_id, coalesce(sum(demand * coalesce(unit_price, unit_cost, 1.0)), 0.0) / count(*) * 12.0 as rev, case when coalesce(avg(demand), 0) = 0 then 0.0 else coalesce(stddev_samp(demand), 0.0) / avg(demand) end as cv
+    from panel_pm group by 1))""")
+# every ninth SKU has no forecast
+some_fc = lambda s, sf: fc(s, sf).where(F.conv(F.substring(F.md5("sku_id"), 1, 8), 16, 10).cast("long") % 9 > 0)
+register("recommend_all", lambda s, sf: flat(po.recommend_all(rec_panel(s, sf), some_fc(s, sf), "M")), f"""
+  select c.sku_id, abc_class, xyz_class, case when has then policy_name end as policy_name, round(on_hand, 4) as on_hand, {", ".join(f"case when has then round({x}, 4) end as {x}" for x in NUM)},
+    case when has then caveats end as caveats, case when not has then 'no forecast' end as error
+  from (select *, ('0x' || substr(md5(sku_id), 1, 8))::bigint % 9 > 0 as has from recs_main) r join abc_pm c on c.sku_id = r.sku_id""")
+register("recommend_policies", lambda s, sf: flat(po.recommend(rec_panel(s, sf), fc(s, sf), "M", policy="(Q,R)")), f"""
+  select c.sku_id, abc_class, xyz_class, policy_name, round(on_hand, 4) as on_hand, {rq(NUM, 4)}, caveats from recs_qr r join abc_pm c on c.sku_id = r.sku_id""")
+register("recommend_eoq", lambda s, sf: rounded(po.recommend(rec_panel(s, sf), fc(s, sf), "M", policy="EOQ").select("sku_id", *NUM), 4),
+         f"select sku_id, {rq(NUM, 4)} from rec_eoq")
+register("recommendation_schedules", lambda s, sf: rounded(po.recommend(rec_panel(s, sf), fc(s, sf), "M").where("schedule is not null").select(
+    "sku_id", F.size(F.filter("schedule", lambda e: e["qty"] > 0)).cast("long").alias("orders"), F.aggregate("schedule", F.lit(0.0), lambda t, e: t + e["qty"]).alias("units"),
+    F.size(F.filter("schedule", lambda e: e["stockout"])).cast("long").alias("outs")), 4),
+    "select sku_id, orders, round(units, 4) as units, outs from recs_main where policy_name <> 'newsvendor'")
+
+
+def deltas_sql(a, b):
+    return ", ".join(f"round(a.{x}, 4) as base_{x}, round(b.{x}, 4) as scenario_{x}, round(b.{x} - a.{x}, 4) as delta_{x}" for x in po.DELTAS)
+
+
+register("scenario", lambda s, sf: rounded(po.scenario(rec_panel(s, sf), fc(s, sf), "M", service_level=0.99, policy="base-stock"), 4),
+         f"select a.sku_id, {deltas_sql('main', 'alt')} from rec_main a join rec_alt b on b.sku_id = a.sku_id")
+
+
+def asked(s, sf):
+    """All SKUs of the panel and as many that are not in it."""
+    known = pm(s, sf).select("sku_id").distinct()
+    return known.unionByName(known.select(F.concat("sku_id", F.lit("-OLD")).alias("sku_id")))
+
+
+register("scenario_leadtime", lambda s, sf: rounded(po.scenario_leadtime(rec_panel(s, sf), fc(s, sf), "M", asked(s, sf), 1.5), 4), f"""
+  with k as (select distinct sku_id from panel_pm), l as (select sku_id from k union all select sku_id || '-OLD' from k)
+  select l.sku_id, {deltas_sql('main', 'lead')}, case when a.sku_id is null then 'no history' end as error from l left join rec_main a on a.sku_id = l.sku_id left join rec_lead b on b.sku_id = l.sku_id""")
 
 
 def _export_recs(s, sf):
     path = scratch_path(s, "recommendations")
-    rec = po.recommend_all(bt(s, sf), plain_fc(s, sf), "W").withColumns({
-        "parameters": F.to_json("parameters"), "caveats": F.array_join("caveats", "; ")})
-    files.write_csv(rec, path)
-    return s.read.csv(path, header=True)
-
-
-register("export_recommendations", _export_recs)
-register("status_from_rec", lambda s, sf: po.status_from_rec(po.recommend(po.recommendation_inputs(bt(s, sf), plain_fc(s, sf), "W"))))
-register("sku_header", lambda s, sf: rounded(po.sku_header(pm(s, sf), fc(s, sf)), 3), """
-  select a.sku_id, last_7, round(sum(point), 3) as next_7, round(sum((q975 - q025) / 2), 0) as interval_half from (
+    files.write_csv(flat(po.recommend_all(rec_panel(s, sf), some_fc(s, sf), "M")), path)
+    back = s.read.csv(path, header=True)
+    return back.select(*[F.col(c).cast("double").alias(c) if c in NUM + ("on_hand",) else F.col(c) for c in back.columns])
+
+
+register("export_recommendations", _export_recs, f"""
+  select c.sku_id, abc_class, xyz_class, case when has then policy_name end as policy_name, round(on_hand, 4) as on_hand, {", ".join(f"case when has then round({x}, 4) end as {x}" for x in NUM)},
+    case when has and caveats <> '' then caveats end as caveats, case when not has then 'no forecast' end as error
+  from (select *, ('0x' || substr(md5(sku_id), 1, 8))::bigint % 9 > 0 as has from recs_main) r join abc_pm c on c.sku_id = r.sku_id""")
+register("status_from_rec", lambda s, sf: po.status_from_rec(po.recommend(rec_panel(s, sf), fc(s, sf), "M", policy="(Q,R)")), """
+  select sku_id, case when on_hand <= 0 or on_hand <= reorder_point then 'order_now' when expected_stockout_prob >= 0.10 then 'at_risk' when expected_fill_rate < 0.95 then 'watch' else 'healthy' end as status from rec_qr""")
+cte("hdr", """select a.sku_id, last_7, sum(point) as next_7, round(sum((q975 - q025) / 2), 0) as interval_half from (
     select sku_id, sum(demand) as last_7 from ser where rn >= n - 7 group by 1) a join fc_cr f on f.sku_id = a.sku_id group by 1, 2""")
-
-
-def _sku_insights(s, sf):
-    f = plain_fc(s, sf)
-    rec = po.recommend(po.recommendation_inputs(bt(s, sf), f, "W"))
-    return po.sku_insights(bt(s, sf), f, rec, po.schedule(schedule_frame(s, sf), "sS", "W"))
-
-
-register("sku_insights", _sku_insights)
+register("sku_header", lambda s, sf: rounded(po.sku_header(pm(s, sf), fc(s, sf)), 3), "select sku_id, last_7, round(next_7, 3) as next_7, interval_half from hdr")
+register("sku_insights", lambda s, sf: po.sku_insights(pm(s, sf), fc(s, sf), po.recommend(rec_panel(s, sf), fc(s, sf), "M")).withColumn("stockouts", F.col("stockouts").cast("long")), """
+  select r.sku_id, case when policy_name = 'newsvendor' then 0 else outs end as stockouts, case when next_7 > last_7 * 1.2 then 'higher' when next_7 < last_7 * 0.8 and last_7 > 0 then 'lower' end as trend,
+    round(abs(next_7 - last_7) / greatest(1.0, last_7) * 100, 0) as change_pct, expected_fill_rate < 0.95 as low_fill from recs_main r join hdr h on h.sku_id = r.sku_id""")
