@@ -450,7 +450,7 @@ def settled(base: DataFrame, freq: str, service_level=None, holding_rate=None, o
     shape, scale = gamma_columns(c("n"), c("m"), c("v"), c("default_lead_time"))
     given = F.lit(float(lead_days)) if lead_days is not None else c("_lt_all") * lead_mult if lead_mult is not None else None
     if given is not None:
-        shape = F.when(given.isNull(), shape).otherwise(F.greatest(F.lit(1.0), given / 0.04))
+        shape = F.when(given.isNull(), shape).otherwise(F.lit(25.0))  # a lead time set by hand varies by a fifth
         scale = F.when(given.isNull(), scale).otherwise(F.greatest(F.lit(1e-3), given * 0.04))
     t = econ.withColumns({"unit_cost": F.coalesce("_cost", F.lit(1.0)), "shape": shape, "scale": scale})
     t = t.withColumns({"unit_price": F.coalesce(c("_price"), c("unit_cost") * c("markup_default")), "holding_cost": F.lit(float(holding_rate or HOLDING_RATE)) * c("unit_cost"),
@@ -465,6 +465,11 @@ REC_COLS = ("recommended_order_qty", "reorder_point", "safety_stock", "expected_
             "expected_total_cost_annual")
 
 
+def held(t: DataFrame, name: str, value: Column) -> DataFrame:
+    """t with `value`, computed once a row: behind a generator of one element it cannot be merged into the lambdas that name it."""
+    return t.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def recommended(t: DataFrame, freq: str) -> DataFrame:
     """Adds `rec`, a struct with REC_COLS, parameters, caveats and schedule, to rows of settled(): every policy is a case of one projection, and
     only the case of a row is computed."""
@@ -499,7 +504,7 @@ def recommended(t: DataFrame, freq: str) -> DataFrame:
         (s, s, F.greatest(zero, s - mean), out, 1 - out, s * hold, s * hold), S=s)))
     name = c("policy_name")
     cases = (F.when(name == "(Q,R)", qr).when(name == "EOQ", eoq_).when(name == "newsvendor", news).when(name == "(s,S)", ss_row(c("_ss"))).when(name == "base-stock", base))
-    t = t.withColumn("_r", F.when(c("_ltd").isNotNull(), cases))
+    t = held(t, "_r", F.when(c("_ltd").isNotNull(), cases))
     r = c("_r")
     ordered = name.isin("(Q,R)", "(s,S)", "base-stock")
     covered = F.coalesce(ordered & (c("on_hand") > r["reorder_point"]), F.lit(False))

@@ -159,9 +159,9 @@ def rec_panel(s, sf):
 
 def rec_sql(tag, service_level="null", holding_rate="0.25", order_cost="50.0", policy="null", lead_mult=None):
     """CTE rec_<tag>: recommendation of every SKU of the monthly panel."""
-    shape, scale = ("coalesce(greatest(1.0, lt_all * {m} / 0.04), shape0)", "coalesce(greatest(1e-3, lt_all * {m} * 0.04), scale0)") if lead_mult else ("shape0", "scale0")
+    shape, scale = ("case when lt_all is null then shape0 else 25.0 end", "coalesce(greatest(1e-3, lt_all * {m} * 0.04), scale0)") if lead_mult else ("shape0", "scale0")
     under = "greatest(0.5, unit_price - unit_cost)"
-    cte(f"rf_{tag}", f"""select *, greatest(1, cast(round_even(shape * scale / 30.0, 0) as integer)) as lead, coalesce({service_level}::double, least(0.99, greatest(0.85, {under} / ({under} + greatest(0.5, holding_cost))))) as service_level,
+    cte(f"rf_{tag}", f"""select * exclude (n, m, v), greatest(1, cast(round_even(shape * scale / 30.0, 0) as integer)) as lead, coalesce({service_level}::double, least(0.99, greatest(0.85, {under} / ({under} + greatest(0.5, holding_cost))))) as service_level,
         unit_cost as mc, case when unit_price - unit_cost <= 0 then 1.0 else unit_price - unit_cost end as cu from (
       select *, {shape.format(m=lead_mult)} as shape, {scale.format(m=lead_mult)} as scale, coalesce(price, unit_cost * markup) as unit_price, {holding_rate}::double * unit_cost as holding_cost, {order_cost}::double as order_cost,
         coalesce({policy}, case when perishable then 'newsvendor' else '(s,S)' end) as policy_name from (
