@@ -42,3 +42,24 @@ def at_level(sorted_array: Column, level: Column) -> Column:
     pos = level * (F.size(sorted_array) - 1)
     lo, hi = F.get(sorted_array, F.floor(pos).cast("int")), F.get(sorted_array, F.ceil(pos).cast("int"))
     return lo + (hi - lo) * (pos - F.floor(pos))
+
+
+BLOCK = 256
+
+
+def scan(a: Column, start: Column, step) -> Column:
+    """All states of a fold, one per element.  `a` is a plain column.
+
+    A first pass keeps the state before every BLOCK-th element only, a second one folds each block on from there: an appended
+    array is never longer than a block (or the number of blocks), so the cost is linear in the series."""
+    first = F.struct(start.alias("s"), F.lit(0).alias("i"), F.slice(F.array(start), 1, 0).alias("out"))
+    marks = F.aggregate(a, first, lambda acc, x: F.struct(
+        step(acc["s"], x).alias("s"), (acc["i"] + 1).alias("i"),
+        F.when(acc["i"] % BLOCK == 0, F.array_append(acc["out"], acc["s"])).otherwise(acc["out"]).alias("out")), lambda acc: acc["out"])
+
+    def inside(s, b):
+        begin = F.struct(s.alias("s"), F.slice(F.array(s), 1, 0).alias("out"))
+        grown = lambda acc, new: F.get(F.transform(F.array(new), lambda n: F.struct(n.alias("s"), F.array_append(acc["out"], n).alias("out"))), F.lit(0))
+        return F.aggregate(F.slice(a, b * BLOCK + 1, F.lit(BLOCK)), begin, lambda acc, x: grown(acc, step(acc["s"], x)), lambda acc: acc["out"])
+
+    return F.flatten(F.transform(marks, inside))

@@ -16,30 +16,36 @@ def running_total(df: DataFrame, order, value: Column, out: str) -> DataFrame:
     return running_totals(df, order, {out: value})
 
 
-def running_totals(df: DataFrame, order, values: dict) -> DataFrame:
-    order = list(order)
+def running_totals(df: DataFrame, order, values: dict, by=()) -> DataFrame:
+    """Adds inclusive running sums in `order`.  With `by`, columns that `order` starts with, sums restart at each new value of
+    them: a value that spans partitions costs one offset row in each."""
+    order, by = list(order), list(by)
     # named sums first, so that only plain columns cross the exchange
     df = df.withColumns({f"_v_{name}": v for name, v in values.items()})
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stamped = materialise(
         df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sums = stamped.groupBy("_part").agg(
+    keys = ["_part", *by]
+    sums = stamped.groupBy(*keys).agg(
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # one row per shuffle partition
-    offsets = sums.select("_part", *[
+    before = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # one row per shuffle partition (and per value of `by` in it)
+    offsets = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], *[
         F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0).cast("double")).alias(f"_o_{n}")
         for n in values])
-    local = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return (stamped
-            .join(F.broadcast(offsets), "_part")
+            .join(offsets if by else F.broadcast(offsets), same)
             .withColumns({n: F.sum(f"_v_{n}").over(local) + F.col(f"_o_{n}") for n in values})
-            .drop("_part", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values]))
+            .drop("_part", "_p", *[f"_by_{c}" for c in by], *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values]))
 
 
-def row_numbers(df: DataFrame, order, out: str = "rn") -> DataFrame:
-    """Adds a global 1-based position in `order`."""
-    return (running_total(df, order, F.lit(1.0), out)
+def row_numbers(df: DataFrame, order, out: str = "rn", by=()) -> DataFrame:
+    """Adds a 1-based position in `order`, global or within each value of the columns `by` that `order` starts with."""
+    return (running_totals(df, order, {out: F.lit(1.0)}, by)
             .withColumn(out, F.col(out).cast("long")))
 
 

@@ -1,6 +1,8 @@
 """Robust z-scores, CUSUM, anomaly events and their context."""
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions import arrays as A
+
 MAD_SCALE = 1.4826
 CUSUM_K, CUSUM_H = 0.5, 4.0
 # fixed values: fixed-date holidays (month, day, label)
@@ -48,16 +50,13 @@ def cusum(df: DataFrame) -> DataFrame:
     row = F.struct("date", "demand", "_i", "median", "mad", "z")
     one = robust_z(df).groupBy("sku_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
     zero = F.lit(0.0)
-    start = F.struct(zero.alias("pos"), zero.alias("neg"), F.array().cast("array<struct<pos:double,neg:double>>").alias("out"))
 
     def step(acc, x):
         first = x["_i"] == 0
-        pos = F.when(first, zero).otherwise(F.greatest(zero, acc["pos"] + x["z"] - CUSUM_K))
-        neg = F.when(first, zero).otherwise(F.least(zero, acc["neg"] + x["z"] + CUSUM_K))
-        return F.struct(pos.alias("pos"), neg.alias("neg"),
-                        F.concat(acc["out"], F.array(F.struct(pos.alias("pos"), neg.alias("neg")))).alias("out"))
+        return F.struct(F.when(first, zero).otherwise(F.greatest(zero, acc["pos"] + x["z"] - CUSUM_K)).alias("pos"),
+                        F.when(first, zero).otherwise(F.least(zero, acc["neg"] + x["z"] + CUSUM_K)).alias("neg"))
 
-    sums = F.aggregate("r", start, step, lambda acc: acc["out"])
+    sums = A.scan(F.col("r"), F.struct(zero.alias("pos"), zero.alias("neg")), step)
     rows = one.select("sku_id", F.explode_outer(F.arrays_zip(F.col("r"), sums.alias("c"))).alias("x"))
     return rows.select("sku_id", "x.r.*", F.col("x.c.pos").alias("cusum_pos"), F.col("x.c.neg").alias("cusum_neg"))
 

@@ -5,10 +5,11 @@ ranking costs one exchange by SKU plus joins with tables of one row per SKU.
 """
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordering import exact_quantiles, running_total
+from ..functions.ordering import exact_quantiles, row_numbers, running_total
 from ..functions.rows import side_by_side
 from ..functions.stats import norm_cdf, norm_ppf
 from ..schema import PERIOD_DAYS, PERIODS_PER_YEAR
+from ..session import materialise
 
 # fixed values: class limits, fallbacks
 ABC_LIMITS = (0.80, 0.95)
@@ -221,13 +222,14 @@ def by_score():
     return [F.desc(F.round("score", 4)), F.asc("sku_id")]
 
 
-def reorder_queue(df: DataFrame, sup: DataFrame, freq: str, as_of: str, limit: int = 200,
+def reorder_queue(df: DataFrame, sup: DataFrame, freq: str, as_of: str, limit: int | None = None,
                   cover_limit: float = 30.0, groups: DataFrame | None = None) -> DataFrame:
-    """Candidates by stockout probability x revenue at risk, best `limit`.
+    """Candidates by stockout probability x revenue at risk; all of them, or the best `limit`.
 
-    The top-k is taken before the class join, so that join sees `limit` rows on one side.
-    `groups` (sku_id, group_id) fills the joint replenishment group."""
-    top = reorder_candidates(df, sup, freq, as_of, cover_limit).orderBy(*by_score()).limit(limit)
+    A top-k is taken before the class join.  `groups` (sku_id, group_id) fills the joint replenishment group."""
+    top = reorder_candidates(df, sup, freq, as_of, cover_limit)
+    if limit is not None:
+        top = top.orderBy(*by_score()).limit(limit)
     classes = abc_xyz(df, PERIODS_PER_YEAR[freq]).select("sku_id", "abc_class", "xyz_class")
     out = top.join(classes, "sku_id", "left").withColumns({
         "abc_class": F.coalesce("abc_class", F.lit("C")), "xyz_class": F.coalesce("xyz_class", F.lit("Z"))})
@@ -317,33 +319,28 @@ def plan_rationale(df: DataFrame) -> DataFrame:
 
 
 def plan_week(queue: DataFrame, budget: float | None, n: int = 25) -> DataFrame:
-    """In-plan and deferred rows of a queue of at most max(3n, 100) rows.
-
-    With a budget, rows are taken in order of score per cost while they fit; the fold
-    carries the money spent and the number of rows taken."""
-    cap = max(3 * n, 100)
-    top = queue.orderBy(*by_score()).limit(cap)
+    """Every queue row with its place `pos`, in the plan (no reason) or deferred with the reason.
+
+    Without a budget the best `n` by score are planned.  With one, rows are taken in order of score per cost while they fit
+    and fewer than `n` are taken.  Money left only shrinks, so a row dearer than it is out for good: a round fetches the
+    next rows that still fit, as many as are wanted, and takes the affordable ones in order.  Every round takes one at least, so the driver
+    sees no more than `n` rows in each of at most `n` rounds, whatever the queue's length."""
+    key = [] if not budget else [F.desc(F.round(F.col("score") / F.greatest(F.lit(1.0), F.col("total_cost")), 9))]
+    ranked = materialise(row_numbers(queue, [*key, *by_score()], "pos"))
     if not budget:
-        pos = F.row_number().over(W.orderBy(*by_score()))     # at most `cap` rows
-        return top.withColumn("pos", pos.cast("long")).withColumn(
-            "reason", F.when(F.col("pos") > n, "top_n_cap_reached"))
-    key = [F.desc(F.round(F.col("score") / F.greatest(F.lit(1.0), F.col("total_cost")), 9)), *by_score()]
-    ranked = top.withColumn("pos", F.row_number().over(W.orderBy(*key)).cast("long"))  # at most `cap` rows
-    lines = ranked.agg(F.sort_array(F.collect_list(F.struct("pos", "sku_id", "total_cost"))).alias("a"))
-    start = F.expr("named_struct('spent', 0.0D, 'k', 0, 'out', "
-                   "cast(array() as array<struct<sku_id:string,reason:string>>))")
-
-    def step(acc, x):
-        full = acc["k"] >= n
-        fits = ~full & (acc["spent"] + x["total_cost"] <= budget)
-        return F.struct(
-            (acc["spent"] + F.when(fits, x["total_cost"]).otherwise(0.0)).alias("spent"),
-            (acc["k"] + F.when(fits, 1).otherwise(0)).alias("k"),
-            F.array_append(acc["out"], F.struct(x["sku_id"].alias("sku_id"), F.when(full, "top_n_cap_reached")
-                                                .when(~fits, "budget_exceeded").alias("reason"))).alias("out"))
-
-    chosen = lines.select(F.inline(F.aggregate("a", start, step)["out"]))
-    return ranked.join(chosen, "sku_id")
+        return ranked.withColumn("reason", F.when(F.col("pos") > n, "top_n_cap_reached"))
+    taken, left, last = [], float(budget), 0
+    while len(taken) < n:
+        ahead = ranked.where((F.col("pos") > last) & (F.col("total_cost") <= left)).orderBy("pos").limit(n - len(taken)).select("pos", "total_cost").collect()
+        if not ahead:
+            break
+        for r in ahead:
+            if r["total_cost"] <= left:
+                taken.append(r["pos"])
+                left -= r["total_cost"]
+        last = ahead[-1]["pos"]
+    late = F.lit(len(taken) >= n) & (F.col("pos") > (taken[-1] if taken else 0))
+    return ranked.withColumn("reason", F.when(F.col("pos").isin(taken), None).when(late, "top_n_cap_reached").otherwise("budget_exceeded"))
 
 
 def plan_summary(plan: DataFrame, budget: float | None) -> DataFrame:
@@ -354,24 +351,32 @@ def plan_summary(plan: DataFrame, budget: float | None) -> DataFrame:
         F.round(F.coalesce(used, F.lit(0.0)) / F.lit(float(budget or 0) or None) * 100, 1).alias("budget_used_pct"))
 
 
-def draft_by_supplier(queue: DataFrame, max_suppliers: int = 8, max_lines: int = 15) -> DataFrame:
-    """Draft orders: suppliers in queue order, their largest lines by revenue at risk."""
-    sup = F.coalesce("supplier_id", "supplier_name", F.lit("UNKNOWN"))
-    q = queue.withColumn("sup_key", sup)
-    first = W.partitionBy("sup_key").orderBy(F.desc(F.round("revenue_at_risk", 4)), "sku_id")
-    best = q.groupBy("sup_key").agg(F.max(F.round("score", 4)).alias("_s"), F.min_by("sku_id", F.struct(
-        -F.round("score", 4), F.col("sku_id"))).alias("_k")).orderBy(F.desc("_s"), "_k").limit(max_suppliers)
-    ranked = q.join(best.select("sup_key"), "sup_key").withColumn("_p", F.row_number().over(first))
-    return ranked.groupBy("sup_key").agg(
-        F.max("supplier_name").alias("supplier_name"),
-        F.count_if(F.col("_p") <= max_lines).alias("n_lines"),
-        F.max("expedite_flag").alias("expedite"),
-        F.round(F.sum(F.when(F.col("_p") <= max_lines, F.col("recommended_qty") * F.coalesce("unit_cost", F.lit(0.0)))), 2)
-        .alias("total_cost"),
-        F.max(F.when(F.col("_p") == 1, F.col("sku_id"))).alias("top_sku"),
-        # max_lines entries at most: the others are null and collect_list skips nulls
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("_p") <= max_lines, F.struct("_p", "sku_id")))),
-                    lambda x: x["sku_id"]).alias("lines"))
+def _sup_key():
+    return F.coalesce("supplier_id", "supplier_name", F.lit("UNKNOWN"))
+
+
+def draft_lines_by_supplier(queue: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Order lines: every queue row with its number inside its supplier, largest revenue at risk first.
+
+    Numbers come from running totals that restart at each supplier, so one with most of the queue is spread over many tasks."""
+    q = queue.withColumn("sup_key", _sup_key()).withColumn("_rev", F.round("revenue_at_risk", 4))
+    order = [F.asc("sup_key"), F.desc("_rev"), F.asc("sku_id")]
+    rows = row_numbers(q, order, "line_no", by=["sup_key"]).drop("_rev")
+    return rows if max_lines is None else rows.where(F.col("line_no") <= max_lines)
+
+
+def draft_by_supplier(queue: DataFrame, max_suppliers: int | None = None, max_lines: int | None = None) -> DataFrame:
+    """Draft orders, one row per supplier, from its lines; all of them unless limits are given.  Suppliers are
+    numbered in queue order: by their best score, then by its SKU."""
+    best = F.min(F.struct((-F.round("score", 4)).alias("s"), F.col("sku_id")))
+    lines = draft_lines_by_supplier(queue)
+    inside = F.lit(True) if max_lines is None else F.col("line_no") <= max_lines
+    heads = lines.groupBy("sup_key").agg(
+        F.max("supplier_name").alias("supplier_name"), F.count_if(inside).alias("n_lines"), F.max("expedite_flag").alias("expedite"),
+        F.round(F.sum(F.when(inside, F.col("recommended_qty") * F.coalesce("unit_cost", F.lit(0.0)))), 2).alias("total_cost"),
+        F.max(F.when(F.col("line_no") == 1, F.col("sku_id"))).alias("top_sku"), best.alias("_b"))
+    heads = row_numbers(heads, [F.asc("_b.s"), F.asc("_b.sku_id")], "draft_no").drop("_b")
+    return heads if max_suppliers is None else heads.where(F.col("draft_no") <= max_suppliers)
 
 
 def validate_plan(lines: DataFrame, queue: DataFrame, df: DataFrame) -> DataFrame:

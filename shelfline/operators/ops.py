@@ -32,10 +32,8 @@ def spend_ledger(events: DataFrame, budget: float) -> DataFrame:
     with most of the entries is spread over many tasks."""
     e = events.where(F.col("value") > 0).withColumn("day", F.to_date("ts"))
     order = [F.asc("day"), F.asc("ts"), F.asc("event_id")]
-    run = running_totals(e, order, {"_upto": F.col("value")})
-    start = run.groupBy("day").agg(F.min(F.struct("ts", "event_id", (F.col("_upto") - F.col("value")).alias("b"))).alias("m"))
-    j = run.join(start.select("day", F.col("m.b").alias("_base")), "day")
-    before = F.col("_upto") - F.col("value") - F.col("_base")
+    j = running_totals(e, order, {"_upto": F.col("value")}, by=["day"])
+    before = F.col("_upto") - F.col("value")
     return j.select("event_id", "day", "operation", "value", before.alias("spent_before"),
                     (F.round(before, 6) >= budget).alias("refused"))
 

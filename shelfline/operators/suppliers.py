@@ -201,71 +201,32 @@ def replen_cycles(df: DataFrame, factor: float, order_cost: float = 50.0, holdin
     return g.withColumn("cycle_days", F.col("eoq") / F.col("annual_demand") * 365.0)
 
 
-FOLD_LIMIT = 50_000
-
-
-def cluster_cycles(cycles: DataFrame, tol: float = 0.20, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def cluster_cycles(cycles: DataFrame, tol: float = 0.20) -> DataFrame:
     """Greedy clusters of ascending cycles: a cycle joins the open cluster while it is
     within `tol` of the cluster's running mean.
 
-    Suppliers of at most `fold_limit` SKUs are folded as one ordered array.  Larger ones
-    are cut in rounds over range-partitioned running sums: with the sums, whether row j
-    still belongs to the cluster opened at row i is a test on row j alone, so a round
-    finds the first row outside for every large supplier at once.  A new cluster starts
-    above (1 + tol) times the mean of the last, so rounds grow with the logarithm of the
-    ratio of longest to shortest cycle, not with the number of SKUs.
+    Cut in rounds over running sums that restart at each supplier: with the sums, whether row j still belongs to the cluster
+    opened at row i is a test on row j alone, so a round finds the first row outside for every supplier at once.  A new
+    cluster starts above (1 + tol) times the mean of the last, so rounds grow with the logarithm of the ratio of longest to
+    shortest cycle, not with the number of SKUs, and rows before a supplier's last cut drop out of later rounds.
     """
-    sizes = cycles.groupBy("supplier").agg(F.count(F.lit(1)).alias("_n"))
-    sized = materialise(cycles.join(sizes, "supplier"))
-    small = sized.where(F.col("_n") <= fold_limit)
-    large = sized.where(F.col("_n") > fold_limit)
-    out = _fold_clusters(small, tol)
-    return out if large.isEmpty() else out.unionByName(_cut_clusters(large, tol))
-
-
-def _fold_clusters(small: DataFrame, tol: float) -> DataFrame:
-    lists = small.groupBy("supplier").agg(
-        F.sort_array(F.collect_list(F.struct("cycle_days", "sku_id"))).alias("a"))
-    start = F.expr("named_struct('c', -1, 's', 0.0D, 'k', 0.0D, 'out', cast(array() as array<int>))")
-
-    def step(acc, x):
-        mean = acc["s"] / acc["k"]
-        joins = F.coalesce((acc["k"] > 0) & (F.abs(x["cycle_days"] - mean) / mean <= tol), F.lit(False))
-        c = F.when(joins, acc["c"]).otherwise(acc["c"] + 1)
-        return F.struct(c.alias("c"), F.when(joins, acc["s"] + x["cycle_days"]).otherwise(x["cycle_days"]).alias("s"),
-                        F.when(joins, acc["k"] + 1.0).otherwise(1.0).alias("k"),
-                        F.array_append(acc["out"], c).alias("out"))
-
-    ids = F.aggregate("a", start, step)["out"]
-    pairs = F.arrays_zip(F.col("a").alias("a"), ids.alias("cluster"))
-    back = lists.select("supplier", F.explode_outer(pairs).alias("p")).select(
-        "supplier", F.col("p.a.sku_id").alias("sku_id"), F.col("p.cluster").cast("long").alias("cluster"))
-    return small.drop("_n").join(back, ["supplier", "sku_id"])
-
-
-def _cut_clusters(large: DataFrame, tol: float) -> DataFrame:
     order = [F.asc("supplier"), F.asc("cycle_days"), F.asc("sku_id")]
-    # position and cycle sum up to each row, over all large suppliers in one order
-    rows = materialise(running_totals(large, order, {"_pos": F.lit(1.0), "_cum": F.col("cycle_days")}))
-    opened = rows.groupBy("supplier").agg(F.min("_pos").alias("_at"), F.min_by(
-        F.col("_cum") - F.col("cycle_days"), "_pos").alias("_base"))
-    state = materialise(opened.withColumn("cluster", F.lit(0).cast("long")))
-    starts = state
+    rows = materialise(running_totals(cycles, order, {"_pos": F.lit(1.0), "_cum": F.col("cycle_days")}, by=["supplier"]))
+    before = F.col("_cum") - F.col("cycle_days")
+    state = starts = rows.select("supplier").distinct().select("supplier", F.lit(1.0).alias("_at"), F.lit(0.0).alias("_base"))
     while True:
         j = rows.join(state, "supplier").where(F.col("_pos") > F.col("_at"))
-        before = F.col("_cum") - F.col("cycle_days")
         mean = (before - F.col("_base")) / (F.col("_pos") - F.col("_at"))
         out = j.where(F.abs(F.col("cycle_days") - mean) / mean > tol)
-        state = materialise(out.groupBy("supplier").agg(
-            F.min(F.struct("_pos", before.alias("_b"), (F.col("cluster") + 1).alias("_c"))).alias("m"))
-            .select("supplier", F.col("m._pos").alias("_at"), F.col("m._b").alias("_base"), F.col("m._c").alias("cluster")))
+        state = materialise(out.groupBy("supplier").agg(F.min(F.struct("_pos", before.alias("_b"))).alias("m"))
+                            .select("supplier", F.col("m._pos").alias("_at"), F.col("m._b").alias("_base")))
         if state.isEmpty():
             break
-        starts = materialise(starts.unionByName(state))
+        starts = starts.unionByName(state)
     # the cuts of a supplier are few: one array per supplier, searched per row
     cuts = starts.groupBy("supplier").agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
     inside = F.size(F.filter("_cuts", lambda c: c <= F.col("_pos"))) - 1
-    return rows.join(cuts, "supplier").withColumn("cluster", inside.cast("long")).drop("_pos", "_cum", "_cuts", "_n")
+    return rows.join(cuts, "supplier").withColumn("cluster", inside.cast("long")).drop("_pos", "_cum", "_cuts")
 
 
 def joint_replenishment(clustered: DataFrame, order_cost: float = 50.0, min_size: int = 2) -> DataFrame:

@@ -92,7 +92,7 @@ cte("cand", f"""select *, recommended_qty * unit_cost as total_cost, stockout_pr
   where recommended_qty > 0""")
 cte("queue", f"""select q.*, coalesce(a.abc_class, 'C') as abc_class, coalesce(a.xyz_class, 'Z') as xyz_class,
     ltd_mean + {ppf('0.95')} * ltd_std as reorder_point
-  from (select * from cand order by round(score, 4) desc, sku_id limit 200) q left join abc a on a.sku_id = q.sku_id""")
+  from cand q left join abc a on a.sku_id = q.sku_id""")
 queue = lambda s, sf: v.reorder_queue(bt(s, sf), sup(s, sf), "W", AS_OF)
 register("expedite_flags", lambda s, sf: v.reorder_candidates(bt(s, sf), sup(s, sf), "W", AS_OF).select(
     "sku_id", "expedite_flag", r("expedite_breakeven").alias("expedite_breakeven")),
@@ -103,10 +103,8 @@ register("reorder_queue", lambda s, sf: rounded(rounded(queue(s, sf).drop("recom
     round(recommended_qty, 3) as recommended_qty, round(unit_cost, 3) as unit_cost, round(total_cost, 3) as total_cost, projected_stockout_date,
     round(days_of_cover, 6) as days_of_cover, round(stockout_prob, 3) as stockout_prob, round(revenue_at_risk, 3) as revenue_at_risk,
     round(score, 3) as score, expedite_flag, moq, case_pack, abc_class, xyz_class from queue""")
-cte("plan_b", """select *, row_number() over (order by round(score / greatest(1.0, total_cost), 9) desc, round(score, 4) desc, sku_id) as pos from (
-  select * from queue order by round(score, 4) desc, sku_id limit 100)""")
-cte("plan_n", """select *, row_number() over (order by round(score, 4) desc, sku_id) as pos from (
-  select * from queue order by round(score, 4) desc, sku_id limit 100)""")
+cte("plan_b", """select *, row_number() over (order by round(score / greatest(1.0, total_cost), 9) desc, round(score, 4) desc, sku_id) as pos from queue""")
+cte("plan_n", "select *, row_number() over (order by round(score, 4) desc, sku_id) as pos from queue")
 register("plan_week_top", lambda s, sf: v.plan_week(queue(s, sf), None, 25).select("sku_id", "pos", "reason"),
          "select sku_id, pos, case when pos > 25 then 'top_n_cap_reached' end as reason from plan_n")
 cte("greedy", """with recursive g as (
@@ -117,6 +115,14 @@ cte("greedy", """with recursive g as (
   from g join plan_b p on p.pos = g.pos + 1) select pos, sku_id, reason from g where pos > 0""")
 register("plan_week_budget", lambda s, sf: v.plan_week(queue(s, sf), 3e6, 25).select("sku_id", "pos", "reason"),
          "select sku_id, pos, reason from greedy")
+# a small budget: many rows no longer fit
+cte("greedy_low", """with recursive g as (
+  select 0::bigint as pos, null::varchar as sku_id, 0.0::double as spent, 0 as k, null::varchar as reason
+  union all select p.pos, p.sku_id, g.spent + case when g.k < 9 and g.spent + p.total_cost <= 2e5 then p.total_cost else 0.0 end,
+    g.k + case when g.k < 9 and g.spent + p.total_cost <= 2e5 then 1 else 0 end,
+    case when g.k >= 9 then 'top_n_cap_reached' when g.spent + p.total_cost > 2e5 then 'budget_exceeded' end
+  from g join plan_b p on p.pos = g.pos + 1) select pos, sku_id, reason from g where pos > 0""")
+register("plan_week_low_budget", lambda s, sf: v.plan_week(queue(s, sf), 2e5, 9).select("sku_id", "pos", "reason"), "select sku_id, pos, reason from greedy_low")
 register("plan_summary", lambda s, sf: v.plan_summary(v.plan_week(queue(s, sf), 3e6, 25), 3e6), """
   select count(*) filter (reason is null) as n_items, count(*) filter (reason is not null) as n_deferred,
     round(sum(total_cost) filter (reason is null), 2) as total_cost_usd, round(sum(total_cost) filter (reason is null) / 3e6 * 100, 1) as budget_used_pct
@@ -128,13 +134,17 @@ register("plan_rationale", lambda s, sf: v.plan_rationale(queue(s, sf)).select("
     case when expedite_flag then 'expedite recommended' end, 'projected stockout ' || strftime(projected_stockout_date, '%Y-%m-%d'),
     case when revenue_at_risk > 0 then '$' || cast(round(revenue_at_risk, 0) as bigint) || ' revenue at risk' end,
     case when abc_class = 'A' then 'A-class SKU' end) as t from queue)""")
-cte("drafts", """with q as (select *, coalesce(supplier_id, last_supplier, 'UNKNOWN') as sup_key from queue),
-  b as (select sup_key from (select sup_key, max(round(score, 4)) as s, arg_min(sku_id, (-round(score, 4), sku_id)) as k from q group by 1) order by s desc, k limit 8),
-  rk as (select q.*, row_number() over (partition by sup_key order by round(revenue_at_risk, 4) desc, sku_id) as p from q join b using (sup_key))
-  select sup_key, max(last_supplier) as supplier_name, count(*) filter (p <= 15) as n_lines, bool_or(expedite_flag) as expedite,
-    round(sum(recommended_qty * unit_cost) filter (p <= 15), 2) as total_cost, max(sku_id) filter (p = 1) as top_sku,
-    string_agg(sku_id, ',' order by p) filter (p <= 15) as lines from rk group by 1""")
-register("draft_by_supplier", lambda s, sf: v.draft_by_supplier(queue(s, sf)).withColumn("lines", F.array_join("lines", ",")), "select * from drafts")
+cte("draft_lines", """select *, coalesce(supplier_id, last_supplier, 'UNKNOWN') as sup_key,
+  row_number() over (partition by coalesce(supplier_id, last_supplier, 'UNKNOWN') order by round(revenue_at_risk, 4) desc, sku_id) as line_no from queue""")
+cte("drafts", """select * exclude (s, k), row_number() over (order by s, k) as draft_no from (
+  select sup_key, max(last_supplier) as supplier_name, count(*) as n_lines, bool_or(expedite_flag) as expedite, round(sum(recommended_qty * unit_cost), 2) as total_cost,
+    max(sku_id) filter (line_no = 1) as top_sku, min(-round(score, 4)) as s, arg_min(sku_id, (-round(score, 4), sku_id)) as k from draft_lines group by 1)""")
+register("draft_by_supplier", lambda s, sf: v.draft_by_supplier(queue(s, sf)), "select * from drafts")
+register("draft_lines_by_supplier", lambda s, sf: v.draft_lines_by_supplier(queue(s, sf)).select("sup_key", "line_no", "sku_id", "recommended_qty"),
+         "select sup_key, line_no, sku_id, recommended_qty from draft_lines")
+register("draft_by_supplier_top", lambda s, sf: v.draft_by_supplier(queue(s, sf), 8, 15).select("sup_key", "draft_no", "n_lines", "total_cost"), """
+  select sup_key, any_value(draft_no) as draft_no, count(*) filter (line_no <= 15) as n_lines, round(sum(recommended_qty * unit_cost) filter (line_no <= 15), 2) as total_cost
+  from draft_lines join drafts using (sup_key) where draft_no <= 8 group by 1""")
 
 
 def proposed(s, sf):

@@ -104,8 +104,6 @@ cte("clus", """with recursive o as (select *, row_number() over (partition by su
 cycles = lambda s, sf: u.replen_cycles(pm(s, sf), 12.0)
 register("cluster_cycles", lambda s, sf: u.cluster_cycles(cycles(s, sf)).select("supplier", "sku_id", "cluster"),
          "select supplier, sku_id, cluster from clus")
-register("cluster_cycles_large", lambda s, sf: u.cluster_cycles(cycles(s, sf), fold_limit=10).select("supplier", "sku_id", "cluster"),
-         "select supplier, sku_id, cluster from clus")
 cte("jgroups", """select supplier, supplier || '-cluster-' || cluster as group_id, count(*) as n_members, avg(cycle_days) as cadence_days, 365.0 / avg(cycle_days) as annual_orders_pooled,
   sum(365.0 / cycle_days) as annual_orders_individual, greatest(0.0, (sum(365.0 / cycle_days) - 365.0 / avg(cycle_days)) * 50.0) as annual_savings_usd
   from clus group by supplier, cluster having count(*) >= 2""")

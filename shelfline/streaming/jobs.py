@@ -1,14 +1,18 @@
-"""Structured Streaming forms of the order roll-up, order states and latency rates."""
+"""Structured Streaming forms of the order roll-up, order states and latency rates, and a keyed sink for what they update."""
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.purchasing import ALLOWED_PAIRS
+from ..operators.purchasing import ALLOWED_FROM, ALLOWED_PAIRS
 from ..sources.exports import order_rows
 
 
 def stream_demand(lines: DataFrame, late: str = "7 days") -> DataFrame:
-    """Order lines to daily demand per SKU; rows later than the watermark are dropped."""
+    """Order lines to daily demand per SKU; rows later than the watermark are dropped.
+
+    In update mode with `run_keyed`, every day is there, the ones that are still open with what has come so far."""
     r = order_rows(lines).withWatermark("ts", late)
     return r.groupBy(F.window("ts", "1 day").alias("w"), "sku_id").agg(
         F.sum("qty").alias("demand"),
@@ -24,33 +28,77 @@ def stream_latency(events: DataFrame, late: str = "1 hour", size: str = "1 hour"
             .select(F.col("w.start").alias("window_start"), "operation", "n", "total"))
 
 
-STATE = "status string, since timestamp, n_events long, n_invalid long"
-OUT = "po_id string, status string, since timestamp, n_events long, n_invalid long"
+# ---- order states -----------------------------------------------------------------------------------
+
+FINAL = tuple(s for s in ALLOWED_FROM if not any(s in before for before in ALLOWED_FROM.values()))
+STATE_OUT = "po_id string, status string, since timestamp, n_events long, n_invalid long"
+
+
+class OrderStates(StatefulProcessor):
+    """Keeps an order's events, which are few, in a list state and puts them in event-time order at every batch: a late event
+    takes its place in the past and does not overwrite a newer status.  Once an order is final, a timer `keep_days` after its last event clears it."""
+
+    def __init__(self, keep_days: int):
+        self.keep_ms = keep_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at timestamp, to_status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = pd.DataFrame(list(self.events.get()) if self.events.exists() else [], columns=["at", "to_status"])
+        seen = pd.concat([x for x in (old, *(r[["at", "to_status"]] for r in rows)) if len(x)])
+        seen = seen.sort_values(["at", "to_status"], ignore_index=True)
+        self.events.put([(r.at_, r.to_status) for r in seen.rename(columns={"at": "at_"}).itertuples(index=False)])
+        before = seen["to_status"].shift()
+        fine = (before + ">" + seen["to_status"]).isin(ALLOWED_PAIRS)
+        fine.iloc[0] = seen["to_status"].iloc[0] == "drafted"
+        last = seen.iloc[-1]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if last["to_status"] in FINAL:
+            self.handle.registerTimer(int(last["at"].timestamp() * 1000) + self.keep_ms)
+        yield pd.DataFrame({"po_id": [key[0]], "status": [last["to_status"]], "since": [last["at"]], "n_events": [len(seen)], "n_invalid": [int((~fine).sum())]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.events.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_po_state(log: DataFrame, late: str = "30 days", keep_days: int = 30) -> DataFrame:
+    """Running state per order with a count of events the workflow does not allow; events older than the watermark are dropped."""
+    return log.withWatermark("at", late).groupBy("po_id").transformWithStateInPandas(
+        statefulProcessor=OrderStates(keep_days), outputStructType=STATE_OUT, outputMode="Update", timeMode="eventTime")
+
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# ---- sinks ------------------------------------------------------------------------------------------
 
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain the available input into Parquet by append: only windows that the watermark has closed."""
+    (stream.writeStream.format("parquet").option("path", path).outputMode("append")
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
-def _advance(key, batches, state):
-    status, since, n, bad = state.get if state.exists else (None, None, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["at", "to_status"])
-    for at, to in zip(rows["at"], rows["to_status"]):
-        fine = to == "drafted" if status is None else f"{status}>{to}" in ALLOWED_PAIRS
-        status, since, n, bad = to, at, n + 1, bad + (not fine)
-    state.update((status, since, n, bad))
-    yield pd.DataFrame({"po_id": [key[0]], "status": [status], "since": [since], "n_events": [n], "n_invalid": [bad]})
 
+def run_keyed(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain the available input in update mode: the rows of each micro-batch go to a folder of its number, which a repeated
+    batch overwrites.  `merged` reads one row per key.  State with timers needs the RocksDB store."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    (stream.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")).outputMode("update")
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
-def stream_po_state(log: DataFrame) -> DataFrame:
-    """Running state per order with a count of events the workflow does not allow.
 
-    State per key is one row; an order's events are few, so a micro-batch group is too."""
-    return log.groupBy("po_id").applyInPandasWithState(
-        _advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key: partial aggregates over the batch folders."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain the available input into Parquet, exactly once per batch id."""
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", path)
-    else:
-        q = stream.writeStream.foreachBatch(
-            lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}"))
-    q.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def compact(spark: SparkSession, path: str, keys: list[str], target: str) -> None:
+    """The merged rows as the first batch folder of a new table, which later batches go on with."""
+    merged(spark, path, keys).write.mode("overwrite").parquet(f"{target}/batch=-1")
