@@ -1,8 +1,13 @@
 """Reference distributions: calendar lifts, category defaults, priors, quantile grids."""
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import exact_quantiles
-from ..functions.stats import norm_ppf
+from ..session import materialise
 from .series import METRICS, pattern_features, weak_labels
 
 QUANTILE_GRID = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -28,39 +33,72 @@ def calendar_lifts(sales: DataFrame) -> DataFrame:
             .select("kind", "key", F.when(grand > 0, F.round(F.col("s") / F.col("n") / grand, 4)).otherwise(1.0).alias("lift"), "n"))
 
 
-def _poisson(c: Column, u: Column) -> Column:
-    """Poisson(c) draw by inversion, rounded normal above 30."""
-    start = F.struct(F.exp(-c).alias("p"), F.exp(-c).alias("cum"), F.lit(0.0).alias("k"))
-
-    def step(acc, i):
-        p = acc["p"] * c / i
-        more = acc["cum"] < u
-        return F.struct(F.when(more, p).otherwise(acc["p"]).alias("p"),
-                        F.when(more, acc["cum"] + p).otherwise(acc["cum"]).alias("cum"),
-                        F.when(more, i.cast("double")).otherwise(acc["k"]).alias("k"))
-
-    exact = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step)["k"]
-    return F.when(c <= 30, exact).otherwise(
-        F.greatest(F.lit(0.0), F.round(c + F.sqrt(c) * norm_ppf(u))))
-
-
-def lift_ci(sales: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Bootstrap interval of the weekday lifts.
-
-    Poisson bootstrap on counted values: c equal values get one Poisson(c) weight per
-    replicate, so only distinct (weekday, value) pairs are repeated, never the rows."""
-    key = (F.weekday("date") + 1).cast("string")
-    counted = sales.groupBy(key.alias("key"), "sales").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    grand = counted.agg(F.sum(F.col("sales") * F.col("c")) / F.sum("c")).scalar()
-    u = (F.pmod(F.xxhash64("key", "sales", "b", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    draws = (counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-             .withColumn("w", _poisson(F.col("c"), u)))
-    means = draws.groupBy("key", "b").agg((F.sum(F.col("w") * F.col("sales")) / F.sum("w")).alias("m"))
-    # `replicates` values per weekday
-    return means.groupBy("key").agg(
-        F.round(F.percentile("m", alpha / 2) / grand, 4).alias("ci_lo"),
-        F.round(F.percentile("m", 1 - alpha / 2) / grand, 4).alias("ci_hi"),
-        F.count("m").alias("replicates"))
+# Poisson(1) weights: a row's number, mixed with the replicate's, against the cumulated chances of 0, 1, 2, ...
+PRIME = 2_147_483_647
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def replicate_rule(b: int) -> tuple[int, int]:
+    """Multiplier and offset of a replicate."""
+    return 48_271 * (b + 1) * (b + 2) % PRIME, 69_621 * (b + 1) % PRIME
+
+
+def row_number_of(key: Column, seed: int) -> Column:
+    """A number below PRIME for a row, from its key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") % PRIME
+
+
+def _weights(number: np.ndarray, replicates: int) -> np.ndarray:
+    """Rows x replicates."""
+    rules = np.array([replicate_rule(b) for b in range(replicates)], np.int64)
+    x = (number[:, None] * rules[:, 0] + rules[:, 1]) % PRIME
+    u = (x * (x % 65_521 + 1) % PRIME + 0.5) / PRIME
+    return np.searchsorted(POISSON, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
+
+
+def lift_ci(sales: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0, row_key: str = "row_key") -> DataFrame:
+    """Bootstrap interval of the weekday, ISO week and event lifts (events of 30 rows or more).
+
+    Poisson bootstrap: every row has a weight in every replicate, from its key, so results do not depend on how rows are dealt.
+    Tasks add weights and weighted sales into one vector of `replicates` numbers a calendar value; only these vectors cross the exchange,
+    however many rows a value has.  Rows with equal keys have equal weights."""
+    s = F.col("sales").cast("double")
+    base = sales.where(F.col("sales").isNotNull()).select(
+        row_number_of(F.col(row_key), seed).alias("number"), s.alias("sales"), (F.weekday("date") + 1).cast("string").alias("dow"),
+        F.weekofyear("date").cast("string").alias("woy"), F.col("event").cast("string").alias("event"))
+    kinds = ("dow", "woy", "event")
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for at in range(0, len(frame), 4096):
+                part = frame.iloc[at : at + 4096]
+                w = _weights(part["number"].to_numpy(np.int64), replicates)
+                value = part["sales"].to_numpy(np.float64)[:, None]
+                for kind in kinds:
+                    code, names = pd.factorize(part[kind])
+                    for k, name in enumerate(names):
+                        own = code == k
+                        held = total.setdefault((kind, name), np.zeros((2, replicates + 1)))
+                        held[0, 1:] += w[own].sum(axis=0)
+                        held[1, 1:] += (w[own] * value[own]).sum(axis=0)
+                        held[0, 0] += own.sum()
+                        held[1, 0] += value[own].sum()
+        keys = list(total)
+        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in keys], "key": [str(v) for _, v in keys], "w": [total[k][0] for k in keys], "s": [total[k][1] for k in keys]},
+                                         pa.schema([("kind", pa.string()), ("key", pa.string()), ("w", pa.list_(pa.float64())), ("s", pa.list_(pa.float64()))]))
+
+    own = base.mapInArrow(run, "kind string, key string, w array<double>, s array<double>")
+    each = own.select("kind", "key", F.posexplode(F.arrays_zip("w", "s")).alias("b", "x"))
+    # place 0 holds the plain counts and sums
+    means = materialise(each.groupBy("kind", "key", "b").agg(F.sum("x.w").alias("w"), F.sum("x.s").alias("s")))
+    grand = means.where("b = 0 and kind = 'dow'").agg(F.sum("s") / F.sum("w")).scalar()
+    m = F.when((F.col("b") > 0) & (F.col("w") > 0), F.col("s") / F.col("w"))
+    out = means.groupBy("kind", "key").agg(
+        F.round(F.percentile(m, alpha / 2) / grand, 4).alias("ci_lo"), F.round(F.percentile(m, 1 - alpha / 2) / grand, 4).alias("ci_hi"),
+        F.max(F.when(F.col("b") == 0, F.col("w"))).cast("long").alias("n"), F.count(m).alias("replicates"))
+    return out.where((F.col("kind") != "event") | (F.col("n") >= 30))
 
 
 def flag_lift(sales: DataFrame, flags: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from ..operators import calibration as cal, checks, quality as q, series as s_
 from ..session import scratch_path
 from ..sources import derived as d, files
 from .ingest_queries import loose_panel
-from .oracle import cte, phi
+from .oracle import cte, phi, hash8
 from .registry import register
 from .series_queries import bt, pm, rounded, acf_sql, cv_sql, ratio_sql, SLOPE, ZERO, FCOLS
 
@@ -204,7 +204,7 @@ def daily_sales(s, sf):
         (dom <= 10).cast("int").alias("snap_CA"), (dom % 2).cast("int").alias("snap_TX"), (dom > 20).cast("int").alias("snap_WI"))
 
 
-cte("daily_sales", """select cast(l_shipdate as date) as date, l_quantity as sales,
+cte("daily_sales", """select cast(l_shipdate as date) as date, l_quantity as sales, l_orderkey || '-' || l_linenumber || '-' || l_partkey as row_key,
     case when month(l_shipdate) = 12 and day(l_shipdate) = 25 then 'Christmas' when month(l_shipdate) = 7 and day(l_shipdate) = 4 then 'IndependenceDay'
       when month(l_shipdate) = 2 and day(l_shipdate) = 29 then 'LeapDay' end as event,
     cast(day(l_shipdate) <= 10 as integer) as snap_CA, day(l_shipdate) % 2 as snap_TX, cast(day(l_shipdate) > 20 as integer) as snap_WI from lineitem""")
@@ -214,7 +214,16 @@ register("calendar_lifts", lambda s, sf: cal.calendar_lifts(daily_sales(s, sf)),
     select 'event', event, sales from daily_sales where event is not null)
   select kind, key, round(avg(sales) / (select avg(sales) from daily_sales), 4) as lift, count(*) as n from k group by 1, 2
   having kind <> 'event' or count(*) >= 30""")
-register("lift_ci", lambda s, sf: cal.lift_ci(daily_sales(s, sf)))
+register("lift_ci", lambda s, sf: cal.lift_ci(daily_sales(s, sf)), f"""
+  with rule as (select b, (48271::bigint * (b + 1) * (b + 2)) % {cal.PRIME} as m, (69621::bigint * (b + 1)) % {cal.PRIME} as c from (select unnest(range(0, 200)) as b)),
+  r as (select isodow(date)::varchar as dow, weekofyear(date)::varchar as woy, event, sales, {hash8("'0:' || row_key")} % {cal.PRIME} as number from daily_sales where sales is not null),
+  x as (select dow, woy, event, sales, b, (number * m + c) % {cal.PRIME} as x from r, rule),
+  u as (select * exclude (x), ((x * (x % 65521 + 1)) % {cal.PRIME} + 0.5::double) / {cal.PRIME}::double as u from x),
+  w as (select * exclude (u), ({" + ".join(f"(u >= {t!r})::integer" for t in map(float, cal.POISSON))})::double as w from u),
+  g as (select coalesce('dow' || dow, 'woy' || woy, 'event' || event) as name, case when dow is not null then 'dow' when woy is not null then 'woy' else 'event' end as kind, coalesce(dow, woy, event) as key, b,
+    count(*) as n, sum(w * sales) / sum(w) as m from w group by grouping sets ((dow, b), (woy, b), (event, b)) having coalesce(dow, woy, event) is not null and sum(w) > 0)
+  select kind, key, round(quantile_cont(m, 0.025) / (select avg(sales) from daily_sales), 4) as ci_lo, round(quantile_cont(m, 0.975) / (select avg(sales) from daily_sales), 4) as ci_hi,
+    max(n) as n, count(*) as replicates from g group by 1, 2 having kind <> 'event' or max(n) >= 30""")
 register("flag_lift", lambda s, sf: cal.flag_lift(daily_sales(s, sf), ["snap_CA", "snap_TX", "snap_WI"]), " union all ".join(
     f"select '{f}' as region, round(avg(sales) filter ({f} = 1) / avg(sales) filter ({f} = 0), 4) as lift, "
     f"count(*) filter ({f} = 1) as n_on, count(*) filter ({f} = 0) as n_off from daily_sales" for f in ("snap_CA", "snap_TX", "snap_WI")))
