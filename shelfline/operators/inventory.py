@@ -248,15 +248,20 @@ def supplier_id(name: Column) -> Column:
 
 # ---- stress ------------------------------------------------------------------------
 
-def exposure(df: DataFrame, sup: DataFrame, freq: str, lt_mult: float = 1.0, d_mult: float = 1.0,
-             service_level: float | None = None) -> DataFrame:
-    """Stockout probability, revenue at risk and quantity per SKU under multipliers."""
-    period = PERIOD_DAYS[freq]
-    level = min(max(0.95 if service_level is None else service_level, 0.01), 0.999)
+def exposure_state(df: DataFrame, sup: DataFrame) -> DataFrame:
+    """One row per SKU that an exposure under any multipliers is a projection of."""
     # every output is finite exactly when the recent window has a mean
     state = sku_state(df).where((F.col("n_obs") >= 4) & F.col("known_on_hand").isNotNull()
                                 & F.col("mean_recent").isNotNull() & ~F.isnan("mean_recent"))
-    j = _risk(_moments(with_supplier(state, sup), period, lt_mult, d_mult, floor_std=True), period)
+    return with_supplier(state, sup).select("sku_id", "known_on_hand", "known_unit_cost", "known_unit_price", "mean_recent", "std_recent",
+                                            "lt_n", "lt_mean", "lt_std", "default_lead_time_days", "lead_time_std_days")
+
+
+def exposed(state: DataFrame, freq: str, lt_mult: float = 1.0, d_mult: float = 1.0, service_level: float | None = None) -> DataFrame:
+    """Stockout probability, revenue at risk and quantity per SKU of exposure_state() under multipliers."""
+    period = PERIOD_DAYS[freq]
+    level = min(max(0.95 if service_level is None else service_level, 0.01), 0.999)
+    j = _risk(_moments(state, period, lt_mult, d_mult, floor_std=True), period)
     cost = F.coalesce("known_unit_cost", F.lit(1.0))
     price = F.coalesce(F.col("known_unit_price"), cost * 1.5)
     need = F.col("ltd_mean") + norm_ppf(F.lit(level)) * F.col("ltd_std") - F.col("known_on_hand")
@@ -265,6 +270,12 @@ def exposure(df: DataFrame, sup: DataFrame, freq: str, lt_mult: float = 1.0, d_m
                     F.greatest(F.lit(0.0), need).alias("recommended_qty"))
 
 
+def exposure(df: DataFrame, sup: DataFrame, freq: str, lt_mult: float = 1.0, d_mult: float = 1.0,
+             service_level: float | None = None) -> DataFrame:
+    """Stockout probability, revenue at risk and quantity per SKU under multipliers."""
+    return exposed(exposure_state(df, sup), freq, lt_mult, d_mult, service_level)
+
+
 def stress_impacts(base: DataFrame, shock: DataFrame) -> DataFrame:
     b = base.select("sku_id", *[F.col(c).alias(f"baseline_{c}") for c in base.columns[1:]])
     s = shock.select("sku_id", *[F.col(c).alias(f"shock_{c}") for c in shock.columns[1:]])
@@ -274,11 +285,12 @@ def stress_impacts(base: DataFrame, shock: DataFrame) -> DataFrame:
 
 
 def stress_test(df: DataFrame, sup: DataFrame, freq: str, lt_mult=1.0, d_mult=1.0, service_level=None) -> DataFrame:
-    """Portfolio totals before and after a shock; one row."""
+    """Portfolio totals before and after a shock; one row.  The panel is read once, both sides are projections of the stored SKU rows."""
+    state = materialise(exposure_state(df, sup))
     tot = lambda t, p: t.agg(F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias(f"{p}_total_revenue_at_risk"),
                              F.count_if(F.col("stockout_prob") > 0.1).alias(f"{p}_n_at_risk"))
-    b = tot(exposure(df, sup, freq, 1.0, 1.0, service_level), "baseline")
-    shock = exposure(df, sup, freq, lt_mult, d_mult, service_level)
+    b = tot(exposed(state, freq, 1.0, 1.0, service_level), "baseline")
+    shock = exposed(state, freq, lt_mult, d_mult, service_level)
     return side_by_side(b, tot(shock, "shock"), var_cvar(shock)).withColumn(
         "delta_total_revenue_at_risk",
         F.col("shock_total_revenue_at_risk") - F.col("baseline_total_revenue_at_risk"))
@@ -286,8 +298,8 @@ def stress_test(df: DataFrame, sup: DataFrame, freq: str, lt_mult=1.0, d_mult=1.
 
 def top_impacted(df: DataFrame, sup: DataFrame, freq: str, lt_mult=1.0, d_mult=1.0, service_level=None,
                  k: int = 10) -> DataFrame:
-    i = stress_impacts(exposure(df, sup, freq, 1.0, 1.0, service_level),
-                       exposure(df, sup, freq, lt_mult, d_mult, service_level))
+    state = materialise(exposure_state(df, sup))
+    i = stress_impacts(exposed(state, freq, 1.0, 1.0, service_level), exposed(state, freq, lt_mult, d_mult, service_level))
     return i.orderBy(F.desc(F.round("delta_revenue_at_risk", 4)), "sku_id").limit(k)
 
 

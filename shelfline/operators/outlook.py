@@ -8,25 +8,52 @@ from . import evaluation as ev, forecast as fo
 from .series import MODEL_LAGS, ROLLING, add_calendar, add_lags, add_rolling, model_columns, regime_break
 
 CATEGORICAL = ("sku_id", "category", "supplier")
-# categorical values are hashed into buckets so that the model does not grow with the SKUs
-BUCKETS = 32
+PRIOR_ROWS = 20.0  # weight of the overall mean in the mean of a value
 
 
-def hashed(c: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(BUCKETS)).cast("double")
+def feature_columns(freq: str) -> list[str]:
+    return model_columns(freq) + [f"{c}_mean" for c in CATEGORICAL]
 
 
-def feature_columns(freq: str) -> list[str]:
-    return model_columns(freq) + [f"{c}_bucket" for c in CATEGORICAL]
+def _shrunk(total: Column, n: Column, prior: Column) -> Column:
+    """Mean of n rows drawn towards the overall mean; 0 where nothing is known yet."""
+    total, n = F.coalesce(total, F.lit(0.0)), F.coalesce(n, F.lit(0))
+    return F.coalesce((total + PRIOR_ROWS * prior) / (n + PRIOR_ROWS), F.lit(0.0))
+
+
+def target_means(x: DataFrame) -> DataFrame:
+    """Ordered target statistics: for each categorical, the mean demand of its value over all earlier dates, never the row's own or later ones.
+
+    Values are summed by date before they meet a window, so a value with most of the rows costs a row a date."""
+    earlier = lambda *by: (W.partitionBy(*by) if by else W.partitionBy()).orderBy("date").rowsBetween(W.unboundedPreceding, -1)
+    for c in ("", *CATEGORICAL):
+        keys = [c, "date"] if c else ["date"]
+        days = x.groupBy(*keys).agg(F.sum("demand").alias("_s"), F.count("demand").alias("_n"))
+        w = earlier(c) if c else earlier()  # one row a date in the window over all
+        days = days.select(F.col("date").alias("_d"), *([F.col(c).alias("_c")] if c else []), F.sum("_s").over(w).alias(f"_s_{c}"), F.sum("_n").over(w).alias(f"_n_{c}"))
+        same = F.col("date") == F.col("_d")
+        x = x.join(days, same & F.col(c).eqNullSafe(F.col("_c")) if c else same).drop("_d", "_c")
+    prior = F.col("_s_") / F.when(F.col("_n_") > 0, F.col("_n_"))
+    x = x.withColumns({f"{c}_mean": _shrunk(F.col(f"_s_{c}"), F.col(f"_n_{c}"), prior) for c in CATEGORICAL})
+    return x.drop("_s_", "_n_", *[f"_{k}_{c}" for k in "sn" for c in CATEGORICAL])
+
+
+def final_means(series: DataFrame, y: str) -> DataFrame:
+    """The same statistics at the end of every series, from its array."""
+    t = series.withColumns({"_t": A.total(F.col(y)), "_k": F.size(y)})
+    all_ = t.agg(F.sum("_t") / F.sum("_k")).scalar()
+    for c in CATEGORICAL:
+        g = t.groupBy(F.col(c).alias("_c")).agg(F.sum("_t").alias("_gt"), F.sum("_k").alias("_gk"))
+        t = t.join(g, F.col(c).eqNullSafe(F.col("_c"))).withColumn(f"{c}_mean", _shrunk(F.col("_gt"), F.col("_gk"), all_)).drop("_c", "_gt", "_gk")
+    return t.drop("_t", "_k")
 
 
 def design_matrix(df: DataFrame, freq: str) -> DataFrame:
-    """Label, numeric features and hashed categoricals; rows without lag 1 dropped."""
+    """Label, numeric features and ordered means of the categoricals; rows without lag 1 dropped."""
     x = add_calendar(add_rolling(add_lags(
         df.select("sku_id", "date", "demand", "category", "supplier"), freq), freq))
     first = f"lag_{MODEL_LAGS[freq][0]}"
-    x = x.where(F.col(first).isNotNull())
-    return x.withColumns({f"{c}_bucket": hashed(c) for c in CATEGORICAL}).select(
+    return target_means(x).where(F.col(first).isNotNull()).select(
         "sku_id", "date", F.col("demand").cast("double").alias("label"), *feature_columns(freq))
 
 
@@ -53,22 +80,22 @@ def gbt_fc(series: DataFrame, model, sigma: float, h: int, freq: str, y: str = "
     """Adds `fc`: h scoring passes, each over all SKUs, appending to the array.  A step
     with a missing feature takes the mean of the last eight values."""
     keep = series.columns
-    s = series.withColumn("_y", F.col(y)).withColumn("_last", F.col("last_date"))
+    means = [f"{c}_mean" for c in CATEGORICAL]
+    s = final_means(series, y).withColumn("_y", F.col(y)).withColumn("_last", F.col("last_date"))
     for step in range(1, h + 1):
         v, n = F.col("_y"), F.size("_y")
         s = s.withColumn("date", fo.step_date(F.col("_last"), F.lit(step), freq))
         s = add_calendar(s).withColumns({
             **{f"lag_{k}": F.when(n >= k, F.element_at(v, -k)) for k in MODEL_LAGS[freq]},
             **{f"rmean_{w}": F.when(n >= 2, A.mean(F.slice(v, F.greatest(F.lit(1), n - w + 1), w)))
-               for w in ROLLING[freq]},
-            **{f"{c}_bucket": hashed(c) for c in CATEGORICAL}})
+               for w in ROLLING[freq]}})
         gap = F.lit(False)
         for k in MODEL_LAGS[freq]:
             gap = gap | F.col(f"lag_{k}").isNull()
         s = model.transform(_assembled(s.withColumn("_gap", gap).na.fill(0.0, model_columns(freq)), freq))
         recent = A.mean(F.slice(v, F.greatest(F.lit(1), n - 7), 8))
         nxt = F.greatest(F.lit(0.0), F.when(F.col("_gap"), recent).otherwise(F.col("prediction")))
-        s = s.select(*keep, "_last", F.array_append("_y", nxt).alias("_y"))
+        s = s.select(*keep, *means, "_last", F.array_append("_y", nxt).alias("_y"))
     point = F.slice("_y", F.size("_y") - h + 1, h)
     return s.withColumn("fc", fo.band_arrays(point, F.transform(point, lambda _: F.lit(sigma)))).select(*keep, "fc")
 

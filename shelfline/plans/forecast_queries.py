@@ -76,10 +76,36 @@ register("route_model", lambda s, sf: fo.route_model(series(s, sf), "M").select(
 register("forecast_snaive", lambda s, sf: rounded(fo.forecast_snaive(pm(s, sf), H, "M"), 4), f"select sku_id, step, {rq(FC)} from fc_sn")
 register("forecast_croston", lambda s, sf: rounded(fo.forecast_croston(pm(s, sf), H), 4), f"select sku_id, step, {rq(FC)} from fc_cr")
 register("forecast_tsb", lambda s, sf: rounded(fo.forecast_tsb(pm(s, sf), H), 4), f"select sku_id, step, {rq(FC)} from fc_ts")
-register("forecast_ets", lambda s, sf: fo.forecast_ets(bt(s, sf), 12, "W"))
+# the smoothing grid by plain recursion: every series with every weight setting, the season as a list
+cte("ets_y", "select sku_id, list(demand order by date) as y, count(*) as n from panel group by 1")
+cte("ets_g", "select * from (values " + ", ".join(f"({k}, {a!r}::double, {b!r}::double, {g!r}::double)" for k, (a, b, g) in enumerate(fo.ETS_GRID)) + ") t(k, al, be, ga)")
+cte("ets_r", """with recursive r as (
+  select sku_id, k, al, be, ga, n, y, 0::bigint as t, case when ga > 0 then f else y[1] end as lev, 0.0::double as slope, [case when ga > 0 then y[i + 1] - f else 0.0 end for i in range(0, 52)]::double[] as sea, 0.0::double as sse
+  from (select *, list_avg(y[1:52]) as f from ets_y, ets_g where ga = 0 or n >= 104)
+  union all select sku_id, k, al, be, ga, n, y, t + 1, base + al * err, case when be > 0 then 0.9 * slope + al * be * err else 0.0 end,
+    case when ga > 0 then list_transform(sea, lambda v, i: case when i - 1 = (t + 1) % 52 then v + ga * err else v end) else sea end, sse + err * err
+  from (select *, y[t + 2] - (base + sea[(t + 1) % 52 + 1]) as err from (select *, lev + case when be > 0 then 0.9 * slope else 0.0 end as base from r where t + 1 < n)))
+  select * exclude (y) from r where t = n - 1""")
+cte("ets_b", "select *, sqrt(sse / greatest(n - 1, 1)) as sigma from ets_r qualify row_number() over (partition by sku_id order by sse, k) = 1")
+cte("fc_ets", f"""select sku_id, cast(step as integer) as step, greatest(0.0, point) as point, {QS} from (
+  select sku_id, step, lev + case when be > 0 then damp(step) * slope else 0.0 end + sea[(n + step - 1) % 52 + 1] as point,
+    sigma * sqrt(1.0 + coalesce(list_sum([(al * (1 + be * damp(j))) ** 2 for j in range(1, step)]), 0.0)) as sig
+  from ets_b, (select unnest(range(1, 13)) as step))""".replace("damp(step)", "(0.9 * (1 - 0.9 ** step) / (1 - 0.9))").replace("damp(j)", "(0.9 * (1 - 0.9 ** j) / (1 - 0.9))"))
+register("forecast_ets", lambda s, sf: rounded(fo.forecast_ets(bt(s, sf), 12, "W"), 4), f"select sku_id, step, {rq(FC)} from fc_ets")
 register("forecast_seasonal_ar", lambda s, sf: fo.forecast_seasonal_ar(bt(s, sf), 12, "W"))
 register("forecast_gbt", lambda s, sf: ol.forecast_gbt(bt(s, sf), 4, "W"))
-register("design_matrix", lambda s, sf: ol.design_matrix(bt(s, sf), "W"))
+_feats = [f"lag_{k}" for k in s_.MODEL_LAGS["W"]] + [f"rmean_{w}" for w in s_.ROLLING["W"]]
+_lag = ", ".join(f"lag(demand, {k}) over (partition by sku_id order by date) as lag_{k}" for k in s_.MODEL_LAGS["W"])
+_roll = ", ".join(f"case when count(demand) over (partition by sku_id order by date rows between {w} preceding and 1 preceding) >= 2 then avg(demand) over (partition by sku_id order by date rows between {w} preceding and 1 preceding) end as rmean_{w}" for w in s_.ROLLING["W"])
+_past = lambda c: f"""(select {c + ', ' if c else ''}date, sum(s) over (partition by {c or "1"} order by date rows between unbounded preceding and 1 preceding) as s, sum(n) over (partition by {c or "1"} order by date rows between unbounded preceding and 1 preceding) as n
+  from (select {c + ', ' if c else ''}date, sum(demand) as s, count(demand) as n from panel group by all))"""
+register("design_matrix", lambda s, sf: rounded(ol.design_matrix(bt(s, sf), "W"), 5), f"""
+  with x as (select *, {_lag}, {_roll} from panel), a as {_past('')}
+  select x.sku_id, x.date, round(demand, 5) as label, {", ".join(f"round({c}, 5) as {c}" for c in _feats)}, cast(isodow(x.date) - 1 as integer) as dow, cast(weekofyear(x.date) as integer) as woy, cast(month(x.date) as integer) as month,
+    cast(x.date = last_day(x.date) as integer) as is_month_end, cast(month(x.date) = 12 and day(x.date) = 31 as integer) as is_year_end,
+    {", ".join(f"round(coalesce((coalesce(p_{c}.s, 0.0) + {ol.PRIOR_ROWS} * (a.s / a.n)) / (coalesce(p_{c}.n, 0) + {ol.PRIOR_ROWS}), 0.0), 5) as {c}_mean" for c in ol.CATEGORICAL)}
+  from x join a on a.date = x.date {" ".join(f"join {_past(c)} p_{c} on p_{c}.{c} is not distinct from x.{c} and p_{c}.date = x.date" for c in ol.CATEGORICAL)}
+  where lag_1 is not null""")
 
 
 def _normal(s, sf):

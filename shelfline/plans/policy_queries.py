@@ -131,10 +131,28 @@ def schedule_frame(s, sf):
         (m * 2).alias("s"), (m * 6).alias("big_s"), F.lit(2).alias("review_periods"), (m * 5).alias("s_level"))
 
 
-for mode in ("QR", "sS", "base_stock"):
-    register(f"schedule_{mode.lower()}", (lambda m: lambda s, sf: po.schedule(schedule_frame(s, sf), m, "W"))(mode))
-register("schedule_totals", lambda s, sf: po.schedule_totals(po.schedule(schedule_frame(s, sf), "QR", "W")))
 cte("scf", """select sku_id, mean_recent as m, known_on_hand as oh, greatest(1, cast(round_even(lt_mean / 7.0, 0) as integer)) as lead, date_max from state where mean_recent > 0""")
+# the three schedules by recursion over periods, open orders as a list of arrivals
+RULES = {"qr": ("case when stock <= 2 * m and due[t + lead + 1] = 0 then 4 * m else 0.0 end", "'on-hand ' || {stock} || ' ≤ R=' || {two}"),
+         "ss": ("case when t % 2 = 0 and stock <= 2 * m then greatest(0.0, 6 * m - stock - list_sum(due)) else 0.0 end", "'review @ t=' || t || ': on-hand ' || {stock} || ' ≤ s=' || {two} || ', order to S=' || {six}"),
+         "base_stock": ("case when stock <= 5 * m - 1 then greatest(0.0, 5 * m - stock - list_sum(due)) else 0.0 end", "'review @ t=' || t || ': on-hand ' || {stock} || ' ≤ s=' || {low} || ', order to S=' || {five}")}
+_whole = lambda x: f"printf('%.0f', round({x}, 0))"
+for key, (want, reason) in RULES.items():
+    said = reason.format(stock=_whole("stock"), two=_whole("2 * m"), six=_whole("6 * m"), five=_whole("5 * m"), low=_whole("5 * m - 1"))
+    cte(f"sched_{key}", f"""with recursive g as (select sku_id, m, lead, date_max, -1 as t, oh as stock, 0.0::double as left_, 0.0::double as got, false as out, 0.0::double as qty, [0.0 for x in range(0, 12)]::double[] as due from scf
+      union all select sku_id, m, lead, date_max, t, stock, left_, got, out, qty, list_transform(due, lambda d, i: case when i = t + lead + 1 then d + qty else d end) from (
+        select *, case when got > 0 or t + lead >= 12 then 0.0 else {want} end as qty from (
+          select sku_id, m, lead, date_max, t + 1 as t, greatest(0.0, stock - m) as left_, greatest(0.0, stock - m) + due[t + 2] as stock, due[t + 2] as got, stock < m as out, list_transform(due, lambda d, i: case when i = t + 2 then 0.0 else d end) as due
+          from g where t < 11)))
+      select sku_id, cast(t as integer) as period_idx, case when got > 0 then 'delivery' when qty > 0 then 'order' else 'no_op' end as action, qty, left_ as after_demand, stock as after_delivery,
+        case when qty > 0 then cast(t + lead as integer) end as arrival_idx, out as stockout, case when got > 0 then 'delivery of ' || {_whole('got')} || ' units' when qty > 0 then {said} end as reason,
+        date_max + cast(t * 7 as integer) as date, case when qty > 0 then date_max + cast((t + lead) * 7 as integer) end as expected_arrival from g where t >= 0""")
+for mode in ("QR", "sS", "base_stock"):
+    key = mode.lower()
+    register(f"schedule_{key}", (lambda m: lambda s, sf: rounded(po.schedule(schedule_frame(s, sf), m, "W"), 4))(mode),
+             f"select * replace (round(qty, 4) as qty, round(after_demand, 4) as after_demand, round(after_delivery, 4) as after_delivery) from sched_{key}")
+register("schedule_totals", lambda s, sf: rounded(po.schedule_totals(po.schedule(schedule_frame(s, sf), "QR", "W")), 4), """
+  select sku_id, count(*) filter (action = 'order') as n_orders, round(coalesce(sum(qty) filter (action = 'order'), 0.0), 4) as total_units_ordered, count(*) filter (stockout) as expected_stockout_periods from sched_qr group by 1""")
 # (Q,R) with at most one open slot per arrival period: the pending orders are a list of arrival periods
 cte("sq", """with recursive g as (select sku_id, m, lead, -1 as t, oh as stock, []::integer[] as due, 'start' as action, 0.0::double as qty from scf
   union all select sku_id, m, lead, t, got_stock, case when act = 'order' then list_append(left_due, t + lead) else left_due end, act, case when act = 'order' then 4 * m else 0.0 end from (

@@ -4,7 +4,7 @@ from ..functions.stats import r
 from ..operators import inventory as v, suppliers as u
 from ..sources import derived as d
 from .inventory_queries import sup
-from .oracle import cte, hash8
+from .oracle import CTES, cte, hash8
 from .registry import register
 from .series_queries import bt, pm, rounded
 
@@ -120,4 +120,7 @@ def _queue_grouped(s, sf):
     return v.reorder_queue(bt(s, sf), sup(s, sf), "W", "2001-12-31", groups=g).select("sku_id", "joint_replen_group")
 
 
-register("reorder_queue_groups", _queue_grouped)
+cte("clus_w", CTES["clus"].replace("cyc_pm", "cyc"))
+register("reorder_queue_groups", _queue_grouped, """
+  select q.sku_id, group_id as joint_replen_group from queue q left join (select sku_id, supplier || '-cluster-' || cluster as group_id from clus_w
+    qualify count(*) over (partition by supplier, cluster) >= 2) g on g.sku_id = q.sku_id""")
