@@ -46,10 +46,11 @@ def test_distributed_order_statistics(spark, hot):
 def test_eoq_and_newsvendor(spark):
     e = one(po.eoq(spark.createDataFrame([("A", 1200.0, 10.0, 1.0)], "sku_id string, annual_demand double, order_cost double, holding_cost double")))
     assert abs(e.q - 154.919) < 1e-3
-    n = one(po.newsvendor(spark.createDataFrame([("A", [10.0, 20.0, 30.0, 40.0], 100.0, 1.0)], "sku_id string, samples array<double>, underage double, overage double")))
-    assert abs(n.q - np.quantile([10, 20, 30, 40], 100 / 101)) < 1e-9
-    b = one(po.base_stock(spark.createDataFrame([("A", [float(x) for x in np.linspace(0, 100, 1001)], 0.95)], "sku_id string, samples array<double>, service_level double")))
-    assert abs(b.s_level - 95) < 1e-6
+    lattice = "sku_id string, p array<double>, width double, ltd_mean double, {} double"
+    n = one(po.newsvendor(spark.createDataFrame([("A", [0.0, 0.25, 0.25, 0.25, 0.25], 10.0, 100.0, 1.0)], "sku_id string, p array<double>, width double, underage double, overage double")))
+    assert n.q == 40 and abs(n.critical_ratio - 100 / 101) < 1e-12 and n.underage_cost == 0 and abs(n.overage_cost - 15) < 1e-9
+    b = one(po.base_stock(spark.createDataFrame([("A", [1 / 101] * 101, 1.0, 50.0, 0.95)], lattice.format("service_level"))))
+    assert b.s_level == 95 and b.safety_stock == 45 and abs(b.stockout_prob - 5 / 101) < 1e-9
 
 
 def test_patterns(panel_of):
@@ -119,23 +120,6 @@ def test_ets_follows_a_season_and_a_level():
     assert np.allclose(point[1], 7.0)
 
 
-def test_replay_matches_a_plain_loop():
-    rng = np.random.default_rng(1)
-    D, s, S, lead, review = rng.poisson(5, (1, 40)).astype(float), np.array([[12.0]]), np.array([[40.0]]), np.array([3]), np.array([[2]])
-    cost, fill, _ = po._replay(D, s, S, lead, review, np.array([[2.0]]), np.array([[50.0]]))
-    on, due, c, filled = 40.0, {}, 0.0, 0.0
-    for t, d in enumerate(D[0]):
-        on += due.pop(t, 0.0)
-        served = min(on, d)
-        filled, on = filled + served, on - served
-        c += on * 2.0 / 52
-        if t % 2 == 0 and on + sum(due.values()) <= 12:
-            c += 50.0
-            if t + 3 < 40:
-                due[t + 3] = due.get(t + 3, 0.0) + 40 - on - sum(due.values())
-    assert abs(fill[0, 0] - filled / D.sum()) < 1e-9 and abs(cost[0, 0] - c) <= 50.0 * 2
-
-
 def test_schedules(spark):
     base = [("A", [10.0] * 20, 80.0, 14.0, dt.date(2024, 1, 1), 50.0, 30.0)]
     qr = po.schedule(spark.createDataFrame(base, "sku_id string, point array<double>, on_hand double, lead_time_days double, start_date date, q double, r double"), "QR", "W").collect()
@@ -159,12 +143,37 @@ def test_stress_survives_missing_window(panel_of):
         assert math.isfinite(r.shock_total_revenue_at_risk) and math.isfinite(r.var_95) and r.var_95 > 0
 
 
-def test_cluster_paths_agree(spark):
+def greedy_clusters(cycles, tol=0.2):
+    out, c, total, k = [], -1, 0.0, 0
+    for x in cycles:
+        if k and abs(x - total / k) / (total / k) <= tol:
+            total, k = total + x, k + 1
+        else:
+            c, total, k = c + 1, x, 1
+        out.append(c)
+    return out
+
+
+def test_clusters_of_one_large_supplier(spark):
     rng = np.random.default_rng(5)
-    rows = [(f"s{i % 3}", f"k{i:04d}", float(x)) for i, x in enumerate(np.exp(rng.uniform(0, 6, 400)))]
-    c = spark.createDataFrame(rows, "supplier string, sku_id string, cycle_days double")
-    pick = lambda t: sorted((r.supplier, r.sku_id, r.cluster) for r in t.collect())
-    assert pick(su.cluster_cycles(c)) == pick(su.cluster_cycles(c, fold_limit=5))
+    cycles = np.sort(np.exp(rng.uniform(0, 4, 200_000)).round(6))
+    rows = [("big", f"k{i:06d}", float(x)) for i, x in enumerate(cycles)] + [("small", f"m{i}", float(x)) for i, x in enumerate((1.0, 1.1, 5.0))]
+    got = {r.sku_id: r.cluster for r in su.cluster_cycles(spark.createDataFrame(rows, "supplier string, sku_id string, cycle_days double")).collect()}
+    assert [got[f"k{i:06d}"] for i in range(len(cycles))] == greedy_clusters(cycles) and [got[f"m{i}"] for i in range(3)] == [0, 0, 1]
+
+
+def test_plan_rounds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(0, 100, 300).round(2), rng.uniform(1, 500, 300).round(2)))]
+    q = spark.createDataFrame(rows, "sku_id string, score double, total_cost double")
+    for budget, n in ((800.0, 25), (50.0, 25), (1e6, 25), (800.0, 3), (0.5, 5)):
+        order = sorted(rows, key=lambda r: (-round(r[1] / max(1.0, r[2]), 9), -round(r[1], 4), r[0]))
+        left, k, want = budget, 0, {}
+        for sku, _, cost in order:
+            want[sku] = "top_n_cap_reached" if k >= n else "budget_exceeded" if cost > left else None
+            if want[sku] is None:
+                left, k = left - cost, k + 1
+        assert {r.sku_id: r.reason for r in inv.plan_week(q, budget, n).collect()} == want
 
 
 def test_order_rollup(spark):
@@ -196,9 +205,15 @@ def test_guard_rejects(bad):
 def test_guarded_sql(spark, panel_of):
     t = {"panel": panel_of({"A": [1, 2]})}
     assert one(adhoc.safe_sql(spark, "SELECT sum(demand) AS d FROM panel;", t)).d == 3
+    assert one(adhoc.safe_sql(spark, "select sku_id, case when max(demand) between 1 and 9 then upper(sku_id) else 'x' end as u, count(distinct date) n, "
+                              "row_number() over (order by sku_id) r from panel where demand in (select max(demand) from panel) and sku_id like 'A%' group by sku_id having count(*) > 0 order by 1 limit 3", t)).u == "A"
     panel_of({"A": [1]}).createOrReplaceTempView("hidden")
     for text in ("SELECT * FROM panel, hidden", "select sku_id from panel union all select sku_id from (hidden)", "select sku_id from panel union all select sku_id from/**/hidden",
                  "select * from panel where sku_id in (select sku_id from hidden)", "select reflect('java.lang.System', 'getProperty', 'user.home') from panel",
+                 "select " + ", ".join(map(str, range(40))) + ", reflect('java.lang.System', 'getProperty', 'user.home') from panel",
+                 "select sum(demand) from panel having max(java_method('java.util.UUID', 'randomUUID')) is null", "select * from panel order by try_reflect('java.lang.System', 'gc')",
+                 "select input_file_name() from panel", "select (select max(sku_id) from hidden) from panel", "select * from panel where exists (select 1 from hidden)",
+                 "select explode(array(1)) from panel", "select my.reflect(1) from panel", "select spark_catalog.default.panel.sku_id from spark_catalog.default.panel",
                  "select * from parquet.`/tmp`", "select * from panel, range(3)"):
         with pytest.raises(adhoc.QueryError):
             adhoc.safe_sql(spark, text, t)
