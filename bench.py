@@ -7,7 +7,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
-from shelfline.operators import checks, evaluation as ev, forecast as fo, inventory as inv, quality, series, skus, suppliers as su  # noqa: E402
+from shelfline.operators import checks, evaluation as ev, forecast as fo, inventory as inv, policies as po, quality, series, skus, suppliers as su  # noqa: E402
 from shelfline.session import local_session, scratch_path  # noqa: E402
 from shelfline.sources import derived as d, exports  # noqa: E402
 
@@ -47,6 +47,8 @@ def main():
         "check_duplicates": lambda: checks.check_duplicates(panel),
         "forecast_route_weekly": lambda: fo.rows(fo.classical_fc(fo.route_model(fo.to_series(panel), freq), 12, freq), "sku_id"),
         "backtest_croston_weekly": lambda: ev.backtest_summary(ev.backtest(fo.to_series(panel), freq, "croston", 4, 3)),
+        "recommend_all": lambda: po.recommend_all(panel, fo.forecast_croston(panel, 12), freq),
+        "cluster_cycles": lambda: su.cluster_cycles(su.replen_cycles(panel, 52.0)),
         "forecast_route_monthly": lambda: fo.rows(fo.classical_fc(fo.route_model(fo.to_series(monthly), "M"), 6, "M"), "sku_id"),
     }
     times = {"build_panel": round(build, 2)} if not ONLY else {}
