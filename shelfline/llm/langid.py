@@ -11,9 +11,8 @@ Repeated rows get equal rows; other columns are not read.
 """
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +21,14 @@ SAMPLE, PIECE, DICT, BLOCK = 160, 1200, 112 * 1024, 4096
 SLOTS = 1 << 40       # places of the hash sample
 MARGIN = 0.002
 UND = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> bytes:
-    """Lower-case letters and single spaces: what the dictionaries and texts are compared in."""
-    return _OTHER.sub(" ", text.lower()).strip().encode()
+    """Lower-case letters with their marks and single spaces: what the dictionaries and texts are compared in; empty without a letter (number
+    characters are none)."""
+    flat = _OTHER.sub(" ", text.lower()).strip()
+    return flat.encode() if _LETTER.search(flat) else b""
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", use: Column | None = None) -> dict[str, bytes]:

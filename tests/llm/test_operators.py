@@ -164,6 +164,11 @@ def test_language(docs, odd, none):
     assert langid.op9_language_id(none).count() == 0
 
 
+def test_letters():
+    assert [langid.plain(t) for t in ("²", "½ ③", "Ⅷ _ 12", "\u0301", "")] == [b""] * 5
+    assert langid.plain("Éa²b हिन्दी_X") == "éa b हिन्दी x".encode()
+
+
 def test_language_of_copies(spark):
     """A language whose rows are mostly copies, and one of few texts, get whole dictionaries."""
     rng = np.random.default_rng(5)
