@@ -1,20 +1,26 @@
 """Language-model scoring by partial matching over bytes.
 
-The model is a trie of byte contexts of up to ORDER bytes, counted over all training tokens.  A token is spelled as its
-bytes and an end mark; its context reaches back to the mark before it.  An unseen byte escapes to the next shorter context
-(escape method C: distinct / (total + distinct)), where the bytes already seen in the longer one are excluded.  Because
-every context's bytes occur in its suffix too, the excluded mass is one number per context, so the whole trie is a table
-of counts made and queried with joins; it grows with the corpus and is never sent to a task whole.
-
-Work per document is dealt as postings: chunks of documents give, per bucket of word hashes, the words with the documents
-they are in.  Buckets grow in number with the text, so a bucket's rows stay bounded.  A bucket turns counts and code
-lengths of its words into partial sums per document, which are then added up.
-
-Edge cases: a null or blank text is the end token alone; a row without id counts as training and keeps its row; without
-training rows all bytes are alike; repeated rows are scored and counted each; other columns are not read.
+The model is a trie of byte contexts of up to ORDER symbols, counted over all training texts.  A text is coded whole: its
+bytes with A-Z lowered, white space as it stands, then an end; contexts run over the whole text, past words and blanks, and
+before its first byte stands the edge symbol.  An unseen symbol escapes to the next shorter context (escape method C:
+distinct / (total + distinct)), where the symbols already seen in the longer one are excluded.  Because every context's
+symbols occur in its suffix too, the excluded mass is one number per context, so the trie is a table of counts for each
+length, made and asked by joins; it grows with the corpus and is never sent to a task whole.
+
+Texts are dealt to chunks of about CHUNK bytes; a longer text is cut at white space into pieces that know the bytes before
+them.  A chunk gives each of its distinct grams and words once, with their training counts.  Counts are added up over all
+chunks, and every chunk gets back code lengths and word counts of what it holds, which it adds up per text.  Rows are
+distinct grams and words per chunk, so they grow with the text, and a gram or word that all texts share is one row a chunk.
+
+Edge cases: a null or empty text is the end alone, a blank one its blanks and the end; a row without id counts as training
+and keeps its row; without training rows all symbols are alike; repeated rows are scored and counted each; an empty table
+gives an empty result; other columns are not read.  A word longer than CHUNK is not cut.
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,250 +28,202 @@ from pyspark.sql import functions as F
 
 from .common import grouped, stored
 
-ORDER = 5            # context bytes; a context and its byte fit in one long beside their length
-CHUNK_TOKENS, CHUNK_DOCS = 1 << 21, 1 << 16
-BUCKET_CHARS = 32_000_000
-MARK = 0x20
-
-
-def word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
+ORDER = 5                   # context symbols
+BITS, EDGE = 9, 256         # a symbol is a byte or the edge of a text; a context and its symbol fit in one long
+ALPHABET = 257
+CHUNK, CHUNK_DOCS = 4 << 20, 1 << 16
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-# ---- postings -----------------------------------------------------------------------------------------------------
-
-_PARTS = "bucket long, chunk long, words binary, train binary, docs_of binary, docs binary, times binary, doc_ids array<long>, held array<boolean>, tokens array<long>"
-
-
-def _chunk(chunk: int, ids, held, tokens, known: dict, word_of: list, buckets: int):
-    """A row of documents, then a row of postings for each bucket."""
-    names = ["bucket", "chunk", "words", "train", "docs_of", "docs", "times", "doc_ids", "held", "tokens"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())])))
-    yield pa.RecordBatch.from_pylist([dict(bucket=-1, chunk=chunk, doc_ids=ids, held=held, tokens=tokens)], schema)
-    words = list(known)
-    word, doc = np.array(word_of, np.int64), np.repeat(np.arange(len(ids)), tokens)
-    pair, times = np.unique(word << 20 | doc, return_counts=True)
-    word, doc = pair >> 20, pair & (1 << 20) - 1
-    train = np.bincount(word, weights=times * ~np.array(held)[doc], minlength=len(words)).astype(np.int64)
-    bucket = np.array([word_hash(w) % buckets for w in words])
-    size = np.bincount(word, minlength=len(words))
-    start = np.cumsum(size) - size
-    for b in range(buckets):
-        own = np.flatnonzero(bucket == b)
-        if len(own):
-            at = np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-            yield pa.RecordBatch.from_pylist([dict(bucket=b, chunk=chunk, words=b" ".join(words[k] for k in own), train=train[own].astype("<u4").tobytes(),
-                                                   docs_of=size[own].astype("<u4").tobytes(), docs=doc[at].astype("<u2").tobytes(), times=times[at].astype("<u4").tobytes())], schema)
-
-
-def _postings(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+# ---- chunks -------------------------------------------------------------------------------------------------------
+
+def pieces_of(text: bytes, most: int):
+    """(start, end) of the pieces of a text: about so many bytes, cut before white space."""
+    start = 0
+    while len(text) - start > most and (m := _BLANK.search(text, start + most)):
+        yield start, m.start()
+        start = m.start()
+    yield start, len(text)
+
+
+def gram_keys(blob: bytes, sizes: np.ndarray, before: bytes, unended: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For every coded symbol of the pieces: its gram (ORDER symbols and itself) and its piece.
+
+    before: bytes ahead of the first piece, if it goes on with a text; unended: the last piece's text goes on."""
+    width = sizes + ORDER + 1
+    start = np.cumsum(width) - width
+    symbol = np.full(int(width.sum()), EDGE, np.int64)
+    coded = np.zeros(len(symbol), bool)
+    at = np.repeat(start + ORDER - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    symbol[at] = np.frombuffer(blob, np.uint8)
+    coded[at] = True
+    coded[start + width - 1] = True
+    symbol[ORDER - len(before) : ORDER] = np.frombuffer(before, np.uint8)
+    piece = np.repeat(np.arange(len(sizes)), sizes + 1)
+    if unended:
+        coded[-1], piece = False, piece[:-1]
+    key = symbol.copy()
+    for back in range(1, ORDER + 1):
+        key[back:] |= symbol[:-back] << BITS * back
+    return key[coded], piece
+
+
+def _chunk(chunk: int, row: int, ids: list, held: list, texts: list[bytes], before: bytes, unended: bool):
+    """A row of the texts, rows of their grams, rows of their words."""
+    sizes, out = np.array([len(t) for t in texts], np.int64), np.array(held)
+    blob = b"".join(texts)
+    yield _rows(1, chunk=[chunk], row=[row], ids=[ids], held=[held], text=[blob], sizes=[sizes.astype("<i8").tobytes()], before=[before], unended=[unended])
+    key, piece = gram_keys(blob, sizes, before, unended)
+    both = np.sort(key << 1 | out[piece])
+    if len(both):
+        first = np.flatnonzero(np.concatenate([[True], both[1:] >> 1 != both[:-1] >> 1]))
+        train = np.add.reduceat(1 - (both & 1), first)
+        for a in range(0, len(first), 100_000):
+            part = first[a : a + 100_000]
+            yield _rows(len(part), chunk=np.full(len(part), chunk), key=both[part] >> 1, n=train[a : a + 100_000])
+    count: Counter[bytes] = Counter()
+    for k, (text, out_) in enumerate(zip(texts, held)):
+        words = text.split()
+        if not (unended and k + 1 == len(texts)):
+            words.append(b"")  # the end
+        count.update(dict.fromkeys(words, 0) if out_ else words)
+    if count:
+        yield _rows(len(count), chunk=np.full(len(count), chunk), word=list(count), n=list(count.values()))
+
+
+_TYPES = dict(chunk=pa.int64(), key=pa.int64(), word=pa.binary(), n=pa.int64(), row=pa.int64(), ids=pa.list_(pa.int64()), held=pa.list_(pa.bool_()), text=pa.binary(), sizes=pa.binary(), before=pa.binary(), unended=pa.bool_())
+_PARTS = "chunk long, key long, word binary, n long, row long, ids array<long>, held array<boolean>, text binary, sizes binary, before binary, unended boolean"
+
+
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in _TYPES.items()], list(_TYPES))
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 24
-        ids, held, tokens, known, word_of = [], [], [], {}, []
+        chunk, row = TaskContext.get().partitionId() << 24, TaskContext.get().partitionId() << 40
+        ids, held, texts, before, size = [], [], [], b"", 0
         for batch in batches:
-            for id_, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                words = (text.as_py() or b"").lower().split()
-                words.append(b"")  # the end
-                ids.append(id_), held.append(out), tokens.append(len(words))
-                word_of += [known.setdefault(w, len(known)) for w in words]
-                if len(word_of) >= CHUNK_TOKENS or len(ids) == CHUNK_DOCS:
-                    yield from _chunk(chunk, ids, held, tokens, known, word_of, buckets)
-                    chunk += 1
-                    ids, held, tokens, known, word_of = [], [], [], {}, []
+            for id_, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text = (text.as_py() or b"").lower()
+                for a, b in pieces_of(text, most):
+                    if ids and (size + b - a > most or len(ids) == CHUNK_DOCS):
+                        yield from _chunk(chunk, row - len(ids), ids, held, texts, before, False)
+                        chunk += 1
+                        ids, held, texts, before, size = [], [], [], b"", 0
+                    if a:
+                        before = text[a - ORDER : a]
+                    ids.append(id_), held.append(out), texts.append(text[a:b])
+                    size += b - a
+                    row += 1
+                    if b < len(text):  # the next piece is of the same row
+                        yield from _chunk(chunk, row - len(ids), ids, held, texts, before, True)
+                        chunk, row = chunk + 1, row - 1
+                        ids, held, texts, before, size = [], [], [], b"", 0
         if ids:
-            yield from _chunk(chunk, ids, held, tokens, known, word_of, buckets)
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _PARTS)
+            yield from _chunk(chunk, row - len(ids), ids, held, texts, before, False)
 
-
-def _words_of(blob: bytes, n: int) -> list[bytes]:
-    """Words joined by blanks; the end token is the empty word."""
-    words = blob.split(b" ")
-    assert len(words) == n
-    return words
-
-
-def _vocabulary(parts: DataFrame) -> DataFrame:
-    """(bucket, word, c): training count of every word of the corpus."""
-
-    def fn(rows: pa.Table):
-        total: dict[bytes, int] = {}
-        for words, train in zip(rows.column("words").to_pylist(), rows.column("train").to_pylist()):
-            counts = np.frombuffer(train, "<u4").tolist()
-            for w, c in zip(_words_of(words, len(counts)), counts):
-                total[w] = total.get(w, 0) + c
-        b = rows.column("bucket")[0].as_py()
-        return pa.RecordBatch.from_arrays([pa.array([b] * len(total), pa.int64()), pa.array(total, pa.binary()), pa.array(total.values(), pa.int64())], ["bucket", "word", "c"])
-
-    return grouped(parts.select("bucket", "words", "train"), ["bucket"], fn, "bucket long, word binary, c long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("out"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, _PARTS)
 
 
 # ---- the trie -----------------------------------------------------------------------------------------------------
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words as mark w mark w mark; for every byte after the first: its place, its word, and its context's length."""
-    b = np.frombuffer(bytes([MARK]) + bytes([MARK]).join(words) + bytes([MARK]), np.uint8) if words else np.zeros(1, np.uint8)
-    at = np.arange(1, len(b))
-    marks = np.flatnonzero(b == MARK)
-    word = np.searchsorted(marks, at) - 1
-    return b, word, np.minimum(at - marks[word], ORDER)
-
-
-def gram_keys(b: np.ndarray, at: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Long keys: the context's bytes and the byte at a place, above them the number of bytes."""
-    key = np.zeros(len(at), np.int64)
-    for back in range(ORDER, -1, -1):
-        use = context >= back
-        key = np.where(use, key << 8 | b[np.maximum(at - back, 0)], key)
-    return key | (context.astype(np.int64) + 1) << 56
-
-
-def _gram_counts(vocabulary: DataFrame) -> DataFrame:
-    """(key, n): training count of every context and byte, of all lengths."""
-
-    def run(batches):
-        for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for a in range(0, len(words), 20_000):
-                b, word, context = spelled(words[a : a + 20_000])
-                at = np.arange(1, len(b))
-                for length in range(ORDER + 1):
-                    has = context >= length
-                    keys, inverse = np.unique(gram_keys(b, at[has], np.full(has.sum(), length)), return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(inverse, weights=c[a : a + 20_000][word[has]]).astype(np.int64))], ["key", "n"])
-
-    return vocabulary.where("c > 0").select("word", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _length(key):
-    return F.shiftright(key, 56)
-
-
-def _context(key):
-    """Key of the context of a gram: without its last byte, one shorter."""
-    body = F.shiftright(key.bitwiseAND(F.lit((1 << 56) - 1)), 8)
-    return body.bitwiseOR(F.shiftleft(_length(key) - 1, 56))
-
-
-def _shorter(key):
-    """Without the first byte."""
-    n = _length(key) - 1
-    return F.pmod(key, F.element_at(F.array(*(F.lit(1 << (8 * k)).cast("long") for k in range(ORDER + 2))), n.cast("int") + 1)).bitwiseOR(F.shiftleft(n, 56))
-
-
-def _contexts(grams: DataFrame) -> DataFrame:
-    """(context, t, q, x): total, distinct bytes, and the mass that these bytes have in the next shorter context."""
-    k = F.col("key")
-    less = grams.select(k.alias("short"), F.col("n").alias("m"))
-    own = grams.select("key", "n", F.when(_length(k) > 1, _shorter(k)).alias("short")).join(less, "short", "left")
-    return own.groupBy(_context(k).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.sum("m").alias("x"))
-
-
-def code_lengths(wanted: DataFrame, grams: DataFrame) -> DataFrame:
-    """(key, lp): log10 probability of the last byte of every wanted key, given the bytes before it."""
-    contexts = stored(_contexts(grams), "contexts")
-    rest = wanted.select("key", F.col("key").alias("now"), F.lit(0.0).alias("lp"), F.lit(0).cast("long").alias("xt"), F.lit(0).cast("long").alias("xq"))
-    done = None
-    for left in range(ORDER, -1, -1):
-        found = (rest.withColumn("context", _context(F.col("now"))).join(contexts, "context", "left")
-                 .join(grams.select(F.col("key").alias("now"), "n"), "now", "left"))
-        mass, kinds = F.col("t") - F.col("xt"), F.col("q") - F.col("xq")
-        found = found.withColumn("mass", mass + kinds)
+def _shorter(key, length: int):
+    """A gram of so many symbols without its first one."""
+    return key.bitwiseAND(F.lit((1 << BITS * (length - 1)) - 1))
+
+
+def _contexts(grams: DataFrame, below: DataFrame, length: int) -> DataFrame:
+    """(context, t, q, x): total, distinct symbols, and the mass that these symbols have in the next shorter context."""
+    if length == 1:
+        own = grams.withColumn("m", F.lit(0).cast("long"))
+    else:
+        own = grams.withColumn("short", _shorter(F.col("key"), length)).join(below.select(F.col("key").alias("short"), F.col("n").alias("m")), "short")
+    return own.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.sum("m").alias("x"))
+
+
+def code_lengths(grams: DataFrame) -> DataFrame:
+    """(key, lp): log10 probability of the last symbol of every gram, given those before it; grams(key, n): all grams of
+    full length that are asked for, with their training counts (0: not in training)."""
+    level = grams.where("n > 0")
+    rest = grams.select("key", F.col("key").alias("now"), F.lit(0.0).alias("lp"), F.lit(0).cast("long").alias("xt"), F.lit(0).cast("long").alias("xq"))
+    done = []
+    for length in range(ORDER + 1, 0, -1):
+        below = stored(level.groupBy(_shorter(F.col("key"), length).alias("key")).agg(F.sum("n").alias("n")), "grams") if length > 1 else level
+        contexts, here = _contexts(level, below, length), level.select(F.col("key").alias("now"), "n")
+        if length <= 2:  # at most 257 contexts, 66,049 grams
+            contexts, here = F.broadcast(contexts), F.broadcast(here)
+        found = rest.withColumn("context", F.shiftright("now", BITS)).join(contexts, "context", "left").join(here, "now", "left")
+        kinds = F.col("q") - F.col("xq")
+        mass = F.col("t") - F.col("xt") + kinds
         hit = F.col("n").isNotNull()
-        step = F.when(hit, F.log10(F.col("n") / F.col("mass"))).when(F.col("mass") > 0, F.log10(kinds / F.col("mass"))).otherwise(0.0)
-        found = stored(found.select("key", "now", hit.alias("hit"), (F.col("lp") + F.when(F.col("t").isNotNull(), step).otherwise(0.0)).alias("lp"),
-                                    # a context that never occurred excludes nothing
-                                    F.when(F.col("t").isNotNull(), F.coalesce("x", F.lit(0))).otherwise(0).cast("long").alias("xt"),
-                                    F.coalesce("q", F.lit(0)).cast("long").alias("xq")), "codes")
-        now = found.where("hit").select("key", "lp")
-        done = now if done is None else done.union(now)
-        rest = found.where("not hit")
-        if left:
-            # contexts are shortened one byte at a time; those already at no context wait
-            rest = rest.select("key", F.when(_length(F.col("now")) > 1, _shorter(F.col("now"))).otherwise(F.col("now")).alias("now"), "lp", "xt", "xq",
-                               (_length(F.col("now")) == 1).alias("bare"))
-            none = rest.where("bare")
-            done = done.union(none.select("key", (F.col("lp") - F.log10(F.greatest(256 - F.col("xq"), F.lit(1)).cast("double"))).alias("lp")))
-            rest = rest.where("not bare").drop("bare")
-    return done.union(rest.select("key", (F.col("lp") - F.log10(F.greatest(256 - F.col("xq"), F.lit(1)).cast("double"))).alias("lp")))
+        step = F.when(hit, F.log10(F.col("n") / mass)).when(kinds > 0, F.log10(kinds / mass)).otherwise(0.0)
+        # a context that never occurred excludes nothing
+        found = stored(found.select("key", _shorter(F.col("now"), length).alias("now"), hit.alias("hit"), (F.col("lp") + step).alias("lp"),
+                                    F.coalesce("x", F.lit(0)).alias("xt"), F.coalesce("q", F.lit(0)).alias("xq")), "codes")
+        done.append(found.where("hit").select("key", "lp"))
+        rest, level = found.where("not hit").drop("hit"), below
+    none = F.log10(F.greatest(ALPHABET - F.col("xq"), F.lit(1)).cast("double"))
+    out = rest.select("key", (F.col("lp") - none).alias("lp"))
+    for part in done:
+        out = out.union(part)
+    return out
 
 
 # ---- scores -------------------------------------------------------------------------------------------------------
 
-def _wanted(vocabulary: DataFrame) -> DataFrame:
-    """(bucket, key): the longest gram at every byte of every word."""
-
-    def run(batches):
-        for batch in batches:
-            buckets, words = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for b in np.unique(buckets):
-                own = [words[k] for k in np.flatnonzero(buckets == b)]
-                s, _, context = spelled(own)
-                keys = np.unique(gram_keys(s, np.arange(1, len(s)), context))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int64)), pa.array(keys)], ["bucket", "key"])
-
-    return vocabulary.select("bucket", "word").mapInArrow(run, "bucket long, key long").distinct()
-
-
-def _sums(rows: pa.Table):
-    """Partial sums of one bucket by document."""
-    kind = rows.column("kind").to_numpy()
-    codes, vocab, parts = (rows.filter(pa.array(kind == k)) for k in (0, 1, 2))
-    order = np.argsort(codes.column("key").to_numpy())
-    keys, lp = codes.column("key").to_numpy()[order], codes.column("lp").to_numpy()[order]
-    words, c = vocab.column("word").to_pylist(), vocab.column("c").to_numpy()
-    place = {w: k for k, w in enumerate(words)}
-    s, word, context = spelled(words)
-    each = lp[np.searchsorted(keys, gram_keys(s, np.arange(1, len(s)), context))]
-    length = np.bincount(word, weights=each, minlength=len(words))
-    base = np.log10(c + 0.1)
-    chunks, docs, sums = [], [], [[], [], []]
-    for chunk, blob, docs_of, doc, times in zip(*(parts.column(n).to_pylist() for n in ("chunk", "word", "docs_of", "docs", "times"))):
-        docs_of, doc, times = np.frombuffer(docs_of, "<u4"), np.frombuffer(doc, "<u2").astype(np.int64), np.frombuffer(times, "<u4")
-        at = np.repeat(np.fromiter(map(place.__getitem__, _words_of(blob, len(docs_of))), np.int64, len(docs_of)), docs_of)
-        there = np.flatnonzero(np.bincount(doc))
-        chunks.append(np.full(len(there), chunk)), docs.append(there)
-        for out, value in zip(sums, (times * base[at], times * length[at], times * (c[at] > 0))):
-            out.append(np.bincount(doc, weights=value)[there])
-    if not chunks:
-        return None
-    base, length, known = (np.concatenate(x) for x in sums)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(chunks)), pa.array(np.concatenate(docs)), pa.array(base), pa.array(length), pa.array(known.astype(np.int64))], ["chunk", "doc", "base", "score", "n_known"])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sums(rows: pa.Table) -> pa.RecordBatch:
+    """Token counts and sums of the pieces of one chunk."""
+    has = {c: rows.filter(rows.column(c).is_valid()) for c in ("key", "word", "text")}
+    keys, lp = has["key"].column("key").to_numpy(), has["key"].column("value").to_numpy()
+    order = np.argsort(keys)
+    c = has["word"].column("value").to_numpy()
+    place = dict(zip(has["word"].column("word").to_pylist(), range(len(c))))
+    base, known = np.log10(c + 0.1), c > 0
+    one = has["text"].select(["row", "ids", "held", "text", "sizes", "before", "unended"]).to_pylist()[0]
+    sizes = np.frombuffer(one["sizes"], "<i8")
+    key, piece = gram_keys(one["text"], sizes, one["before"], one["unended"])
+    score = np.bincount(piece, weights=lp[order][np.searchsorted(keys[order], key)], minlength=len(sizes))
+    tokens, n_known, sums, at = [], [], [], 0
+    for k, size in enumerate(sizes.tolist()):
+        words = one["text"][at : at + size].split()
+        at += size
+        if not (one["unended"] and k + 1 == len(sizes)):
+            words.append(b"")
+        own = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        tokens.append(len(words)), n_known.append(int(known[own].sum())), sums.append(float(base[own].sum()))
+    names = ["row", "id", "held", "n_tokens", "n_known", "base", "score"]
+    return pa.RecordBatch.from_arrays([pa.array(one["row"] + np.arange(len(sizes))), pa.array(one["ids"], pa.int64()), pa.array(one["held"]), pa.array(tokens, pa.int64()),
+                                       pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score)], names)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    chars = docs.select(F.sum(F.char_length(text_col))).first()[0] or 0
-    buckets = 1 + chars // BUCKET_CHARS
-    parts = stored(_postings(docs, id_col, text_col, buckets), "postings")
-    vocabulary = stored(_vocabulary(parts.where("bucket >= 0")), "vocabulary")
+    parts = stored(_parts(docs, id_col, text_col, chunk), "parts")
+    vocabulary = stored(parts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     size = vocabulary.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = size.n or 0, size.v
-    grams = stored(_gram_counts(vocabulary), "grams")
-    wanted = stored(_wanted(vocabulary), "wanted")
-    codes = code_lengths(wanted.select("key").distinct(), grams)
-    cols = ["bucket", "kind", "key", "lp", "chunk", "word", "c", "docs_of", "docs", "times"]
-    kinds = {"key": "long", "lp": "double", "chunk": "long", "word": "binary", "c": "long", "docs_of": "binary", "docs": "binary", "times": "binary"}
-
-    def row(df: DataFrame, kind: int) -> DataFrame:
-        return df.withColumn("kind", F.lit(kind)).select(*(F.col(c) if c in ("bucket", "kind") or c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in cols))
-
-    rows = row(wanted.join(codes, "key"), 0).union(row(vocabulary, 1)).union(row(parts.where("bucket >= 0").withColumnRenamed("words", "word"), 2))
-    partial = grouped(rows, ["bucket"], _sums, "chunk long, doc long, base double, score double, n_known long")
-    total = stored(partial, "partial").groupBy("chunk", "doc").agg(*(F.sum(c).alias(c) for c in ("base", "score", "n_known")))
-    listed = parts.where("bucket = -1").select("chunk", F.posexplode(F.arrays_zip("doc_ids", "held", "tokens")).alias("doc", "d")).select(
-        "chunk", F.col("doc").cast("long").alias("doc"), F.col("d.doc_ids").alias(id_col), F.col("d.held").alias("held_out"), F.col("d.tokens").alias("n_tokens"))
+    codes = code_lengths(stored(parts.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "grams"))
+    cols = {"chunk": "long", "key": "long", "word": "binary", "value": "double"} | {k: t for k, t in (c.split() for c in _PARTS.split(", ")) if k in ("row", "ids", "held", "text", "sizes", "before", "unended")}
+
+    def full(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in cols.items()))
+
+    grams = parts.where("key is not null").select("chunk", "key").join(codes.withColumnRenamed("lp", "value"), "key")
+    words = parts.where("word is not null").select("chunk", "word").join(vocabulary.withColumnRenamed("c", "value"), "word")
+    texts = parts.where("text is not null").drop("key", "word", "n")
+    sums = grouped(full(texts).union(full(words)).union(full(grams)), ["chunk"], _sums, "row long, id long, held boolean, n_tokens long, n_known long, base double, score double")
+    total = sums.groupBy("row", "id", "held").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
     log_n = float(np.log10(n + 0.1 * (v + 1)))
-    return listed.join(total, ["chunk", "doc"]).select(
-        id_col, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(log_n)).alias("base_score"), "score")
+    return total.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+                        (F.col("base") - F.col("n_tokens") * F.lit(log_n)).alias("base_score"), "score")
 
 
 def op6_lm_scoring(docs: DataFrame) -> DataFrame:

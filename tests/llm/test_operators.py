@@ -222,24 +222,24 @@ def test_token_files(spark, docs, odd, none):
     assert (back == ids).all() and listed == [[None, 200_001]]
 
 
-def test_language_model(docs, odd, none):
-    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in docs.collect()]
-    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
-    count = collections.Counter(w for i, ws in rows if not out[i] for w in ws)
-    total, distinct = sum(count.values()), len(count)
+def ppm_by_hand(texts, train):
+    """log10 probability of every text; contexts up to ppm.ORDER symbols over the whole text, an edge on both sides."""
+    def streamed(text):
+        return [ppm.EDGE] * ppm.ORDER + list((text or "").encode().lower()) + [ppm.EDGE]
+
     trie = collections.defaultdict(collections.Counter)
-    for w, n in count.items():
-        s = b" " + w + b" "
-        for p in range(1, len(s)):
-            for k in range(min(ppm.ORDER, p) + 1):
-                trie[s[p - k : p]][s[p]] += n
-
-    def length(w):
-        s, lp = b" " + w + b" ", 0.0
-        for p in range(1, len(s)):
+    for text in train:
+        s = streamed(text)
+        for p in range(ppm.ORDER, len(s)):
+            for k in range(ppm.ORDER + 1):
+                trie[tuple(s[p - k : p])][s[p]] += 1
+
+    def length(text):
+        s, lp = streamed(text), 0.0
+        for p in range(ppm.ORDER, len(s)):
             seen = set()
-            for k in range(min(ppm.ORDER, p), -1, -1):
-                live = {b: n for b, n in trie.get(s[p - k : p], {}).items() if b not in seen}
+            for k in range(ppm.ORDER, -1, -1):
+                live = {b: n for b, n in trie.get(tuple(s[p - k : p]), {}).items() if b not in seen}
                 mass = sum(live.values()) + len(live)
                 if s[p] in live:
                     lp += math.log10(live[s[p]] / mass)
@@ -248,16 +248,38 @@ def test_language_model(docs, odd, none):
                     lp += math.log10(len(live) / mass)
                 seen |= set(live)
             else:
-                lp -= math.log10(max(256 - len(seen), 1))
+                lp -= math.log10(max(257 - len(seen), 1))
         return lp
 
+    return list(map(length, texts))
+
+
+def test_language_model(docs, odd, none):
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = [(i, (t or "").encode().lower().split() + [b""]) for i, t in texts]
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    count = collections.Counter(w for i, ws in rows if not out[i] for w in ws)
+    total, distinct = sum(count.values()), len(count)
+    want = ppm_by_hand([t for _, t in texts], [t for i, t in texts if not out[i]])
     got = {r.doc_id: r for r in ppm.op6_lm_scoring(docs).collect()}
-    for i, ws in rows:
+    for (i, ws), score in zip(rows, want):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(ws), sum(count[w] > 0 for w in ws), total)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in ws), rel=1e-9)
-        assert r.score == pytest.approx(sum(map(length, ws)), rel=1e-9)
-    assert ppm.op6_lm_scoring(odd).count() == len(ROWS) and ppm.op6_lm_scoring(none).count() == 0
+        assert r.score == pytest.approx(score, rel=1e-9)
+    for r in ppm.score(docs, chunk=700).collect():  # many chunks, most texts in pieces
+        assert r[:5] == got[r.doc_id][:5] and (r.base_score, r.score) == pytest.approx((got[r.doc_id].base_score, got[r.doc_id].score), rel=1e-9)
+
+
+def test_language_model_odd_rows(spark, odd, none):
+    got = ppm.score(odd, chunk=50_000).collect()
+    out = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in ROWS]
+    want = ppm_by_hand([t for _, t in ROWS], [t for (_, t), o in zip(ROWS, out) if not o])
+    assert sorted((r.doc_id or 0, round(r.score, 6)) for r in got) == sorted((i or 0, round(s, 6)) for (i, _), s in zip(ROWS, want))
+    assert ppm.op6_lm_scoring(none).count() == 0
+    rows = [(k, "the cat sat on the mat and slept") for k in range(1, 9)] + [(9, "slept and mat the on sat cat the")]
+    score = {r.doc_id: r.score for r in ppm.op6_lm_scoring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[9] < score[1]  # order of words counts
 
 
 def test_pieces(docs, odd, none):
