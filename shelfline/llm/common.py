@@ -1,6 +1,8 @@
-"""Shared pieces: written intermediate tables, contiguous groups of Arrow rows, connected components, word hashes."""
+"""Shared pieces: written intermediate tables, what workers remember, contiguous groups of Arrow rows, connected components, word hashes."""
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# ---- memory of the workers ----------------------------------------------------------------------------------------
+
+_memory: tuple[str, dict] = ("", {})
+
+
+def memory(owner: str) -> dict:
+    """What this process remembers between tasks of one operator.  Python workers are reused by later stages, so a task of
+    another operator drops it first: a worker never holds the memories of two."""
+    global _memory
+    if _memory[0] != owner:
+        dropped = len(_memory[1])
+        _memory = (owner, {})
+        if dropped:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()
+    return _memory[1]
+
+
+def _trim() -> None:
+    """Hands freed memory back to the system where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # ---- groups -------------------------------------------------------------------------------------------------------
 
 def _keys_of(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -53,6 +81,7 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBa
     """fn over each group of equal keys; callers bound the rows of a group."""
 
     def run(batches):
+        memory("groups")
         for rows in contiguous(batches, keys):
             out = fn(rows)
             if out is not None and out.num_rows:

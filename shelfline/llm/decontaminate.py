@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memory
+
 ERRORS, TARGET, LEAST = 0.2, 0.995, 5
 SAMPLES, MOST_REPEATS = 4, 1000
 LONGEST = 40
@@ -232,15 +234,13 @@ class Finder:
             found[t, i] = (dist, low - first + end - begin, low - first + end, (low, high))
 
 
-_finders: dict = {}
-
-
 def _finder(items) -> Finder:
     key = hash(tuple(items))
-    if key not in _finders:
-        _finders.clear()
-        _finders[key] = Finder(items)
-    return _finders[key]
+    held = memory("decontaminate")
+    if key not in held:
+        held.clear()
+        held[key] = Finder(items)
+    return held[key]
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str):

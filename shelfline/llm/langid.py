@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memory
+
 SAMPLE, PIECE, DICT, BLOCK = 160, 1200, 112 * 1024, 4096
 SLOTS = 1 << 40       # places of the hash sample
 MARGIN = 0.002
@@ -62,6 +64,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list, text_co
     def run(batches):
         import zstandard
 
+        memory("langid")
         # short matches carry most of what tells languages apart
         level = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=4, target_length=16,
                                                     strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memory
+
 SEED, RATE = 17, 0.1
 LONG, CACHE = 64, 1_000_000
 SPACE = "▁"
@@ -217,15 +219,12 @@ def encode_units(model: Model, units: list[str], keys: list[int], rate: float, s
     return out
 
 
-_models: dict[str, Model] = {}
-_trees: dict[tuple, "Trees"] = {}
-
-
 def _model(path: str) -> Model:
     """The model of a path, read once in a process."""
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    held = memory("pieces")
+    if ("model", path) not in held:
+        held["model", path] = Model(path)
+    return held["model", path]
 
 
 class Column:
@@ -356,7 +355,10 @@ class Trees:
 def encode_all(texts: list[str], documents: int | list[int], path: str, seed: int = SEED, rate: float = RATE) -> list[np.ndarray]:
     """Ids of each text, given the keys of the documents; a worker remembers about CACHE nodes of the units it met."""
     model = _model(path)
-    trees = _trees.get(path) or _trees.setdefault(path, Trees(model))
+    held = memory("pieces")
+    if ("trees", path) not in held:
+        held["trees", path] = Trees(model)
+    trees = held["trees", path]
     documents = [documents] * len(texts) if isinstance(documents, int) else documents
     if len(trees) > CACHE:
         trees.clear()

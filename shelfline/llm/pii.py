@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import memory, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the four base patterns
@@ -157,6 +157,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per document: id, hash of the text, base spans, instances."""
 
     def run(batches):
+        memory("pii")
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         seen = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
         for batch in batches:

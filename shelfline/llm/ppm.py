@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, stored
+from .common import grouped, memory, stored
 
 ORDER = 5                   # context symbols
 BITS, EDGE = 9, 256         # a symbol is a byte or the edge of a text; a context and its symbol fit in one long
@@ -107,6 +107,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        memory("ppm")
         chunk, row = TaskContext.get().partitionId() << 24, TaskContext.get().partitionId() << 40
         ids, held, texts, before, size = [], [], [], b"", 0
         for batch in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .common import memory, stored
 
 CHUNK, SHARD = 1 << 16, 1 << 22
 MAGIC = b"BITPLN1\n"
@@ -73,14 +74,12 @@ class Words:
             yield b"".join(map(known.__getitem__, pieces))
 
 
-_words: dict[str, Words] = {}
-
-
 def _words_of(path: str) -> Words:
     """The tokenizer of a path and its remembered pieces, one in a process."""
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
+    held = memory("token_files")
+    if path not in held:
+        held[path] = Words(path)
+    return held[path]
 
 
 def _in_parts(texts, chars: int = 2_000_000):
@@ -232,8 +231,6 @@ def read(docs_folder: str, shards: DataFrame) -> DataFrame:
 def op5_token_files(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    from .common import stored
-
     folder = scratch_path(docs.sparkSession, "tokens")
     shards = stored(write(docs, public_tokenizers.path("word_bpe_49k.json"), folder), "shards")
     return read(folder, shards)

@@ -57,6 +57,12 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_worker_memory():
+    common.memory("one")["x"] = 1
+    assert common.memory("one") == {"x": 1}
+    assert common.memory("two") == {} and common.memory("one") == {}
+
+
 def shingles(text, k):
     w = (text or "").encode().lower().split()
     k = min(k, len(w))
