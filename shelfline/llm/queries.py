@@ -22,4 +22,4 @@ QUERIES = {
     "op12_token_counts": _docs(token_counts.op12_token_counts),
     "op13_vector_codes": lambda spark, sf_dir: vector_codes.op13_vector_codes(table(spark, sf_dir, "embeddings")),
 }
-ORACLES: dict[str, str] = {"op11_resampling": resample.oracle(), "op13_vector_codes": vector_codes.oracle()}
+ORACLES: dict[str, str] = {"op8_url_filter": urls.oracle(), "op11_resampling": resample.oracle(), "op13_vector_codes": vector_codes.oracle()}

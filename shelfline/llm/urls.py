@@ -131,5 +131,26 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *new.fields]))
 
 
+def oracle(rules: list[Rule] = RULES) -> str:
+    """DuckDB statement for judge() over pages; every glob is a LIKE over `.host#path`."""
+
+    def fits(rule: Rule) -> str:
+        if set(rule.glob) & set("%_?'!"):
+            raise ValueError(f"no LIKE for {rule.glob}")
+        return f"t LIKE '{rule.glob.replace('*', '%')}'"
+
+    named = sorted((r for r in rules if r.name), key=lambda r: -len(r.name))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in named)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in named)
+    block = " OR ".join(fits(r) for r in rules if not r.name and r.verdict == "block")
+    matched = " + ".join(f"({fits(r)})::BIGINT" for r in rules)
+    return f"""
+WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+places AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+texts AS (SELECT *, '.' || host || '#' || path AS t FROM places)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {block} THEN 'block' ELSE 'allow' END AS verdict, {matched} AS matched FROM texts"""
+
+
 def op8_url_filter(pages: DataFrame) -> DataFrame:
     return judge(pages)

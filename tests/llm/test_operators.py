@@ -150,6 +150,21 @@ def test_urls(spark):
     assert got[8].verdict == "block" and got[6].verdict == "allow"
 
 
+def test_urls_odd_rows_and_statement(spark):
+    import duckdb
+    import pandas as pd
+
+    urls_ = ["http://A.Example.NET/en/x?q", "http://A.Example.NET/en/x?q", None, "", "://", "x://://net/", "http://net#/", "ftp://spam.example.org/a/b.EXE", "http://é.org/fr/\u00fc", "http://a\nb.net/c\nd.exe"]
+    ids = [1, 1, 2, None, 4, 5, 6, 7, 8, 9]
+    frame = spark.createDataFrame([(i, u, "net", "own", "v") for i, u in zip(ids, urls_)], "page_id long, url string, host string, rule string, verdict string")
+    got = urls.op8_url_filter(frame).collect()
+    assert [r.verdict for r in got if r.page_id == 1] == ["allow"] * 2 and all((r.host, r.path, r.rule) == ("", "", None) for r in got if r.page_id in (2, None, 4))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": pd.array(ids, "Int64"), "url": urls_}))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(urls.oracle()).fetchall()))
+    assert urls.op8_url_filter(frame.limit(0)).count() == 0
+
+
 def test_automaton_against_regex():
     rng = np.random.default_rng(3)
     globs = ["".join(rng.choice(list("ab*?"), rng.integers(1, 30))) for _ in range(60)]
