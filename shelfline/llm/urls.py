@@ -8,7 +8,8 @@ there up to `?`, `#` or the end.  `#` cannot occur in either part, so a glob can
 In a glob `*` is any run of bytes and `?` any one byte; the rest stands for itself.
 
 Edge cases: a null url or one without `://` has empty host and path and goes through the same rules; very long URLs are
-stepped in place, without padding; repeated rows get equal rows; other columns are not read.
+stepped in place, without padding; repeated rows get equal rows, a row without id keeps its row; of rules of equal length the
+one listed last decides; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -139,7 +140,7 @@ def oracle(rules: list[Rule] = RULES) -> str:
             raise ValueError(f"no LIKE for {rule.glob}")
         return f"t LIKE '{rule.glob.replace('*', '%')}'"
 
-    named = sorted((r for r in rules if r.name), key=lambda r: -len(r.name))
+    named = sorted((r for r in rules if r.name), key=lambda r: len(r.name))[::-1]
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in named)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in named)
     block = " OR ".join(fits(r) for r in rules if not r.name and r.verdict == "block")
