@@ -171,62 +171,77 @@ def distribution_anomalies(m: DataFrame, profile: str = "retail_m5") -> DataFram
 
 # ---- stationarity -------------------------------------------------------------
 
-def _tail(df: DataFrame, last: int, baseline: int) -> DataFrame:
-    """The last (last + baseline) rows of each SKU that has them, pos 1 = oldest."""
+def _recent(df: DataFrame, n: int) -> DataFrame:
+    """(sku_id, a): the last n demands of each SKU that has them, oldest first.  They are picked before the exchange."""
     back = F.row_number().over(W.partitionBy("sku_id").orderBy(F.desc("date")))
-    n = last + baseline
-    t = (df.select("sku_id", "date", "demand").withColumn("back", back).where(F.col("back") <= n)
-         .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("sku_id"))).where(F.col("_n") == n))
-    return t.withColumn("pos", n + 1 - F.col("back"))
+    t = df.select("sku_id", "date", "demand").withColumn("back", back).where(F.col("back") <= n)
+    a = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("back"), "demand"))), lambda s: s["demand"])
+    return t.groupBy("sku_id").agg(a.alias("a")).where(F.size("a") == n)
+
+
+def _sum(xs):
+    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _pettitt_k(n: int):
+    """Largest absolute running sum of each value's sign counts against the whole window (twice its mid-rank, centred)."""
+    signs = F.transform("a", lambda x: F.aggregate("a", F.lit(0.0), lambda acc, y: acc + F.signum(x - y)))
+    start = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("k"))
+    step = lambda acc, s: F.struct((acc["u"] + s).alias("u"), F.greatest(acc["k"], F.abs(acc["u"] + s)).alias("k"))
+    return F.aggregate(F.slice(signs, 1, n - 1), start, step, lambda acc: acc["k"])
+
+
+def _pettitt_p(n: int):
+    k = F.col("k_stat")
+    return F.least(F.lit(1.0), 2 * F.exp(-6 * k * k / float(n ** 3 + n ** 2)))
+
+
+def _rises(n: int):
+    """Later values above minus later values below, over all pairs inside the array."""
+    return _sum(F.transform("a", lambda x, i: F.aggregate(
+        F.slice("a", i + 2, n), F.lit(0.0), lambda acc, y: acc + F.signum(y - x))))
+
+
+def _rises_p(n: int):
+    sd = (n * (n - 1) * (2 * n + 5) / 18.0) ** 0.5
+    return 2 * (1 - norm_cdf(F.abs((F.col("s_stat") - F.signum("s_stat")) / sd)))
+
+
+def _shift(t: DataFrame, last: int, baseline: int) -> DataFrame:
+    """t with shift_z; means and deviation are columns of their own, so that no array is walked twice."""
+    t = t.withColumns({"_m": _sum(F.slice("a", 1, baseline)) / baseline,
+                       "_r": _sum(F.slice("a", baseline + 1, last)) / last})
+    t = t.withColumn("_sd", F.sqrt(_sum(F.transform(F.slice("a", 1, baseline), lambda x: (x - F.col("_m")) * (x - F.col("_m")))) / baseline))
+    z = F.when(F.col("_sd") < 1e-9, 0.0).otherwise(F.abs(F.col("_r") - F.col("_m")) / F.col("_sd"))
+    return t.withColumn("shift_z", z).drop("_m", "_r", "_sd")
 
 
 def pettitt(df: DataFrame, last: int, baseline: int) -> DataFrame:
-    """Rank-based change-point statistic with its approximate p-value."""
+    """Rank-based change-point statistic with its approximate p-value; null for windows under 20 rows."""
     n = last + baseline
-    t = _tail(df, last, baseline)
-    ties = F.count(F.lit(1)).over(W.partitionBy("sku_id", "demand"))
-    rank = F.rank().over(W.partitionBy("sku_id").orderBy("demand")) + (ties - 1) / 2
-    t = t.withColumn("_r", rank)
-    run = W.partitionBy("sku_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumn("_u", 2 * F.sum("_r").over(run) - F.col("pos") * (n + 1))
-    k = t.where(F.col("pos") < n).groupBy("sku_id").agg(F.max(F.abs("_u")).alias("k_stat"))
-    p = F.least(F.lit(1.0), 2 * F.exp(-6 * F.col("k_stat") * F.col("k_stat") / float(n ** 3 + n ** 2)))
-    if n < 20:
-        return k.select("sku_id", F.lit(None).cast("double").alias("k_stat"),
-                        F.lit(None).cast("double").alias("pettitt_p"))
-    return k.withColumn("pettitt_p", p)
+    none = F.lit(None).cast("double")
+    t = _recent(df, n).withColumn("k_stat", _pettitt_k(n) if n >= 20 else none)
+    return t.select("sku_id", "k_stat", (_pettitt_p(n) if n >= 20 else none).alias("pettitt_p"))
 
 
 def mann_kendall(df: DataFrame, last: int, baseline: int) -> DataFrame:
     """Trend test over the window; signs are counted inside the SKU's short array, so
     no pair is ever emitted as a row."""
     n = last + baseline
-    arr = _tail(df, last, baseline).groupBy("sku_id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "demand"))), lambda s: s["demand"]).alias("a"))
-    zero = F.lit(0.0)
-    signs = F.transform("a", lambda x, i: F.aggregate(
-        F.slice("a", i + 2, n), zero, lambda acc, y: acc + F.signum(y - x)))
-    s = arr.select("sku_id", F.aggregate(signs, zero, lambda acc, v: acc + v).alias("s_stat"))
-    if n < 10:
-        return s.select("sku_id", "s_stat", F.lit(None).cast("double").alias("mk_p"))
-    sd = (n * (n - 1) * (2 * n + 5) / 18.0) ** 0.5
-    z = (F.col("s_stat") - F.signum("s_stat")) / sd
-    return s.withColumn("mk_p", 2 * (1 - norm_cdf(F.abs(z))))
+    t = _recent(df, n).withColumn("s_stat", _rises(n))
+    return t.select("sku_id", "s_stat", (_rises_p(n) if n >= 10 else F.lit(None).cast("double")).alias("mk_p"))
 
 
 def shift_z(df: DataFrame, last: int, baseline: int) -> DataFrame:
-    t = _tail(df, last, baseline)
-    prior = F.when(F.col("back") > last, F.col("demand"))
-    recent = F.when(F.col("back") <= last, F.col("demand"))
-    return t.groupBy("sku_id").agg(
-        F.when(F.stddev_pop(prior) < 1e-9, 0.0)
-        .otherwise(F.abs(F.avg(recent) - F.avg(prior)) / F.stddev_pop(prior)).alias("shift_z"))
+    return _shift(_recent(df, last + baseline), last, baseline).select("sku_id", "shift_z")
 
 
 def stationarity_flags(df: DataFrame, freq: str) -> DataFrame:
+    """The three tests as projections of one array per SKU."""
     last, base = STABILITY_WINDOW[freq]
-    j = (pettitt(df, last, base).join(mann_kendall(df, last, base), "sku_id")
-         .join(shift_z(df, last, base), "sku_id"))
+    n, none = last + base, F.lit(None).cast("double")
+    j = _recent(df, n).withColumns({"k_stat": _pettitt_k(n) if n >= 20 else none, "s_stat": _rises(n)})
+    j = _shift(j, last, base).withColumns({"pettitt_p": _pettitt_p(n) if n >= 20 else none, "mk_p": _rises_p(n) if n >= 10 else none})
     hit = lambda c: F.coalesce(c, F.lit(False))
     pe, mk, sh = hit(F.col("pettitt_p") < 0.05), hit(F.col("mk_p") < 0.05), hit(F.col("shift_z") > 2.0)
     reason = F.concat_ws(
@@ -320,6 +335,21 @@ def dq_rescore(df: DataFrame, freq: str, metrics: DataFrame, profile: str) -> di
     return dq_report(df, freq, profile, metrics)
 
 
+def dq_rescore_profiles(df: DataFrame, freq: str, metrics: DataFrame, profiles=tuple(PROFILES)) -> DataFrame:
+    """(profile_id, composite_score) under each profile.  Only the profile component depends on it: the others are
+    computed once and stored."""
+    first = profiles[0]
+    comps = materialise(dq_components(df, freq, first, metrics=metrics))
+    fixed = comps.where(F.col("name") != "distribution_profile")
+    out = None
+    for pid in profiles:
+        own = dq_distribution(metrics, pid).select(
+            F.lit("distribution_profile").alias("name"), "score", F.lit(WEIGHTS["distribution_profile"]).alias("weight"))
+        one = dq_composite(fixed.unionByName(own)).withColumn("profile_id", F.lit(pid))
+        out = one if out is None else out.unionByName(one)
+    return out.select("profile_id", "composite_score")
+
+
 # ---- calibration position ---------------------------------------------------------
 
 def match_dept(skus: DataFrame, ref: DataFrame) -> DataFrame:

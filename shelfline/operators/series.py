@@ -180,32 +180,34 @@ def decompose(df: DataFrame, freq: str) -> DataFrame:
     """observed = trend + seasonal + residual for SKUs with at least 12 rows.
 
     Window widths depend on the SKU's length, so the centred mean is taken from
-    running sums at both ends of the window instead of a fixed frame.
+    running sums at both ends of the window instead of a fixed frame.  The sums of a
+    SKU stand in one array; its rows are made from that array again, so the work is
+    linear in the rows and stays in the one exchange by SKU.
     """
     base = indexed(df.select("sku_id", "date", "demand")).where(F.col("n") >= 12)
     p = F.least(F.lit(SEASON_LENGTH[freq]), F.greatest(F.lit(2), F.floor(F.col("n") / 3))).cast("int")
-    base = base.withColumn("period", p)
+    run = by_date().rowsBetween(W.unboundedPreceding, 0)
+    base = base.withColumn("_cum", F.sum("demand").over(run))
+    rows = F.array_sort(F.collect_list(F.struct("rn", "date", "demand", "_cum")))
+    one = base.groupBy("sku_id").agg(F.count(F.lit(1)).cast("int").alias("n"), rows.alias("_rows")).withColumn("period", p)
 
     def width(w):
         return F.when(F.col("n") < w, F.greatest(F.lit(2), F.floor(F.col("n") / 2))).otherwise(w).cast("int")
 
-    base = base.withColumns({"_w": width(F.greatest("period", F.lit(4))), "_v": width(F.col("period"))})
-    run = by_date().rowsBetween(W.unboundedPreceding, 0)
-    series = W.partitionBy("sku_id").orderBy("date").rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing)
-    base = (base.withColumn("_cum", F.sum("demand").over(run))
-            .withColumn("_all", F.collect_list("_cum").over(series)))
+    one = one.withColumns({"_w": width(F.greatest("period", F.lit(4))), "_v": width(F.col("period"))})
 
-    def centred(w):
+    def centred(w, i):
         w = F.col(w)
         left, right = F.floor(w / 2).cast("int"), F.floor((w - 1) / 2).cast("int")
-        lo = F.greatest(F.lit(0), F.col("rn") - left)
-        hi = F.least(F.col("n").cast("int") - 1, F.col("rn") + right)
-        upto = F.get("_all", hi)
-        before = F.when(lo > 0, F.get("_all", lo - 1)).otherwise(0.0)
+        lo = F.greatest(F.lit(0), i - left)
+        hi = F.least(F.col("n") - 1, i + right)
+        upto = F.get("_rows", hi)["_cum"]
+        before = F.when(lo > 0, F.get("_rows", lo - 1)["_cum"]).otherwise(0.0)
         return (upto - before) / (hi - lo + 1)
 
-    base = base.withColumns({"trend": centred("_w"), "_short": centred("_v")}).drop("_all", "_cum")
+    base = one.select("sku_id", "n", "period", F.inline_outer(F.transform("_rows", lambda r, i: F.struct(
+        r["rn"].alias("rn"), r["date"].alias("date"), r["demand"].alias("demand"),
+        centred("_w", i).alias("trend"), centred("_v", i).alias("_short")))))
     phase = F.col("rn") % F.col("period")
     base = base.withColumn("_phase", phase)
     det = F.col("demand") - F.col("_short")

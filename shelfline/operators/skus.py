@@ -146,11 +146,8 @@ def aggregate_stats(df: DataFrame, freq: str) -> DataFrame:
 def _recent_cover(df: DataFrame, freq: str, days: int = 90) -> DataFrame:
     """Cover of each SKU against its mean demand over the last 90 days."""
     last = df.agg(F.max("date")).scalar()
-    w = W.partitionBy("sku_id").orderBy(F.desc("date"))
-    rows = df.withColumn("_b", F.row_number().over(w))
-    own = lambda c: F.max(F.when(F.col("_b") == 1, F.col(c)))
-    g = rows.groupBy("sku_id").agg(own("on_hand").alias("on_hand"), own("unit_price").alias("unit_price"),
-                                   F.avg(F.when(F.datediff(last, "date") < days, F.col("demand"))).alias("mean_d"))
+    g = df.groupBy("sku_id").agg(F.max_by("on_hand", "date").alias("on_hand"), F.max_by("unit_price", "date").alias("unit_price"),
+                                 F.avg(F.when(F.datediff(last, "date") < days, F.col("demand"))).alias("mean_d"))
     return g.where(F.col("on_hand").isNotNull() & (F.col("mean_d") > 0)).withColumn(
         "days_of_cover", F.col("on_hand") / F.col("mean_d") * PERIOD_DAYS[freq])
 

@@ -143,13 +143,10 @@ def lead_time_histogram(sup: DataFrame, rcp: DataFrame) -> DataFrame:
 
 def _sku_value(df: DataFrame) -> DataFrame:
     """Stock value per SKU from its last row and cost of goods over its history."""
-    by = W.partitionBy("sku_id").orderBy(F.desc("date"))
-    rows = df.withColumn("_b", F.row_number().over(by))
     cost = F.coalesce("unit_cost", F.lit(0.0))
-    return rows.groupBy("sku_id").agg(
-        F.sum(F.when(F.col("_b") == 1, F.coalesce("on_hand", F.lit(0.0)) * cost)).alias("value"),
-        F.sum(F.col("demand") * cost).alias("cogs"),
-        F.max(F.when(F.col("_b") == 1, F.col("supplier"))).alias("supplier"))
+    return df.groupBy("sku_id").agg(
+        F.max_by(F.coalesce("on_hand", F.lit(0.0)) * cost, "date").alias("value"),
+        F.sum(F.col("demand") * cost).alias("cogs"), F.max_by("supplier", "date").alias("supplier"))
 
 
 def working_capital(df: DataFrame, sup: DataFrame, freq: str) -> DataFrame:

@@ -50,25 +50,24 @@ def header_catalogue(s, sf):
     """Words of each document as the headers of one file each."""
     words = d.table(s, sf, "documents").select(
         F.col("doc_id").cast("string").alias("file_id"),
-        F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("header"))
-    return words.where(F.length("header").between(2, 20)).withColumn("dtype", F.lit("string"))
+        F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("header"))
+    return words.where(F.col("header") != "").withColumn("dtype", F.lit("string"))
 
 
-cte("headers", """
-  select distinct cast(doc_id as varchar) as file_id, w as header from (
-    select doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as w from documents)
-  where length(w) between 2 and 20""")
+cte("headers", r"""
+  select distinct cast(doc_id as varchar) as file_id, w as header, regexp_replace(lower(w), '[^a-z0-9]', '', 'g') as clean from (
+    select doc_id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) as w from documents) where w <> ''""")
 _syn = ", ".join(f"('{cn}', '{sy}')" for cn, names in p.SYNONYMS.items() for sy in names)
 cte("synonyms", f"select * from (values {_syn}) t(canonical, syn)")
 cte("header_scores", """
   select h.file_id, h.header, b.canonical,
     round(least(1.0, b.base + case when b.canonical in ('sku_id','supplier','category') then 0.05 else 0.0 end), 6) as score
   from headers h join (
-    select header, canonical, max(case when header = syn then 1.0
-        when starts_with(header, syn) or starts_with(syn, header) then greatest(0.85, sim)
-        when contains(header, syn) or contains(syn, header) then greatest(0.7, sim) else sim end) as base
-    from (select header, canonical, syn, 1.0 - levenshtein(header, syn)::double / greatest(length(header), length(syn)) as sim
-          from (select distinct header from headers), synonyms) group by 1, 2) b on b.header = h.header""")
+    select header, canonical, max(case when c = '' then 0.0 when c = syn then 1.0
+        when starts_with(c, syn) or starts_with(syn, c) then greatest(0.85, sim)
+        when contains(c, syn) or contains(syn, c) then greatest(0.7, sim) else sim end) as base
+    from (select header, canonical, c, syn, 1.0 - levenshtein(c, syn)::double / greatest(length(c), length(syn)) as sim
+          from (select distinct header, clean as c from headers), synonyms) group by 1, 2) b on b.header = h.header""")
 
 
 def wide_sales(s, sf):
@@ -110,22 +109,28 @@ def _stored_panel(s, sf):
 register("write_and_load_panel", _stored_panel, f"select {PANEL} from panel")
 
 
+STORED = {"panel": (d.panel_bt, "sku_id"), "suppliers": (d.suppliers, "supplier_id"), "receipts": (d.receipts, "receipt_id"),
+          "purchase_orders": (d.purchase_orders, "po_id"), "po_lines": (d.po_lines, "po_id"), "po_status_log": (d.po_status_log, "po_id")}
+MEASURES = {"panel": "demand", "suppliers": "moq", "receipts": "received_qty", "purchase_orders": "total_units", "po_lines": "qty", "po_status_log": None}
+
+
 def _stored_tables(s, sf):
-    """Writes the order tables to their schemas and counts them back."""
+    """Writes all six tables to their schemas, loads them by name and counts rows, keys and a measure back."""
     path = scratch_path(s, "dataset")
-    names = ("suppliers", "receipts", "po_lines")
-    for n in names:
-        files.write_table(getattr(d, n)(s, sf), n, path)
+    for n, (make, _) in STORED.items():
+        files.write_table(make(s, sf), n, path)
     out = None
-    for n, t in files.load_dataset(s, path, names).items():
-        one = t.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("name", F.lit(n))
+    for n, t in files.load_dataset(s, path).items():
+        total = F.sum(MEASURES[n]) if MEASURES[n] else F.lit(None).cast("double")
+        one = t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(STORED[n][1]).alias("n_keys"), F.round(total, 2).alias("total"))
+        one = one.withColumn("name", F.lit(n))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-register("load_stored_tables", _stored_tables, """
-  select 'suppliers' as name, count(*) as n_rows from suppliers union all
-  select 'receipts', count(*) from receipts union all select 'po_lines', count(*) from po_lines""")
+register("load_stored_tables", _stored_tables, " union all ".join(
+    f"select '{n}' as name, count(*) as n_rows, count(distinct {key}) as n_keys, "
+    + (f"round(sum({MEASURES[n]}::double), 2)" if MEASURES[n] else "null::double") + f" as total from {n}" for n, (_, key) in STORED.items()))
 
 cte("order_panel", """
   with o as (select trim(sku_raw) as sku_id, try_cast(qty_raw as double) as qty, try_cast(price_raw as double) as price, name_raw,
@@ -151,25 +156,39 @@ register("order_export_detect", lambda s, sf: d.order_lines(s, sf).agg(F.count(F
          "select count(*) as n_lines, true as is_order_export from order_lines")
 
 
-def _preset(s, sf):
-    li, part = d.table(s, sf, "lineitem"), d.table(s, sf, "part")
-    sap = li.join(part, li.l_partkey == part.p_partkey).select(
-        d._brand_type().alias("Material"), F.date_format("l_shipdate", "dd.MM.yyyy").alias("Pstng Date"),
-        F.col("l_quantity").alias("Quantity"), F.col("p_type").alias("Material Group"),
-        F.col("p_retailprice").alias("Moving Avg Price"), F.lit("261").alias("Movement"))
-    return x.apply_preset(sap, "sap")
+# headers each vendor's export gives to (item, date, quantity, category, value), and the field the value becomes
+VENDOR_EXPORTS = {
+    "sap": (("Material", "Pstng Date", "Quantity", "Material Group", "Moving Avg Price"), "dd.MM.yyyy", "unit_cost"),
+    "netsuite": (("Item", "Tran Date", "Quantity", "Class", "Item Rate"), "yyyy-MM-dd", "unit_price"),
+    "quickbooks": (("Product/Service", "Date", "Quantity", "Category", "Cost"), "yyyy-MM-dd", "unit_cost"),
+    "square": (("SKU", "Date", "Items Sold", "Category", "Price"), "yyyy-MM-dd", "unit_price"),
+}
+
+
+def _preset(vendor):
+    headers, fmt, _ = VENDOR_EXPORTS[vendor]
+
+    def run(s, sf):
+        li, part = d.table(s, sf, "lineitem"), d.table(s, sf, "part")
+        cols = (d._brand_type(), F.date_format("l_shipdate", fmt), F.col("l_quantity"), F.col("p_type"), F.col("p_retailprice"))
+        export = li.join(part, li.l_partkey == part.p_partkey).select(*[c.alias(h) for c, h in zip(cols, headers)], F.lit("261").alias("Movement"))
+        return x.apply_preset(export, vendor)
+
+    return run
 
 
-register("vendor_preset", _preset, """
+for _vendor, (_, _, _value) in VENDOR_EXPORTS.items():
+    register("vendor_preset" if _vendor == "sap" else f"vendor_preset_{_vendor}", _preset(_vendor), f"""
   select upper(p_brand || '|' || p_type) as sku_id, cast(l_shipdate as date) as date, l_quantity as demand,
-    p_retailprice as unit_cost, p_type as category from lineitem join part on l_partkey = p_partkey""")
+    p_retailprice as {_value}, p_type as category from lineitem join part on l_partkey = p_partkey""")
 register("melt_sales", lambda s, sf: x.melt_sales(wide_sales(s, sf), week_calendar(s)), """
   with w as (select upper(p_brand || '|' || p_type) as id, p_type as dept_id, isodow(l_shipdate) as k, sum(l_quantity) as sales
     from lineitem join part on l_partkey = p_partkey group by 1, 2, 3)
   select i.id, i.dept_id, date '2016-01-03' + cast(n.k as integer) as date, coalesce(w.sales, 0.0) as sales
   from (select distinct id, dept_id from w) i, (select unnest(range(1, 8)) as k) n
   left join w on w.id = i.id and w.k = n.k""")
-register("sample_skus", lambda s, sf: x.sample_skus(d.panel_bt(s, sf), 20, seed=0).select("sku_id", "date", "demand"))
+register("sample_skus", lambda s, sf: x.sample_skus(d.panel_bt(s, sf), 20, seed=0).select("sku_id", "date", "demand"),
+         "select sku_id, date, demand from panel where sku_id in (select sku_id from (select distinct sku_id from panel) order by md5(sku_id || ':0'), sku_id limit 20)")
 register("first_skus", lambda s, sf: x.first_skus(d.panel_bt(s, sf), 25).select("sku_id", "date", "demand"),
          "select sku_id, date, demand from panel where sku_id in (select distinct sku_id from panel order by 1 limit 25)")
 

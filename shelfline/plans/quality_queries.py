@@ -131,25 +131,30 @@ register("dq_notes", lambda s, sf: q.dq_notes(bt(s, sf), "W", s_.series_metrics(
 def _report(s, sf):
     path = scratch_path(s, "report")
     files.write_report(q.dq_report(bt(s, sf), "W"), path)
-    return s.read.json(f"{path}/dq_components")
+    return rounded(s.read.json(f"{path}/dq_components").select("name", F.col("score").cast("double"), F.col("weight").cast("double")), 2)
 
 
-register("dq_report", _report)
+cte("mscores_all", """select profile_id, sku_id, case when value between p10 and p90 then 100.0
+    when value >= p2 and value < p10 then case when p10 - p2 > 0 then 50.0 + 50.0 * (value - p2) / (p10 - p2) else 75.0 end
+    when value > p90 and value <= p98 then case when p98 - p90 > 0 then 50.0 + 50.0 * (p98 - value) / (p98 - p90) else 75.0 end
+    when value < p2 then greatest(0.0, 50.0 * (1 - (p2 - value) / greatest(abs(p2), 1e-6)))
+    else greatest(0.0, 50.0 * (1 - (value - p98) / greatest(abs(p98), 1e-6))) end as score from tallm join bands using (metric)""")
+cte("comps_all", """
+  select profile_id, 'distribution_profile' as name, round(quantile_cont(score, 0.5), 2) as score, 0.15 as weight from (
+    select profile_id, sku_id, round(avg(score), 9) as score from mscores_all group by 1, 2) group by 1
+  union all select profile_id, name, score, weight from comps, (select distinct profile_id from bands) where name <> 'distribution_profile'""")
+register("dq_report", _report, "select name, round(score, 2) as score, weight::double as weight from comps_all where profile_id = (select profile_id from mprofile)")
 
 
 def _rescore(s, sf):
     """Scores a dataset under every profile from one stored metrics table."""
     path = scratch_path(s, "metrics")
     s_.series_metrics(bt(s, sf)).write.parquet(path)
-    m = s.read.parquet(path)
-    out = None
-    for pid in ("retail_m5", "b2b_industrial"):
-        one = q.dq_rescore(bt(s, sf), "W", m, pid)["dq_summary"]
-        out = one if out is None else out.unionByName(one)
-    return out
+    return q.dq_rescore_profiles(bt(s, sf), "W", s.read.parquet(path))
 
 
-register("dq_rescore", _rescore)
+register("dq_rescore", _rescore, """select profile_id, round(sum(round(score, 2) * weight) / sum(weight), 2) as composite_score
+  from comps_all where score is not null group by 1""")
 
 # ---- reference distributions --------------------------------------------------
 cte("dept_metrics", f"""select sku_id, category as dept_id, cv_demand, zero_pct as intermittency_rate,

@@ -96,7 +96,7 @@ def melt_sales(wide: DataFrame, calendar: DataFrame) -> DataFrame:
 def sample_skus(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Rows of `n` SKUs picked by a seeded hash."""
     chosen = (df.select("sku_id").distinct()
-              .orderBy(F.xxhash64("sku_id", F.lit(seed)), "sku_id").limit(n))
+              .orderBy(F.md5(F.concat("sku_id", F.lit(f":{seed}"))), "sku_id").limit(n))
     return df.join(chosen, "sku_id", "left_semi")
 
 
