@@ -6,8 +6,10 @@ set are one representative from the start.  Candidate clusters (linked by estima
 chance of 1e-6) are compared inside bounded blocks, and only links confirmed on the full sets count.
 
 Edge cases: null or blank text: empty set, linked with nothing, kept.  A row without id is linked with nothing and kept.
-Repeated rows share a component; near_duplicates() reports each of them, keep_one() returns one.  Other columns
-are never looked at.
+Repeated rows share a component; near_duplicates() reports each of them, keep_one() returns one.  Rows of one id with
+different texts are documents of their own: each has the component of its own text, and a component is named by the
+smallest id in it; among rows of that id keep_one() keeps the text with the smallest hash.  Other columns, whatever
+their names, are never looked at.
 """
 from __future__ import annotations
 
@@ -56,12 +58,18 @@ def pack(low: np.ndarray) -> np.ndarray:
     return (low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, key1, key2, bands, sig); key1 and key2 are 128 bits of a hash of the set, null when empty."""
+    """(id, hash, n_shingles, key1, key2, bands, sig); hash is that of the text, key1 and key2 are 128 bits of a hash of the
+    set, null when empty."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
             n, k1, k2, bands, sigs = [], [], [], [], []
             for t in texts:
                 s = shingle_set(t.as_py(), words)
@@ -76,11 +84,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 bands.append(((band ^ (band >> np.uint64(29))) * _MUL[:BANDS]).view(np.int64))
                 sigs.append(pack(m).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "key1", "key2", "bands", "sig"])
+                [ids, hashes, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                ["id", "hash", "n_shingles", "key1", "key2", "bands", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, key1 long, key2 long, bands array<long>, sig array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(
+        run, "id long, hash long, n_shingles long, key1 long, key2 long, bands array<long>, sig array<long>")
 
 
 def matches(a: str, b: str):
@@ -151,6 +159,21 @@ def _confirmed(least: int, percent: int):
     return fn
 
 
+def _reached(least: int):
+    """For each asking row of a block one of the others that is estimated near enough."""
+
+    def fn(rows: pa.Table):
+        ids, sig = rows.column("id").to_numpy(), np.stack(_lists(rows.column("sig")))
+        asking = rows.column("asking").to_numpy(zero_copy_only=False)
+        if asking.all() or not asking.any():
+            return None
+        near = match_matrix(sig)[asking][:, ~asking] >= least
+        hit = near.any(axis=1)
+        return _edges(ids[asking][hit], ids[~asking][near.argmax(axis=1)[hit]])
+
+    return fn
+
+
 def _candidates(reps: DataFrame, least: int) -> DataFrame:
     """Links (a, b) whose components hold every pair that shares a band and is estimated near enough."""
     member = reps.select(F.explode("bands").alias("band"), "id")
@@ -169,7 +192,25 @@ def _candidates(reps: DataFrame, least: int) -> DataFrame:
     size = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.count("*").alias("n")).where("n > 1").select("band", "nb")
     far = rest.join(stored(size, "sizes"), "band").join(sig, "id")
     links = grouped(in_block_pairs(far, "band"), ["band", "i", "j"], _estimated(least), "a long, b long")
-    return seen.where("near").select("a", "b").union(links)
+    links = stored(seen.where("near").select("a", "b").union(links), "near")
+    # a member unlike the leader may be like one of those near it: asked where it is not yet in the leader's component, in
+    # which all of these are, so that one of them is enough
+    root = components(links)
+    names = [root.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    open_ = star.join(seen.where("not near"), ["a", "b"]).join(names[0], "a").join(names[1], "b", "left")
+    open_ = stored(open_.where("root_b is null or root_b <> root_a").select("band", F.col("b").alias("id")), "open")
+    if open_.isEmpty():
+        return links
+    blocks = lambda rows, n: rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias(n))
+    to = star.join(seen.where("near"), ["a", "b"]).select("band", F.col("b").alias("id"))
+    sizes = stored(blocks(open_, "ub").join(blocks(to, "nb"), "band"), "sizes")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    ask = open_.join(sizes, "band").withColumn("i", own("ub")).withColumn("j", every("nb")).withColumn("asking", F.lit(True))
+    to = to.join(sizes, "band").withColumn("j", own("nb")).withColumn("i", every("ub")).withColumn("asking", F.lit(False))
+    cols = ["band", "i", "j", "id", "asking"]
+    both = ask.select(cols).union(to.select(cols)).join(sig, "id")
+    return links.union(grouped(both, ["band", "i", "j"], _reached(least), "a long, b long"))
 
 
 def in_block_pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -191,8 +232,9 @@ def _links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, words:
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got, pa.list_(pa.int64()))], [*names, "shingles"])
 
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    full = text.join(member, "id").dropDuplicates(["id"]).join(reps.select("id", "sig"), "id").select("id", "cluster", "nb", "sig", "text").mapInArrow(
+    own = reps.select("id", F.col("doc.id").alias("_doc"), F.col("doc.hash").alias("_hash"), "sig").join(member, "id")
+    text = _texts(docs, id_col, text_col).select(F.col("id").alias("_doc"), F.col("hash").alias("_hash"), "text")
+    full = text.join(own, ["_doc", "_hash"]).dropDuplicates(["id"]).select("id", "cluster", "nb", "sig", "text").mapInArrow(
         sets, "id long, cluster long, nb long, sig array<long>, shingles array<long>")
     full = stored(full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb"))), "full")
     # first, each block within itself and against block 0: linear, and all there is to do for clusters of one block
@@ -218,28 +260,43 @@ def _links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, words:
     return links.union(more)
 
 
+def _found(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, hash, n_shingles, node, component_id) per row; node stands for the component, null where nothing can be linked."""
+    sig = stored(signatures(docs, id_col, text_col, words), "signatures")
+    reps = sig.where("id is not null and key1 is not null").groupBy("key1", "key2").agg(
+        F.min(F.struct("id", "hash")).alias("doc"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # one id may have several texts, so sets get numbers of their own; they are written, and so the same for all readers
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    root = stored(components(_links(docs, id_col, text_col, reps.select("id", "doc", "bands", "sig"), words, percent)), "roots")
+    node = reps.select("key1", "key2", "id", "doc.id").toDF("key1", "key2", "rep", "first").join(root.withColumnRenamed("id", "rep"), "rep", "left")
+    node = stored(node.select("key1", "key2", "first", F.coalesce("root", "rep").alias("node")), "nodes")
+    name = node.groupBy("node").agg(F.min("first").alias("component_id"))
+    same = node.select("key1", "key2", "node").join(name, "node")
+    found = sig.select("id", "hash", "n_shingles", "key1", "key2").join(same, ["key1", "key2"], "left")
+    linked = F.col("id").isNotNull()
+    return found.select("id", "hash", "n_shingles", F.when(linked, F.col("node")).alias("node"),
+                        F.when(linked, F.coalesce("component_id", "id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: links where 100 * intersection >= percent * union of the sets."""
-    sig = stored(signatures(docs, id_col, text_col, words), "signatures")
-    reps = stored(sig.where("id is not null and key1 is not null").groupBy("key1", "key2").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
-    root = stored(components(_links(docs, id_col, text_col, reps.select("id", "bands", "sig"), words, percent)), "roots")
-    same = reps.select("key1", "key2", F.col("id").alias("rep"))
-    found = (sig.select("id", "n_shingles", "key1", "key2").join(same, ["key1", "key2"], "left")
-             .join(root.select(F.col("id").alias("rep"), "root"), "rep", "left"))
-    found = found.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")))
-    return found.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _found(docs, id_col, text_col, words, percent).select("id", "n_shingles", "component_id", kept)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: of each component the row with the smallest id stays, once; blank texts all stay."""
-    found = stored(near_duplicates(docs, id_col, text_col, words, percent), "found")
-    key = F.col(id_col).cast("long") == F.col("_id")
-    left = docs.join(found.where("not kept").select(F.col("id").alias("_id")).distinct(), key, "left_anti")
-    again = stored(found.where("kept and n_shingles > 0 and id is not null").groupBy(F.col("id").alias("_id")).count().where("count > 1").select("_id"), "again")
-    if again.isEmpty():
-        return left
-    return left.join(again, key, "left_anti").union(left.join(again, key, "left_semi").dropDuplicates([id_col]))
+    found = stored(_found(docs, id_col, text_col, words, percent).where("node is not null"), "found")
+    best = found.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("best"))
+    rows = stored(found.join(best, "node").groupBy("id", "hash").agg(F.bool_or(F.struct("id", "hash") == F.col("best")).alias("stays"), F.count("*").alias("n")), "rows")
+    mark = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of docs
+    key = [mark + "id", mark + "hash"]
+    left = docs.withColumns(dict(zip(key, (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))))))
+    left = left.join(rows.where("not stays").select("id", "hash").toDF(*key), key, "left_anti")
+    again = stored(rows.where("stays and n > 1").select("id", "hash").toDF(*key), "again")
+    if not again.isEmpty():
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates(key))
+    return left.drop(*key)
 
 
 def op10_minhash_dedup(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -101,6 +102,43 @@ def test_b_bit_estimate():
     assert minhash.match_matrix(sig)[0, 1] >= minhash.least_matches(0.78)
 
 
+def test_minhash_near_and_far_members(spark):
+    """A member unlike its bucket's smallest id, but like one near it, is a candidate: a chain of small edits."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 10**6, 160).tolist()
+    rows, chain = [], base
+    for k in range(60):
+        chain = chain.copy()
+        chain[int(rng.integers(160))] = int(rng.integers(10**6, 2 * 10**6))
+        rows += [(k, " ".join(map(str, chain))), (1000 + k, " ".join(map(str, rng.integers(0, 50, 30))))]
+    sets = {k: {tuple(w[i : i + 2]) for i in range(len(w) - 1)} for k, t in rows for w in [t.split()]}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash.op10_minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of(links, sets)
+
+
+def test_reached():
+    """Every asking row that is near one of the others gets one link to it."""
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**62, 200, dtype=np.uint64) for _ in range(3)]
+    sig = [minhash.pack(minhash.minima(s)).view(np.int64) for s in (sets[0], sets[1], np.r_[sets[0][:195], sets[2][:5]], sets[2])]
+    table = pa.table({"id": [10, 11, 12, 13], "asking": [True, True, False, False], "sig": pa.array(sig, pa.list_(pa.int64()))})
+    got = minhash._reached(minhash.least_matches(0.8))(table)
+    assert got.to_pylist() == [{"a": 10, "b": 12}]
+
+
+def test_minhash_one_id_with_two_texts(spark):
+    """Texts under one id are documents of their own: what is like one of them is not tied to what is like the other."""
+    x, y = (" ".join(f"{c}{k}" for k in range(80)) for c in "xy")
+    rows = [(1, x, 0, 0), (1, y, 0, 0), (2, x + " more", 0, 0), (3, y + " more", 0, 0), (3, "something else that only stands here", 0, 0), (1, x, 0, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id int, hash int")
+    got = sorted((r.id, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect())
+    assert got == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
+    kept = minhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, x), (1, y), (3, "something else that only stands here")])
+
+
 def test_minhash_odd_rows(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ROWS) and all(r.component_id is None and r.kept for r in got if r.id is None)
