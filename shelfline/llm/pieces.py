@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ class Model:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = {b: k for k, b in enumerate(self.byte)}
         self.raw = [bytes([self.bytes_of[k]]) if k in self.bytes_of else p.replace(SPACE, " ").encode() for k, p in enumerate(self.pieces)]
+        self.raw_n = np.array([len(b) for b in self.raw], np.int64)
+        self.raw_at, self.raw_flat = np.cumsum(self.raw_n) - self.raw_n, np.frombuffer(b"".join(self.raw), np.uint8)
         # rank of a merge: by score, the leftmost wins among equals
         order = {s: k for k, s in enumerate(sorted({sp.get_score(k) for k in plain}, reverse=True))}
         single = {p for p in self.id_of if len(p) == 1}
@@ -235,7 +238,9 @@ class Column:
 
     def add(self, x: np.ndarray) -> None:
         while self.size + len(x) > len(self.data):
-            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+            more = np.empty(2 * len(self.data), self.data.dtype)  # the new half takes no memory until it is written
+            more[: self.size] = self.data[: self.size]
+            self.data = more
         self.data[self.size : self.size + len(x)] = x
         self.size += len(x)
 
@@ -256,7 +261,10 @@ class Trees:
         self.root: dict[str, int] = {}
         self.units: list[str] = []
         # of a node: unit, ids, open candidates, number of decided ones before them, parent, and which of its candidates was skipped
-        self.unit, self.ids_at, self.ids_n, self.open_at, self.open_n, self.decided, self.parent, self.skip = (Column(np.int64) for _ in range(8))
+        # (a unit has at most LONG symbols, so counts fit 16 bits)
+        self.ids_at, self.open_at = Column(np.int64), Column(np.int64)
+        self.unit, self.parent = Column(np.int32), Column(np.int32)
+        self.ids_n, self.open_n, self.decided, self.skip = (Column(np.int16) for _ in range(4))
         self.ids, self.open, self.child = Column("<i4"), Column(np.uint64), Column(np.int32)
 
     def __len__(self) -> int:
@@ -363,10 +371,12 @@ def encode_all(texts: list[str], documents: int | list[int], path: str, seed: in
     if len(trees) > CACHE:
         trees.clear()
     parts = [model.units(t) for t in texts]
-    trees.meet(list({u for units in parts for u in units if len(u) <= LONG and u not in trees.root}))
     sizes = [len(units) for units in parts]
-    flat = [u for units in parts for u in units]
-    node = np.fromiter((trees.root.get(u, -1) for u in flat), np.int64, len(flat))
+    flat = list(chain.from_iterable(parts))
+    node = np.array(list(map(trees.root.get, flat, repeat(-1))), np.int64)
+    unmet = np.flatnonzero(node < 0).tolist()
+    trees.meet(list({flat[k] for k in unmet if len(flat[k]) <= LONG}))
+    node[unmet] = [trees.root.get(flat[k], -1) for k in unmet]
     key = np.concatenate([np.zeros(0, np.uint64), *(occurrence_keys(d, n, seed) for d, n in zip(documents, sizes))])
     if rate:
         short = np.flatnonzero(node >= 0)
@@ -376,7 +386,7 @@ def encode_all(texts: list[str], documents: int | list[int], path: str, seed: in
     for a in range(0, len(rest), 5_000):
         part = rest[a : a + 5_000]
         cut += encode_units(model, [flat[k] for k in part], key[part].tolist(), rate)
-    at, n = trees.ids_at.data[node], trees.ids_n.data[node]
+    at, n = trees.ids_at.data[node], trees.ids_n.data[node].astype(np.int64)
     kept = trees.ids.size
     n[rest] = [len(x) // 4 for x in cut]
     at[rest] = kept + np.cumsum(n[rest]) - n[rest]
@@ -391,6 +401,18 @@ def decode(ids: list[int], path: str) -> str:
     return b"".join(map(_model(path).raw.__getitem__, ids)).decode()[1:]
 
 
+def decodes_to(ids: np.ndarray, text: str, path: str) -> bool:
+    """Whether decode(ids) is the text, by its bytes."""
+    model, want, at = _model(path), b" " + text.encode() if text else b"", 0
+    for a in range(0, len(ids), 1 << 16):
+        part = ids[a : a + (1 << 16)]
+        got = model.raw_flat[spread(model.raw_at[part], model.raw_n[part])].tobytes()
+        if want[at : at + len(got)] != got:
+            return False
+        at += len(got)
+    return at == len(want)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE) -> DataFrame:
     """id, pieces as array<int>, and lossless: whether they decode to the text."""
 
@@ -405,7 +427,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     own = rows[b : b + 128]
                     for k, ids in zip(own, encode_all([part[k] for k in own], [keys[a + k] for k in own], path, seed, rate)):
                         got[k] = ids
-                same = [t is None or decode(ids.tolist(), path) == t for t, ids in zip(part, got)]
+                same = [t is None or decodes_to(ids, t, path) for t, ids in zip(part, got)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(got, pa.list_(pa.int32())), pa.array(same)], [id_col, "pieces", "lossless"])
 
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col))).otherwise(F.xxhash64(F.col(text_col)))

@@ -139,6 +139,14 @@ def test_minhash_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, x), (1, y), (3, "something else that only stands here")])
 
 
+def test_decodes_to():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for text in ("", "a", "one two  three", "日本語😀 ▁", "x " * 70_000):
+        ids = pieces.encode_all([text], 5, path)[0]
+        assert pieces.decodes_to(ids, text, path) and pieces.decode(ids.tolist(), path) == text or text == ""
+        assert not pieces.decodes_to(ids, text + "b", path)
+
+
 def test_minhash_odd_rows(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ROWS) and all(r.component_id is None and r.kept for r in got if r.id is None)
