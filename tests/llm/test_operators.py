@@ -251,6 +251,42 @@ def test_license(docs, odd, none):
     expected = {(r.doc_id, k, want[line]) for r in docs.collect() for k, line in enumerate((r.text or "").split("\n")) if line in want}
     assert {(r.doc_id, r.paragraph, r.family) for r in licenses.op1_license_scan(docs).collect()} == expected
     assert [(r.doc_id, r.paragraph, r.family) for r in licenses.op1_license_scan(odd).collect()] == [(12, 0, "MIT")]
+    assert licenses.op1_license_scan(none).count() == 0
+
+
+# wordings that stand in no template, wrapped, in comments and inside longer lines
+UNSEEN = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell."),
+    ("MIT", "# Permission is hereby granted, free of charge, to any person obtaining a copy"), ("MIT", "The source is available to everyone under the MIT License"),
+    ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("Apache-2.0", "All code in this folder is under the Apache License, Version 2.0, unless stated otherwise."),
+    ("Apache-2.0", " * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an \"AS IS\" BASIS,\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("GPL", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License"), ("GPL", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("AGPL", "GNU Affero General Public License v3 or later"), ("AGPL", "You may share it under the GNU Affero General Public License, version 3."),
+    ("LGPL", "Our library can be linked under the GNU Lesser General Public License, version 2.1 or newer."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer."), ("BSD", "Use of the code is governed by a BSD-style license"),
+    ("MPL", "Files here are subject to the terms of the Mozilla Public License, version 2.0."), ("EPL", "made available under the Eclipse Public License v2.0"),
+    ("BSL", "Use, modification and distribution are subject to the Boost Software License, Version 1.0."), ("CC-BY-SA", "The wiki text is licensed under a Creative Commons Attribution-ShareAlike 3.0 license."),
+    ("CC-BY-NC", "Photos are shared under CC BY-NC 4.0 by their owners."), ("Zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications"),
+    ("Public-Domain", "I hereby release this work into the public domain."),
+]
+CLEAN = ["The patient was granted leave to go home.", "We copy the files and run the program again.", "The law of the land applies to all of the people in the north.",
+         "He sold copies of the book without any profit.", "The library is open to the public on Sunday.", "Any person who is late must use the side door.",
+         "The version of the story told by the author differs from the film.", "Use the following list to find your seat in the hall."]
+
+
+def test_license_of_unseen_wording(spark, docs):
+    texts = [text for _, text in UNSEEN] + CLEAN
+    frame = spark.createDataFrame(list(enumerate(texts, 10**6)), "doc_id long, text string")
+    # a notice after a long line that runs on is part of that paragraph
+    frame = frame.union(spark.createDataFrame([(1, "zu ra mi to " * 2000 + "\nLicensed under the Apache License, Version 2.0.")], frame.schema)).unionByName(docs.select("doc_id", "text").where("doc_id > 1"))
+    got = {r.doc_id: r.family for r in licenses.op1_license_scan(frame).where("doc_id >= 1000000 or doc_id = 1").collect()}
+    assert got.pop(1) == "Apache-2.0"
+    found = [got.get(10**6 + k) for k in range(len(UNSEEN))]
+    print([(w, f, t) for (w, t), f in zip(UNSEEN, found) if f != w], {k: v for k, v in got.items() if k >= 10**6 + len(UNSEEN)})
+    assert sum(f is not None for f in found) >= 0.9 * len(UNSEEN)
+    assert sum(f == w for (w, _), f in zip(UNSEEN, found)) >= 0.75 * len(UNSEEN)
+    assert not any(f not in (None, w, licenses.UNKNOWN) for (w, _), f in zip(UNSEEN, found))
+    assert not set(range(10**6 + len(UNSEEN), 10**6 + len(texts))) & set(got)
 
 
 def test_personal_data(spark, docs, odd, none):
