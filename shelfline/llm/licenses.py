@@ -160,7 +160,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | ~line(i - 1).rlike(RUNS_ON) | ~line(i).rlike(FILLED))
     whole = whole.where(F.col("lines").isNotNull()).withColumn("begins", begins)
     text = lambda i, k: F.array_join(F.slice("lines", i + 1, F.coalesce(F.get("begins", k + 1), F.size("lines")) - i), " ")
-    rows = whole.select("id", "copy", F.inline(F.transform("begins", lambda i, k: F.struct(i.alias("paragraph"), text(i, k).alias("text")))))
+    rows = whole.select("id", "copy", F.inline_outer(F.transform("begins", lambda i, k: F.struct(i.alias("paragraph"), text(i, k).alias("text")))))
     return rows.select("id", "copy", "paragraph", words(F.col("text")).alias("words")).where(F.size("words") >= 2)
 
 
