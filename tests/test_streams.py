@@ -46,3 +46,21 @@ def test_open_windows_are_there(spark, tmp_path):
     jobs.compact(spark, str(tmp_path / "out"), ["window_start", "operation"], str(tmp_path / "small"))
     again = jobs.merged(spark, str(tmp_path / "small"), ["window_start", "operation"])
     assert again.select(F.count("*")).first()[0] == 3
+
+
+def test_order_states_spare_calls():
+    """One read and one write of the state an order, and no timer call while it is open."""
+    calls = []
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *a: (calls.append(name), self if name == "getValueState" else None)[1]
+
+    states = jobs.OrderStates(10)
+    states.init(Fake())
+    rows = [{"at": day(2), "to_status": "approved"}, {"at": day(1), "to_status": "drafted"}]
+    (out,) = states.handleInputRows(("P1",), iter(rows), None)
+    assert (out.status, out.since, out.n_events, out.n_invalid) == ("approved", day(2), 2, 0)
+    assert calls == ["getValueState", "get", "update"]
+    list(states.handleInputRows(("P1",), iter([{"at": day(3), "to_status": "cancelled"}]), None))
+    assert calls[3:] == ["get", "registerTimer", "update"]
