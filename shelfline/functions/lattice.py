@@ -1,12 +1,14 @@
 """Probabilities on a lattice: an array p where p[k] is the chance of the value k * width.
 
 A row's arrays have a bounded number of cells, whatever the history or horizon behind them.  `let` binds a value once:
-an expression named inside a lambda would be computed again for every element.  What is read off a distribution is columns; making one, by
-convolution, is array arithmetic over batches of rows."""
+an expression named inside a lambda would be computed again for every element.  Making a distribution, by convolution, and reading
+quantiles, shortages and moments off it is array arithmetic over batches of rows."""
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from ..schema import QUANTILE_LEVELS
+from .folds import blocks, reals
 
 TINY = 1e-9
 
@@ -25,37 +27,34 @@ def running(a: Column) -> Column:
     return F.aggregate(a, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["out"], acc["s"] + x).alias("out")), lambda acc: acc["out"])
 
 
-def expect(p: Column, value) -> Column:
-    """Expected value of value(k)."""
-    return F.aggregate(F.transform(p, lambda x, k: x * value(k)), F.lit(0.0), lambda total, x: total + x)
+def moments(p: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and std of every row."""
+    x = np.arange(p.shape[1]) * width[:, None]
+    mean = np.cumsum(p * x, axis=1)[:, -1]
+    return mean, np.sqrt(np.maximum(0.0, np.cumsum(p * (x * x), axis=1)[:, -1] - mean * mean))
 
 
-def mean(p: Column, width: Column) -> Column:
-    return expect(p, lambda k: k * width)
+READ = ("value", "above", "short", "surplus")
 
 
-def std(p: Column, width: Column) -> Column:
-    m = mean(p, width)
-    return F.sqrt(F.greatest(F.lit(0.0), expect(p, lambda k: (k * width) * (k * width)) - m * m))
+def at_level(p: Column, width: Column, level: Column) -> Column:
+    """struct of the smallest lattice value whose cumulated chance reaches the level, the chance above it, the expected demand beyond
+    it and the expected rest below it; null without p."""
 
+    def run(p: pa.Array, width: pa.Array, level: pa.Array) -> pa.Array:
+        out, missing = np.zeros((len(READ), len(p))), np.ones(len(p), bool)
+        widths, levels = reals(width), reals(level)
+        for rows, chances in blocks(p):
+            w, lattice = widths[rows, None], np.arange(chances.shape[1])
+            below = (np.cumsum(chances, axis=1) < levels[rows, None] - TINY).sum(axis=1)
+            q = np.minimum(below, chances.shape[1] - 1)[:, None] * w
+            x = lattice * w
+            for i, value in enumerate((x > q + TINY * w, np.maximum(0.0, x - q), np.maximum(0.0, q - x)), 1):
+                out[i, rows] = np.cumsum(chances * value, axis=1)[:, -1]
+            out[0, rows], missing[rows] = q[:, 0], False
+        return pa.StructArray.from_arrays([pa.array(v) for v in out], names=READ, mask=pa.array(missing))
 
-def quantile(p: Column, width: Column, level: Column) -> Column:
-    """Smallest lattice value whose cumulated chance reaches the level."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"))
-    below = F.aggregate(p, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["k"] + F.when(acc["s"] + x < level - TINY, 1).otherwise(0)).alias("k")), lambda acc: acc["k"])
-    return F.least(below, F.size(p) - 1) * width
-
-
-def chance_above(p: Column, width: Column, x: Column) -> Column:
-    return expect(p, lambda k: F.when(k * width > x + TINY * width, 1.0).otherwise(0.0))
-
-
-def shortage(p: Column, width: Column, x: Column) -> Column:
-    return expect(p, lambda k: F.greatest(F.lit(0.0), k * width - x))
-
-
-def surplus(p: Column, width: Column, x: Column) -> Column:
-    return expect(p, lambda k: F.greatest(F.lit(0.0), x - k * width))
+    return F.arrow_udf(run, ", ".join(f"{c} double" for c in READ))(p, width, level)
 
 
 # ---- batches of rows ---------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Backtests, accuracy metrics, ensemble weights and conformal intervals."""
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import arrays as A
+from ..functions import folds as folds_of
 from ..schema import QUANTILE_COLS, QUANTILE_LEVELS
 from .forecast import array_pattern, classical_fc, fit_seasonal_ar, single_fc, to_series
 
@@ -52,8 +52,7 @@ def backtest(series: DataFrame, freq: str, method: str = "route", h: int = 4, fo
     else:
         f = single_fc(f, method, h, freq, y="train")
     # MASE scale: mean absolute first difference of the training prefix
-    d = A.differences(F.col("train"), 1)
-    f = f.withColumn("scale", A.total(F.transform(d, lambda v: F.abs(v))) / F.size(d))
+    f = f.withColumn("scale", folds_of.difference_mean(F.col("train")))
     z = F.arrays_zip("actual", "fc")
     return (f.select("sku_id", "method", "fold", "cutoff", "scale", F.explode_outer(F.slice(z, F.lit(1), F.size("actual"))).alias("r"))
             .select("sku_id", "method", "fold", "cutoff", "scale", F.col("r.fc.step").alias("step"),

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import arrays as A
+from ..functions import arrays as A, folds
 from ..schema import QUANTILE_COLS, QUANTILE_LEVELS, QUANTILE_Z, SEASON_LENGTH
 from .series import (MODEL_LAGS, ROLLING, SEASONAL_LAGS, ACF_THRESHOLD, add_lags, add_rolling, indexed,
                      pattern_rule)
@@ -79,11 +79,7 @@ def normal_quantiles(df: DataFrame, point: str, sigma: str) -> DataFrame:
 
 def difference_sigma(y: Column) -> Column:
     """Population std of first differences; their sum is last minus first."""
-    k = F.size(y) - 1
-    mean = (F.element_at(y, -1) - F.element_at(y, 1)) / k
-    sq = A.total(F.transform(A.differences(y, 1), lambda v: v * v)) / k
-    d = F.when(k > 0, F.sqrt(F.greatest(F.lit(0.0), sq - mean * mean)))
-    return F.when(d > 1e-9, d).otherwise(1.0)
+    return folds.difference_std(y)
 
 
 def residual_sigma(df: DataFrame) -> DataFrame:
@@ -107,9 +103,7 @@ def season_used(y: Column, m: int) -> Column:
 
 
 def season_sigma(y: Column, m: int) -> Column:
-    d = A.differences(y, season_used(y, m))
-    sq = A.total(F.transform(d, lambda v: v * v)) / (F.size(y) - season_used(y, m))
-    return F.when(F.size(y) > season_used(y, m), F.sqrt(sq)).otherwise(1.0)
+    return folds.season_std(y, m)
 
 
 def snaive_fc(y: Column, sigma: Column, h: int, m: int) -> Column:
@@ -122,30 +116,12 @@ def snaive_fc(y: Column, sigma: Column, h: int, m: int) -> Column:
 
 def croston_rate(y: Column, alpha: float = CROSTON_ALPHA) -> Column:
     """Smoothed demand size over smoothed interval; 0 without demand."""
-    start = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("p"), F.lit(1.0).alias("q"))
-
-    def step(acc, v):
-        first = acc["p"] == 0
-        z = F.when(first, v).otherwise(alpha * v + (1 - alpha) * acc["z"])
-        p = F.when(first, acc["q"]).otherwise(alpha * acc["q"] + (1 - alpha) * acc["p"])
-        hit = v != 0
-        return F.struct(F.when(hit, z).otherwise(acc["z"]).alias("z"), F.when(hit, p).otherwise(acc["p"]).alias("p"),
-                        F.when(hit, 1.0).otherwise(acc["q"] + 1.0).alias("q"))
-
-    return F.aggregate(y, start, step, lambda a: F.when(a["p"] > 0, a["z"] / a["p"]).otherwise(0.0))
+    return folds.croston(y, alpha)
 
 
 def tsb_rate(y: Column, alpha: float = TSB_ALPHA) -> Column:
     """Smoothed demand probability times smoothed size."""
-    start = F.struct(F.lit(-1.0).alias("pr"), F.lit(-1.0).alias("z"))
-
-    def step(acc, v):
-        hit = F.when(v != 0, 1.0).otherwise(0.0)
-        pr = F.when(acc["pr"] < 0, hit).otherwise(alpha * hit + (1 - alpha) * acc["pr"])
-        z = F.when(v == 0, acc["z"]).when(acc["z"] < 0, v).otherwise(alpha * v + (1 - alpha) * acc["z"])
-        return F.struct(pr.alias("pr"), z.alias("z"))
-
-    return F.aggregate(y, start, step, lambda a: F.when(a["z"] < 0, 0.0).otherwise(a["pr"] * a["z"]))
+    return folds.tsb(y, alpha)
 
 
 def flat_fc(rate: Column, sigma: Column, h: int) -> Column:
@@ -276,8 +252,8 @@ def classical_fc(df: DataFrame, h: int, freq: str, ar=None, y: str = "y", patter
     ar_on = p == "seasonal"
     df = df.withColumns({
         "_ets": ets_udf(h, m)(F.when(p == "smooth", v)),
-        "_rate": F.when(p == "intermittent", croston_rate(v)).when(p == "lumpy", tsb_rate(v)),
-        "_sigma": F.when(flat, difference_sigma(v)).when(p != "smooth", season_sigma(v, m)),
+        "_rate": F.when(p == "intermittent", croston_rate(F.when(p == "intermittent", v))).when(p == "lumpy", tsb_rate(F.when(p == "lumpy", v))),
+        "_sigma": F.when(flat, difference_sigma(F.when(flat, v))).when(p != "smooth", season_sigma(F.when(~flat & (p != "smooth"), v), m)),
         "_ar": F.when(ar_on, ar_points(v, h, freq, ar)) if ar else F.lit(None).cast("array<double>")})
     fc = (F.when(p == "smooth", band_arrays(F.col("_ets.point"), F.col("_ets.sigma")))
           .when(F.col("_ar").isNotNull(), ar_band(F.col("_ar"), ar[2] if ar else 0.0))

@@ -103,31 +103,34 @@ def _stacked(arrays: pd.Series, width: int = 1) -> np.ndarray:
 
 
 BATCH = 1024  # rows that are worked on at once
+LTD_BATCH = 32  # with LEAD_POINTS parts a row, whose arrays then stay in the cache
 
 
 def _ltd_udf(cells: int):
     def run(steps: pd.Series, lead: pd.Series) -> pd.DataFrame:
         given = np.flatnonzero(steps.notna() & lead.notna())
         width, chances = np.full(len(steps), None, object), np.full(len(steps), None, object)
-        for a in range(0, len(given), BATCH):
-            i = given[a : a + BATCH]
+        mean, std = np.full(len(steps), None, object), np.full(len(steps), None, object)
+        for a in range(0, len(given), LTD_BATCH):
+            i = given[a : a + LTD_BATCH]
             w, p = L.lead_time_demand(_stacked(steps.iloc[i], len(QUANTILE_COLS)), _stacked(lead.iloc[i])[:, :, 0], cells)
+            mean[i], std[i] = L.moments(p, w)
             for k, row in enumerate(i):
                 width[row], chances[row] = w[k], p[k, : np.flatnonzero(p[k])[-1] + 1]
-        return pd.DataFrame({"width": width, "p": chances})
+        return pd.DataFrame({"width": width, "p": chances, "ltd_mean": mean, "ltd_std": std})
 
-    return F.pandas_udf(run, "width double, p array<double>")
+    return F.pandas_udf(run, "width double, p array<double>, ltd_mean double, ltd_std double")
 
 
 def ltd_columns(steps: Column, shape: Column, scale: Column, freq: str, cells: int = CELLS) -> Column:
-    """struct(width, p) of a SKU's lead-time demand; null where an input is."""
+    """struct(width, p, ltd_mean, ltd_std) of a SKU's lead-time demand; its fields are null where an input is."""
     return _ltd_udf(cells)(F.flatten(steps), F.when(shape.isNotNull() & scale.isNotNull(), lead_periods_points(shape, scale, freq)))
 
 
-def with_moments(t: DataFrame, name: str) -> DataFrame:
-    """The struct column `name` with mean and std of its distribution added."""
-    d = F.col(name)
-    return t.withColumn(name, F.when(d["p"].isNotNull(), F.struct(d["width"].alias("width"), d["p"].alias("p"), L.mean(d["p"], d["width"]).alias("ltd_mean"), L.std(d["p"], d["width"]).alias("ltd_std"))))
+def lead_time_column(t: DataFrame, name: str, freq: str, cells: int = CELLS) -> DataFrame:
+    """t, with steps, shape and scale, and the struct of its lead-time demand; null where there is none."""
+    t = t.withColumn("_d", ltd_columns(F.col("steps"), F.col("shape"), F.col("scale"), freq, cells))
+    return t.withColumn(name, F.when(F.col("_d.p").isNotNull(), F.col("_d"))).drop("_d")
 
 
 def ltd_distribution(fc: DataFrame, lt: DataFrame, freq: str, cells: int = CELLS) -> DataFrame:
@@ -135,8 +138,7 @@ def ltd_distribution(fc: DataFrame, lt: DataFrame, freq: str, cells: int = CELLS
 
     Period demands are convolved and mixed over the lead time; a lead time past the horizon repeats the last step."""
     j = forecast_steps(fc).join(lt.select("sku_id", "shape", "scale"), "sku_id")
-    j = j.select("sku_id", ltd_columns(F.col("steps"), F.col("shape"), F.col("scale"), freq, cells).alias("_d"))
-    return with_moments(j, "_d").select("sku_id", "_d.*")
+    return lead_time_column(j, "_l", freq, cells).select("sku_id", "_l.*")
 
 
 def ltd_cells(ltd: DataFrame) -> DataFrame:
@@ -168,17 +170,13 @@ def _clamped(x: Column) -> Column:
 
 def qr_columns(p: Column, width: Column, ltd_mean: Column, demand: Column, order_cost: Column, holding: Column, level: Column) -> Column:
     """struct of (Q,R) figures."""
-    e = eoq_columns(demand, order_cost, holding)
-
-    def at(v):
-        q, r = v["q"], v["r"]
-        safety = F.greatest(F.lit(0.0), r - ltd_mean)
-        hold = (q / 2 + safety) * holding
-        fill = F.when(ltd_mean > 0, 1 - L.shortage(p, width, r) / ltd_mean).otherwise(1.0)
-        return F.struct(q.alias("q"), r.alias("r"), safety.alias("safety_stock"), L.chance_above(p, width, r).alias("stockout_prob"), _clamped(fill).alias("fill_rate"),
-                        hold.alias("holding_cost_annual"), (hold + demand / q * order_cost).alias("total_cost_annual"))
-
-    return L.let(F.struct(e["q"].alias("q"), L.quantile(p, width, level).alias("r")), at)
+    q, at = eoq_columns(demand, order_cost, holding)["q"], L.at_level(p, width, level)
+    r = at["value"]
+    safety = F.greatest(F.lit(0.0), r - ltd_mean)
+    hold = (q / 2 + safety) * holding
+    fill = F.when(ltd_mean > 0, 1 - at["short"] / ltd_mean).otherwise(1.0)
+    return F.struct(q.alias("q"), r.alias("r"), safety.alias("safety_stock"), at["above"].alias("stockout_prob"), _clamped(fill).alias("fill_rate"),
+                    hold.alias("holding_cost_annual"), (hold + demand / q * order_cost).alias("total_cost_annual"))
 
 
 def qr_policy(t: DataFrame) -> DataFrame:
@@ -190,20 +188,18 @@ def qr_policy(t: DataFrame) -> DataFrame:
 
 def newsvendor_columns(p: Column, width: Column, under: Column, over: Column) -> Column:
     """struct of the newsvendor quantity and its expected costs; null unless both costs are positive."""
-
-    def at(v):
-        q = v["q"]
-        short, left = L.shortage(p, width, q) * under, L.surplus(p, width, q) * over
-        return F.struct(v["ratio"].alias("critical_ratio"), q.alias("q"), short.alias("underage_cost"), left.alias("overage_cost"), (short + left).alias("total_cost"))
-
     ratio = under / (under + over)
-    return F.when((under > 0) & (over > 0), L.let(F.struct(ratio.alias("ratio"), L.quantile(p, width, ratio).alias("q")), at))
+    at = L.at_level(p, width, ratio)
+    short, left = at["short"] * under, at["surplus"] * over
+    return F.when((under > 0) & (over > 0), F.struct(
+        ratio.alias("critical_ratio"), at["value"].alias("q"), short.alias("underage_cost"), left.alias("overage_cost"), (short + left).alias("total_cost"),
+        at["above"].alias("above"), at["short"].alias("short")))
 
 
 def newsvendor(t: DataFrame) -> DataFrame:
     """From (p, width, underage, overage)."""
     c = F.col
-    return t.select("sku_id", newsvendor_columns(c("p"), c("width"), c("underage"), c("overage")).alias("_r")).where("_r is not null").select("sku_id", "_r.*")
+    return t.select("sku_id", newsvendor_columns(c("p"), c("width"), c("underage"), c("overage")).alias("_r")).where("_r is not null").select("sku_id", "_r.*").drop("above", "short")
 
 
 def newsvendor_hist(df: DataFrame, salvage: float = 0.0) -> DataFrame:
@@ -218,9 +214,9 @@ def newsvendor_hist(df: DataFrame, salvage: float = 0.0) -> DataFrame:
 
 def base_stock(t: DataFrame) -> DataFrame:
     p, w = F.col("p"), F.col("width")
-    t = t.withColumn("s_level", L.quantile(p, w, F.col("service_level")))
-    return t.select("sku_id", "s_level", F.greatest(F.lit(0.0), F.col("s_level") - F.col("ltd_mean")).alias("safety_stock"),
-                    L.chance_above(p, w, F.col("s_level")).alias("stockout_prob"))
+    at = L.at_level(p, w, F.col("service_level"))
+    return t.select("sku_id", at["value"].alias("s_level"), F.greatest(F.lit(0.0), at["value"] - F.col("ltd_mean")).alias("safety_stock"),
+                    at["above"].alias("stockout_prob"))
 
 
 # ---- (s,S) by renewal --------------------------------------------------------------------------------
@@ -458,7 +454,7 @@ def settled(base: DataFrame, freq: str, service_level=None, holding_rate=None, o
                        "review_periods": F.greatest(F.lit(1), F.rint(c("review_days") / PERIOD_DAYS[freq]).cast("int"))})
     t = t.withColumns({"lead_periods": F.greatest(F.lit(1), F.rint(c("lead_time_days") / PERIOD_DAYS[freq]).cast("int")),
                        "service_level": implied_service_level(c("unit_price"), c("unit_cost"), c("holding_cost"), saved_level, service_level)})
-    return with_moments(select_policy(t, policy).withColumn("_ltd", ltd_columns(c("steps"), c("shape"), c("scale"), freq, cells)), "_ltd")
+    return lead_time_column(select_policy(t, policy), "_ltd", freq, cells)
 
 
 REC_COLS = ("recommended_order_qty", "reorder_point", "safety_stock", "expected_stockout_prob", "expected_fill_rate", "expected_holding_cost_annual",
@@ -481,16 +477,17 @@ def recommended(t: DataFrame, freq: str) -> DataFrame:
         named = [F.coalesce(v, F.lit(None)).cast("double").alias(k) for k, v in zip(REC_COLS, values)]
         return F.struct(*named, F.create_map(*[x for k, v in parameters.items() for x in (F.lit(k), v.cast("double"))]).alias("parameters"))
 
-    qr = L.let(qr_columns(p, w, mean, demand, order_cost, hold, c("service_level")), lambda r: row(
+    # rows of other policies go to the functions as nulls
+    of = lambda policy, x: F.when(c("policy_name") == policy, x)
+    qr = L.let(qr_columns(of("(Q,R)", p), w, mean, demand, order_cost, hold, c("service_level")), lambda r: row(
         (r["q"], r["r"], r["safety_stock"], r["stockout_prob"], r["fill_rate"], r["holding_cost_annual"], r["total_cost_annual"]), Q=r["q"], R=r["r"]))
     k = eoq_columns(demand, order_cost, hold)
     eoq_ = row((k["q"], F.lit(None), zero, zero, one, k["holding_cost"], k["holding_cost"] + k["ordering_cost"]), Q=k["q"], expected_orders_per_year=k["orders"])
     margin = c("unit_price") - c("unit_cost")
     under = F.when(margin <= 0, 1.0).otherwise(margin)
-    news = L.let(newsvendor_columns(p, w, under, hold), lambda r: row(
-        (r["q"], r["q"], zero, L.chance_above(p, w, r["q"]), _clamped(1 - L.shortage(p, w, r["q"]) / F.greatest(F.lit(1e-9), mean)), zero, r["total_cost"]),
+    news = L.let(newsvendor_columns(of("newsvendor", p), w, under, hold), lambda r: row(
+        (r["q"], r["q"], zero, r["above"], _clamped(1 - r["short"] / F.greatest(F.lit(1e-9), mean)), zero, r["total_cost"]),
         Q=r["q"], underage_cost=under, overage_cost=hold))
-    # rows of other policies go to the function as nulls
     t = t.withColumn("_ss", _ss_udf("steps", PERIODS_PER_YEAR[freq])(
         F.when((c("policy_name") == "(s,S)") & c("_ltd").isNotNull(), F.flatten("steps")), "lead_periods", "review_periods", "holding_cost", "order_cost", "service_level", "annual_demand"))
 
@@ -500,8 +497,8 @@ def recommended(t: DataFrame, freq: str) -> DataFrame:
         return row((F.greatest(zero, r["big_s"] - c("on_hand")), r["s"], safe, r["stockout_prob"], r["fill_rate"], held,
                     held + demand / F.greatest(r["big_s"] - r["s"], one) * order_cost), s=r["s"], S=r["big_s"], review_period_periods=c("review_periods"))
 
-    base = L.let(L.quantile(p, w, c("service_level")), lambda s: L.let(L.chance_above(p, w, s), lambda out: row(
-        (s, s, F.greatest(zero, s - mean), out, 1 - out, s * hold, s * hold), S=s)))
+    base = L.let(L.at_level(of("base-stock", p), w, c("service_level")), lambda at: row(
+        (at["value"], at["value"], F.greatest(zero, at["value"] - mean), at["above"], 1 - at["above"], at["value"] * hold, at["value"] * hold), S=at["value"]))
     name = c("policy_name")
     cases = (F.when(name == "(Q,R)", qr).when(name == "EOQ", eoq_).when(name == "newsvendor", news).when(name == "(s,S)", ss_row(c("_ss"))).when(name == "base-stock", base))
     t = held(t, "_r", F.when(c("_ltd").isNotNull(), cases))
