@@ -108,4 +108,4 @@ def difference_mean(y: Column) -> Column:
         k = a.shape[1] - 1
         return _added((np.abs(a[:, i + 1] - a[:, i]) for i in range(k)), len(a)) / k if k > 0 else np.full(len(a), np.nan)
 
-    return _fold(body, y)
+    return F.when(F.size(y) > 1, _fold(body, y))
