@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from shelfline.functions import stats
 from shelfline.functions.ordering import exact_quantiles, row_numbers, running_total
@@ -193,6 +193,22 @@ def test_mapping(spark):
     assert got == dict(zip(["sku_id", "date", "demand", "on_hand", "lead_time_days", "unit_cost", "unit_price", "supplier", "category"], names))
 
 
+def test_best_scores_of_a_file(spark):
+    """The rows kept for a mapping are the highest of every file and field, with the scores of the plain form."""
+    rng = np.random.default_rng(5)
+    words = ["", "-", "a", "e", "id", "ID!", "sku", "Unit Price", "price_list", "stockonhand2", "İnventory", "Größe", "qty", "weeks", "supply", "lead time (days)", "x" * 300]
+    words += ["".join(rng.choice(list("abdeiklmnoqrstuvy 3_"), rng.integers(1, 14))) for _ in range(400)]
+    rows = [(f, str(w), k) for f in ("f", "g", None) for w in rng.choice(words, 150) for k in (rng.choice(["date", "integer", "float", "string", "other"]).item(),)]
+    rows += [("f", None, "string"), ("h", "sku", None), ("h", "sku", None)]
+    h = spark.createDataFrame(rows, "file_id string, header string, dtype string").repartition(3)
+    full = profile.score_headers(h)
+    best = W.partitionBy("file_id", "canonical").orderBy(F.desc("score"), "header")
+    top = lambda df: sorted(map(str, df.withColumn("rn", F.row_number().over(best)).where("rn <= 9").collect()))
+    kept = profile.score_headers(h.coalesce(1), best=9)
+    assert top(kept) == top(full) and kept.count() == full.withColumn("rn", F.row_number().over(best)).where("rn <= 9").count()
+    assert sorted(map(str, profile.suggest_mapping(profile.score_headers(h, best=9)).collect())) == sorted(map(str, profile.suggest_mapping(full).collect()))
+
+
 @pytest.mark.parametrize("bad", [
     "drop table panel", "insert into panel values (1)", "attach 'x'", "copy panel to 'x'", "pragma x", "select 1; select 2",
     "select * from read_csv('x')", "with a as (select 1) select * from a", "select * from other", "select 1", "",
