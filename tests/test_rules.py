@@ -10,7 +10,7 @@ from shelfline.functions import stats
 from shelfline.functions.ordering import exact_quantiles, row_numbers, running_total
 from shelfline.operators import (adhoc, anomalies, checks, evaluation as ev, forecast as fo, inventory as inv, outlook as ol,
                                  policies as po, profile, purchasing as pu, quality, series, skus, suppliers as su)
-from shelfline.sources import exports
+from shelfline.sources import derived, exports
 
 
 def one(df):
@@ -193,6 +193,14 @@ def test_mapping(spark):
     assert got == dict(zip(["sku_id", "date", "demand", "on_hand", "lead_time_days", "unit_cost", "unit_price", "supplier", "category"], names))
 
 
+def test_partitions_of_a_dense_panel(spark):
+    """The grid's partitions go by its rows, not by the sparse rows it is made from; its rows stay the same."""
+    cell = spark.createDataFrame([(f"s{i % 40}", dt.date(2024, 1 + i % 12, 1), float(i)) for i in range(0, 400, 7)], "sku_id string, date date, demand double")
+    plain, wide = derived.fill_gaps(cell, derived.MONTH), derived.fill_gaps(cell, derived.MONTH, rows=30 * derived.TASK_ROWS)
+    assert plain.rdd.getNumPartitions() < 30 <= wide.rdd.getNumPartitions()
+    assert sorted(map(str, plain.collect())) == sorted(map(str, wide.collect())) and wide.count() == 40 * 12
+
+
 def test_best_scores_of_a_file(spark):
     """The rows kept for a mapping are the highest of every file and field, with the scores of the plain form."""
     rng = np.random.default_rng(5)
