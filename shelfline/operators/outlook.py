@@ -226,10 +226,13 @@ def forecast_summary(forecasts: DataFrame, summary: DataFrame) -> DataFrame:
 # ---- hierarchy -------------------------------------------------------------------------------
 
 def build_hierarchy(df: DataFrame) -> DataFrame:
-    """History of TOTAL, each category and category/sku in one grouping-sets aggregate."""
+    """History of TOTAL, each category and category/sku.  A SKU's sums stay where a panel made by SKU has its rows; only the
+    sums above it cross an exchange."""
     d = df.select(F.coalesce("category", F.lit("UNKNOWN")).alias("category"), "sku_id", "date", "demand")
-    g = d.groupingSets([["date"], ["date", "category"], ["date", "category", "sku_id"]], "date", "category", "sku_id").agg(
+    own = d.groupBy("date", "category", "sku_id").agg(F.sum("demand").alias("y")).withColumn("_g", F.lit(0))
+    above = d.groupingSets([["date"], ["date", "category"]], "date", "category").agg(
         F.sum("demand").alias("y"), F.grouping_id().alias("_g"))
+    g = own.unionByName(above.select("date", "category", F.lit(None).cast("string").alias("sku_id"), "y", (F.col("_g") + 1).alias("_g")))
     uid = (F.when(F.col("_g") == 0, F.concat("category", F.lit("/"), "sku_id"))
            .when(F.col("category").isNotNull(), F.col("category")).otherwise("TOTAL"))
     return g.select(uid.alias("unique_id"), F.col("date").alias("ds"), "y")

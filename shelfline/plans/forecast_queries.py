@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import r
 from ..operators import calibration as cal, evaluation as ev, forecast as fo, outlook as ol, series as s_
 from ..schema import QUANTILE_COLS, QUANTILE_LEVELS, QUANTILE_Z
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import derived as d, files
 from .oracle import cte, hash8
 from .registry import register
@@ -299,8 +299,9 @@ def tree_forecasts(s, sf):
     """Croston forecasts of every level of the monthly panel with their variances."""
     tree = ol.build_hierarchy(pm(s, sf)).select(F.col("unique_id").alias("sku_id"), F.col("ds").alias("date"), F.col("y").alias("demand"))
     x = fo.to_series(tree)
-    x = x.select("sku_id", fo.croston_rate(F.col("y")).alias("point"),
-                 F.pow(fo.difference_sigma(F.col("y")), F.lit(2.0)).alias("var"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("step"))
+    # read for each of the three levels: a few numbers a node, the history once
+    x = materialise(x.select("sku_id", fo.croston_rate(F.col("y")).alias("point"), F.pow(fo.difference_sigma(F.col("y")), F.lit(2.0)).alias("var")))
+    x = x.select("sku_id", "point", "var", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("step"))
     sl = F.instr("sku_id", "/")
     return (x.where(sl > 0).select(F.expr("substring(sku_id, instr(sku_id, '/') + 1)").alias("sku_id"),
                                    F.expr("substring(sku_id, 1, instr(sku_id, '/') - 1)").alias("category"), "step", "point", "var"),

@@ -201,6 +201,16 @@ def test_partitions_of_a_dense_panel(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, wide.collect())) and wide.count() == 40 * 12
 
 
+def test_hierarchy_keeps_sku_rows_in_place(spark, panel_of):
+    p = panel_of({"A": [1, 2], "B": [3, None], "C": [5, 6]}, category=lambda sku, i, n: "x" if sku < "C" else None)
+    got = {(r.unique_id, r.ds.day): r.y for r in ol.build_hierarchy(p).collect()}
+    assert got == {("TOTAL", 1): 9, ("TOTAL", 8): 8, ("x", 1): 4, ("x", 8): 2, ("UNKNOWN", 1): 5, ("UNKNOWN", 8): 6,
+                   ("x/A", 1): 1, ("x/A", 8): 2, ("x/B", 1): 3, ("x/B", 8): None, ("UNKNOWN/C", 1): 5, ("UNKNOWN/C", 8): 6}
+    plan = ol.build_hierarchy(p.repartition(4, "sku_id"))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "hashpartitioning(" in x]
+    assert any("date" in x for x in moved) and not any("date" in x and "sku_id" in x for x in moved)
+
+
 def test_best_scores_of_a_file(spark):
     """The rows kept for a mapping are the highest of every file and field, with the scores of the plain form."""
     rng = np.random.default_rng(5)
