@@ -281,7 +281,8 @@ def single_fc(df: DataFrame, method: str, h: int, freq: str, y: str = "y") -> Da
 
 
 def _forecast(df, method, h, freq):
-    return rows(single_fc(to_series(df), method, h, freq), "sku_id")
+    """`df` is a panel, or one row per SKU as `to_series` gives it."""
+    return rows(single_fc(df if "y" in df.columns else to_series(df), method, h, freq), "sku_id")
 
 
 def forecast_snaive(df, h, freq):

@@ -177,8 +177,17 @@ register("caveats", lambda s, sf: ol.caveats(bt(s, sf), "W").select("sku_id", F.
 one = lambda s, sf, m: ev.backtest(series(s, sf), "M", m, H, FOLDS)
 
 
-def three(s, sf):
-    return one(s, sf, "seasonal_naive").unionByName(one(s, sf, "croston")).unionByName(one(s, sf, "tsb"))
+def stored_series(s, sf):
+    """The monthly series written once, for queries that read them for several methods: the panel is made once."""
+    path = scratch_path(s, "series")
+    series(s, sf).select("sku_id", "y", "n").write.parquet(path)
+    return s.read.schema("sku_id string, y array<double>, n int").parquet(path)
+
+
+def three(s, sf, x=None):
+    x = stored_series(s, sf) if x is None else x
+    bt = lambda m: ev.backtest(x, "M", m, H, FOLDS)
+    return bt("seasonal_naive").unionByName(bt("croston")).unionByName(bt("tsb"))
 
 
 register("cutoffs", lambda s, sf: ev.cutoffs(pm(s, sf), H, FOLDS), "select sku_id, fold, cutoff from cuts")
@@ -225,21 +234,24 @@ register("holdout_crps", lambda s, sf: rounded(ev.holdout_crps(pm(s, sf), "M", "
          f"select sku_id, 'croston' as method, round({METRIC_SQL['crps']}, 5) as crps from bt_cr where fold = {FOLDS - 1} group by 1")
 cte("wts", """select sku_id, method, crps, case when s is null then 1.0 / k else coalesce(inv, 0.0) / s end as weight from (
   select *, sum(inv) over (partition by sku_id) as s, count(*) over (partition by sku_id) as k from (select sku_id, method, crps, case when crps > 0 then 1.0 / crps end as inv from bsum))""")
-weights = lambda s, sf: ev.crps_weights(ev.backtest_summary(three(s, sf)).select("sku_id", "method", "crps"))
+weights = lambda s, sf, x=None: ev.crps_weights(ev.backtest_summary(three(s, sf, x)).select("sku_id", "method", "crps"))
 register("crps_weights", lambda s, sf: rounded(weights(s, sf), 5), "select sku_id, method, round(crps, 5) as crps, round(weight, 5) as weight from wts")
 
 
-def all_forecasts(s, sf):
-    p = pm(s, sf)
+def all_forecasts(x):
     tag = lambda f, m: f.withColumn("method", F.lit(m))
-    return (tag(fo.forecast_snaive(p, H, "M"), "seasonal_naive").unionByName(tag(fo.forecast_croston(p, H), "croston"))
-            .unionByName(tag(fo.forecast_tsb(p, H), "tsb")))
+    return (tag(fo.forecast_snaive(x, H, "M"), "seasonal_naive").unionByName(tag(fo.forecast_croston(x, H), "croston"))
+            .unionByName(tag(fo.forecast_tsb(x, H), "tsb")))
+
+
+def combined(s, sf):
+    x = stored_series(s, sf)
+    return ev.combine(all_forecasts(x), weights(s, sf, x))
 
 
 cte("fc_all", "select *, 'seasonal_naive' as method from fc_sn union all select *, 'croston' from fc_cr union all select *, 'tsb' from fc_ts")
 cte("comb", "select f.sku_id, f.step, " + ", ".join(f"greatest(0.0, sum(weight * {c})) as {c}" for c in FC)
     + " from fc_all f join wts w on w.sku_id = f.sku_id and w.method = f.method group by 1, 2")
-combined = lambda s, sf: ev.combine(all_forecasts(s, sf), weights(s, sf))
 register("combine", lambda s, sf: rounded(combined(s, sf), 4), f"select sku_id, step, {rq(FC)} from comb")
 res = lambda s, sf: ev.residuals(one(s, sf, "croston"))
 cte("resid", "select sku_id, fold, step, actual - point as residual from bt_cr")

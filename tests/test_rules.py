@@ -201,6 +201,13 @@ def test_partitions_of_a_dense_panel(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, wide.collect())) and wide.count() == 40 * 12
 
 
+def test_forecasts_from_stored_series(spark, panel_of):
+    """A forecaster takes the series as well as the panel, so that several methods share one."""
+    p = panel_of({"A": [1, 0, 3, 4] * 6, "B": [0, 2, None] * 8})
+    for run in (lambda d: fo.forecast_snaive(d, 3, "M"), lambda d: fo.forecast_croston(d, 3), lambda d: fo.forecast_tsb(d, 3)):
+        assert sorted(map(str, run(fo.to_series(p).select("sku_id", "y", "n")).collect())) == sorted(map(str, run(p).collect()))
+
+
 def test_hierarchy_keeps_sku_rows_in_place(spark, panel_of):
     p = panel_of({"A": [1, 2], "B": [3, None], "C": [5, 6]}, category=lambda sku, i, n: "x" if sku < "C" else None)
     got = {(r.unique_id, r.ds.day): r.y for r in ol.build_hierarchy(p).collect()}
