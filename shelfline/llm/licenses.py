@@ -119,7 +119,8 @@ FAMILIES = sorted(TEMPLATES)
 NEGATIVES = 1500     # corpus paragraphs used as examples of no licence
 PIECES = 40          # training pieces cut from each template, at most
 PASS, FALSE, COVER, WHOLE, HINT = 0.02, 0.002, 0.5, 0.8, 0.25
-RUNS_ON = r"[\p{L}\p{N}][^.!?:;。！？]*$"   # a line that its paragraph goes on after
+# a line that its paragraph goes on after, read from its end: forwards, each letter would look for the end again
+RUNS_ON = r"^[^.!?:;。！？\p{L}\p{N}]*[\p{L}\p{N}]"
 FILLED = r"[\p{L}\p{N}]"
 SCALE = 1 << 30
 
@@ -154,14 +155,15 @@ def _pieces(templates: DataFrame) -> DataFrame:
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, paragraph, copy, words): the paragraphs of each text; copy tells rows with the same id apart."""
-    # all that is needed of a whole text is computed before its paragraphs become rows
+    # all that is needed of a whole text is computed before its paragraphs become rows, and the words with them: made
+    # after, the filter on their number would compute them twice
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))
     line = lambda i: F.get("lines", i)
-    begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | ~line(i - 1).rlike(RUNS_ON) | ~line(i).rlike(FILLED))
+    begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | ~F.reverse(line(i - 1)).rlike(RUNS_ON) | ~line(i).rlike(FILLED))
     whole = whole.where(F.col("lines").isNotNull()).withColumn("begins", begins)
     text = lambda i, k: F.array_join(F.slice("lines", i + 1, F.coalesce(F.get("begins", k + 1), F.size("lines")) - i), " ")
-    rows = whole.select("id", "copy", F.inline_outer(F.transform("begins", lambda i, k: F.struct(i.alias("paragraph"), text(i, k).alias("text")))))
-    return rows.select("id", "copy", "paragraph", words(F.col("text")).alias("words")).where(F.size("words") >= 2)
+    rows = whole.select("id", "copy", F.inline_outer(F.transform("begins", lambda i, k: F.struct(i.alias("paragraph"), words(text(i, k)).alias("words")))))
+    return rows.where(F.size("words") >= 2)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, float], list[float]]:

@@ -274,6 +274,17 @@ CLEAN = ["The patient was granted leave to go home.", "We copy the files and run
          "The version of the story told by the author differs from the film.", "Use the following list to find your seat in the hall."]
 
 
+def test_license_lines_of_any_length(spark):
+    """A line is looked at once, however long it is; what it ends in decides whether its paragraph goes on."""
+    import time
+
+    texts = ["word " * 40_000 + "end.\nnext line", "a b\nc d", "a b!\nc d", "a b! (\nc d", "a b! c)\nd e", "a b。\nc d", "a b\n--\nc d", "é f \ng h"]
+    begin = time.time()
+    got = licenses.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert time.time() - begin < 20
+    assert sorted((r.id, r.paragraph, len(r.words)) for r in got) == [(0, 0, 40_001), (0, 1, 2), (1, 0, 4), (2, 0, 2), (2, 1, 2), (3, 0, 2), (3, 1, 2), (4, 0, 5), (5, 0, 2), (5, 1, 2), (6, 0, 2), (6, 2, 2), (7, 0, 3)]
+
+
 def test_license_of_unseen_wording(spark, docs):
     texts = [text for _, text in UNSEEN] + CLEAN
     frame = spark.createDataFrame(list(enumerate(texts, 10**6)), "doc_id long, text string")
