@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import memory
 
 SEED, RATE = 17, 0.1
-LONG, CACHE = 64, 1_000_000
+LONG, CACHE = 64, 300_000
 SPACE = "▁"
 _NONE = np.int64(1) << 62
 
