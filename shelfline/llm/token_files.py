@@ -18,6 +18,8 @@ empty result; equal ids keep their rows, ordered by text; other columns are not
 from __future__ import annotations
 
 import json
+import re
+import struct
 import uuid
 import zlib
 
@@ -34,25 +36,52 @@ MAGIC = b"BITPLN1\n"
 END = 1
 CACHE, TOGETHER = 600_000, 2_000
 MARK = "|"
+# visible ASCII but ' (it may begin a contraction) and < (an added token), letters of Latin-1, and what the vocabulary parts them into
+LATIN, PARTS = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]*"), re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class Words:
     """Ids of whole texts by the tokenizers library, remembered by blank-separated piece.
 
-    The vocabulary drops white space and splits at it, so a text's ids are those of its pieces in order.  Pieces not met
-    before are encoded TOGETHER at a time with MARK between them; those that hold the mark go by themselves."""
+    The vocabulary drops white space and splits at it, so a text's ids are those of its pieces in order.  Where it lowers
+    letters and cuts LATIN pieces into PARTS (checked at loading), these go to the tokenizer's model straight away.  Other pieces
+    not met before are encoded TOGETHER at a time with MARK between them; those that hold the mark go by themselves."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.mark, = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.model, made, cut = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        visible = "".join(c for c in map(chr, range(33, 256)) if LATIN.fullmatch(c))
+        sample = "".join(a + b for a in "aZ0!" for b in visible) + visible
+        # how the model spells a character: byte by byte
+        self.spelled = {ord(c): "".join(w for w, _ in cut.pre_tokenize_str(c)) for c in visible} if cut else {}
+        # an added token of such characters would be looked for before the model is asked
+        self.direct = (made is not None and cut is not None and made.normalize_str(sample) == sample.lower()
+                       and [w for w, _ in cut.pre_tokenize_str(sample.lower())] == [q.translate(self.spelled) for q in PARTS.findall(sample.lower())]
+                       and not any(LATIN.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one of the PARTS, which is a piece too."""
+        got = self.known.get(part)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(part.translate(self.spelled))]
+            got = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
     def _learn(self, pieces: list[str]) -> None:
+        rest = []
+        for p in pieces:
+            if self.direct and LATIN.fullmatch(p):
+                self.known[p] = b"".join(map(self._part, PARTS.findall(p.lower())))
+            else:
+                rest.append(p)
+        pieces = rest
         plain = [p for p in pieces if MARK not in p and "<" not in p]  # a < may open an added token, which reads across blanks
         for a in range(0, len(plain), TOGETHER):
             part = plain[a : a + TOGETHER]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
             ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
             raw, at = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
@@ -182,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
             return row
 
         for batch in batches:
-            encoded = (ids for texts in _in_parts(t.as_py() for t in batch.column(1)) for ids in words.all_ids(texts))
+            encoded = (ids for texts in _in_parts(batch.column(1).to_pylist()) for ids in words.all_ids(texts))
             for id_, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 got = ids + end
                 n = len(got) // 4

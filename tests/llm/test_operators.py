@@ -375,6 +375,44 @@ def test_token_files(spark, docs, odd, none):
     assert (back == ids).all() and listed == [[None, 200_001]]
 
 
+def test_dropout_memory():
+    """What a worker remembers of units stays small, however many it meets."""
+    import public_tokenizers
+
+    path, common._memory = public_tokenizers.path("piece_bpe_32k.model"), ("", {})
+    for a in range(0, 420_000, 20_000):
+        assert len(pieces.encode_all([" ".join(f"{k:x}q" for k in range(a, a + 20_000))], a, path, rate=0.0)[0])
+        trees = common.memory("pieces")["trees", path]
+        assert len(trees) <= 320_000
+        assert sum(c.size * c.data.itemsize for c in vars(trees).values() if isinstance(c, pieces.Column)) < 64 << 20
+    common._memory = ("", {})
+
+
+def test_words_of_all_kinds(docs):
+    """Pieces that go to the model straight away, together or alone: the ids of the library for whole texts.  Only pieces
+    of other characters go through the whole tokenizer."""
+    import random
+
+    import public_tokenizers
+
+    words, rng = token_files.Words(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    assert words.direct
+    parts = ["Word", "word.", "WORD,;", "...", "!?", "it's", "'S", "İstanbul", "ǅ", "ﬁne", "e\u0301.", "a1b22", "|", "<|endoftext|>", "x<|endoftext|>y", "naïve,", "中文。", "a\u00a0b", "\x0b", "", "K", "ſ", "a.b", ".a", "well-known:", "(203)", "x9Y8z7|\"", "<b>", "A|b", "~^`", "ÀÖØÞßöøÿ×÷", "ß1é.", "É!ñ", "ÿ\u0301", "ªº"]
+    texts = [r.text for r in docs.collect()] + [" ".join(rng.choices(parts, k=30)) for _ in range(300)] + [None, "", " ", *parts]
+    want = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.all_ids(texts)] == want
+    whole, tokenizer = [], words.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, joined, **more):
+            whole.extend(joined)
+            return tokenizer.encode_batch_fast(joined, **more)
+
+    words.tokenizer = Counted()
+    list(words.all_ids(["Quagmirish flumterous, blorptical! bracken9ly ÉNaïvelß word’s"]))
+    assert whole == ["word’s"]
+
+
 def ppm_by_hand(texts, train):
     """log10 probability of every text; contexts up to ppm.ORDER symbols over the whole text, an edge on both sides."""
     def streamed(text):
