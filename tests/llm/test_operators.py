@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from shelfline import session
 from shelfline.llm import common, decontaminate, embed_dedup, langid, licenses, minhash, pieces, pii, ppm, token_files, urls
 
 SF = "/root/testdata/sf0.001"
@@ -473,6 +474,28 @@ def test_language_model_odd_rows(spark, odd, none):
     assert score[9] < score[1]  # order of words counts
 
 
+def test_language_model_rows(spark):
+    """What is stored stays near the size of the texts, even where most words are new; packed rows give back what they hold."""
+    import pathlib
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 9))) for _ in range(600))) for k in range(200)]
+    session._checkpoint_dir(spark)
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def held():
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = held()
+    assert ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), chunk=200_000).count() == 200
+    assert held() - before < 4 * sum(len(t) for _, t in rows)
+    keys, n = np.array([5, 9, 1 << 53], np.int64), np.array([0, 70_000, 1])
+    assert [x.tolist() for x in ppm.unpack_grams(ppm.pack_grams(keys, n))] == [keys.tolist(), n.tolist()]
+    lp, mass = np.log10([1 / 3, 0.25, 4e9 / 5e9, 1e-7]), np.array([0, 8, 5_000_000_000, 5_000_000_000])
+    assert ppm.unpack_answers(ppm.pack_answers(lp, np.array([0, 2, 4_000_000_000, 0]), mass)).tolist() == lp.tolist()
+
+
 def test_pieces(docs, odd, none):
     import sentencepiece
 
