@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import uuid
 import zlib
 
@@ -57,6 +56,8 @@ class Words:
         sample = "".join(a + b for a in "aZ0!" for b in visible) + visible
         # how the model spells a character: byte by byte
         self.spelled = {ord(c): "".join(w for w, _ in cut.pre_tokenize_str(c)) for c in visible} if cut else {}
+        self.same = all(self.spelled.get(ord(c)) == c for c in visible if c.isascii())
+        self.raw = [k.to_bytes(4, "little") for k in range(1 + max(self.tokenizer.get_vocab().values()))]
         # an added token of such characters would be looked for before the model is asked
         self.direct = (made is not None and cut is not None and made.normalize_str(sample) == sample.lower()
                        and [w for w, _ in cut.pre_tokenize_str(sample.lower())] == [q.translate(self.spelled) for q in PARTS.findall(sample.lower())]
@@ -66,15 +67,16 @@ class Words:
         """Ids of one of the PARTS, which is a piece too."""
         got = self.known.get(part)
         if got is None:
-            ids = [t.id for t in self.model.tokenize(part.translate(self.spelled))]
-            got = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+            spelled = part if self.same and part.isascii() else part.translate(self.spelled)
+            got = self.known[part] = b"".join([self.raw[t.id] for t in self.model.tokenize(spelled)])
         return got
 
     def _learn(self, pieces: list[str]) -> None:
-        rest = []
+        rest, known, latin, cut, get, part = [], self.known, LATIN.fullmatch, PARTS.findall, self.known.get, self._part
         for p in pieces:
-            if self.direct and LATIN.fullmatch(p):
-                self.known[p] = b"".join(map(self._part, PARTS.findall(p.lower())))
+            if self.direct and latin(p):
+                parts = cut(p.lower())
+                known[p] = part(parts[0]) if len(parts) == 1 else b"".join([get(q) or part(q) for q in parts])
             else:
                 rest.append(p)
         pieces = rest
@@ -94,10 +96,11 @@ class Words:
         """Little-endian unsigned 32-bit ids of each text; memory is bounded by the cache and the texts given."""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        new = {p for pieces in parts for p in pieces if p not in known}
+        met = set().union(*parts)
+        new = met.difference(known)
         if new and len(known) + len(new) > CACHE:
             known.clear()
-            new = {p for pieces in parts for p in pieces}
+            new = met
         self._learn(list(new))
         for pieces in parts:
             yield b"".join(map(known.__getitem__, pieces))

@@ -414,6 +414,14 @@ def test_words_of_all_kinds(docs):
     assert whole == ["word’s"]
 
 
+def test_words_of_ascii():
+    """Pieces of ASCII are spelled as they stand."""
+    words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Quagmirish flumterous, blorptical! bracken9ly (203)-x"
+    want, words.spelled = words.tokenizer.encode(text, add_special_tokens=False).ids, None
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.all_ids([text])] == [want]
+
+
 def ppm_by_hand(texts, train):
     """log10 probability of every text; contexts up to ppm.ORDER symbols over the whole text, an edge on both sides."""
     def streamed(text):
