@@ -7,7 +7,8 @@ so every occurrence in every document is cut on its own.  Without dropout the id
 
 What a worker remembers is a tree by unit: a node has the unit's ids when certain of its candidates are skipped, and the
 candidates that are still open then; the first open one that an occurrence skips leads to the child.  A child is made when
-it is asked for again; till then the agenda is replayed.  Both give the same ids.
+it is asked for again; till then the agenda is replayed.  A unit gets a tree when it is met again, too: the first time it is only noted, as most
+units of a corpus are rare.  All ways give the same ids.
 
 Characters the model lacks become byte pieces, and so does a U+2581 that stands in the text, so that decoding gives the
 text back exactly.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -259,6 +261,7 @@ class Trees:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
+        self.once: set[str] = set()  # units met once, without a tree
         self.units: list[str] = []
         # of a node: unit, ids, open candidates, number of decided ones before them, parent, and which of its candidates was skipped
         # (a unit has at most LONG symbols, so counts fit 16 bits)
@@ -375,7 +378,13 @@ def encode_all(texts: list[str], documents: int | list[int], path: str, seed: in
     flat = list(chain.from_iterable(parts))
     node = np.array(list(map(trees.root.get, flat, repeat(-1))), np.int64)
     unmet = np.flatnonzero(node < 0).tolist()
-    trees.meet(list({flat[k] for k in unmet if len(flat[k]) <= LONG}))
+    times = Counter(flat[k] for k in unmet if len(flat[k]) <= LONG)
+    again = [u for u, n in times.items() if n > 1 or u in trees.once]
+    if len(trees.once) > 2 * CACHE:
+        trees.once.clear()
+    trees.once.update(times)
+    trees.once.difference_update(again)
+    trees.meet(again)
     node[unmet] = [trees.root.get(flat[k], -1) for k in unmet]
     key = np.concatenate([np.zeros(0, np.uint64), *(occurrence_keys(d, n, seed) for d, n in zip(documents, sizes))])
     if rate:

@@ -422,6 +422,24 @@ def test_words_of_ascii():
     assert [np.frombuffer(b, "<u4").tolist() for b in words.all_ids([text])] == [want]
 
 
+def test_dropout_of_rare_units():
+    """A unit gets a tree when it is met again; the ids stay those of the agenda."""
+    path, common._memory = public_tokenizers.path("piece_bpe_32k.model"), ("", {})
+    text, twice = " ".join("rare" + str(k).translate(str.maketrans("0123456789", "abcdefghij")) + "unit" for k in range(300)), "twiceness twiceness"
+    got, sizes = [], []
+    for document in (1, 2):
+        for t in (text, twice):
+            got.append((document, t, pieces.encode_all([t], document, path, rate=0.3)[0].tolist()))
+            sizes.append(len(common.memory("pieces")["trees", path].root))
+    model = pieces._model(path)
+    assert sizes[:2] == [0, 1] and sizes[2] == 301
+    for document, t, ids in got:
+        units = model.units(t)
+        keys = pieces.occurrence_keys(document, len(units), pieces.SEED).tolist()
+        assert ids == [x for u, k in zip(units, keys) for x in pieces.agenda(model, u, k, 0.3)]
+    common._memory = ("", {})
+
+
 def ppm_by_hand(texts, train):
     """log10 probability of every text; contexts up to ppm.ORDER symbols over the whole text, an edge on both sides."""
     def streamed(text):
