@@ -64,3 +64,34 @@ def test_order_states_spare_calls():
     assert calls == ["getValueState", "get", "update"]
     list(states.handleInputRows(("P1",), iter([{"at": day(3), "to_status": "cancelled"}]), None))
     assert calls[3:] == ["get", "registerTimer", "update"]
+
+
+def test_orders_of_a_bucket_keep_apart(spark, tmp_path):
+    """One state of a bucket gives what a state an order gives: late events, expiry, events without time or status, equal ones."""
+    batches = [[("P1", "drafted", day(0)), ("P1", "cancelled", day(1)), ("P2", "drafted", day(0)), ("P3", None, day(2)), (None, "drafted", day(3)), ("P4", "placed", None)],
+               [("P2", "cancelled", day(2)), ("P5", "drafted", day(60))], [("P6", "drafted", day(61)), ("P6", "approved", day(61))],
+               [("P1", "drafted", day(60)), ("P2", "placed", day(60)), ("P3", "drafted", day(59)), (None, "odd", day(58)), ("P6", "approved", day(61))]]
+    got = []
+    for buckets in (0, 1, 3):
+        (at := tmp_path / str(buckets)).mkdir()
+        rows = drained(spark, at, batches, LOG, lambda s: jobs.stream_po_state(s, "5 days", 10, buckets), ["po_id"]).collect()
+        got.append({r.po_id: (r.status, r.since, r.n_events, r.n_invalid) for r in rows})
+    assert got[0] == got[1] == got[2]
+    assert got[0]["P1"] == ("drafted", day(60), 1, 0) and got[0]["P6"] == ("drafted", day(61), 3, 3) and got[0]["P4"][1] is None
+
+
+def test_buckets_spare_calls():
+    """Two orders of a bucket cost one read and one write of its state, not one each."""
+    import pandas as pd
+    calls = []
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *a: (calls.append(name), self if name == "getValueState" else None)[1]
+
+    states = jobs.OrderBuckets(10)
+    states.init(Fake())
+    rows = pd.DataFrame({"po_id": ["P1", "P2", "P1"], "us": [2, 1, 1], "to_status": ["approved", "placed", "drafted"]})
+    (out,) = states.handleInputRows((0,), iter([rows]), None)
+    assert out.to_dict("list") == {"po_id": ["P1", "P2"], "status": ["approved", "placed"], "us": [2, 1], "n_events": [2, 1], "n_invalid": [0, 1]}
+    assert calls == ["getValueState", "get", "update"]
