@@ -60,23 +60,69 @@ def at_level(p: Column, width: Column, level: Column) -> Column:
 # ---- batches of rows ---------------------------------------------------------------------------------
 # Convolutions take some 100 x 100 products a SKU: 100 ms as nested column lambdas here, 0.1 ms over a batch of SKUs.
 
-def cells_of_quantiles(q: np.ndarray, width: np.ndarray, cells: int) -> np.ndarray:
-    """max(0, X) on the first `cells` cells, row by row: X through five ascending quantiles, linear between, all mass beyond the
-    ends at the ends.  A value between two cells is shared so that its mean stays: second differences of E(x - X)+."""
+def _put(rows: np.ndarray, at: np.ndarray, mass: np.ndarray, n: int, cells: int) -> np.ndarray:
+    """Masses (with the number of their row and the cell they start in) on the first `cells` cells of n rows."""
+    inside = (mass != 0.0) & (at < cells)
+    return np.bincount(rows[inside] * cells + at[inside], mass[inside], n * cells).reshape(n, cells)
+
+
+def mixed_quantiles(rows: np.ndarray, q: np.ndarray, share: np.ndarray, n: int, cells: int) -> np.ndarray:
+    """Sum of share * max(0, X) over the entries of every row, on the first `cells` cells: X through five ascending quantiles (in cells), linear
+    between, all mass beyond the ends at the ends.  A value between two cells is shared so that its mean stays.
+
+    A stretch of even density longer than a cell gives a constant between its ends, so only the changes at its ends are noted and summed
+    along the cells once a row; a shorter one is cut at the cell inside it, and what lies between two cells is shared like its middle."""
+    known = np.isfinite(q).all(axis=1)
+    if not known.all():
+        rows, q, share = rows[known], q[known], share[known]
+    levels = np.diff(np.array(QUANTILE_LEVELS))[None, :]
+    low, high = q[:, :-1], q[:, 1:]
+    a, b = np.maximum(0.0, low), np.maximum(0.0, high)
+    wide, size = high - low, b - a
+    mass = share[:, None] * levels
+    over = np.where(wide > 0, mass * size / np.where(wide > 0, wide, 1.0), mass)
+    ends = np.maximum(0.0, q[:, [0, -1]])
+    at, m, owner = [ends], [share[:, None] * np.array([[QUANTILE_LEVELS[0], 1.0 - QUANTILE_LEVELS[-1]]])], [np.repeat(rows[:, None], 2, axis=1)]
+
+    def point(position, weight, who):
+        at.append(position[None, :])
+        m.append(weight[None, :])
+        owner.append(who[None, :])
+
+    if (low < 0).any():
+        e, k = np.nonzero(over != mass)
+        point(np.zeros(len(e)), (mass - over)[e, k], rows[e])
+    long = size > 1.0
+    e, k = np.nonzero(~long)
+    if len(e):
+        x, y, z = a[e, k], b[e, k], over[e, k]
+        cut = np.minimum(np.ceil(x), y)
+        left = z * np.where(y > x, (cut - x) / np.where(y > x, y - x, 1.0), 1.0)
+        point((x + cut) / 2, left, rows[e])
+        point((cut + y) / 2, z - left, rows[e])
+    flat = lambda parts: np.concatenate([x.ravel() for x in parts])
+    at, m, owner = flat(at), flat(m), flat(owner)
+    cell = np.floor(at)
+    part, cell = at - cell, cell.astype(np.int64)
+    out = _put(np.tile(owner, 2), np.concatenate([cell, cell + 1]), np.concatenate([m * (1.0 - part), m * part]), n, cells)
+    if long.any():
+        density = np.where(long, over / np.where(long, size, 1.0), 0.0)
+        change = np.concatenate([np.zeros((len(q), 1)), density], axis=1) - np.concatenate([density, np.zeros((len(q), 1))], axis=1)
+        e, k = np.nonzero(change)
+        at, c = np.maximum(0.0, q[e, k]), change[e, k]
+        cell = np.floor(at)
+        part, cell = at - cell, cell.astype(np.int64)
+        first, last = (1.0 - part) * (1.0 - part) / 2, part * part / 2
+        out += np.cumsum(_put(np.tile(rows[e], 3), np.concatenate([cell, cell + 1, cell + 2]),
+                              np.concatenate([-c * first, c * (first + last - 1.0), -c * last]), n, cells), axis=1)
+    top = np.zeros(n)
+    np.maximum.at(top, rows, np.ceil(ends[:, 1] - TINY))
+    return np.where(np.arange(cells) <= top[:, None], out, 0.0)
 
-    def below(x):
-        at = lambda i: q[:, i, None]
-        total = np.maximum(0.0, x - at(0)) * QUANTILE_LEVELS[0] + np.maximum(0.0, x - at(-1)) * (1.0 - QUANTILE_LEVELS[-1])
-        for i, (lo, hi) in enumerate(zip(QUANTILE_LEVELS, QUANTILE_LEVELS[1:])):
-            a, b = at(i), at(i + 1)
-            inside = (x - a) * (x - a) / np.where(b > a, 2 * (b - a), 1.0)
-            total = total + np.where(x <= a, 0.0, np.where(x >= b, x - (a + b) / 2, inside)) * (hi - lo)
-        return total
 
-    g = below(np.arange(cells + 1) * width[:, None]) - below(np.zeros((len(q), 1)))
-    p = (g[:, 1:] - 2.0 * g[:, :-1] + np.concatenate([np.zeros((len(q), 1)), g[:, :-2]], axis=1)) / width[:, None]
-    top = np.ceil(np.maximum(0.0, q[:, -1]) / width - TINY)
-    return np.where(np.arange(cells) <= top[:, None], p, 0.0)
+def cells_of_quantiles(q: np.ndarray, width: np.ndarray, cells: int) -> np.ndarray:
+    """max(0, X) on the first `cells` cells, row by row: X through five ascending quantiles, as in mixed_quantiles."""
+    return mixed_quantiles(np.arange(len(q)), q / width[:, None], np.ones(len(q)), len(q), cells)
 
 
 def quantile_means(q: np.ndarray) -> np.ndarray:
@@ -112,13 +158,19 @@ def power(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Distributions of sums of n[row] independent values, by doubling."""
     out = np.zeros_like(p)
     out[:, 0] = 1.0
-    n = n.copy()
+    n, none = n.copy(), np.ones(len(p), bool)
     while n.any():
         odd = n % 2 == 1
-        out[odd] = convolved(p[odd], out[odd])
+        out[odd & none] = p[odd & none]  # the first factor
+        more = odd & ~none
+        if more.any():
+            out[more] = convolved(p[more], out[more])
+        none &= ~odd
         n //= 2
-        if n.any():
-            p = convolved(p, p)
+        more = n > 0
+        if more.any():
+            p = p.copy()
+            p[more] = convolved(p[more], p[more])
     return out
 
 
@@ -137,8 +189,10 @@ def lead_time_demand(steps: np.ndarray, lead: np.ndarray, cells: int) -> tuple[n
     size = cells + 2 * (last + 2)
     rest = np.zeros((rows, size))
     for n in range(last, -1, -1):
+        q = step(n) / width[:, None]
+        on = np.flatnonzero((whole > n).any(axis=1))
+        if len(on):
+            rest[on] = convolved(mixed_quantiles(np.arange(len(on)), q[on], np.ones(len(on)), len(on), size), rest[on])
         row, k = np.nonzero(whole == n)
-        part = cells_of_quantiles(step(n)[row] * (lead[row, k] - n)[:, None], width[row], size)
-        rest = convolved(cells_of_quantiles(step(n), width, size), rest)
-        np.add.at(rest, row, part / lead.shape[1])
+        rest += mixed_quantiles(row, q[row] * (lead[row, k] - n)[:, None], np.full(len(row), 1.0 / lead.shape[1]), rows, size)
     return width, rest

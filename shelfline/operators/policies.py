@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A, lattice as L
-from ..functions.stats import gamma_ppf
+from ..functions.stats import gamma_points, gamma_ppf
 from ..schema import PERIOD_DAYS, PERIODS_PER_YEAR, QUANTILE_COLS, QUANTILE_LEVELS
+from ..session import stored
 from .inventory import class_columns, classed, sku_state
 
 # fixed values: service levels of the frontier
@@ -87,9 +88,9 @@ def forecast_steps(fc: DataFrame) -> DataFrame:
     return rows.select("sku_id", F.transform("_s", lambda x: x["point"]).alias("point"), F.transform("_s", lambda x: x["q"]).alias("steps"))
 
 
-def lead_periods_points(shape: Column, scale: Column, freq: str, points: int = LEAD_POINTS) -> Column:
-    """Quantiles of the lead time at the middles of equal shares, in periods."""
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: gamma_ppf((k + 0.5) / points, shape, scale) / PERIOD_DAYS[freq])
+def lead_periods_points(shape: np.ndarray, scale: np.ndarray, freq: str, points: int = LEAD_POINTS) -> np.ndarray:
+    """Quantiles of the lead time at the middles of equal shares, in periods: rows x points."""
+    return gamma_points([(k + 0.5) / points for k in range(points)], shape, scale) / PERIOD_DAYS[freq]
 
 
 def _stacked(arrays: pd.Series, width: int = 1) -> np.ndarray:
@@ -102,18 +103,19 @@ def _stacked(arrays: pd.Series, width: int = 1) -> np.ndarray:
     return out
 
 
-BATCH = 1024  # rows that are worked on at once
-LTD_BATCH = 32  # with LEAD_POINTS parts a row, whose arrays then stay in the cache
+BATCH = 256  # rows that are worked on at once
+LTD_BATCH = 128  # with LEAD_POINTS parts a row, whose arrays then stay in the cache
 
 
-def _ltd_udf(cells: int):
-    def run(steps: pd.Series, lead: pd.Series) -> pd.DataFrame:
-        given = np.flatnonzero(steps.notna() & lead.notna())
+def _ltd_udf(freq: str, cells: int):
+    def run(steps: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.DataFrame:
+        given = np.flatnonzero(steps.notna() & shape.notna() & scale.notna())
+        lead = lead_periods_points(shape.to_numpy(float)[given], scale.to_numpy(float)[given], freq)
         width, chances = np.full(len(steps), None, object), np.full(len(steps), None, object)
         mean, std = np.full(len(steps), None, object), np.full(len(steps), None, object)
         for a in range(0, len(given), LTD_BATCH):
             i = given[a : a + LTD_BATCH]
-            w, p = L.lead_time_demand(_stacked(steps.iloc[i], len(QUANTILE_COLS)), _stacked(lead.iloc[i])[:, :, 0], cells)
+            w, p = L.lead_time_demand(_stacked(steps.iloc[i], len(QUANTILE_COLS)), lead[a : a + LTD_BATCH], cells)
             mean[i], std[i] = L.moments(p, w)
             for k, row in enumerate(i):
                 width[row], chances[row] = w[k], p[k, : np.flatnonzero(p[k])[-1] + 1]
@@ -124,7 +126,7 @@ def _ltd_udf(cells: int):
 
 def ltd_columns(steps: Column, shape: Column, scale: Column, freq: str, cells: int = CELLS) -> Column:
     """struct(width, p, ltd_mean, ltd_std) of a SKU's lead-time demand; its fields are null where an input is."""
-    return _ltd_udf(cells)(F.flatten(steps), F.when(shape.isNotNull() & scale.isNotNull(), lead_periods_points(shape, scale, freq)))
+    return _ltd_udf(freq, cells)(F.flatten(steps), shape, scale)
 
 
 def lead_time_column(t: DataFrame, name: str, freq: str, cells: int = CELLS) -> DataFrame:
@@ -239,7 +241,8 @@ def best_pairs(cells_of, mean, lead, review, holding, order_cost, level, demand,
     gap = np.sqrt(2.0 * np.maximum(demand, 1.0) * order_cost / np.maximum(holding, 1e-6))
     w = (2.5 * ltd + 2.0 * gap) / SS_CELLS
     one = cells_of(w, SS_CELLS + 4)
-    d, cum, cum_lead = L.power(one, review), L.power(one, lead + review).cumsum(axis=1), L.power(one, lead).cumsum(axis=1)
+    d, before = L.power(one, review), L.power(one, lead)
+    cum, cum_lead = L.convolved(d, before).cumsum(axis=1), before.cumsum(axis=1)
     surplus = lambda c: np.concatenate([np.zeros((len(w), 1)), (c * w[:, None]).cumsum(axis=1)], axis=1)
     over, over_lead = surplus(cum), surplus(cum_lead)
     reach = np.floor(2.0 * gap / w + 0.5).astype(np.int64)
@@ -247,22 +250,26 @@ def best_pairs(cells_of, mean, lead, review, holding, order_cost, level, demand,
     still = np.maximum(1e-12, 1.0 - d[:, 0])
     m[:, 0] = 1.0 / still
     for j in range(1, m.shape[1]):
-        m[:, j] = (d[:, 1 : j + 1] * m[:, j - 1 :: -1]).sum(axis=1) / still
+        m[:, j] = np.einsum("ij,ij->i", d[:, 1 : j + 1], m[:, j - 1 :: -1]) / still
+    gaps = []
+    for n in range(S_STEPS):
+        wide = np.maximum(1, np.floor(gap * (0.5 + 1.5 / (S_STEPS - 1) * n) / w + 0.5).astype(np.int64))
+        j = np.arange(wide.max())
+        seen = np.where(j < wide[:, None], m[:, : len(j)], 0.0)
+        gaps.append((wide, j, seen, seen.sum(axis=1)))
+    row = np.arange(len(w))[:, None]
     best = np.full((len(w), 5), np.nan)
     lowest = np.full(len(w), np.inf)
     for n in range(S_STEPS * S_STEPS):
         s = ltd * (0.5 + 2.0 / (S_STEPS - 1) * (n // S_STEPS))
-        wide = np.maximum(1, np.floor(gap * (0.5 + 1.5 / (S_STEPS - 1) * (n % S_STEPS)) / w + 0.5).astype(np.int64))
+        wide, j, seen, total = gaps[n % S_STEPS]
         low = np.floor(s / w).astype(np.int64)
-        part = (s / w - low)[:, None]
-        j = np.arange(wide.max())
-        seen = np.where(j < wide[:, None], m[:, : len(j)], 0.0)
+        part = s / w - low
         k = np.maximum(0, low[:, None] + wide[:, None] - j)
-        at = lambda a, k: np.take_along_axis(a, k, axis=1)
-        between = lambda a: at(a, k) + (at(a, k + 1) - at(a, k)) * part
-        total = seen.sum(axis=1)
-        held, held_lead = (seen * between(over)).sum(axis=1), (seen * between(over_lead)).sum(axis=1)
-        out = (seen * np.maximum(0.0, 1.0 - at(cum, k))).sum(axis=1) / total
+        weighted = lambda a, i: np.einsum("ij,ij->i", seen, a.ravel().take(i + row * a.shape[1]))
+        between = lambda a: weighted(a, k) * (1.0 - part) + weighted(a, k + 1) * part
+        held, held_lead = between(over), between(over_lead)
+        out = np.einsum("ij,ij->i", seen, np.maximum(0.0, 1.0 - cum.ravel().take(k + row * cum.shape[1]))) / total
         cost = (order_cost + holding * review / periods * held) / total * periods / review
         fill = np.where(mean > 0, np.clip((held_lead - held) / (total * review * np.where(mean > 0, mean, 1.0)), 0.0, 1.0), 1.0)
         goal = np.round(cost + np.maximum(0.0, level - fill) * SHORTFALL, 6)
@@ -294,10 +301,7 @@ def _ss_udf(kind: str, periods: float):
                 q = flat.reshape(-1, len(QUANTILE_COLS))
                 mean = np.bincount(rows, L.quantile_means(q), len(i)) / count
 
-                def cells_of(w, cells):
-                    total = np.zeros((len(i), cells))
-                    np.add.at(total, rows, L.cells_of_quantiles(q, w[rows], cells))
-                    return total / count[:, None]
+                cells_of = lambda w, cells: L.mixed_quantiles(rows, q / w[rows][:, None], 1.0 / count[rows], len(i), cells)
 
             whole = lambda c: c.iloc[i].to_numpy().astype(np.int64)
             real = lambda c: c.iloc[i].to_numpy().astype(float)
@@ -434,13 +438,16 @@ def recommendation_base(df: DataFrame, fc: DataFrame, freq: str) -> DataFrame:
         *class_columns(PERIODS_PER_YEAR[freq]), F.count(F.lit(1)).alias("n_obs"), F.max("date").alias("start_date"), F.max_by("category", "date").alias("category"),
         F.avg("unit_cost").alias("_cost"), F.avg("unit_price").alias("_price"), F.coalesce(known("on_hand"), F.lit(0.0)).alias("on_hand"),
         F.avg("lead_time_days").alias("_lt_all"), F.count(lt).alias("n"), F.avg(lt).alias("m"), F.var_samp(lt).alias("v"))
+    # the ranking reads its rows twice, to find its ranges and to deal them
+    per = stored(per, "recommendation")
     ranked = classed(per, [c for c in per.columns if c not in ("revenue_annual", "cv_demand", "sku_id")])
     return ranked.join(forecast_steps(fc), "sku_id", "left")
 
 
 def settled(base: DataFrame, freq: str, service_level=None, holding_rate=None, order_cost=None, policy=None, lead_mult=None, lead_days=None,
             saved_level=None, cells: int = CELLS) -> DataFrame:
-    """base with costs, lead time, level, policy and lead-time demand under these settings."""
+    """base with costs, lead time, level, policy and lead-time demand under these settings; where base has the lead-time demand and no lead time is
+    set, it stays."""
     c = F.col
     econ = category_economics(base).drop("matched")
     shape, scale = gamma_columns(c("n"), c("m"), c("v"), c("default_lead_time"))
@@ -454,7 +461,8 @@ def settled(base: DataFrame, freq: str, service_level=None, holding_rate=None, o
                        "review_periods": F.greatest(F.lit(1), F.rint(c("review_days") / PERIOD_DAYS[freq]).cast("int"))})
     t = t.withColumns({"lead_periods": F.greatest(F.lit(1), F.rint(c("lead_time_days") / PERIOD_DAYS[freq]).cast("int")),
                        "service_level": implied_service_level(c("unit_price"), c("unit_cost"), c("holding_cost"), saved_level, service_level)})
-    return lead_time_column(select_policy(t, policy), "_ltd", freq, cells)
+    t = select_policy(t, policy)
+    return t if given is None and "_ltd" in base.columns else lead_time_column(t, "_ltd", freq, cells)
 
 
 REC_COLS = ("recommended_order_qty", "reorder_point", "safety_stock", "expected_stockout_prob", "expected_fill_rate", "expected_holding_cost_annual",
@@ -546,7 +554,7 @@ def scenario(df: DataFrame, fc: DataFrame, freq: str, skus: DataFrame | None = N
     With `skus`, one row for each of them, those without a result with an error."""
     base = recommendation_base(df, fc, freq)
     plain = base.columns
-    keep = lambda t, name: t.select(*plain, *[c for c in t.columns if c.startswith("_at_")], F.col("rec").alias(name))
+    keep = lambda t, name: t.select(*plain, "_ltd", *[c for c in t.columns if c.startswith("_at_")], F.col("rec").alias(name))
     t = keep(recommended(settled(base, freq), freq), "_at_base")
     t = keep(recommended(settled(t, freq, **settings), freq), "_at_scenario")
     out = t.where("_at_base is not null").select(

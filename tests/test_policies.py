@@ -127,3 +127,43 @@ def test_target_means_never_see_the_future(panel_of):
     changed = ol.target_means(panel_of({**series, "A": [1.0, 2, 3, 400, 500]})).where("sku_id = 'A'").orderBy("date").collect()
     assert [r.sku_id_mean for r in base[:4]] == [r.sku_id_mean for r in changed[:4]] and base[4].sku_id_mean != changed[4].sku_id_mean
     assert base[0].sku_id_mean == 0 and base[1].sku_id_mean == pytest.approx((1 + 20 * 5.5) / 21)
+
+
+def test_mixed_quantiles_against_draws():
+    """Stretches longer and shorter than a cell, of no length, below zero; an unknown entry adds nothing."""
+    q = np.array([[0.2, 3.7, 3.9, 4.1, 9.5], [2.0, 2.0, 2.0, 5.5, 5.5], [-3.0, -1.0, 1.5, 1.5 + 1e-12, 30.0], [1.0, 2.0, 3.0, 4.0, np.nan]])
+    got = L.mixed_quantiles(np.array([0, 0, 1, 1]), q, np.array([0.25, 0.75, 1.0, 1.0]), 2, 40)
+    u = (np.arange(200_000) + 0.5) / 200_000
+    want = np.zeros((2, 41))
+    for row, share, values in ((0, 0.25, q[0]), (0, 0.75, q[1]), (1, 1.0, q[2])):
+        x = np.maximum(0.0, np.interp(u, LEVELS, values))
+        low = np.floor(x).astype(int)
+        np.add.at(want[row], low, (1 - x + low) * share / len(u))
+        np.add.at(want[row], low + 1, (x - low) * share / len(u))
+    assert np.abs(got - want[:, :40]).max() < 1e-5 and got.sum(axis=1) == pytest.approx([1, 1], abs=1e-12)
+
+
+def test_short_lead_times_need_no_convolution(monkeypatch):
+    calls, convolved = [], L.convolved
+    monkeypatch.setattr(L, "convolved", lambda a, b: (calls.append(len(a)), convolved(a, b))[1])
+    steps = np.tile([0.0, 3, 6, 8, 10], (3, 2, 1))
+    lead = np.tile(np.linspace(0.1, 0.9, 32), (3, 1))
+    L.lead_time_demand(steps, lead, 64)
+    assert not calls
+    lead[1] += 1  # only the row that needs it
+    L.lead_time_demand(steps, lead, 64)
+    assert calls == [1]
+
+
+def test_a_scenario_of_equal_lead_times_has_one_lead_time_demand(panel_of, monkeypatch):
+    calls, column = [], po.lead_time_column
+    monkeypatch.setattr(po, "lead_time_column", lambda *a: (calls.append(1), column(*a))[1])
+    panel = panel_of({"A": [5.0, 7, 6, 9] * 8, "B": [0.0, 3, 0, 8] * 8}, on_hand=lambda s, i, n: 4.0)
+    fc = panel.select("sku_id").distinct().selectExpr("sku_id", "explode(sequence(1, 6)) as step", "6.0 as point", "1.0 as q025", "3.0 as q10", "6.0 as q50", "9.0 as q90", "12.0 as q975")
+    one = {r.sku_id: r for r in po.scenario(panel, fc, "W", service_level=0.99, policy="base-stock").collect()}
+    assert len(calls) == 1
+    alone = {r.sku_id: r for r in po.recommend(panel, fc, "W", service_level=0.99, policy="base-stock").collect()}
+    assert set(one) == set(alone) and all(one[k].scenario_safety_stock == alone[k].safety_stock > one[k].base_safety_stock for k in one)
+    calls.clear()
+    po.scenario(panel, fc, "W", lead_mult=2.0)
+    assert len(calls) == 2
