@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays as A
 from ..schema import QUANTILE_COLS, SEASON_LENGTH
-from ..session import materialise
+from ..session import materialise, stored
 from . import evaluation as ev, forecast as fo
 from .series import MODEL_LAGS, ROLLING, add_calendar, add_lags, add_rolling, model_columns, regime_break
 
@@ -127,7 +127,10 @@ def forecast_all(df: DataFrame, h: int, freq: str, priors: DataFrame | None = No
     Fewer than eight rows: refused.  Fewer than the frequency's threshold: gamma-Poisson
     cold start.  Otherwise the routed model, with the boosted trees as second member
     where the panel is large enough, CRPS weights and conformal bounds.
+
+    The panel is computed once and stored, and so are priors and cold start: every model, fold and summary reads them, not the plans behind them.
     """
+    df = stored(df.select(*[c for c in df.columns if c in ("sku_id", "date", "demand", "category", "supplier")]), "forecast-panel")
     series = materialise(fo.route_model(fo.to_series(df), freq))
     cold = fo.COLD_START[freq]
     ok = series.where(F.col("n") >= fo.MIN_OBS)
@@ -160,11 +163,13 @@ def forecast_all(df: DataFrame, h: int, freq: str, priors: DataFrame | None = No
         pr = fit_prior(means)
         prior = short.select("sku_id").withColumns({"alpha": pr.select("alpha").scalar(), "beta": pr.select("beta").scalar()})
     else:
-        prior = fo.lookup_prior(short.select("sku_id", "category", "pattern"), priors)
+        # the lookup reads the priors four times
+        prior = fo.lookup_prior(short.select("sku_id", "category", "pattern"), stored(priors, "priors"))
     p = short.join(prior.select("sku_id", "alpha", "beta"), "sku_id")
     p = p.withColumns({"_a": F.col("alpha") + A.total(F.col("y")), "_b": F.col("beta") + F.col("n"),
                        "prior_weight": F.col("beta") / (F.col("beta") + F.col("n"))})
-    p = p.withColumn("_q", fo.negbin_array(F.col("_a"), F.col("_b")))
+    p = p.select("sku_id", "_a", "_b", "prior_weight", fo.negbin_array(F.col("_a"), F.col("_b")).alias("_q"))
+    p = materialise(p)
     cold_rows = p.select("sku_id", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"),
                          (F.col("_a") / F.col("_b")).alias("point"),
                          *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(QUANTILE_COLS)])

@@ -167,3 +167,28 @@ def test_a_scenario_of_equal_lead_times_has_one_lead_time_demand(panel_of, monke
     calls.clear()
     po.scenario(panel, fc, "W", lead_mult=2.0)
     assert len(calls) == 2
+
+
+def counted(df, column):
+    """df with an accumulator that counts how often a value of `column` is computed."""
+    n = df.sparkSession.sparkContext.accumulator(0)
+
+    def same(v):
+        n.add(1)
+        return v
+
+    return df.withColumn(column, F.udf(same, df.schema[column].dataType)(column)), n
+
+
+def test_a_forecast_computes_its_panel_and_priors_once(panel_of, spark):
+    rng = np.random.default_rng(6)
+    lengths = {f"S{k}": 12 if k % 3 == 0 else 60 for k in range(9)}
+    panel = panel_of({s: rng.poisson(5, n).tolist() for s, n in lengths.items()})
+    df, n = counted(panel, "demand")
+    priors = spark.createDataFrame([("FOODS_1", p, 4.0, 1.0, 9) for p in ("smooth", "trending_new")], "dept_id string, pattern string, alpha double, beta double, n_observed_skus long")
+    priors, k = counted(priors, "alpha")
+    out = ol.forecast_all(df, 4, "W", priors=priors)
+    summary = {r.sku_id: r for r in out["summary"].collect()}
+    assert out["forecasts"].count() == 4 * len(lengths)
+    assert n.value == panel.count() and k.value == 2
+    assert all(summary[s].n_obs == m and summary[s].method == ("negbin_bayes" if m == 12 else summary[s].method) for s, m in lengths.items())
