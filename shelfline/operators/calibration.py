@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import exact_quantiles
-from ..session import materialise
+from ..session import materialise, stored
 from .series import METRICS, pattern_features, weak_labels
 
 QUANTILE_GRID = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -179,14 +179,16 @@ def reference_quantiles(m: DataFrame) -> DataFrame:
 
 
 def train_classifier(feats: DataFrame, seed: int = 0):
-    """Random forest on the weak labels, 80/20 by SKU hash.  Returns (model, accuracy row)."""
+    """Random forest on the weak labels, 80/20 by SKU hash.  Returns (model, accuracy row).
+
+    Labels and features are stored once: the indexer, every pass of the forest and the evaluation read them."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     from .series import FEATURES
-    data = weak_labels(feats)
+    data = stored(weak_labels(feats), "pattern-features")
     held = F.pmod(F.xxhash64("sku_id", F.lit(seed)), F.lit(5)) == 0
     train, val = data.where(~held), data.where(held)
     model = Pipeline(stages=[

@@ -192,3 +192,13 @@ def test_a_forecast_computes_its_panel_and_priors_once(panel_of, spark):
     assert out["forecasts"].count() == 4 * len(lengths)
     assert n.value == panel.count() and k.value == 2
     assert all(summary[s].n_obs == m and summary[s].method == ("negbin_bayes" if m == 12 else summary[s].method) for s, m in lengths.items())
+
+
+def test_a_classifier_computes_its_features_once(panel_of):
+    from shelfline.operators import series as s_
+    rng = np.random.default_rng(7)
+    series = {f"S{k}": (rng.poisson(5, 100) * (rng.uniform(size=100) < (1, 0.5, 0.1)[k % 3])).tolist() for k in range(30)}
+    feats, n = counted(s_.pattern_features(panel_of(series, step=1)), "cv_demand")
+    model, row = cal.train_classifier(feats)
+    r = row.head()
+    assert r.n_train + r.n_val == 30 and 0 <= r.val_accuracy <= 1 and n.value == 30
